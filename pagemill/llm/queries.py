@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import langid, mixing, packing, pii, sharding, simhash
+from pagemill.llm import fingerprints, langid, mainhtml, mixing, packing, pii, sharding, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(_read(spark, sf_dir, "documents"))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(_read(spark, sf_dir, "documents")))
 
@@ -36,17 +40,23 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.extract_pages(_read(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return packing.pack(docs, mixing.word_count(), packing.copies_cluster())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_personal_data": op2_personal_data,
     "op3_sharding": op3_sharding,
     "op5_source_mix": op5_source_mix,
     "op7_language_id": op7_language_id,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_main_text": op9_main_text,
     "op10_packing": op10_packing,
 }
 
