@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import fingerprints, langid, mainhtml, mixing, packing, pii, sharding, simhash
+from pagemill.llm import ann, fingerprints, langid, licenses, mainhtml, mixing, packing, pii, sharding, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,10 +27,23 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a directory per source and thousand ids, another per hundred; every fiftieth id is its
+    thousand's license file."""
+    i = F.col("doc_id")
+    top = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.floor(i / 1000))
+    path = F.when(i % 50 == 0, F.concat(top, F.lit("/LICENSE."), i)).otherwise(F.concat(top, F.lit("/"), F.floor(i / 100), F.lit("/"), i, F.lit(".txt")))
+    return licenses.scan(_read(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(_read(spark, sf_dir, "documents"))
 
@@ -53,7 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_personal_data": op2_personal_data,
     "op3_sharding": op3_sharding,
+    "op4_license_scan": op4_license_scan,
     "op5_source_mix": op5_source_mix,
+    "op6_nearest_vectors": op6_nearest_vectors,
     "op7_language_id": op7_language_id,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_main_text": op9_main_text,
