@@ -1,21 +1,321 @@
-"""Registered queries over the pages table, with their SQL equivalents."""
+"""Registered queries over the pages, documents and events tables, with their SQL equivalents."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions import glob as G
+from pagemill.functions import http
+from pagemill.functions import text as T
+from pagemill.functions import url as U
+from pagemill.operators import convert, corpus, links, markup, selectors
+from pagemill.plans import site
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 
 
-def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"))
+def query(sql: str | None = None):
+    """Registers a query under its name, with the SQL that gives the same rows."""
 
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"page_titles": page_titles}
-ORACLE_SQL: dict[str, str] = {"page_titles": r"SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages"}
-FLAGSHIP = page_titles
+    return register
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+# SQL fragments
+_PATH = r"CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) END"
+_ORIGIN = r"lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1))"
+_QUERY = r"regexp_extract(url, '^[^?#]*\?([^#]*)', 1)"
+_TITLE = r"regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
+
+
+def _decoded(x: str) -> str:
+    return rf"regexp_replace(replace(replace(replace({x}, '&quot;', '""'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')".replace('""', '"')
+
+
+def _clean(x: str) -> str:
+    return rf"trim(regexp_replace({_decoded(x)}, '[ \t\n\f\r]+', ' ', 'g'))"
+
+
+def _escaped(x: str) -> str:
+    return rf"regexp_replace({_clean(x)}, '([\\*_~`\[])', '\\\1', 'g')"
+
+
+_NORMAL = rf"""regexp_replace({_ORIGIN} || ({_PATH}) || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END, '/$', '')"""
+_IGNORED = ", ".join(f"'{p}'" for p in U.IGNORED_PARAMS)
+_KEPT = rf"""list_transform(list_sort(list_transform(list_filter(string_split({_QUERY}, '&'), lambda p: p <> '' AND string_split(p, '=')[1] NOT IN ({_IGNORED})),
+  lambda p, i: {{'k': string_split(p, '=')[1], 'i': i, 'p': p}})), lambda s: s.p)"""
+
+
+@query(rf"SELECT page_id, {_TITLE} AS title FROM pages")
+def page_titles(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"))
+
+
+@query("""SELECT regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, count(*) AS n, sum(length(html)) AS chars FROM pages GROUP BY 1""")
+def page_langs(spark, sf_dir):
+    lang = F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang")
+    return _read(spark, sf_dir, "pages").groupBy(lang).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("html")).alias("chars"))
+
+
+_LINKS = rf"""SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, regexp_extract(a, 'href="([^"]*)"', 1) AS href, regexp_extract(a, '>(.*)</a>', 1) AS text,
+  {_ORIGIN} || regexp_extract(a, 'href="([^"]*)"', 1) AS target
+  FROM (SELECT page_id, url, unnest(l) AS a, generate_subscripts(l, 1) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS l FROM pages))"""
+
+
+@query(f"SELECT page_id, pos, href, target AS url, text FROM ({_LINKS})")
+def page_links(spark, sf_dir):
+    return links.links(_read(spark, sf_dir, "pages"))
+
+
+@query(f"SELECT page_id, count(*) AS n_links, count(DISTINCT href) AS n_targets FROM ({_LINKS}) GROUP BY page_id")
+def link_out_degree(spark, sf_dir):
+    return links.links(_read(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("href").alias("n_targets"))
+
+
+@query(f"SELECT href, count(DISTINCT page_id) AS n_pages FROM ({_LINKS}) GROUP BY href")
+def link_in_degree(spark, sf_dir):
+    return links.links(_read(spark, sf_dir, "pages")).groupBy("href").agg(F.countDistinct("page_id").alias("n_pages"))
+
+
+@query(r"""SELECT page_id, CASE WHEN NOT regexp_matches(url, '^[^?#]*\?') THEN url ELSE regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN q <> '' THEN '?' || q ELSE '' END || regexp_extract(url, '^[^#]*(#.*)$', 1) END AS url
+  FROM (SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_source=a&id=1#top' AS url FROM pages) u,
+  LATERAL (SELECT array_to_string(list_filter(string_split(regexp_extract(u.url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: NOT regexp_matches(p, '^(utm_|fbclid|gclid|mc_eid|msclkid|oly_)')), '&') AS q)""")
+def url_strip_tracking(spark, sf_dir):
+    url = F.concat("url", F.when(F.contains(F.col("url"), F.lit("?")), "&").otherwise("?"), F.lit("utm_source=a&id=1#top"))
+    return _read(spark, sf_dir, "pages").select("page_id", U.strip_tracking(url).alias("url"))
+
+
+@query(f"SELECT page_id, {_NORMAL} AS url FROM (SELECT page_id, url, {_KEPT} AS kept FROM pages)")
+def url_normalize(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", U.normalize(F.col("url")).alias("url"))
+
+
+@query(rf"""SELECT page_id, origin, path, '/' || array_to_string(segs[1:2], '/') AS prefix2,
+  CASE WHEN len(segs) = 0 THEN 'index.md' ELSE array_to_string(list_transform(segs, lambda s: regexp_replace(s, '[^A-Za-z0-9_-]', '-', 'g')), '/') || '.md' END AS file,
+  NOT regexp_matches(path, '^(/cdn-cgi/|/_next/|/_nuxt/|/__|/wp-admin/|/wp-json/|/wp-includes/|/wp-content/uploads/|/api/|/assets/|/static/)')
+    AND (NOT contains(regexp_extract(path, '([^/]*)$', 1), '.') OR regexp_matches(path, '(?i)\.(html?|php|aspx?|jsp)$')) AS is_content
+  FROM (SELECT page_id, {_ORIGIN} AS origin, {_PATH} AS path, list_filter(string_split({_PATH}, '/'), lambda s: s <> '') AS segs FROM pages)""")
+def url_parts(spark, sf_dir):
+    u = F.col("url")
+    return _read(spark, sf_dir, "pages").select(
+        "page_id", U.origin_of(u).alias("origin"), U.path_of(u).alias("path"), U.group_prefix(U.path_of(u), 2).alias("prefix2"), U.safe_filename(u).alias("file"), U.is_content(u).alias("is_content")
+    )
+
+
+@query(f"SELECT page_id, norm FROM (SELECT page_id, norm, row_number() OVER (PARTITION BY norm ORDER BY page_id) AS nth FROM (SELECT page_id, {_NORMAL} AS norm FROM (SELECT page_id, url, {_KEPT} AS kept FROM pages))) WHERE nth = 1")
+def url_dedup_first(spark, sf_dir):
+    return links.first_by_url(_read(spark, sf_dir, "pages")).select("page_id", "norm")
+
+
+@query(f"SELECT page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY {_ORIGIN} || ({_PATH}), contains(url, '?') ORDER BY page_id) AS nth FROM pages) WHERE NOT contains(url, '?') OR nth <= 5")
+def url_variant_cap(spark, sf_dir):
+    return links.capped_variants(_read(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+@query(r"""SELECT page_id, regexp_matches(target, '^/en(?:/.*)?$') AS included, regexp_matches(target, '^/[^/]*/[^/]*\.html$') OR regexp_matches(target, '^/de(?:/.*)?$') AS excluded
+  FROM (SELECT page_id, """ + _PATH + r""" || regexp_extract(url, '^[^?#]*([?#].*)$', 1) AS target FROM pages)""")
+def url_globs(spark, sf_dir):
+    u = F.col("url")
+    target = F.concat(U.path_of(u), F.regexp_extract(u, r"^[^?#]*([?#].*)$", 1))
+    return _read(spark, sf_dir, "pages").select("page_id", target.rlike(G.to_regex("/en/**")).alias("included"), G.excluded(u, ["/*/*.html", "/de/*"]).alias("excluded"))
+
+
+@query(rf"""SELECT page_id, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(t, '[*_`~]', '', 'g'), '[^A-Za-z0-9 \t-]', '', 'g')), '[ \t-]+', '-', 'g'), '^-|-$', '', 'g') AS slug,
+  regexp_replace(lower(t), '[^a-z0-9]', '-', 'g') AS anchor FROM (SELECT page_id, {_clean(_TITLE)} AS t FROM pages)""")
+def heading_slugs(spark, sf_dir):
+    t = F.trim(F.regexp_replace(T.decode_entities(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)), r"[ \t\n\f\r]+", " "))
+    return _read(spark, sf_dir, "pages").select("page_id", T.slugify(t).alias("slug"), T.anchor(t).alias("anchor"))
+
+
+_TOKENS = r"[\[\]()#*\-!:|]|[^ \n\t\r\[\]()#*\-!:|]+"
+
+
+@query(f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_TOKENS}')) AS BIGINT) AS tokens, trim(regexp_replace(text, '[*_`]', '', 'g'), ' ') AS plain FROM documents")
+def document_tokens(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", T.token_count(F.col("text")).alias("tokens"), T.strip_markdown(F.col("text")).alias("plain"))
+
+
+@query("SELECT page_id, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(url, ''), lambda c: ascii(c)::BIGINT)), lambda h, x: (xor(h, x) * 16777619) & 4294967295) AS fnv FROM pages")
+def url_fnv(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", T.fnv1a(F.col("url")).alias("fnv"))
+
+
+_ARTICLE = r"regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+_BLOCK_LIST = rf"regexp_extract_all({_ARTICLE}, '<p>(?:<b>)?[^<]*')"
+_LINK_LIST = r"regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>')".replace('\\"', '"')
+_MD_BLOCKS = rf"array_to_string(list_transform({_BLOCK_LIST}, lambda b: CASE WHEN b LIKE '<p><b>%' THEN '**' || {_escaped('substr(b, 7)')} || '  ' || chr(10) || '**' ELSE {_escaped('substr(b, 4)')} END), chr(10) || chr(10))"
+_MD_LINKS = rf"""array_to_string(list_transform({_LINK_LIST}, lambda a: '- [' || {_escaped("regexp_extract(a, '>([^<]*)<', 1)")} || '](' || regexp_extract(a, 'href="([^"]*)"', 1) || ')'), chr(10))"""
+_AD = """regexp_extract(html, '<div class="ad">([^<]*)', 1)"""
+_FOOT = "regexp_extract(html, '<footer>([^<]*)', 1)"
+_GAP = "chr(10) || chr(10)"
+
+
+@query(rf"SELECT page_id, {_escaped(_TITLE)} || {_GAP} || {_MD_LINKS} || {_GAP} || {_escaped(_AD)} || {_GAP} || '# ' || {_escaped(_TITLE)} || {_GAP} || {_MD_BLOCKS} || {_GAP} || {_escaped(_FOOT)} AS markdown FROM pages")
+def convert_markdown(spark, sf_dir):
+    return convert.to_markdown(markup.tokens(_read(spark, sf_dir, "pages")))
+
+
+@query(rf"SELECT page_id, '# ' || {_escaped(_TITLE)} || {_GAP} || {_MD_BLOCKS} AS markdown FROM pages")
+def convert_minimal(spark, sf_dir):
+    return convert.to_markdown(convert.minimal(markup.tokens(_read(spark, sf_dir, "pages"))))
+
+
+_TEXT_BLOCKS = rf"array_to_string(list_transform({_BLOCK_LIST}, lambda b: {_clean('''regexp_replace(b, '<[^>]*>', '', 'g')''')}), chr(10) || chr(10))"
+_TEXT_LINKS = rf"""array_to_string(list_transform({_LINK_LIST}, lambda a: {_clean("regexp_extract(a, '>([^<]*)<', 1)")}), chr(10))"""
+
+
+@query(rf"SELECT page_id, {_clean(_TITLE)} || {_GAP} || {_TEXT_LINKS} || {_GAP} || {_clean(_AD)} || {_GAP} || {_clean(_TITLE)} || {_GAP} || {_TEXT_BLOCKS} || {_GAP} || {_clean(_FOOT)} AS text FROM pages")
+def convert_text(spark, sf_dir):
+    return convert.to_text(markup.tokens(_read(spark, sf_dir, "pages")))
+
+
+@query()
+def convert_html(spark, sf_dir):
+    return convert.to_html(markup.tokens(_read(spark, sf_dir, "pages")))
+
+
+@query(rf"""SELECT page_id, 'h1' AS selector, {_clean(_TITLE)} AS text_content FROM pages UNION ALL SELECT page_id, '.ad', {_clean(_AD)} FROM pages
+  UNION ALL SELECT page_id, 'a[href]', {_clean("regexp_extract(a, '>([^<]*)<', 1)")} FROM (SELECT page_id, unnest({_LINK_LIST}) AS a FROM pages)""")
+def extract_elements(spark, sf_dir):
+    found = selectors.extract(markup.tokens(_read(spark, sf_dir, "pages")), ["a[href]", "h1", ".ad"])
+    return found.select(F.col("key").alias("page_id"), "selector", "text_content")
+
+
+@query(rf"SELECT page_id, {_clean(_TITLE)} AS title, len(list_distinct(list_transform({_LINK_LIST}, lambda a: regexp_extract(a, 'href=.([^\"]*).>', 1)))) AS n_links FROM pages".replace('\\"', '"'))
+def page_metadata(spark, sf_dir):
+    return links.metadata(_read(spark, sf_dir, "pages")).select("page_id", "title", F.size("links").alias("n_links"))
+
+
+@query(r"""SELECT doc_id, CAST(i AS INTEGER) AS line_no, content FROM (SELECT doc_id, unnest(l) AS content, generate_subscripts(l, 1) AS i
+  FROM (SELECT doc_id, string_split(regexp_replace(text, '^\s+', ''), chr(10)) AS l FROM documents)) WHERE regexp_replace(content, '\s', '', 'g') <> ''""")
+def document_lines(spark, sf_dir):
+    return corpus.lines(_read(spark, sf_dir, "documents"))
+
+
+@query()
+def page_sections(spark, sf_dir):
+    md = convert.to_markdown(markup.tokens(_read(spark, sf_dir, "pages")))
+    return corpus.sections(md, "page_id", "markdown", levels=(1, 2))
+
+
+@query()
+def document_chunks(spark, sf_dir):
+    return corpus.chunks(corpus.sections(_read(spark, sf_dir, "documents")))
+
+
+_SHINGLES = r"""SELECT DISTINCT doc_id, array_to_string(t[i:i + 5], ' ') AS shingle FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 5, 1) + 1)) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS t FROM documents) WHERE len(t) > 0)"""
+
+
+@query(f"SELECT shingle, count(*) AS n_docs FROM ({_SHINGLES}) GROUP BY shingle HAVING count(*) > 1")
+def boilerplate_frequency(spark, sf_dir):
+    return corpus.shingle_frequency(_read(spark, sf_dir, "documents")).where("n_docs > 1")
+
+
+@query()
+def boilerplate_strip(spark, sf_dir):
+    return corpus.boilerplate(_read(spark, sf_dir, "documents"), threshold=0.01)
+
+
+@query(rf"""SELECT page_id, CASE WHEN len(segs) <= 1 AND NOT nested THEN '' WHEN n2 > 1 THEN p2 ELSE '/' || seg1 END AS grp, array_to_string(segs, '/') AS path FROM (
+  SELECT *, count(*) OVER (PARTITION BY p2) AS n2, max(len(segs)) OVER (PARTITION BY seg1) > 1 AS nested FROM (
+  SELECT page_id, segs, COALESCE(segs[1], '') AS seg1, '/' || array_to_string(segs[1:2], '/') AS p2 FROM (
+  SELECT page_id, list_filter(string_split({_PATH}, '/'), lambda s: s <> '') AS segs FROM pages)))""")
+def page_sort_groups(spark, sf_dir):
+    rows = corpus.sort_keys(_read(spark, sf_dir, "pages").select("page_id", U.path_of(F.col("url")).alias("path")))
+    return rows.select("page_id", F.col("group").alias("grp"), F.array_join("segments", "/").alias("path"))
+
+
+@query(rf"""SELECT CAST(ord AS BIGINT) AS ord, line FROM (VALUES (-4, '# Pages'), (-3, ''), (-2, '## Pages'), (-1, '')) v(ord, line)
+  UNION ALL SELECT page_id, '- [' || {_clean(_TITLE)} || '](' || url || ')' FROM pages""")
+def llms_index(spark, sf_dir):
+    title = F.trim(F.regexp_replace(T.decode_entities(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)), r"[ \t\n\f\r]+", " "))
+    pages = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), title.alias("title"), "url", F.lit(None).cast("string").alias("description"))
+    return corpus.llms_lines(pages, "Pages")
+
+
+@query()
+def llms_full(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages")
+    md = convert.to_markdown(convert.minimal(markup.tokens(pages))).withColumnRenamed("page_id", "id")
+    rows = pages.select("page_id", "url").join(md, F.col("page_id") == F.col("id")).join(links.metadata(pages).select("page_id", "title", "description"), "page_id")
+    return corpus.llms_full_blocks(rows.select(F.col("page_id").alias("ord"), "title", "url", "description", F.col("markdown").alias("content")))
+
+
+_EDGES = rf"""SELECT DISTINCT '/' || regexp_extract({_clean(_TITLE)}, '^([^ ]*)', 1) AS src, regexp_extract(a, 'href="([^"]*)"', 1) AS dst FROM (SELECT html, unnest({_LINK_LIST}) AS a FROM pages)"""
+
+
+@query(rf"""WITH RECURSIVE edges AS ({_EDGES}), walk(url, depth) AS (SELECT '/The', 0 UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = url WHERE depth < 3)
+  SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY url""")
+def crawl_frontier(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages")
+    word = F.regexp_extract(F.trim(F.regexp_replace(T.decode_entities(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)), r"[ \t\n\f\r]+", " ")), "^([^ ]*)", 1)
+    edges = links.links(pages).join(pages.select("page_id", F.concat(F.lit("/"), word).alias("src")), "page_id").select("src", F.col("href").alias("dst")).distinct()
+    return links.crawl(spark.createDataFrame([("/The",)], "url string"), edges, 3)
+
+
+_ACCEPTS = ("text/markdown", "text/html", "*/*", "text/html;q=0.5, text/markdown;q=0.9", "text/markdown;q=0, */*", "application/json", "", "text/plain, text/html", "text/html, */*;q=0.1")
+
+
+@query("SELECT event_id, ['markdown', 'html', 'html', 'markdown', 'html', 'not-acceptable', 'html', 'markdown', 'html'][CAST(event_id % 9 AS INTEGER) + 1] AS served FROM events")
+def accept_negotiation(spark, sf_dir):
+    accept = F.get(F.array(*map(F.lit, _ACCEPTS)), (F.col("event_id") % 9).cast("int"))
+    return _read(spark, sf_dir, "events").select("event_id", http.negotiate(accept, F.lit(None).cast("string")).alias("served"))
+
+
+@query("SELECT page_id, 'urlset' AS kind, url AS loc FROM pages")
+def sitemap_locations(spark, sf_dir):
+    xml = F.concat(F.lit("<urlset><url><loc> "), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url></urlset>"))
+    return links.sitemap_urls(_read(spark, sf_dir, "pages").select("page_id", xml.alias("xml"))).select("page_id", "kind", "loc")
+
+
+@query("SELECT n_nationkey, ['https://x.org/' || n_name || '.xml', 'https://x.org/all.xml'] AS sitemaps, n_nationkey + 0.5::DOUBLE AS crawl_delay FROM nation")
+def robots_files(spark, sf_dir):
+    text = F.concat(F.lit("User-agent: *\nCrawl-delay: "), F.col("n_nationkey").cast("string"), F.lit(".5\nSitemap: https://x.org/"), "n_name", F.lit(".xml\nsitemap:https://x.org/all.xml \n"))
+    return links.robots(_read(spark, sf_dir, "nation").select("n_nationkey", text.alias("text"))).drop("text")
+
+
+@query(rf"""SELECT doc_id, md, {{'title': 'Doc ' || doc_id, 'lang': lang}}.title AS title, lang AS fm_lang FROM (SELECT doc_id, lang, '---' || chr(10) || 'title: Doc ' || doc_id || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) AS md FROM documents)""")
+def frontmatter_fields(spark, sf_dir):
+    md = F.concat(F.lit("---\ntitle: Doc "), F.col("doc_id").cast("string"), F.lit("\nlang: "), "lang", F.lit("\n---\n"))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", md.alias("md"))
+    fields = T.frontmatter(F.col("md"))
+    return rows.select("doc_id", "md", fields["title"].alias("title"), fields["lang"].alias("fm_lang"))
+
+
+@query(ORACLE_SQL["convert_minimal"].replace("AS markdown", "AS md").join(("SELECT lang, count(*) AS n, CAST(sum(len(regexp_extract_all(md, '" + _TOKENS + "'))) AS BIGINT) AS md_tokens, CAST(sum(html_tokens) AS BIGINT) AS html_tokens FROM (", ") q JOIN (SELECT page_id AS id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, len(regexp_extract_all(html, '" + _TOKENS + "')) AS html_tokens FROM pages) p ON id = page_id GROUP BY lang")))
+def token_savings(spark, sf_dir):
+    """By language: tokens of the pages as HTML, and as Markdown under the minimal preset."""
+    pages = _read(spark, sf_dir, "pages")
+    md = convert_minimal(spark, sf_dir).select(F.col("page_id").alias("id"), T.token_count(F.col("markdown")).alias("md"))
+    html = pages.select("page_id", F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"), T.token_count(F.col("html")).alias("html"))
+    return html.join(md, F.col("id") == F.col("page_id")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("md").alias("md_tokens"), F.sum("html").alias("html_tokens"))
+
+
+@query(ORACLE_SQL["convert_markdown"])
+def stream_markdown(spark, sf_dir):
+    """Pages cut into pieces, streamed through per-document state and converted as they end."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="pagemill-")
+    at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    site.pieces_of(spark, _read(spark, sf_dir, "pages")).write.parquet(f"{at}/pieces")
+    stream = spark.readStream.schema("key bigint, seq int, chunk string, is_last boolean").parquet(f"{at}/pieces")
+    site.stream_to_markdown(stream, f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.schema("page_id bigint, markdown string").parquet(f"{at}/out")
+
+
+FLAGSHIP = token_savings
