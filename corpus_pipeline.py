@@ -17,7 +17,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     cols = docs.columns
     model = langid.fit(docs.select("doc_id", "text", "lang"), ~langid.held_out())
     rows = langid.predict(docs, model)
-    return rows.where((F.col("lang_id.lang_pred") != langid.UND) & (F.col("lang_id.score") >= LEAST_SCORE)).select(*cols)
+    return rows.where((F.col("__lang_id.lang_pred") != langid.UND) & (F.col("__lang_id.score") >= LEAST_SCORE)).select(*cols)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -161,15 +161,15 @@ def fit(docs: DataFrame, train: Column, max_docs: int = MAX_DOCS, min_share: flo
     return build_filter([(r.lang, r.gram) for r in found])
 
 
-def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
-    """The rows of ``docs`` with the column ``lang_id``: struct of lang_pred and score."""
+def predict(docs: DataFrame, model: LanguageFilter, out: str = "__lang_id") -> DataFrame:
+    """The rows of ``docs`` with the column ``out``: struct of lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def identify(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("lang_id", identify("text"))
+    return docs.withColumn(out, identify("text"))
 
 
 def held_out() -> Column:
@@ -181,4 +181,4 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row; the held-out rows take no part in fitting."""
     model = fit(docs.select("doc_id", "text", "lang"), ~held_out())
     rows = predict(docs.select("doc_id", "text"), model)
-    return rows.select("doc_id", held_out().alias("held_out"), "lang_id.lang_pred", "lang_id.score")
+    return rows.select("doc_id", held_out().alias("held_out"), "__lang_id.lang_pred", "__lang_id.score")
