@@ -17,7 +17,7 @@ def accepted(accept: Column) -> Column:
     def entry(x: Column) -> Column:
         q = F.regexp_extract(x["p"], r";.*?q=([^; ]*)", 1)
         has_q = x["p"].rlike(r";.*?q=")
-        kind = F.trim(F.regexp_extract(x["p"], r"^([^;]*)", 1))
+        kind = F.lower(F.trim(F.regexp_extract(x["p"], r"^([^;]*)", 1)))
         return F.struct(kind.alias("type"), F.when(has_q, F.coalesce(q.try_cast("double"), F.lit(0.0))).otherwise(F.lit(1.0)).alias("q"), x["i"].alias("position"))
 
     return F.transform(F.filter(parts, lambda x: x["p"] != ""), entry)
@@ -26,8 +26,8 @@ def accepted(accept: Column) -> Column:
 def negotiate(accept: Column, sec_fetch_dest: Column) -> Column:
     """``markdown``, ``html`` or ``not-acceptable``.
 
-    The best Markdown entry wins over the best HTML or wildcard entry by q, then by position; a type with q = 0 is
-    refused, and a wildcard does not bring it back.
+    The best Markdown entry wins over the best HTML entry by q, then by position. A wildcard stands in for a type that
+    is not listed; a type with q = 0 is refused, and a wildcard does not bring it back.
     """
     entries = accepted(F.coalesce(accept, F.lit("")))
 
@@ -38,14 +38,12 @@ def negotiate(accept: Column, sec_fetch_dest: Column) -> Column:
     def refused(kinds: tuple[str, ...]) -> Column:
         return F.exists(entries, lambda e: e["type"].isin(*kinds) & (e["q"] <= 0))
 
-    md, page, wild = best(MARKDOWN), best(HTML), best(WILD)
-    other = F.coalesce(page, F.when(~refused(HTML), wild))
+    wild = best(WILD)
+    md = F.coalesce(best(MARKDOWN), F.when(~refused(MARKDOWN), wild))
+    page = F.coalesce(best(HTML), F.when(~refused(HTML), wild))
     return (
-        F.when(F.coalesce(sec_fetch_dest, F.lit("")) == "document", "html")
-        .when(F.coalesce(accept, F.lit("")) == "", "html")
-        .when(md.isNotNull() & (other.isNull() | (md > other)), "markdown")
-        .when(other.isNotNull(), "html")
-        .when(wild.isNotNull() & ~refused(MARKDOWN), "markdown")
-        .when(F.size(entries) == 0, "html")
+        F.when((F.coalesce(sec_fetch_dest, F.lit("")) == "document") | (F.coalesce(accept, F.lit("")) == ""), "html")
+        .when(md.isNotNull() & (page.isNull() | (md > page)), "markdown")
+        .when(page.isNotNull(), "html")
         .otherwise("not-acceptable")
     )

@@ -12,7 +12,7 @@ SCHEMA = "key bigint, html string"
 STATE = "pieces array<string>, numbers array<int>, last int"
 
 
-def _gather(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _gather(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None) -> Iterator[pd.DataFrame]:
     pieces, numbers, last = state.get if state.exists else ([], [], -1)
     if state.hasTimedOut:
         state.remove()
@@ -28,13 +28,16 @@ def _gather(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
         yield pd.DataFrame({"key": [key[0]], "html": ["".join(got[i] for i in range(last + 1))]})
     else:
         state.update((list(got.values()), list(got), last))
-        state.setTimeoutDuration(3_600_000)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
 
 
-def assemble(stream: DataFrame) -> DataFrame:
+def assemble(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """key and html of each finished document of a stream (key, seq, chunk, is_last).
 
-    Pieces may come in any order and again; a document is out once all up to its last are there. Unfinished ones are
-    forgotten an hour after their latest piece.
+    Pieces may come in any order and again; a document is out once all up to its last are there. With ``ttl_ms``,
+    unfinished ones are forgotten so long after their latest piece; a query that is to end by itself (availableNow)
+    needs it unset, as time-outs always ask for one more batch.
     """
-    return stream.groupBy("key").applyInPandasWithState(_gather, SCHEMA, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    return stream.groupBy("key").applyInPandasWithState(lambda k, b, s: _gather(k, b, s, ttl_ms), SCHEMA, STATE, "append", timeout)
