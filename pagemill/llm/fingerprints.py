@@ -15,7 +15,9 @@ any other. Equal texts have equal fingerprints. Rows that share a doc_id are ord
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import math
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,41 +26,85 @@ from pagemill.llm._common import kept, partitions, search_bucket
 
 SAMPLES = 32
 SHINGLE = 5
+#: Samples that are drawn in one row of a term; SAMPLES is a multiple.
+TOGETHER = 2
 #: Bits of a packed sample that tell shingle and t apart; those above order the samples by a.
 TAG_BITS = 24
 TAG = (1 << TAG_BITS) - 1
+#: Points of the tables that draws are read from.
+GRID_BITS = 12
+GRID = 1 << GRID_BITS
 
 
-def shingle_hashes(text: Column, n: int = SHINGLE) -> Column:
-    """Array of 64-bit hashes of the word shingles of a text, repeats included."""
-    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
+def word_hashes(text: Column) -> Column:
+    """Array of 64-bit hashes of the words of a text."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)), lambda w: F.xxhash64(w))
 
-    def runs(h: Column) -> Column:
-        size = F.size(h)
-        starts = F.sequence(F.lit(0), size - n)
-        return F.when(size == 0, F.array().cast("array<bigint>")).when(size < n, F.array(F.xxhash64(h))).otherwise(F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(n)])))
 
-    # a lambda binds the array once; plain nesting would repeat the split for every use
-    return F.get(F.transform(F.array(hashed), runs), 0)
+def runs(h: Column, n: int = SHINGLE) -> Column:
+    """Hashes of every n neighbours of an array of hashes; nothing for shorter arrays."""
+    starts = F.when(F.size(h) >= n, F.sequence(F.lit(1), F.size(h) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, n)))
 
 
-def _uniform(bits: Column, at: int, width: int) -> Column:
-    """A number strictly between 0 and 1 from some bits of a hash."""
-    part = F.shiftrightunsigned(bits, at).bitwiseAND(F.lit((1 << width) - 1))
-    return (part.cast("double") + 0.5) / float(1 << width)
+def shingles(h: Column, n: int = SHINGLE) -> Column:
+    """Hashes of the shingles of an array of word hashes: the whole sequence if it has fewer than n words."""
+    return F.when((F.size(h) > 0) & (F.size(h) < n), F.array(F.xxhash64(h))).otherwise(runs(h, n))
 
 
-def packed_sample(term: Column, weight: Column, nth: Column) -> Column:
+def _table(values: list[float]) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), "array<double>")
+
+
+def _quantile(p: float) -> float:
+    """The quantile of Gamma(2, 1), by bisection."""
+    low, high = 0.0, 64.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if 1 - math.exp(-mid) * (1 + mid) < p else (low, mid)
+    return high
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[list[float], list[float]]:
+    """-ln u, and ln of the quantiles of Gamma(2, 1), over a grid of u: Spark's own logarithm is ten times as slow."""
+    top = _quantile(1 - 1 / (64 * GRID))
+    return [-math.log((i + 0.5) / GRID) for i in range(GRID)], [math.log(_quantile(max(i, 1 / 64) / GRID)) for i in range(GRID)] + [math.log(top)]
+
+
+def _bits(h: Column, at: int, width: int) -> Column:
+    return F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def draws(term: str, nth: Column, j: int) -> list[dict[str, Column]]:
+    """Columns r, b and ln_c of a term's nth draw, and h2 for its tag, in steps that each use the one before.
+
+    Steps are columns of their own (numbered j), so that generated code computes each once a row. r is the sum of two
+    exponential draws; ln c is read between two quantiles, and computed where the lowest would be too coarse.
+    """
+    logs, quantiles = map(_table, _tables())
+    h1, h2, k = F.col(f"h1_{j}"), F.col(f"h2_{j}"), F.col(f"k_{j}")
+    part = _bits(h2, 0, 28).cast("double") / float(1 << 28)
+    low = F.get(quantiles, k)
+    # near 0 the distribution function of Gamma(2, 1) is c * c / 2
+    exact = F.log(2.0 * (part + 1e-9) / GRID) / 2.0
+    return [
+        {f"h1_{j}": F.xxhash64(term, nth), f"h2_{j}": F.xxhash64(nth, term)},
+        {f"k_{j}": _bits(h2, 28, GRID_BITS).cast("int")},
+        {
+            f"r_{j}": F.get(logs, _bits(h1, 0, GRID_BITS).cast("int")) + F.get(logs, _bits(h1, GRID_BITS, GRID_BITS).cast("int")),
+            f"b_{j}": (_bits(h1, 2 * GRID_BITS, 32).cast("double") + 0.5) / float(1 << 32),
+            f"c_{j}": F.when(k == 0, exact).otherwise(low + part * (F.get(quantiles, k + 1) - low)),
+        },
+    ]
+
+
+def packed_sample(t: Column, j: int) -> Column:
     """ln a, quantised, above a tag of (shingle, t): the least packed value of a document is its nth sample."""
-    h1, h2 = F.xxhash64(term, nth), F.xxhash64(nth, term)
-    r = -F.log(_uniform(h1, 0, 21) * _uniform(h1, 21, 21))
-    b = _uniform(h1, 42, 21)
-    ln_c = F.log(-F.log(_uniform(h2, 0, 31) * _uniform(h2, 31, 31)))
-    t = F.floor(F.log(weight.cast("double")) / r + b)
-    ln_a = ln_c - r * (t - b) - r
-    order = F.floor((F.greatest(F.lit(-63.0), F.least(F.lit(63.0), ln_a)) + 64.0) * float(1 << 31)).cast("bigint")
-    return F.shiftleft(order, TAG_BITS).bitwiseOR(F.xxhash64(h2, t).bitwiseAND(F.lit(TAG)))
+    ln_a = F.col(f"c_{j}") - F.col(f"r_{j}") * (t - F.col(f"b_{j}") + 1.0)
+    order = ((F.greatest(F.lit(-63.0), ln_a) + 64.0) * float(1 << 31)).cast("bigint")
+    told = F.shiftrightunsigned(f"h2_{j}", 64 - TAG_BITS).bitwiseXOR((t * F.lit(40503)).bitwiseAND(F.lit(TAG)))
+    return F.shiftleft(order, TAG_BITS).bitwiseOR(told)
 
 
 def tag(packed: Column) -> Column:
@@ -87,31 +133,34 @@ def samples_of(terms: DataFrame, keys: list[str], weights: dict[str, str], n: in
     row per document with an array of n packed samples under each name in ``weights`` (null where all weights are 0).
     Documents must be dealt by the first key, else rows are shuffled by keys.
     """
-    drawn = terms.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("nth"))
-    first, *others = weights.items()
-    drawn = drawn.withColumn(first[0], F.when(F.col(first[1]) > 0, packed_sample(F.col("term"), F.col(first[1]), F.col("nth"))))
-    for name, weight in others:
-        # most terms have the same weight on both sides: their draws are made once
-        other = F.when(F.col(weight) == F.col(first[1]), F.col(first[0])).when(F.col(weight) > 0, packed_sample(F.col("term"), F.col(weight), F.col("nth")))
-        drawn = drawn.withColumn(name, other)
-    least = drawn.groupBy(*keys, "nth").agg(*[F.min(name).alias(name) for name in weights])
-    rows = least.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("nth", *weights))).alias("all"))
-    return rows.select(*keys, *[F.col(f"all.{name}").alias(name) for name in weights])
+    # the logarithm of a weight is taken once a term; a weight of 0 has none, and null samples are never the least
+    logs = {f"ln_{name}": F.when(F.col(weight) > 1, F.log(F.col(weight).cast("double"))).when(F.col(weight) == 1, F.lit(0.0)) for name, weight in weights.items()}
+    drawn = terms.select(*keys, "term", *[c.alias(name) for name, c in logs.items()], F.explode(F.sequence(F.lit(0), F.lit(n // TOGETHER - 1))).alias("nth"))
+    of = [(name, j) for name in weights for j in range(TOGETHER)]
+    for steps in zip(*(draws("term", F.col("nth") * TOGETHER + j, j) for j in range(TOGETHER)), strict=True):
+        drawn = drawn.withColumns({k: v for step in steps for k, v in step.items()})
+    drawn = drawn.withColumns({f"t_{name}_{j}": F.floor(F.col(f"ln_{name}") / F.col(f"r_{j}") + F.col(f"b_{j}")) for name, j in of})
+    drawn = drawn.select(*keys, "nth", *[packed_sample(F.col(f"t_{name}_{j}"), j).alias(f"{name}_{j}") for name, j in of])
+    least = drawn.groupBy(*keys, "nth").agg(*[F.min(f"{name}_{j}").alias(f"{name}_{j}") for name, j in of])
+    rows = least.select(*keys, "nth", *[F.array(*[f"{name}_{j}" for j in range(TOGETHER)]).alias(name) for name in weights])
+    rows = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("nth", *weights))).alias("all"))
+    return rows.select(*keys, *[F.flatten(F.col(f"all.{name}")).alias(name) for name in weights])
 
 
 def fingerprints(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     """doc_id and fingerprint of every row of ``docs`` (doc_id, text); rows equal in both come once."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), shingle_hashes(F.coalesce("text", F.lit(""))).alias("terms")).distinct()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), shingles(word_hashes(F.coalesce("text", F.lit("")))).alias("terms")).distinct()
     terms = rows.select("doc_id", "row", F.explode("terms").alias("term")).groupBy("doc_id", "row", "term").agg(F.count(F.lit(1)).alias("weight"))
     found = samples_of(terms, ["doc_id", "row"], {"samples": "weight"}, n).select(F.col("doc_id").alias("id"), F.col("row").alias("r"), "samples")
     rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("r")), "left")
     return rows.select("doc_id", as_text(F.col("samples"), n).alias("fingerprint"))
 
 
-def in_order(docs: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, text, bucket and nth_row of every row: buckets are ranges of descending doc_id, nth_row counts in each.
+def in_order(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text, bucket and nth_row of every row, and b, v: the text of each bucket's first row.
 
-    Only the bounds of the ranges, at most one per bucket, pass through the driver. Null ids come last.
+    Buckets are ranges of descending doc_id, nth_row counts in each. Only the bounds of the ranges, at most one per
+    bucket, pass through the driver. Null ids come last.
     """
     shares = [i / buckets for i in range(1, buckets)]
     found = docs.agg(F.percentile_approx("doc_id", shares, 20 * buckets)).first()[0] if shares else None
@@ -119,20 +168,28 @@ def in_order(docs: DataFrame, buckets: int) -> DataFrame:
     bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(search_bucket(-F.col("doc_id"), bounds))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), bucket.cast("int").alias("bucket"))
     down = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    return rows.repartition(buckets, "bucket").withColumn("nth_row", F.row_number().over(down))
+    # one row a bucket: found by id, so that the texts are shuffled once
+    top = rows.groupBy(F.col("bucket").alias("b")).agg(F.max("doc_id").alias("top"))
+    heads = rows.join(F.broadcast(top), (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    firsts = heads.groupBy("b").agg(F.min_by("text", F.xxhash64("text")).alias("v"))
+    return rows.repartition(buckets, "bucket").withColumn("nth_row", F.row_number().over(down)), firsts
+
+
+def _around(firsts: DataFrame) -> DataFrame:
+    """For each bucket of ``firsts`` (b, v: one row a bucket) the next bucket's v; after the last comes the first."""
+    along = Window.partitionBy(F.lit(0)).orderBy("b")
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return firsts.select("b", F.coalesce(F.lead("v").over(along), F.first("v").over(whole)).alias("head"))
 
 
-def with_next(rows: DataFrame, value: str, out: str) -> DataFrame:
+def with_next(rows: DataFrame, firsts: DataFrame, value: str, out: str) -> DataFrame:
     """``rows`` (bucket, nth_row) with the next row's ``value``; after the last row comes the first.
 
-    The last row of a bucket takes the value of the next bucket's first row, from a table of one row per bucket.
+    The last row of a bucket takes the value of the next bucket's first row, which ``firsts`` (b, v) gives.
     """
-    firsts = rows.where("nth_row = 1").select(F.col("bucket").alias("__b"), F.col(value).alias("__v"))
-    along = Window.partitionBy(F.lit(0)).orderBy("__b")
-    around = F.coalesce(F.lead("__v").over(along), F.first("__v").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = firsts.select("__b", around.alias("__head"))
     ahead = F.lead(value).over(Window.partitionBy("bucket").orderBy("nth_row"))
-    return rows.withColumn("__next", ahead).join(heads, F.col("bucket") == F.col("__b")).withColumn(out, F.coalesce("__next", "__head")).drop("__next", "__head", "__b")
+    joined = rows.withColumn("ahead", ahead).join(_around(firsts), F.col("bucket") == F.col("b"))
+    return joined.withColumn(out, F.coalesce("ahead", "head")).drop("ahead", "head", "b")
 
 
 def compare_edited(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
@@ -142,26 +199,38 @@ def compare_edited(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     descending doc_id.
     """
     buckets = 4 * partitions(docs.sparkSession)
-    rows = with_next(in_order(docs, buckets), "text", "next_text")
+    ordered, firsts = in_order(docs, buckets)
+    rows = with_next(ordered, firsts, "text", "next_text")
     size = F.length("text")
     cut = F.floor(size / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), size - cut), F.substring("next_text", F.lit(1), cut))
-    rows = rows.select("bucket", "nth_row", "doc_id", size.cast("bigint").alias("n_chars"), "text", edited.alias("edited"))
-
-    # the lowest bit of a hash says which of the two texts it is from
-    both = F.concat(
-        F.transform(shingle_hashes(F.col("text")), lambda h: h.bitwiseOR(F.lit(1))),
-        F.transform(shingle_hashes(F.col("edited")), lambda h: h.bitwiseAND(F.lit(-2))),
-    )
-    terms = rows.select("bucket", "nth_row", F.explode(both).alias("x"))
-    ours = F.col("x").bitwiseAND(F.lit(1))
-    terms = terms.groupBy("bucket", "nth_row", F.shiftright("x", 1).alias("term")).agg(F.sum(ours).alias("ours"), F.sum(1 - ours).alias("theirs"))
+    # Both texts begin alike: shingles of the whole words before the cut are made once. The lowest two bits of a term
+    # say which of the texts it is from.
+    kept_part = F.substring("text", F.lit(1), size - cut)
+    whole = F.regexp_replace(kept_part, r"[^\x20\x09-\x0D]+$", "")
+    rest = F.concat(F.substring(kept_part, F.length(whole) + 1, size), F.substring("next_text", F.lit(1), cut))
+    hashed = rows.select("bucket", "nth_row", word_hashes(F.col("text")).alias("words"), F.regexp_count(whole, F.lit(r"[^\x20\x09-\x0D]+")).alias("alike"), word_hashes(rest).alias("rest"))
+    alike = F.col("alike")
+    before = F.greatest(alike - (SHINGLE - 1), F.lit(0))  # shingles, and words before the first shingle, that both have
+    theirs = F.concat(F.slice("words", before + 1, alike - before), F.col("rest"))
+    ours = F.slice("words", before + 1, F.size("words") - before)
+
+    def told(h: Column, bits: int) -> Column:
+        return F.transform(h, lambda x: x.bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(bits)))
+
+    hashed = hashed.select("bucket", "nth_row", F.slice("words", 1, alike).alias("same"), ours.alias("ours"), theirs.alias("theirs"), (before > 0).alias("long"))
+    both = F.when(F.col("long"), F.concat(told(runs(F.col("same")), 3), told(runs(F.col("ours")), 1), told(runs(F.col("theirs")), 2)))
+    both = both.otherwise(F.concat(told(shingles(F.col("ours")), 1), told(shingles(F.col("theirs")), 2)))
+    terms = hashed.select("bucket", "nth_row", F.explode(both).alias("x"))
+    in_ours, in_theirs = F.col("x").bitwiseAND(F.lit(1)), F.shiftright("x", 1).bitwiseAND(F.lit(1))
+    terms = terms.groupBy("bucket", "nth_row", F.shiftright("x", 2).alias("term")).agg(F.sum(in_ours).alias("ours"), F.sum(in_theirs).alias("theirs"))
     found = samples_of(terms, ["bucket", "nth_row"], {"fingerprint": "ours", "edited_fingerprint": "theirs"}, n)
     found = found.select(F.col("bucket").alias("b"), F.col("nth_row").alias("r"), *[as_text(F.col(c), n).alias(c) for c in ("fingerprint", "edited_fingerprint")])
     zeros = F.lit("0" * (TAG_BITS // 4) * n)
-    meta = rows.select("bucket", "nth_row", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    meta = rows.select("bucket", "nth_row", "doc_id", size.cast("bigint").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"))
     out = meta.join(found, (F.col("bucket") == F.col("b")) & (F.col("nth_row") == F.col("r")), "left").drop("b", "r")
     out = kept(out.withColumns({c: F.coalesce(c, zeros) for c in ("fingerprint", "edited_fingerprint")}))
-    out = with_next(out, "fingerprint", "next_fingerprint")
+    firsts = out.where("nth_row = 1").select(F.col("bucket").alias("b"), F.col("fingerprint").alias("v"))
+    out = with_next(out, firsts, "fingerprint", "next_fingerprint")
     near = {"near_edited": likeness(F.col("fingerprint"), F.col("edited_fingerprint"), n), "near_next": likeness(F.col("fingerprint"), F.col("next_fingerprint"), n)}
     return out.withColumns(near).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
