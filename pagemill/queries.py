@@ -44,7 +44,7 @@ _TITLE = r"regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
 
 
 def _decoded(x: str) -> str:
-    return rf"regexp_replace(replace(replace(replace({x}, '&quot;', '""'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')".replace('""', '"')
+    return rf"""regexp_replace(replace(replace(replace({x}, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"""
 
 
 def _clean(x: str) -> str:
