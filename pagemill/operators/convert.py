@@ -31,6 +31,20 @@ SAFE_TAGS = (
 )
 
 
+# Attributes that rendering looks at.
+_ATTRS = ("href", "title", "src", "alt", "align", "start", "colspan")
+
+
+def _attr(name: str) -> Column:
+    return F.get("attrs", _ATTRS.index(name))
+
+
+def _with_attrs(rows: DataFrame) -> DataFrame:
+    """Adds the attributes of tags, decoded together: one decoding expression instead of one an attribute."""
+    raw = F.array(*[M.raw_attribute(F.col("token"), name) for name in _ATTRS])
+    return rows.withColumn("attrs", F.when((F.col("kind") != "text") & F.contains(F.col("token"), F.lit("=")), F.transform(raw, lambda a: T.decode_entities(a))))
+
+
 def _destination(url: Column) -> Column:
     risky = url.rlike(r"[\s()<>\\]")
     return F.when(risky, F.concat(F.lit("<"), F.regexp_replace(url, r"([\\<>])", r"\\$1"), F.lit(">"))).otherwise(url)
@@ -45,29 +59,28 @@ def _structured(rows: DataFrame) -> DataFrame:
     step = F.when(M.is_open("ul"), 2).when(M.is_close("ul"), -2).when(M.is_open("ol"), 3).when(M.is_close("ol"), -3).otherwise(0)
     boundary = F.col("tag").isin(*M.BLOCKS) & (F.col("kind") != "text")
     p = M.in_page()
-    out = rows.withColumns({
-        "boundary": boundary,
+    opens_link = M.is_open("a")
+    return rows.withColumns({"boundary": boundary, "edge": F.when(boundary, F.col("tag"))}).withColumns({
         "lists": M.depth("ul", "ol"),
         "indent": F.greatest(M.so_far(step), F.lit(0)),
         "tables": M.depth("table"),
         "pre": M.depth("pre") > 0,
         "quotes": M.depth("blockquote"),
         "heading": M.depth(*M.HEADINGS) > 0,
-        "block": M.so_far(F.when(boundary, 1).otherwise(0)),
+        "block": M.so_far(F.when(F.col("boundary"), 1).otherwise(0)),
         "row_no": M.so_far(F.when(M.is_open("tr", "table"), 1).otherwise(0)),
-        "before": F.lag("boundary_tag").over(p),
+        "before": F.lag("edge").over(p),
         "after_kind": F.lead("kind").over(p),
         "after_tag": F.lead("tag").over(p),
-        "href": F.last(F.when(M.is_open("a"), F.coalesce(M.attribute(F.col("token"), "href"), F.lit(BREAK))), ignorenulls=True).over(p),
-        "link_title": F.last(F.when(M.is_open("a"), F.coalesce(M.attribute(F.col("token"), "title"), F.lit(""))), ignorenulls=True).over(p),
-    }) if "boundary_tag" in rows.columns else _structured(rows.withColumn("boundary_tag", F.when(boundary, F.concat("kind", F.lit(":"), "tag"))))
-    return out
+        "href": F.last(F.when(opens_link, F.coalesce(_attr("href"), F.lit(BREAK))), ignorenulls=True).over(p),
+        "link_title": F.last(F.when(opens_link, F.coalesce(_attr("title"), F.lit(""))), ignorenulls=True).over(p),
+    })
 
 
 def _with_items(rows: DataFrame) -> DataFrame:
     """Numbers list items among those of their list, and rows and cells among those of their table."""
     at_depth = Window.partitionBy("key", "lists").orderBy("pos")
-    opened = F.last(F.when(M.is_open("ul", "ol"), F.struct("pos", "tag", T.bounded_int(M.attribute(F.col("token"), "start"), 999_999_999).alias("start"))), ignorenulls=True).over(at_depth)
+    opened = F.last(F.when(M.is_open("ul", "ol"), F.struct("pos", "tag", T.bounded_int(_attr("start"), 999_999_999).alias("start"))), ignorenulls=True).over(at_depth)
     rows = rows.withColumn("list", opened)
     item = F.sum(F.when(M.is_open("li"), 1).otherwise(0)).over(Window.partitionBy("key", "list.pos").orderBy("pos"))
     in_row = Window.partitionBy("key", "row_no").orderBy("pos")
@@ -77,7 +90,7 @@ def _with_items(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("item", item - 1 + F.coalesce(F.col("list.start"), F.lit(1)))
     rows = rows.withColumn("cells", F.sum(F.when(cell, 1).otherwise(0)).over(in_row)).withColumn("width", F.sum(F.when(cell & inside, 1).otherwise(0)).over(row))
     rows = rows.withColumn("row_end", inside & (F.col("width") > 0) & (F.col("pos") == F.max(F.when(inside, F.col("pos"))).over(row)))
-    aligns = F.collect_list(F.when(cell & inside, F.struct("pos", F.lower(F.coalesce(M.attribute(F.col("token"), "align"), F.lit(""))).alias("a")))).over(row)
+    aligns = F.collect_list(F.when(cell & inside, F.struct("pos", F.lower(F.coalesce(_attr("align"), F.lit(""))).alias("a")))).over(row)
     rows = rows.withColumn("aligns", F.when(F.col("row_end"), aligns))
     table = M.so_far(F.when(M.is_open("table"), 1).otherwise(0))
     rows = rows.withColumn("table_no", table)
@@ -139,7 +152,7 @@ def _spacing() -> Column:
 
 
 def _prepared(rows: DataFrame, resolve: Column | None, clean: bool) -> DataFrame:
-    rows = _with_items(_structured(rows))
+    rows = _with_items(_structured(_with_attrs(rows)))
     end = F.lead("pos").over(Window.partitionBy("key", "block").orderBy("pos")).isNull()
     last = F.lead("pos").over(M.in_page()).isNull()
     rows = rows.withColumns({"block_end": end, "is_last": last})
@@ -186,10 +199,10 @@ def to_markdown(rows: DataFrame, origin: Column | None = None, clean: bool = Fal
     nearby = F.coalesce(F.regexp_extract(F.lead("token").over(M.in_page()), r"^<code[^>]*language-([^\s\"'<>&~`]+)", 1), F.lit(""))
     fence = F.concat(F.lit("```"), F.when(language != "", language).otherwise(nearby), F.lit(BREAK))
     number = F.when(F.col("list.tag") == "ol", F.concat(F.col("item").cast("string"), F.lit("." + SPACE))).otherwise(F.lit("-" + SPACE))
-    src, alt = M.attribute(token, "src"), F.coalesce(M.attribute(token, "alt"), F.lit(""))
+    src, alt = _attr("src"), F.coalesce(_attr("alt"), F.lit(""))
     if origin is not None or clean:
         src = U.resolve(src, origin if origin is not None else F.lit(""), clean)
-    image = F.concat(F.lit("!["), F.regexp_replace(alt, r"([\[\]\\])", r"\\$1"), F.lit("]("), _destination(F.coalesce(src, F.lit(""))), _title(M.attribute(token, "title")), F.lit(")"))
+    image = F.concat(F.lit("!["), F.regexp_replace(alt, r"([\[\]\\])", r"\\$1"), F.lit("]("), _destination(F.coalesce(src, F.lit(""))), _title(_attr("title")), F.lit(")"))
     line = F.when(F.col("heading") | (F.col("tables") > 0), F.lit("<br>")).when(F.col("pre"), F.lit(BREAK)).otherwise(F.concat(F.lit(SPACE * 2 + "\n"), prefix))
     piece = (
         F.when(kind == "text", text)
@@ -231,8 +244,8 @@ def to_text(rows: DataFrame, key: str = "page_id") -> DataFrame:
     tag, token = F.col("tag"), F.col("token")
     words = T.decode_entities(F.col("words"))
     text = F.when(F.col("pre"), F.translate(words, " \n", SPACE + BREAK)).otherwise(words)
-    alt = M.attribute(token, "alt")
-    image = F.coalesce(alt, F.when(token.rlike(r"(?i)\salt[\s=/>]"), F.lit("")), M.attribute(token, "title"), M.attribute(token, "src"), F.lit(""))
+    alt = _attr("alt")
+    image = F.coalesce(alt, F.when(token.rlike(r"(?i)\salt[\s=/>]"), F.lit("")), _attr("title"), _attr("src"), F.lit(""))
     piece = (
         F.when(F.col("kind") == "text", text)
         .when(tag == "br", F.when(F.col("pre"), F.lit(BREAK)).otherwise(F.lit("\n")))
@@ -248,6 +261,7 @@ def to_html(rows: DataFrame, key: str = "page_id") -> DataFrame:
     """key and safe of every page that has rows: allowed tags and attributes only, text escaped, headings with anchors."""
     tag, kind, token = F.col("tag"), F.col("kind"), F.col("token")
     p = M.in_page()
+    rows = _with_attrs(rows)
     rows = rows.withColumn("boundary", tag.isin(*M.BLOCKS) & (kind != "text")).withColumn("block", M.so_far(F.when(F.col("boundary"), 1).otherwise(0)))
     in_block = Window.partitionBy("key", "block")
     words = F.regexp_replace(T.decode_entities(token), r"[ \t\n\f\r]+", " ")
@@ -260,16 +274,16 @@ def to_html(rows: DataFrame, key: str = "page_id") -> DataFrame:
     name = F.when(tag == "b", "strong").when(tag == "i", "em").when(tag.isin("s", "strike"), "del").otherwise(tag)
 
     def carried(attr: str, ok: Column | None = None) -> Column:
-        value = M.attribute(token, attr)
+        value = _attr(attr)
         kept = value.isNotNull() if ok is None else value.isNotNull() & ok
         return F.when(kept, F.concat(F.lit(f' {attr}="'), T.escape_html(value), F.lit('"'))).otherwise(F.lit(""))
 
-    href, src = M.attribute(token, "href"), M.attribute(token, "src")
+    href, src = _attr("href"), _attr("src")
     attrs = (
         F.when(tag == "a", F.concat(carried("href", U.is_safe(href)), carried("title")))
         .when(tag == "img", F.concat(carried("src", U.is_safe(src, link=False)), carried("alt"), carried("title")))
-        .when(tag == "ol", carried("start", M.attribute(token, "start").rlike("^[0-9]+$")))
-        .when(tag.isin("td", "th"), F.concat(carried("colspan", M.attribute(token, "colspan").rlike("^[0-9]+$")), F.lower(carried("align"))))
+        .when(tag == "ol", carried("start", _attr("start").rlike("^[0-9]+$")))
+        .when(tag.isin("td", "th"), F.concat(carried("colspan", _attr("colspan").rlike("^[0-9]+$")), F.lower(carried("align"))))
         .when(tag.isin(*M.HEADINGS) & (F.col("slug") != ""), F.concat(F.lit(' id="'), F.col("slug"), F.lit('"')))
         .otherwise(F.lit(""))
     )

@@ -30,11 +30,16 @@ TOKEN = (
 ATTRIBUTE = r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?"""
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """An attribute of a tag's source, decoded; null if it has none. The first of several counts."""
+def raw_attribute(tag: Column, name: str) -> Column:
+    """An attribute of a tag's source as written; null if it has none. The first of several counts."""
     quoted = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
     bare = F.when(quoted.rlike("^[\"']"), F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(quoted)
-    return F.when(quoted != "", T.decode_entities(bare))
+    return F.when(quoted != "", bare)
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute of a tag's source, decoded."""
+    return T.decode_entities(raw_attribute(tag, name))
 
 
 def attributes(tag: Column) -> Column:
