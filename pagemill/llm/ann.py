@@ -101,15 +101,23 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def dot(x: Column, y: Column) -> Column:
+    """Inner product of two arrays of doubles."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
+
+
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id and vector (doubles) of the rows that take part."""
+    """vec_id, vector (doubles, scaled by a power of two so that squares stay finite) and norm of the rows that take part."""
     v = F.transform(F.col(embedding), lambda x: x.cast("double"))
     rows = vectors.select(F.col(vec_id).alias("vec_id"), v.alias("vector")).where("vec_id is not null and size(vector) > 0")
     good = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.where(F.coalesce(good, F.lit(False)))
     rows = rows.groupBy("vec_id").agg(F.min_by("vector", F.xxhash64("vector")).alias("vector"))
     sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("vector") == (sizes.d if sizes else 0))
+    rows = rows.where(F.size("vector") == (sizes.d if sizes else 0))
+    rows = rows.withColumn("scale", F.pow(F.lit(2.0), -F.floor(F.log2(F.array_max(F.transform("vector", F.abs))))))
+    rows = rows.select("vec_id", F.transform("vector", lambda x: x * F.col("scale")).alias("vector"))
+    return rows.withColumn("norm", F.sqrt(dot(F.col("vector"), F.col("vector"))))
 
 
 def fit(rows: DataFrame, total: int, sample: int = SAMPLE) -> Index:
@@ -138,20 +146,6 @@ def fit(rows: DataFrame, total: int, sample: int = SAMPLE) -> Index:
     return Index(coarse, books, probes)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of doubles, each scaled by its largest component first so that squares stay finite."""
-
-    def scaled(v: Column) -> Column:
-        top = F.array_max(F.transform(v, F.abs))
-        return F.transform(v, lambda x: x / top)
-
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
-
-    x, y = scaled(a), scaled(b)
-    return dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
-
-
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, depth: int = DEPTH, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of every row of ``vectors`` where ``is_query`` holds."""
     spark = vectors.sparkSession
@@ -170,7 +164,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, depth: int = DEPTH
                 lists, codes = index.value.encode(_unit(pdf["vector"]))
                 yield pd.DataFrame({"vec_id": pdf["vec_id"], "list": lists.astype(np.int32), "code": [c.tobytes() for c in codes]})
 
-    coded = rows.mapInPandas(encode, "vec_id bigint, list int, code binary").withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int"))
+    coded = rows.select("vec_id", "vector").mapInPandas(encode, "vec_id bigint, list int, code binary").withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int"))
     coded = coded.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = rows.where(is_query).select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
@@ -186,7 +180,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, depth: int = DEPTH
     found = coded.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(scan, "query_id bigint, vec_id bigint, near double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))
     found = found.withColumn("nth", best).where(F.col("nth") <= depth).select("query_id", "vec_id")
-    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
-    exact = found.join(rows, "vec_id").join(queries, "query_id").select("query_id", "vec_id", cosine(F.col("query"), F.col("vector")).alias("score"))
+    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.col("norm").alias("query_norm"))
+    exact = found.join(rows, "vec_id").join(queries, "query_id").select("query_id", "vec_id", (dot(F.col("query"), F.col("vector")) / (F.col("query_norm") * F.col("norm"))).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return exact.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRAINING_PAGES = 400
+TRAINING_PAGES = 1200
 SEED = 20
 
 _TAG = re.compile(r"""<(?:!--(?:.*?-->|.*)|([!?/]?)([a-zA-Z][^\s/>]*+)?((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|([!?/]?)([a-zA-Z][^\s/>]*+)([^>]*+)>)""", re.S)
@@ -57,14 +57,13 @@ class Page:
     label: list[bool] = field(default_factory=list)
 
 
-def _run_cues(text: str, linked: int, under: str) -> list[str]:
+def _run_cues(text: str, linked: int) -> list[str]:
     n = len(text)
     share = linked / n
     return [
         f"len{min(9, n.bit_length())}",
         "links0" if not linked else "links1" if share < 0.4 else "links2" if share < 0.9 else "links3",
         "ends" if text[-1] in ".!?…:;\"'" else "open",
-        f"under-{under}",
         *(["mark"] if text[0] in "©|»›" or "©" in text else []),
     ]
 
@@ -79,6 +78,8 @@ def parse(source: str) -> Page:
     in_link = 0
 
     def node(what: str, found: list[str], text: str | None, label: str) -> int:
+        if not stack and what != "root":  # a page without body has one all the same
+            stack.append(("body", node("root", [], None, "")))
         up = stack[-1][1] if stack else -1
         parent.append(up)
         kind.append(what)
@@ -90,7 +91,7 @@ def parse(source: str) -> Page:
     def flush() -> None:
         text = " ".join("".join(run).split())
         if text:
-            node("text", _run_cues(text, min(linked[0], len(text)), kind[stack[-1][1]] if stack else "root"), text, "")
+            node("text", _run_cues(text, min(linked[0], len(text))), text, "")
         run.clear()
         linked[0] = 0
 
@@ -228,7 +229,7 @@ def train(pages: Iterable[str], smooth: float = 0.5) -> TreeModel:
     edge = {k: (odds(c[False, True], c[False, False]), odds(c[True, True], c[True, False])) for k, c in edges.items()}
     known = {}
     for c in cues[True].keys() | cues[False].keys():
-        group = "text" if re.match(r"len\d|links\d|ends$|open$|under-|mark$", c) else "element"
+        group = "text" if re.match(r"len\d|links\d|ends$|open$|mark$", c) else "element"
         known[c] = odds(cues[True][c], cues[False][c]) - odds(nodes[group, True], nodes[group, False])
     return TreeModel(edge, known, -5.0)
 
@@ -275,7 +276,8 @@ def _boilerplate(rng: random.Random) -> str:
     if kind == 2:
         return _box(rng, "sidebar side-bar side related related-posts widget widgets popular trending recommended more-stories toc", rng.choice((_links(rng), f"<h3>{_sentence(rng, 1, 3)}</h3>{_links(rng)}", p(1), f"<h2>{_sentence(rng, 1, 3)}</h2>{p(1)}")), "aside aside div section")
     if kind == 3:
-        body = "".join(f'<div class="comment"><p>{_prose(rng)}</p></div>' if rng.random() < 0.5 else f'<li class="comment"><b>{_words(rng, 1, 1)[0]}</b> {_prose(rng)}</li>' for _ in range(rng.randint(1, 4)))
+        shape = rng.choice(('<div class="comment"><p>{}</p></div>', '<li class="comment"><b>ann</b> {}</li>', "<p>{}</p>", "<p><b>bob</b>: {}</p>", '<div class="reply">{}</div>', "<blockquote>{}</blockquote>"))
+        body = "".join(shape.format(_prose(rng)) for _ in range(rng.randint(1, 4)))
         return _box(rng, "comments comment-list reader-comments discussion responses replies user-comments", f"<h2>{_sentence(rng, 1, 3)}</h2>" * rng.randint(0, 1) + body, "section section div div aside ol")
     if kind == 4:
         return _box(rng, "notice cookie-notice cookie cookies consent alert gdpr cookie-banner privacy-notice warning popup modal overlay newsletter subscribe paywall disclaimer", rng.choice((p(1), _sentence(rng), f"{_sentence(rng)} <button>{_words(rng, 1, 2)[0]}</button>")), "div div section aside")
@@ -293,12 +295,13 @@ def _article(rng: random.Random) -> str:
     for _ in range(rng.choice((1, 1, 2, 3, 5, 8, 12))):
         kind = rng.random()
         if kind < 0.66:
-            parts.append(f"<p>{_prose(rng)}</p>" if rng.random() < 0.9 else f"<p><b>{_prose(rng)}<br>")
+            parts.append(rng.choices(("<p>{}</p>", "<p><b>{}<br>", "<div>{}</div>", '<div class="para">{}</div>'), (85, 8, 5, 2))[0].format(_prose(rng)))
         elif kind < 0.76:
             level = rng.randint(2, 4)
             parts.append(f"<h{level}>{_sentence(rng, 1, 6)}</h{level}>")
         elif kind < 0.84:
-            parts.append("<ul>" + "".join(f"<li>{_prose(rng)}</li>" for _ in range(rng.randint(1, 4))) + "</ul>")
+            long = rng.random() < 0.5
+            parts.append("<ul>" + "".join(f"<li>{_prose(rng) if long else ' '.join(_words(rng, 1, 4)).capitalize()}</li>" for _ in range(rng.randint(1, 5))) + "</ul>")
         elif kind < 0.89:
             parts.append(f"<blockquote>{rng.choice((_prose(rng), '<p>' + _prose(rng) + '</p>'))}</blockquote>")
         elif kind < 0.93:
@@ -312,9 +315,11 @@ def _article(rng: random.Random) -> str:
     inner = "".join(parts)
     if rng.random() < 0.2:
         inner = f'<div class="{rng.choice(("entry-content", "article-body", "post-content", "text", "body"))}">{inner}</div>'
+    if rng.random() < 0.06:
+        return f"<!--bare-->{inner}"
     tag = rng.choice(("article", "article", "article", "main", "div", "section"))
     name = rng.choice(("content", "main-content", "article", "post", "entry", "story", "article-body", "post-content", "main"))
-    attr = f' {rng.choice(("class", "id"))}="{name}"' if tag in ("div", "section") or rng.random() < 0.3 else ""
+    attr = f' {rng.choice(("class", "id"))}="{name}"' if rng.random() < (0.9 if tag in ("div", "section") else 0.3) else ""
     whole = f'<{tag}{attr} data-content="yes">{inner}</{tag}>'
     return f'<{rng.choice(("div", "main"))} class="{rng.choice(("wrapper", "container", "page", "layout", "row"))}">{whole}{_boilerplate(rng) if rng.random() < 0.5 else ""}</div>' if rng.random() < 0.3 else whole
 
@@ -328,8 +333,11 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[str]:
         top += [_boilerplate(rng) for _ in range(rng.randint(0, 3))]
         bottom = [_boilerplate(rng) for _ in range(rng.randint(0, 3))]
         foot = f'<footer data-content="no">{rng.choice(("&copy; ", "", "<p>"))}{_prose(rng)}</footer>' if rng.random() < 0.8 else _box(rng, "footer site-footer foot copyright", _prose(rng), "div")
-        body = "".join([*top, _article(rng), *bottom, foot])
-        out.append(f'<!DOCTYPE html><html data-content="no"><head><title>{_sentence(rng, 1, 5)}</title><style>p{{}}</style></head><body>{body}</body></html>')
+        article = _article(rng)
+        label = "yes" if article.startswith("<!--bare-->") else "no"  # the body itself holds the text
+        body = "".join([*top, article, *bottom, foot])
+        page = f'<head><title>{_sentence(rng, 1, 5)}</title><style>p{{}}</style></head><body data-content="{label}">{body}</body>'
+        out.append(f'<!DOCTYPE html><html data-content="no">{page}</html>')
     return out
 
 
