@@ -37,7 +37,7 @@ def _shuffled() -> Column:
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """source, rank, source_size and target of every source of ``sizes`` (source, size). One row per source."""
+    """source, rank, source_size, target and the whole budget of every source of ``sizes`` (source, size). One row per source."""
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = totals.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     weights = F.array(*[F.lit(w) for w in WEIGHTS])
@@ -53,7 +53,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     level = level.withColumn("capped", F.col("cap") * F.col("rest") <= (F.col("budget") - F.col("before")) * F.col("weight"))
     share = (F.col("budget") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(everything), F.lit(0))) / F.sum(F.when(~F.col("capped"), F.col("weight"))).over(everything)
     target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * share)
-    return level.select("source", "rank", "source_size", target.alias("target"))
+    return level.select("source", "rank", "source_size", target.alias("target"), "budget")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -80,8 +80,7 @@ def mix(docs: DataFrame) -> DataFrame:
     ahead = with_offsets(passes, ["one"], "range", F.col("size"), "ahead").drop("one")
     in_range = Window.partitionBy("range").orderBy("finish", "rank", "pass", "h", "doc_id", "size", "occurrence")
     so_far = F.col("ahead") + F.sum("size").over(in_range.rowsBetween(Window.unboundedPreceding, 0))
-    budget = by_source.agg((F.sum("source_size") * F.lit(BUDGET)).alias("budget"))
-    cut = passes.join(ahead, "range").withColumn("so_far", so_far).join(F.broadcast(budget), how="cross")  # one row
+    cut = passes.join(ahead, "range").withColumn("so_far", so_far)
     chosen = cut.where("so_far <= budget").groupBy("doc_id", "occurrence").agg(F.sum("size").alias("got"))
     chosen = chosen.select(F.col("doc_id").alias("id"), F.col("occurrence").alias("nth"), "got")
     out = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("occurrence") == F.col("nth")), "left")

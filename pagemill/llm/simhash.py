@@ -50,14 +50,14 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (bigint) of every row."""
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to ``keep`` and fp (bigint) of every row."""
 
     @F.pandas_udf("bigint")
     def simhash(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint_of(t, shingle) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", simhash(F.col(text)).alias("fp"))
+    return docs.select("doc_id", *keep, simhash(F.col(text)).alias("fp"))
 
 
 def _tree(sample: np.ndarray, depth: int, leaf: list[int]) -> tuple | int:
@@ -188,20 +188,32 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text") -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable over links of at most ``radius`` bits) of every row."""
-    prints = kept(fingerprints(docs, text))
+def grouped(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``prints`` (doc_id, fp and others) with component_id and group: a fingerprint that names the component."""
     distinct = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(distinct, radius))
     linked = distinct.join(roots.union(roots.select("root", "root").distinct()), F.col("fp") == F.col("node"))
     named = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = linked.join(named, "root").select("fp", "component_id")
-    ids = distinct.join(member, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    member = linked.join(named, "root").select("fp", "component_id", F.col("root").alias("group"))
+    ids = distinct.join(member, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("group", "fp").alias("group"))
+    return prints.join(ids, "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text") -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id reachable over links of at most ``radius`` bits) of every row."""
+    return grouped(kept(fingerprints(docs, text)), radius).select("doc_id", "fp", "component_id")
 
 
 def first_of_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their near-duplicate group, each doc_id once."""
-    found = near_duplicates(docs.select("doc_id", "text"), radius)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
+    """One row of ``docs`` (doc_id, text) of each near-duplicate group: that of the smallest doc_id, then text hash.
+
+    Null ids come last, so a group in which no row has an id keeps one too. Of rows equal in both, any one stays.
+    """
+    text_hash = F.xxhash64("text")
+    # a null id is 0 with a flag, so that the rows are found again by plain equality
+    key = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)).cast("bigint"), "__hash": text_hash}
+    rows = grouped(kept(fingerprints(docs.select("doc_id", "text", text_hash.alias("hash")), keep=("hash",))), radius)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("__id"), F.col("hash").alias("__hash")))
+    keep = rows.groupBy("group").agg(first.alias("first")).select("first.*")
+    found = docs.withColumns(key).join(keep, list(key), "left_semi").dropDuplicates(list(key))
+    return found.select(*docs.columns)

@@ -331,6 +331,13 @@ def test_simhash_groups(awkward, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_groups_without_ids_keep_a_row(spark):
+    far = "a quite different text about rivers and boats"
+    rows = [(None, "some words of a text"), (None, "some words of a text"), (None, far), (4, far), (5, None), (6, "one more text"), (6, "another text under the same id")]
+    kept = simhash.first_of_group(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(((r.doc_id or 0, r.text or "") for r in kept.collect())) == sorted([(0, "some words of a text"), (4, far), (5, ""), (6, "one more text"), (6, "another text under the same id")])
+
+
 def test_vantage_point_links_are_exact(spark):
     rng = random.Random(3)
     fps = [rng.getrandbits(64) for _ in range(700)]
