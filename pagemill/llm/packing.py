@@ -6,7 +6,7 @@ pieces of the same source. Residuals with open bins are the bits of one number:
 set bit above, and the search goes on from there while all bins of a residual conflict.
 
 Documents are dealt into blocks of about ``block`` by a hash, and each block is packed in one task whose memory is
-bounded by it; a hot source or cluster is spread over all blocks.
+bounded by it; a hot source or cluster is spread over all blocks, as are the texts of rows without an id.
 
 Defined results: null, empty and wordless texts give one row with part 0, no words and no bin. Repeated rows are
 packed one by one and, as copies, into different bins. An empty table gives no rows.
@@ -110,7 +110,7 @@ def pack(docs: DataFrame, size: Column, cluster: Column, capacity: int = CAPACIT
     """One row per piece of every row of ``docs`` (doc_id, source): its words, its bin, and where in the bin it begins."""
     n = max(1, -(-docs.count() // block))
     rows = docs.select(
-        "doc_id", size.cast("bigint").alias("size"), F.xxhash64("source").alias("source_hash"), cluster.alias("cluster"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(n)).alias("block")
+        "doc_id", size.cast("bigint").alias("size"), F.xxhash64("source").alias("source_hash"), cluster.alias("cluster"), F.pmod(F.xxhash64("doc_id", cluster, F.lit(5)), F.lit(n)).alias("block")
     )
     return rows.groupBy("block").applyInPandas(lambda pdf: pack_block(pdf, capacity, max_per_source), SCHEMA)
 
