@@ -8,7 +8,7 @@ products (asymmetric distances), the best ``DEPTH`` over all shards are reranked
 precision.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or that hold a null or non-finite
-component take no part. Rows that share a vec_id count once. Ties go to the smaller vec_id. With fewer candidates
+component take no part, nor do rows without a vec_id. Rows that share a vec_id count once. Ties go to the smaller vec_id. With fewer candidates
 than asked for, all are returned.
 """
 

@@ -8,7 +8,8 @@ that has one, found by joining directories on their path. DataFrame operations o
 
 Defined results: null and empty texts, and files at or under no licensed directory, have no license (null) and score
 0. Ties go to the license that sorts first, and among license files of one directory to the higher score, then the
-smaller path. Null paths are files of the root directory. Words outside the templates weigh as if seen in one line.
+smaller path. Null paths are files of the root directory. Rows that
+share a key share the best of their lines; rows without a key have none of their own and may inherit. Words outside the templates weigh as if seen in one line.
 """
 
 from __future__ import annotations

@@ -76,6 +76,7 @@ def parse(source: str) -> Page:
     run: list[str] = []
     linked = [0]
     in_link = 0
+    seen: set[str] = set()
 
     def node(what: str, found: list[str], text: str | None, label: str) -> int:
         if not stack and what != "root":  # a page without body has one all the same
@@ -91,7 +92,9 @@ def parse(source: str) -> Page:
     def flush() -> None:
         text = " ".join("".join(run).split())
         if text:
-            node("text", _run_cues(text, min(linked[0], len(text))), text, "")
+            # a text that repeats on its page is no further evidence: its node goes with its parent
+            node("text", [] if text in seen else _run_cues(text, min(linked[0], len(text))), text, "")
+            seen.add(text)
         run.clear()
         linked[0] = 0
 

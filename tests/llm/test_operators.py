@@ -411,6 +411,12 @@ def test_main_text(spark, sf):
 # -- 10: packing
 
 
+def test_repeated_lines_do_not_outvote_an_article():
+    model = mainhtml.train(mainhtml.labelled_pages())
+    page = "<body><nav><a href=/a>one</a></nav><article><h1>A title of some words.</h1>" + "<p>By To." * 300 + "<p>The last words of it.</article><footer>&copy; us</footer>"
+    assert model.main_text(page) == "\n\n".join(["A title of some words.", *["By To."] * 300, "The last words of it."])
+
+
 def test_packing(awkward, empty):
     rows = packing.pack(awkward, mixing.word_count(), packing.copies_cluster(), capacity=100, max_per_source=3, block=30).collect()
     source, text, copies = {r[0]: r[3] for r in ROWS}, {r[0]: r[1] for r in ROWS}, Counter(r[0] for r in ROWS)
