@@ -88,8 +88,8 @@ def escape_markdown(text: Column, at_start: bool | Column = False) -> Column:
 
 
 def escape_yaml(value: Column) -> Column:
-    quoted = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('\\"')), F.lit('"'))
-    return F.when(value.rlike(r"[\n:# ]"), quoted).otherwise(value)
+    escaped = F.replace(value, F.lit('"'), F.lit('\\"'))
+    return F.when(value.rlike(r"[\n:# ]"), F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(escaped)
 
 
 def _named() -> dict[str, str]:

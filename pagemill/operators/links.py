@@ -85,6 +85,25 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int, keep=lambda df: df
     return seen
 
 
+def latency(log: DataFrame, by: str, ms: Column) -> DataFrame:
+    """by, total, least, most and n of the latencies ``ms`` of a fetch log; rows without one do not count."""
+    return log.groupBy(by).agg(F.sum(ms).alias("total"), F.min(ms).alias("least"), F.max(ms).alias("most"), F.count(ms).alias("n"))
+
+
+SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemaps.xml", "/sitemap-index.xml")
+
+
+def first_sitemaps(sites: DataFrame, files: DataFrame) -> DataFrame:
+    """origin and url of each site's first usable sitemap: those its robots.txt names in order, then the usual places.
+
+    ``sites``: origin, sitemaps (an array, null for none). ``files``: url, xml of what could be fetched.
+    """
+    usual = F.array(*[F.concat("origin", F.lit(p)) for p in SITEMAP_PATHS])
+    tried = sites.select("origin", F.posexplode(F.concat(F.coalesce("sitemaps", F.array().cast("array<string>")), usual)).alias("rank", "url"))
+    usable = files.where(F.contains("xml", F.lit("<urlset")) | F.contains("xml", F.lit("<sitemapindex"))).select("url").distinct()
+    return tried.join(usable, "url").groupBy("origin").agg(F.min_by("url", "rank").alias("url"))
+
+
 def robots(files: DataFrame, text: str = "text") -> DataFrame:
     """Adds sitemaps (all lines) and crawl_delay (the first number) of robots.txt files."""
     found = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)Sitemap:[^\S\n]*([^\n]*)"), F.lit(1)), lambda s: F.trim(s))

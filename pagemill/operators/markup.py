@@ -95,6 +95,11 @@ def depth(*tags: str) -> Column:
     return F.greatest(so_far(step), F.lit(0))
 
 
+def same_level() -> Window:
+    """Rows of one tag and level in page order, for rows of ``with_ends``."""
+    return Window.partitionBy("key", "tag", "level").orderBy("pos")
+
+
 def with_ends(rows: DataFrame) -> DataFrame:
     """Adds level (nesting among elements of the same tag) and, for opening tags, end: where the element's last row is.
 
@@ -105,7 +110,7 @@ def with_ends(rows: DataFrame) -> DataFrame:
     step = F.when(F.col("tag").isin(*IMPLIED), 0).when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     after = F.sum(step).over(by_tag.rowsBetween(Window.unboundedPreceding, 0))
     leveled = rows.withColumn("level", F.when(F.col("kind") == "close", after - step).otherwise(after))
-    same = Window.partitionBy("key", "tag", "level").orderBy("pos")
+    same = same_level()
     last = F.max("pos").over(Window.partitionBy("key"))
     end = F.when(F.lead("kind").over(same) == "close", F.lead("pos").over(same)).otherwise(F.lead("pos").over(same) - 1)
     return leveled.withColumn("end", F.when(F.col("kind") == "open", F.coalesce(end, last)).when(F.col("kind") == "void", F.col("pos")))

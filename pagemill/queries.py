@@ -9,11 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions import clean
 from pagemill.functions import glob as G
-from pagemill.functions import http
+from pagemill.functions import http, style
 from pagemill.functions import text as T
 from pagemill.functions import url as U
-from pagemill.operators import convert, corpus, links, markup, selectors
+from pagemill.operators import convert, corpus, frontmatter, links, markup, selectors
 from pagemill.plans import site
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -298,6 +299,34 @@ def frontmatter_fields(spark, sf_dir):
     return rows.select("doc_id", "md", fields["title"].alias("title"), fields["lang"].alias("fm_lang"))
 
 
+@query(r"""SELECT page_id, '## Page ' || page_id || chr(10) || chr(10) || ' ' || url || ' go [here](#page-' || page_id || ') gone ![x](#none)' || chr(10) || '```' || chr(10) || '[](a)' || chr(10) || '```' AS markdown FROM pages""")
+def markdown_cleaning(spark, sf_dir):
+    i = F.col("page_id").cast("string")
+    md = F.concat(F.lit("## [Page "), i, F.lit("](#x)\n\n![](i.png)[](/t) ["), "url", F.lit("]("), "url", F.lit(") [go](JavaScript:f(1)) [here](#page-"), i, F.lit(") [gone](#none) ![x](#none)\n```\n[](a)\n```"))
+    return _read(spark, sf_dir, "pages").select("page_id", clean.clean_markdown(md).alias("markdown"))
+
+
+_LOOKS = ("font-bold lg:font-thin", "italic sm:not-italic italic", "underline hidden md:block", "fixed 2xl:relative xl:absolute", "md:font-bold font-normal no-underline", "")
+
+
+@query("SELECT event_id, ['', '', '~~', '', '**', ''][CAST(event_id % 6 AS INTEGER) + 1] AS marks, false AS hidden FROM events")
+def utility_classes(spark, sf_dir):
+    look = F.get(F.array(*map(F.lit, _LOOKS)), (F.col("event_id") % 6).cast("int"))
+    return _read(spark, sf_dir, "events").select("event_id", style.marks(look).alias("marks"), style.properties(look)["hidden"].alias("hidden"))
+
+
+@query(rf"""SELECT page_id, '---' || chr(10) || 'title: ' || CASE WHEN regexp_matches(t, '[\n:# ]') THEN '"' || replace(t, '"', '\"') || '"' ELSE replace(t, '"', '\"') END || chr(10) || '---' || chr(10) || chr(10) AS yaml
+  FROM (SELECT page_id, {_clean(_TITLE)} AS t FROM pages)""")
+def page_frontmatter(spark, sf_dir):
+    found = frontmatter.fields(markup.tokens(_read(spark, sf_dir, "pages")))
+    return found.select("page_id", frontmatter.yaml(F.col("title"), F.col("meta")).alias("yaml"))
+
+
+@query("SELECT event_type, CAST(sum(event_id) AS BIGINT) AS total, min(event_id) AS least, max(event_id) AS most, count(event_id) AS n FROM events GROUP BY event_type")
+def fetch_latency(spark, sf_dir):
+    return links.latency(_read(spark, sf_dir, "events"), "event_type", F.col("event_id"))
+
+
 @query(ORACLE_SQL["convert_minimal"].replace("AS markdown", "AS md").join(("SELECT lang, count(*) AS n, CAST(sum(len(regexp_extract_all(md, '" + _TOKENS + "'))) AS BIGINT) AS md_tokens, CAST(sum(html_tokens) AS BIGINT) AS html_tokens FROM (", ") q JOIN (SELECT page_id AS id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, len(regexp_extract_all(html, '" + _TOKENS + "')) AS html_tokens FROM pages) p ON id = page_id GROUP BY lang")))
 def token_savings(spark, sf_dir):
     """By language: tokens of the pages as HTML, and as Markdown under the minimal preset."""

@@ -2,7 +2,8 @@
 
 import pytest
 
-from pagemill.operators import convert, links, markup, selectors
+from pagemill.functions import clean
+from pagemill.operators import convert, frontmatter, links, markup, selectors
 
 MARKDOWN = [
     ("<h1>1. Hello world</h1>", "# 1. Hello world"),
@@ -76,3 +77,43 @@ def test_filters(page):
 def test_metadata(page):
     r = links.metadata(page).first()
     assert (r.title, r.description, r.keywords, r.links) == ("T & U", "d", None, ["https://e.org/x"])
+
+
+CLEANED = [
+    ("![](a.png)x", "x"),
+    ("![a](a.png)", "![a](a.png)"),
+    ("[t](#) [u](data:x) ![i](#)", "t u ![i](#)"),
+    ("a[](u)b", "ab"),
+    ("[https://e.org](https://e.org)", "https://e.org"),
+    ("## [T u](#t-u)\nsee [T](#t-u) and [V](#v)", "## T u\nsee [T](#t-u) and V"),
+    ("```\n[](u)\n# no\n```\n[x](#no)", "```\n[](u)\n# no\n```\nx"),
+    ("", ""),
+    (None, None),
+]
+
+
+def test_cleaning(spark):
+    df = spark.createDataFrame([(i, md) for i, (md, _) in enumerate(CLEANED)], "i int, md string")
+    got = {r.i: r.out for r in df.select("i", clean.clean_markdown(df.md).alias("out")).collect()}
+    assert got == {i: out for i, (_, out) in enumerate(CLEANED)}
+    kept = df.where("i = 3").select(clean.clean_markdown(df.md, empty_link_text=False).alias("out")).first().out
+    assert kept == CLEANED[3][0]
+    with pytest.raises(ValueError, match="no such"):
+        clean.clean_markdown(df.md, blank=True)
+
+
+def test_front_matter_and_styles(spark):
+    html = '<head><title> A: b </title><meta name=keywords content=x><meta property="og:title" content=\'say "hi"\'><meta name=keywords content=y><meta name=other content=z></head><p>a <span class="font-bold">b</span> <span>c</span><i class="md:hidden">d</i></p>'
+    rows = markup.tokens(spark.createDataFrame([(1, html), (2, "<p>none")], "page_id long, html string"))
+    found = frontmatter.fields(rows)
+    got = {r.page_id: r.yaml for r in found.select("page_id", frontmatter.yaml(found.title, found.meta, {"tag": "k"} ).alias("yaml")).collect()}
+    assert got[1] == '---\ntitle: "A: b"\ntag: k\nmeta:\n  keywords: y\n  "og:title": "say \\"hi\\""\n---\n\n'
+    assert got[2] == "---\ntag: k\n---\n\n"
+    md = {r.page_id: r.markdown for r in convert.to_markdown(frontmatter.styled(rows)).collect()}
+    assert md[1].endswith("a **b** c") and md[2] == "none"
+
+
+def test_first_usable_sitemap(spark):
+    sites = spark.createDataFrame([("https://a", ["https://a/own.xml"]), ("https://b", ["https://b/bad.xml"]), ("https://c", None)], "origin string, sitemaps array<string>")
+    files = spark.createDataFrame([("https://a/own.xml", "<urlset>"), ("https://a/sitemap.xml", "<urlset>"), ("https://b/bad.xml", "<html>"), ("https://b/sitemaps.xml", "<sitemapindex>")], "url string, xml string")
+    assert {tuple(r) for r in links.first_sitemaps(sites, files).collect()} == {("https://a", "https://a/own.xml"), ("https://b", "https://b/sitemaps.xml")}
