@@ -67,6 +67,29 @@ def unwrap_dead_fragments(md: Column) -> Column:
     return F.when(F.contains(md, F.lit("](#")), outside_fences(md, all_of)).otherwise(md)
 
 
+def hard_wrap(md: Column, width: int) -> Column:
+    """Breaks lines between words where they would pass ``width`` characters; quotes and lists go on in their place.
+
+    Headings, table rows, rules and fenced code stay; a word longer than the width has a line of its own.
+    """
+    if width < 1:
+        raise ValueError("width must be at least 1")
+
+    def line(x: Column) -> Column:
+        prefix = F.regexp_extract(x, r"^((?:> ?)*[ ]*(?:(?:[-*+]|[0-9]+[.)]) )?)", 1)
+        tail = F.regexp_extract(x, r"( *)$", 1)
+        body = F.substring(x, F.length(prefix) + 1, F.length(x) - F.length(prefix) - F.length(tail))
+        indent = F.concat(F.lit("\n"), F.regexp_replace(prefix, "[^> ]", " "))
+        room = F.greatest(F.lit(1), width - F.length(prefix))
+        words = F.concat(F.lit(r"(\S.{0,"), (room - 1).cast("string"), F.lit(r"}|\S+)(?: +|$)"))
+        broken = F.regexp_replace(body, words, F.concat(F.lit("$1"), indent))
+        broken = F.concat(prefix, F.substring(broken, F.lit(1), F.length(broken) - F.length(indent)), tail)
+        stays = (F.length(x) <= width) | x.rlike(r"^[> ]*(?:#{1,6} |\||---)|^\s*$")
+        return F.when(stays, x).otherwise(broken)
+
+    return outside_fences(md, lambda part: F.array_join(F.transform(F.split(part, "\n"), line), "\n"))
+
+
 #: All cleaning steps by name, in the order in which they are applied.
 STEPS: dict[str, Callable[[Column], Column]] = {
     "empty_images": drop_empty_images,

@@ -306,6 +306,12 @@ def markdown_cleaning(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", clean.clean_markdown(md).alias("markdown"))
 
 
+@query(rf"SELECT page_id, rtrim(regexp_replace('x ' || {_clean(_TITLE)}, '(\S.{{0,19}}|\S+)(?: +|$)', '\1' || chr(10), 'g'), chr(10)) AS wrapped FROM pages")
+def markdown_wrap(spark, sf_dir):
+    title = F.trim(F.regexp_replace(T.decode_entities(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)), r"[ \t\n\f\r]+", " "))
+    return _read(spark, sf_dir, "pages").select("page_id", clean.hard_wrap(F.concat(F.lit("x "), title), 20).alias("wrapped"))
+
+
 _LOOKS = ("font-bold lg:font-thin", "italic sm:not-italic italic", "underline hidden md:block", "fixed 2xl:relative xl:absolute", "md:font-bold font-normal no-underline", "")
 
 

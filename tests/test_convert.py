@@ -102,6 +102,25 @@ def test_cleaning(spark):
         clean.clean_markdown(df.md, blank=True)
 
 
+WRAPPED = [
+    ("aa bb cc dd ee", "aa bb cc\ndd ee"),
+    ("abcdefghijk lm", "abcdefghijk\nlm"),
+    ("- aa bb cc dd", "- aa bb\n  cc dd"),
+    ("> aa bb cc dd  \n> x", "> aa bb\n> cc dd  \n> x"),
+    ("# aa bb cc dd ee", "# aa bb cc dd ee"),
+    ("| aa | bb | cc |", "| aa | bb | cc |"),
+    ("```\naa bb cc dd ee\n```", "```\naa bb cc dd ee\n```"),
+    ("            ", "            "),
+    ("", ""),
+    (None, None),
+]
+
+
+def test_hard_wrap(spark):
+    df = spark.createDataFrame([(i, md) for i, (md, _) in enumerate(WRAPPED)], "i int, md string")
+    assert {r.i: r.out for r in df.select("i", clean.hard_wrap(df.md, 8).alias("out")).collect()} == {i: out for i, (_, out) in enumerate(WRAPPED)}
+
+
 def test_front_matter_and_styles(spark):
     html = '<head><title> A: b </title><meta name=keywords content=x><meta property="og:title" content=\'say "hi"\'><meta name=keywords content=y><meta name=other content=z></head><p>a <span class="font-bold">b</span> <span>c</span><i class="md:hidden">d</i></p>'
     rows = markup.tokens(spark.createDataFrame([(1, html), (2, "<p>none")], "page_id long, html string"))
