@@ -16,6 +16,8 @@ from pagemill.operators import markup as M
 from pagemill.operators import selectors as S
 
 SPACE, BREAK = "\ue000", "\ue001"
+#: What a block inside a table cell asks for: less than a line break, a space.
+IN_CELL = 0.5
 STRONG, EM, DEL, CODE = ("strong", "b", "dfn"), ("em", "i", "cite"), ("del", "s", "strike"), ("code", "kbd", "samp", "var")
 KEPT_TAGS = ("sub", "sup", "ins", "mark", "u")
 #: Elements that add no line break of their own.
@@ -121,6 +123,7 @@ def _joined(rows: DataFrame, spacing: Column, prefix: Column, name: str) -> Data
         F.when((F.col("gap") == 0) | F.col("last_marker"), F.when((F.col("gap") == 0) & (F.col("quotes") > 0), prefix).otherwise(F.lit("")))
         .when(F.col("breaks") >= 2, F.concat(F.lit("\n"), F.rtrim(F.repeat(F.lit(">" + SPACE), quoted), F.lit(SPACE)), F.lit("\n"), prefix))
         .when(F.col("breaks") == 1, F.concat(F.lit("\n"), prefix))
+        .when((F.col("breaks") == IN_CELL) & ~F.col("boundary"), F.lit(" "))
         .otherwise(F.lit(""))
     )
     rows = rows.withColumn("out", F.when(F.col("is_piece"), F.concat(sep, "piece")).otherwise(F.lit("")))
@@ -138,7 +141,8 @@ def _spacing() -> Column:
     tag, kind = F.col("tag"), F.col("kind")
     return (
         F.when(~F.col("boundary"), 0)
-        .when((F.col("tables") > 0) & ~tag.isin("table", "tr", "caption"), 0)
+        .when((F.col("tables") > 0) & tag.isin("td", "th", "tbody", "thead", "tfoot"), 0)
+        .when((F.col("tables") > 0) & ~tag.isin("table", "tr", "caption"), IN_CELL)
         .when(M.is_open("tr"), 1)
         .when(tag == "tr", 0)
         .when(M.is_open("li"), 1)
@@ -189,6 +193,8 @@ def to_markdown(rows: DataFrame, origin: Column | None = None, clean: bool = Fal
     rows = rows.withColumn("escaped", F.when(F.col("words").contains("&"), _guarded(F.col("escaped"))).otherwise(F.col("escaped")))
     hazards = F.when(F.col("tables") > 0, r"(\|)").when(F.col("quotes") > 0, r"(?<!\\)(>)")
     rows = rows.withColumn("escaped", F.when(hazards.isNotNull(), F.regexp_replace("escaped", hazards, F.lit(r"\\$1"))).otherwise(F.col("escaped")))
+    in_link = (M.depth("a") > 0) & (F.col("href") != BREAK)
+    rows = rows.withColumn("escaped", F.when(in_link, F.replace("escaped", F.lit("]"), F.lit("\\]"))).otherwise(F.col("escaped")))
     ends_heading = F.col("heading") & (F.col("after_kind") == "close") & F.col("after_tag").isin(*M.HEADINGS)
     rows = rows.withColumn("escaped", F.when(ends_heading, F.regexp_replace("escaped", r"(^|[ ])(#+) ?$", r"$1\\$2")).otherwise(F.col("escaped")))
     text = F.when(F.col("pre") | in_code, F.translate("plain", " \n", SPACE + BREAK)).otherwise(F.col("escaped"))
@@ -203,7 +209,7 @@ def to_markdown(rows: DataFrame, origin: Column | None = None, clean: bool = Fal
     if origin is not None or clean:
         src = U.resolve(src, origin if origin is not None else F.lit(""), clean)
     image = F.concat(F.lit("!["), F.regexp_replace(alt, r"([\[\]\\])", r"\\$1"), F.lit("]("), _destination(F.coalesce(src, F.lit(""))), _title(_attr("title")), F.lit(")"))
-    line = F.when(F.col("heading") | (F.col("tables") > 0), F.lit("<br>")).when(F.col("pre"), F.lit(BREAK)).otherwise(F.concat(F.lit(SPACE * 2 + "\n"), prefix))
+    line = F.when(F.col("heading") | (F.col("tables") > 0), F.lit("<br>")).when(F.col("pre") | in_code, F.lit(BREAK)).otherwise(F.concat(F.lit(SPACE * 2 + "\n"), prefix))
     piece = (
         F.when(kind == "text", text)
         .when(F.col("pre") & ~tag.isin("pre", "br"), "")
