@@ -193,6 +193,12 @@ def to_markdown(rows: DataFrame, origin: Column | None = None, clean: bool = Fal
     rows = rows.withColumn("escaped", F.when(F.col("words").contains("&"), _guarded(F.col("escaped"))).otherwise(F.col("escaped")))
     hazards = F.when(F.col("tables") > 0, r"(\|)").when(F.col("quotes") > 0, r"(?<!\\)(>)")
     rows = rows.withColumn("escaped", F.when(hazards.isNotNull(), F.regexp_replace("escaped", hazards, F.lit(r"\\$1"))).otherwise(F.col("escaped")))
+    # a link that shows nothing but its own address is written <address>
+    p = M.in_page()
+    alone = (F.lag("tag").over(p) == "a") & (F.lag("kind").over(p) == "open") & (F.col("after_tag") == "a") & (F.col("after_kind") == "close")
+    auto = alone & (kind == "text") & (F.col("plain") == F.col("href")) & (F.col("link_title") == "") & U.is_autolink(F.col("href")) & ~F.col("pre")
+    rows = rows.withColumn("auto", F.coalesce(auto, F.lit(False)))
+    rows = rows.withColumns({"auto_opens": F.coalesce(F.lead("auto").over(p), F.lit(False)), "auto_ends": F.coalesce(F.lag("auto").over(p), F.lit(False))})
     in_link = (M.depth("a") > 0) & (F.col("href") != BREAK)
     rows = rows.withColumn("escaped", F.when(in_link, F.replace("escaped", F.lit("]"), F.lit("\\]"))).otherwise(F.col("escaped")))
     ends_heading = F.col("heading") & (F.col("after_kind") == "close") & F.col("after_tag").isin(*M.HEADINGS)
@@ -211,13 +217,16 @@ def to_markdown(rows: DataFrame, origin: Column | None = None, clean: bool = Fal
     image = F.concat(F.lit("!["), F.regexp_replace(alt, r"([\[\]\\])", r"\\$1"), F.lit("]("), _destination(F.coalesce(src, F.lit(""))), _title(_attr("title")), F.lit(")"))
     line = F.when(F.col("heading") | (F.col("tables") > 0), F.lit("<br>")).when(F.col("pre") | in_code, F.lit(BREAK)).otherwise(F.concat(F.lit(SPACE * 2 + "\n"), prefix))
     piece = (
-        F.when(kind == "text", text)
+        F.when(F.col("auto"), F.col("plain"))
+        .when(kind == "text", text)
         .when(F.col("pre") & ~tag.isin("pre", "br"), "")
         .when(M.is_open(*M.HEADINGS), F.concat(F.repeat(F.lit("#"), level), F.lit(SPACE)))
         .when(tag == "br", line)
         .when((tag == "hr"), F.when(F.col("tables") > 0, "<hr>").otherwise("---"))
         .when(M.is_open("li"), number)
         .when(M.is_open("pre"), fence)
+        .when(M.is_open("a") & F.col("auto_opens"), "<")
+        .when(M.is_close("a") & F.col("auto_ends"), ">")
         .when(M.is_open("a") & linked, "[")
         .when(M.is_close("a") & linked, F.concat(F.lit("]("), _destination(F.col("href")), _title(F.col("link_title")), F.lit(")")))
         .when((tag == "img") & ~F.lit(clean), image)
