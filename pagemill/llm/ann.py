@@ -1,7 +1,8 @@
 r"""Approximate nearest neighbours by cosine: inverted lists, product-quantised residuals, exact reranking.
 
-Coarse centroids and the codebooks of the residuals' sub-vectors are fitted on a bounded hash sample (``SAMPLE``); the
-same sample says how many lists a query must probe to meet most of its nearest ones. Every vector is then encoded and
+Coarse centroids and the codebooks of the residuals' sub-vectors are fitted on a bounded hash sample with at least
+``PER_LIST`` vectors for each list. How many lists a query must probe is measured: queries held out of the sample are
+compared with all vectors, batch by batch, and enough lists are probed to meet most of their nearest ones. Every vector is then encoded and
 dealt by a hash of its id into shards of bounded size, each an inverted file of its own, so that a common vector or a
 crowded list is spread over all of them. A query scores the probed lists of each shard with its table of inner
 products (asymmetric distances), the best ``DEPTH`` over all shards are reranked with the original vectors in double
@@ -26,20 +27,32 @@ from pyspark.sql import functions as F
 from pagemill.llm._common import kept
 
 SAMPLE = 8192
+#: Vectors of the sample that each list has at least; a larger table has a larger sample, or else no more lists.
+PER_LIST = 32
+#: Lists at most: each then has 16 vectors in a shard.
+LISTS = 1024
+#: Vectors held out of the sample to measure by.
+TESTS = 256
 PARTS = 16
 CODES = 256
 ROUNDS = 8
 DEPTH = 100
 SHARD = 16384
 QUERY_BLOCK = 4096
-#: Share of a sample query's nearest that its probed lists must hold.
+#: Share of a held-out query's nearest that its probed lists must hold.
 COVER = 0.98
 
 
+def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    half = 0.5 * (centres * centres).sum(1)
+    parts = [(x[at : at + 4096] @ centres.T - half).argmax(1) for at in range(0, len(x), 4096)]
+    return np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
+
+
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     centres = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(ROUNDS):
-        near = (x @ centres.T - 0.5 * (centres * centres).sum(1)).argmax(1)
+        near = _closest(x, centres)
         counts = np.bincount(near, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
@@ -70,7 +83,7 @@ class Index:
         return lists, codes
 
     def _lists(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.coarse.T - 0.5 * (self.coarse * self.coarse).sum(1)).argmax(1)
+        return _closest(x, self.coarse)
 
     def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, lists: np.ndarray, codes: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query: its id, and the ids and scores of its best candidates of one shard."""
@@ -120,13 +133,20 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     return rows.withColumn("norm", F.sqrt(dot(F.col("vector"), F.col("vector"))))
 
 
-def fit(rows: DataFrame, total: int, sample: int = SAMPLE) -> Index:
+def fit(rows: DataFrame, total: int, sample: int = SAMPLE, k: int = 5) -> Index:
     """Fits an index for ``total`` vectors on a bounded hash sample of ``rows`` (vec_id, vector)."""
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    lists = min(LISTS, 1 << math.ceil(math.log2(max(1, math.isqrt(total)))))
+    wanted = max(sample, PER_LIST * lists) + TESTS
+    h = F.xxhash64("vec_id")
+    # twice the share that is wanted, so that no more than the sample need be sorted
+    some = rows.where(h < F.lit(int(2.0**64 * 2 * wanted / total) - 2**63)) if total > 4 * wanted else rows
+    picked = some.orderBy(h, "vec_id").limit(wanted).select("vec_id", F.col("vector").cast("array<float>").alias("vector")).toArrow().to_pandas()
     x = _unit(picked["vector"])
+    held = min(TESTS, len(x) // 8)
+    x, tests, own = x[: len(x) - held], x[len(x) - held :], picked["vec_id"].to_numpy()[len(x) - held :]
     rng = np.random.default_rng(3)
-    coarse = _kmeans(x, min(len(x), 1 << math.ceil(math.log2(max(1, math.isqrt(total))))), rng)
-    draft = Index(coarse, np.zeros((1, 1, x.shape[1]), dtype=np.float32), 1)
+    coarse = _kmeans(x, max(1, min(len(x) // PER_LIST, lists)), rng)
+    draft = Index(coarse, np.zeros((1, 1, x.shape[1]), dtype=np.float32), len(coarse))
     parts = min(PARTS, x.shape[1])
     width = -(-x.shape[1] // parts)
     rest = np.pad(x - coarse[draft._lists(x)], ((0, 0), (0, parts * width - x.shape[1]))).reshape(len(x), parts, width)
@@ -135,15 +155,27 @@ def fit(rows: DataFrame, total: int, sample: int = SAMPLE) -> Index:
         found = _kmeans(rest[:, p], min(CODES, len(x)), rng)
         books[p, : len(found)] = found
         books[p, len(found) :] = found[0]
-    # how far down its order of lists each sample query meets its five nearest sample vectors
-    tests = x[: min(256, len(x))]
-    scores = tests @ x.T
-    scores[np.arange(len(tests)), np.arange(len(tests))] = -2
-    near = np.argsort(-scores, axis=1)[:, : min(5, len(x) - 1)]
-    ranks = np.argsort(np.argsort(-(tests @ coarse.T), axis=1), axis=1)
-    met = np.take_along_axis(ranks, draft._lists(x)[near], axis=1)
-    probes = int(np.quantile(met, COVER, method="higher")) + 1 if met.size else 1
-    return Index(coarse, books, probes)
+    return Index(coarse, books, _probes(rows, draft, tests, own, k) if held else len(coarse))
+
+
+def _probes(rows: DataFrame, index: Index, tests: np.ndarray, own: np.ndarray, k: int) -> int:
+    """How far down its order of lists a held-out query must go to meet its k nearest of all ``rows``."""
+    given = rows.sparkSession.sparkContext.broadcast((index, tests, own, np.argsort(np.argsort(-(tests @ index.coarse.T), axis=1), axis=1)))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, tests, own, ranks = given.value
+        for pdf in batches:
+            if len(pdf):
+                x, ids = _unit(pdf["vector"]), pdf["vec_id"].to_numpy()
+                scores = np.where(ids == own[:, None], -2, tests @ x.T)
+                top = np.argpartition(-scores, min(k, len(x)) - 1, axis=1)[:, :k]
+                at = np.repeat(np.arange(len(tests)), top.shape[1])
+                yield pd.DataFrame({"test": at, "vec_id": ids[top.ravel()], "near": scores[at, top.ravel()].astype(np.float64), "nth": ranks[at, index._lists(x)[top.ravel()]]})
+
+    found = rows.select("vec_id", "vector").mapInPandas(best, "test int, vec_id bigint, near double, nth int")
+    first = F.row_number().over(Window.partitionBy("test").orderBy(F.desc("near"), "vec_id"))
+    met = [r.nth for r in found.withColumn("first", first).where((F.col("first") <= k) & (F.col("near") > -2)).select("nth").collect()]
+    return int(np.quantile(met, COVER, method="higher")) + 1 if met else len(index.coarse)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, depth: int = DEPTH, shard: int = SHARD) -> DataFrame:
@@ -154,7 +186,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, depth: int = DEPTH
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if total < 2:
         return spark.createDataFrame([], schema)
-    index = spark.sparkContext.broadcast(fit(rows, total))
+    index = spark.sparkContext.broadcast(fit(rows, total, k=k))
     n_queries = rows.where(is_query).count()
     shards, blocks = -(-total // shard), max(1, -(-n_queries // QUERY_BLOCK))
 

@@ -261,6 +261,13 @@ def test_vector_search(spark):
     assert ann.nearest(df.where("vec_id in (0, 3)"), F.col("vec_id") % 50 == 0).count() == 1
 
 
+def test_lists_stay_below_the_sample(spark):
+    vectors = np.random.default_rng(1).normal(size=(4096, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id bigint, vector array<double>")
+    index = ann.fit(df, 4096, sample=64)
+    assert 32 <= len(index.coarse) <= 4096 // 32 and index.books.any()
+
+
 # -- 7: languages
 
 
