@@ -5,8 +5,9 @@ Coarse centroids and the codebooks of the residuals' sub-vectors are fitted on a
 compared with all vectors, batch by batch, and enough lists are probed to meet most of their nearest ones. Every vector is then encoded and
 dealt by a hash of its id into shards of bounded size, each an inverted file of its own, so that a common vector or a
 crowded list is spread over all of them. A query scores the probed lists of each shard with its table of inner
-products (asymmetric distances), the best ``DEPTH`` over all shards are reranked with the original vectors in double
-precision.
+products (asymmetric distances). The best ``DEPTH`` of a shard, and all that lie within the quantisation error of the
+last of them, are reranked there with the original vectors in double precision; each shard returns its ``k`` nearest, so
+that a group of near copies is refined whole however large it is, and the rows that leave a shard stay bounded.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or that hold a null or non-finite
 component take no part, nor do rows without a vec_id. Rows that share a vec_id count once. Ties go to the smaller vec_id. With fewer candidates
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ CODES = 256
 ROUNDS = 8
 DEPTH = 100
 SHARD = 16384
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 16384
 #: Share of a held-out query's nearest that its probed lists must hold.
 COVER = 0.98
 
@@ -63,11 +64,12 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """Coarse centroids, codebooks by part, and the number of lists a query probes."""
+    """Coarse centroids, codebooks by part, the number of lists a query probes, and the error of its scores."""
 
     coarse: np.ndarray
     books: np.ndarray
     probes: int
+    margin: float = 0.0
 
     def _split(self, x: np.ndarray) -> np.ndarray:
         parts, _, width = self.books.shape
@@ -85,30 +87,38 @@ class Index:
     def _lists(self, x: np.ndarray) -> np.ndarray:
         return _closest(x, self.coarse)
 
-    def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, lists: np.ndarray, codes: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query: its id, and the ids and scores of its best candidates of one shard."""
+    def decode(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that lists and codes stand for."""
+        rest = self.books[np.arange(codes.shape[1]), codes].reshape(len(codes), -1)
+        return self.coarse[lists] + rest[:, : self.coarse.shape[1]]
+
+    def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, lists: np.ndarray, codes: np.ndarray, vectors: np.ndarray, k: int, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query: its id, and the ids and exact scores of its nearest of one shard; rows of ``queries`` and ``vectors`` are as given."""
         order = np.lexsort((ids, lists))
-        ids, lists, codes = ids[order], lists[order], codes[order]
+        ids, lists, codes, vectors = ids[order], lists[order], codes[order], vectors[order]
         sizes = np.bincount(lists, minlength=len(self.coarse))
         columns = np.arange(codes.shape[1])
-        tables = np.einsum("qpw,pcw->qpc", self._split(queries), self.books)
-        centre = queries @ self.coarse.T
         for q in range(len(queries)):
+            if q % 256 == 0:
+                units = _unit(queries[q : q + 256])
+                tables = np.einsum("qpw,pcw->qpc", self._split(units), self.books)
+                centre = units @ self.coarse.T
+            near, table = centre[q % 256], tables[q % 256]
             probed = np.zeros(len(self.coarse), dtype=bool)
-            probed[np.argsort(-centre[q], kind="stable")[: self.probes]] = True
+            probed[np.argsort(-near, kind="stable")[: self.probes]] = True
             at = np.flatnonzero(np.repeat(probed, sizes))
             at = at[ids[at] != own[q]]
-            score = centre[q][lists[at]] + tables[q][columns, codes[at]].sum(1)
             if len(at) > depth:
-                least = np.partition(score, len(score) - depth)[len(score) - depth]
-                some = score >= least
-                at, score = at[some], score[some]
-                best = np.lexsort((ids[at], -score))[:depth]
-                at, score = at[best], score[best]
-            yield int(own[q]), ids[at], score
+                score = near[lists[at]] + table[columns, codes[at]].sum(1)
+                at = at[score >= np.partition(score, len(score) - depth)[len(score) - depth] - self.margin]
+            # row sums do not depend on a row's place, so that equal vectors tie
+            x, y = vectors[at].astype(np.float64), queries[q].astype(np.float64)
+            score = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum())
+            best = np.lexsort((ids[at], -score))[:k]
+            yield int(own[q]), ids[at[best]], score[best]
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+def _unit(vectors: pd.Series | np.ndarray) -> np.ndarray:
     x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     x /= np.abs(x).max(axis=1, keepdims=True)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
@@ -155,7 +165,11 @@ def fit(rows: DataFrame, total: int, sample: int = SAMPLE, k: int = 5) -> Index:
         found = _kmeans(rest[:, p], min(CODES, len(x)), rng)
         books[p, : len(found)] = found
         books[p, len(found) :] = found[0]
-    return Index(coarse, books, _probes(rows, draft, tests, own, k) if held else len(coarse))
+    index = Index(coarse, books, _probes(rows, draft, tests, own, k) if held else len(coarse))
+    # both scores of a comparison may be off: the one that is too low and the one that is too high
+    some = tests[:64] if held else x[:64]
+    off = np.abs(some @ (x - index.decode(*index.encode(x))).T)
+    return replace(index, margin=2 * float(np.quantile(off, COVER)))
 
 
 def _probes(rows: DataFrame, index: Index, tests: np.ndarray, own: np.ndarray, k: int) -> int:
@@ -189,30 +203,30 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, depth: int = DEPTH
     index = spark.sparkContext.broadcast(fit(rows, total, k=k))
     n_queries = rows.where(is_query).count()
     shards, blocks = -(-total // shard), max(1, -(-n_queries // QUERY_BLOCK))
+    # floats stay exact in single precision: they are scaled by a power of two only
+    kind = np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 lists, codes = index.value.encode(_unit(pdf["vector"]))
-                yield pd.DataFrame({"vec_id": pdf["vec_id"], "list": lists.astype(np.int32), "code": [c.tobytes() for c in codes]})
+                raw = [np.asarray(v, dtype=kind).tobytes() for v in pdf["vector"]]
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "list": lists.astype(np.int32), "code": [c.tobytes() for c in codes], "raw": raw})
 
-    coded = rows.select("vec_id", "vector").mapInPandas(encode, "vec_id bigint, list int, code binary").withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int"))
-    coded = coded.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = rows.where(is_query).select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"))
+    coded = rows.select("vec_id", "vector").mapInPandas(encode, "vec_id bigint, list int, code binary, raw binary")
+    base = coded.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = coded.where(is_query).select("vec_id", "raw", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def scan(base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(base) and len(queries):
             codes = np.frombuffer(b"".join(base["code"]), dtype=np.uint8).reshape(len(base), -1)
-            for q, ids, scores in index.value.search(_unit(queries["vector"]), queries["vec_id"].to_numpy(), base["vec_id"].to_numpy(), base["list"].to_numpy(), codes, depth):
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids, "near": scores.astype(np.float64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "near": []}).astype({"query_id": "int64", "vec_id": "int64", "near": "float64"})
-
-    found = coded.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(scan, "query_id bigint, vec_id bigint, near double")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))
-    found = found.withColumn("nth", best).where(F.col("nth") <= depth).select("query_id", "vec_id")
-    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.col("norm").alias("query_norm"))
-    exact = found.join(rows, "vec_id").join(queries, "query_id").select("query_id", "vec_id", (dot(F.col("query"), F.col("vector")) / (F.col("query_norm") * F.col("norm"))).alias("score"))
+            x, y = (np.frombuffer(b"".join(side["raw"]), dtype=kind).reshape(len(side), -1) for side in (base, queries))
+            for q, ids, scores in index.value.search(y, queries["vec_id"].to_numpy(), base["vec_id"].to_numpy(), base["list"].to_numpy(), codes, x, k, depth):
+                out.append(pd.DataFrame({"query_id": q, "vec_id": ids, "score": scores}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    found = base.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(scan, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return exact.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

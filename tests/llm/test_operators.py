@@ -268,6 +268,19 @@ def test_lists_stay_below_the_sample(spark):
     assert 32 <= len(index.coarse) <= 4096 // 32 and index.books.any()
 
 
+def test_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(4000, 16)).astype(np.float32)
+    vectors[1000:2000] = vectors[1000] + 0.003 * rng.normal(size=(1000, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>")
+    found = defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id").between(1000, 1999) & (F.col("vec_id") % 50 == 0)).collect():
+        found[r.query_id].add(r.vec_id)
+    unit = vectors.astype(np.float64) / np.linalg.norm(vectors.astype(np.float64), axis=1, keepdims=True)
+    hits = sum(len(found[q] & set(np.argsort(-np.where(np.arange(4000) == q, -9, unit @ unit[q]), kind="stable")[:5].tolist())) for q in range(1000, 2000, 50))
+    assert hits / 100 >= 0.95
+
+
 # -- 7: languages
 
 
