@@ -1,9 +1,11 @@
-r"""License scans: TF-IDF cosine of each line to templates, then inheritance from the nearest ancestor directory.
+r"""License scans: TF-IDF cosine of lines and blocks to templates, then inheritance from the nearest ancestor directory.
 
-Terms are lower-cased words; a line and a template are sparse vectors of term counts times inverse document frequency,
-which is counted over the lines of the whole table. Lines that hold none of the templates' rare terms are left out
+A scan compares each line, each block of consecutive lines that hold words (a paragraph, or a comment's block, whatever
+its marks), and a license file as a whole: notices are wrapped as they may be. Terms are lower-cased words; such a part and a template are sparse vectors of term counts times inverse document frequency,
+which is counted over the lines of the whole table. Parts that hold none of the templates' rare terms are left out
 before their terms are exploded: by Cauchy-Schwarz the others cannot reach the threshold, so nothing is lost. A file
-has the license of its best line. Files without one inherit from the nearest ancestor directory with a license file
+has the license of its best part, but 'All rights reserved' only where nothing else matches, and of the BSD licenses the
+one whose clauses it has. Files without one inherit from the nearest ancestor directory with a license file
 that has one, found by joining directories on their path. DataFrame operations only.
 
 Defined results: null and empty texts, and files at or under no licensed directory, have no license (null) and score
@@ -49,6 +51,20 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
 )
 
+#: Whole notices, as they stand in headers and license files; the name with a plus outdoes that of fewer clauses.
+NOTICES = (
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD-2-Clause", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause+", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+)
+LICENSE_FILE = r"^(licen[cs]e|copying|unlicense)([.-].*)?$"
+#: Between two blocks: lines without a letter or digit.
+BREAK = r"\n(?:[^A-Za-z0-9\n]*\n)+"
+
 
 def terms(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(f"({WORD})"), F.lit(1))
@@ -58,8 +74,21 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "words")).select("doc", "line", terms(F.col("words")).alias("terms"))
 
 
-def own_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc, license and score of every row of ``docs`` that has a line like a template."""
+def _parts(docs: DataFrame, key: str, text: str, whole: Column) -> DataFrame:
+    """Lines, blocks of several lines, and the whole text where ``whole`` holds."""
+    t = F.col(text)
+    blocks = F.filter(F.split(t, BREAK), lambda b: F.contains(b, F.lit("\n")))
+    found = F.concat(F.split(t, "\n"), blocks, F.when(whole, F.array(t)).otherwise(F.array().cast("array<string>")))
+    parts = docs.select(F.col(key).alias("doc"), F.posexplode(found).alias("at", "words"))
+    # parts at one place of rows that share a key stay apart
+    return parts.select("doc", F.xxhash64("at", "words").alias("line"), terms(F.col("words")).alias("terms"))
+
+
+def own_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple = TEMPLATES, threshold: float = THRESHOLD, whole: Column | None = None) -> DataFrame:
+    """doc, license and score of every row of ``docs`` that has a line like a template.
+
+    With ``whole``, which says what rows are license files, blocks and whole files count too.
+    """
     spark: SparkSession = docs.sparkSession
     vectors = [(name, Counter(re.findall(WORD, words.lower()))) for name, words in templates]
     vocabulary = sorted(set().union(*(v for _, v in vectors)))
@@ -78,7 +107,8 @@ def own_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templ
         if all(sum((n * idf[x]) ** 2 for x, n in v.items() if x in trial) < (0.999 * threshold * norm) ** 2 for (_, v), norm in zip(vectors, norms, strict=True)):
             common = trial
     rare = F.array(*[F.lit(t) for t in vocabulary if t not in common])
-    near = lines.where(F.arrays_overlap("terms", rare)).select("doc", "line", F.explode("terms").alias("term"))
+    parts = lines if whole is None else _parts(docs, key, text, whole)
+    near = parts.where(F.arrays_overlap("terms", rare)).select("doc", "line", F.explode("terms").alias("term"))
     tf = near.groupBy("doc", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
     weights = spark.createDataFrame([(t, float(w)) for t, w in idf.items()], "term string, idf double")
     entries = [(i, name, t, float(n * idf[t] / norm)) for i, ((name, v), norm) in enumerate(zip(vectors, norms, strict=True)) for t, n in v.items()]
@@ -88,7 +118,18 @@ def own_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templ
     norm = weighed.groupBy("doc", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.join(F.broadcast(entries), "term").groupBy("doc", "line", "template", "license").agg(F.sum(F.col("w") * F.col("part")).alias("dot"))
     scored = dots.join(norm, ["doc", "line"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= threshold)
-    best = scored.groupBy("doc").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("best"))
+    if whole is None:
+        best = scored.groupBy("doc").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("best"))
+    else:
+        # no more entries than licenses
+        each = scored.groupBy("doc", "license").agg(F.min(-F.col("score")).alias("s"))
+        each = each.groupBy("doc").agg(F.collect_list(F.struct("s", "license")).alias("all"), F.collect_set("license").alias("names"))
+        has = lambda n: F.array_contains("names", n)
+        outdone = lambda n: (
+            ((n == "Proprietary") & (F.size("names") > 1)) | ((n == "BSD-2-Clause") & has("BSD-3-Clause+")) | ((n == "BSD-3-Clause") & has("BSD-2-Clause") & ~has("BSD-3-Clause+"))
+        )
+        left = F.array_min(F.filter("all", lambda e: ~outdone(e["license"])))
+        best = each.select("doc", F.struct(left["s"].alias("s"), F.rtrim(left["license"], F.lit("+")).alias("license")).alias("best"))
     return best.select("doc", "best.license", (-F.col("best.s")).alias("score"))
 
 
@@ -98,10 +139,11 @@ def _parent(path: Column) -> Column:
 
 def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """key, path, license, score, origin (own, inherited or none) and licensed_by (the path it comes from) of every row."""
-    found = own_licenses(files, key, text, threshold=threshold).withColumnRenamed("license", "own").withColumnRenamed("score", "own_score")
+    named = F.lower(F.regexp_extract(F.coalesce(F.col(path), F.lit("")), r"([^/]*)$", 1)).rlike(LICENSE_FILE)
+    found = own_licenses(files, key, text, TEMPLATES + NOTICES, threshold, named).withColumnRenamed("license", "own").withColumnRenamed("score", "own_score")
     names = files.select(F.col(key), F.coalesce(path, F.lit("")).alias("path"))
     rows = kept(names.join(found, F.col(key) == F.col("doc"), "left").drop("doc").withColumn("dir", _parent(F.col("path"))))
-    is_license = F.lower(F.regexp_extract("path", r"([^/]*)$", 1)).rlike(r"^(licen[cs]e|copying|unlicense)([.-].*)?$")
+    is_license = F.lower(F.regexp_extract("path", r"([^/]*)$", 1)).rlike(LICENSE_FILE)
     by_dir = rows.where(is_license & F.col("own").isNotNull()).groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", "own")).alias("b"))
     by_dir = by_dir.select(F.col("dir").alias("at"), F.col("b.path").alias("from_path"), F.col("b.own").alias("from_license"), (-F.col("b.s")).alias("from_score"))
     # each directory once, however many files it has: its prefixes are its ancestors

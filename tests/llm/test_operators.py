@@ -206,6 +206,37 @@ def test_license_scores_match_brute_force(spark):
             assert i not in got
 
 
+def test_wrapped_licenses(spark):
+    bsd2 = """Copyright (c) 2020, A Holder
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+    bsd3 = bsd2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    gpl2 = """/*
+ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ */
+int main;"""
+    files = [(1, "a/LICENSE", bsd3), (2, "b/LICENSE", bsd2), (3, "c/x.c", gpl2), (4, "d/LICENSE", "Mine.\nAll rights reserved."), (5, "a/y.c", "words"), *((i, f"e/{i}", "plain words of no license\nat all in the text") for i in range(10, 200))]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(files, "doc_id bigint, path string, text string")).collect()}
+    assert [got[i] for i in range(1, 6)] == ["BSD-3-Clause", "BSD-2-Clause", "GPL-2.0", "Proprietary", "BSD-3-Clause"] and got[10] is None
+
+
 # -- 5: mixing
 
 
