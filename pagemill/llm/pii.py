@@ -5,7 +5,8 @@ are added by the method where their score, with context, reaches ``THRESHOLD`` a
 covers them. All offsets are code points, the end exclusive. Scanning is linear in the text: patterns are anchored at
 ``@``, ``+`` or the start of a run of digits.
 
-Defined results: null and empty texts have no spans; matches that fail their check are dropped and not retried.
+Defined results: null and empty texts have no spans; matches that fail their check are dropped and not retried,
+but an iban is tried without the words that follow it.
 """
 
 from __future__ import annotations
@@ -55,6 +56,20 @@ def mod97(iban: str) -> bool:
     return 15 <= len(iban) <= 34 and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """Account numbers; a word that follows one and was taken with it is left again, group by group."""
+    out = []
+    for m in _IBAN.finditer(text):
+        stop = m.end()
+        while not mod97(text[m.start() : stop].replace(" ", "")):
+            stop = text.rfind(" ", m.start(), stop)
+            if stop < 0:
+                break
+        else:
+            out.append((m.start(), stop))
+    return out
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -93,7 +108,7 @@ def find_spans(text: str | None) -> list[dict]:
     if not text:
         return []
     base = _proposed(text)
-    more = [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    more = [("iban", *span) for span in _ibans(text)]
     more += [("national_id", *m.span()) for m in _NATIONAL.finditer(text)] + [("local_phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
     out = [(*s, _score(text, *s)) for s in base]
     taken = sorted((a, b) for _, a, b in base)

@@ -136,6 +136,12 @@ def test_method_spans_and_redaction(spark, awkward, empty):
     assert len(pii.find_spans("9" * 300_000)) == 0 and len(pii.find_spans("a" * 300_000 + "@")) == 0
 
 
+def test_iban_before_a_word_in_capitals():
+    for iban, after in (("ES91 2100 0418 4502 0005 1332", " EUR"), ("BE71 0961 2345 6769", " BIC"), ("BE71 0961 2345 6769", " CODE 12"), ("DE89 3704 0044 0532 0130 00", " x")):
+        assert [(s["kind"], s["start"], s["stop"]) for s in pii.find_spans("to " + iban + after) if s["kind"] == "iban"] == [("iban", 3, 3 + len(iban))]
+        assert pii.redact(iban + after) == "[IBAN]" + after
+
+
 # -- 3: shards
 
 
