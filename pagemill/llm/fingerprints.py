@@ -207,7 +207,7 @@ def compare_edited(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     # Both texts begin alike: shingles of the whole words before the cut are made once. The lowest two bits of a term
     # say which of the texts it is from.
     kept_part = F.substring("text", F.lit(1), size - cut)
-    whole = F.regexp_replace(kept_part, r"[^\x20\x09-\x0D]+$", "")
+    whole = F.regexp_replace(kept_part, r"[^\x20\x09-\x0D]+\z", "")
     rest = F.concat(F.substring(kept_part, F.length(whole) + 1, size), F.substring("next_text", F.lit(1), cut))
     hashed = rows.select("bucket", "nth_row", word_hashes(F.col("text")).alias("words"), F.regexp_count(whole, F.lit(r"[^\x20\x09-\x0D]+")).alias("alike"), word_hashes(rest).alias("rest"))
     alike = F.col("alike")

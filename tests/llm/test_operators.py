@@ -61,6 +61,12 @@ def test_edited_texts_and_likeness(awkward):
     assert abs(np.mean(errors)) < 0.05 and np.sqrt(np.mean(np.square(errors))) < 0.15
 
 
+def test_cut_after_a_line_break(spark):
+    docs = spark.createDataFrame([(2, "aaa\nbb"), (1, "bb")], "doc_id bigint, text string")
+    got = {r.doc_id: r.near_edited for r in fingerprints.compare_edited(docs).collect()}
+    assert got[2] == 1.0
+
+
 def test_collision_rate_is_weighted_jaccard(spark):
     base = [f"w{i}" for i in range(60)]
     a = " ".join(w for i, w in enumerate(base) for _ in range(1 + i % 4))
