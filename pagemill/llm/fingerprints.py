@@ -22,7 +22,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm._common import kept, partitions, search_bucket
+from pagemill.llm._common import kept, partitions, search_bucket, uniform_bucket
 
 SAMPLES = 32
 SHINGLE = 5
@@ -52,6 +52,11 @@ def shingles(h: Column, n: int = SHINGLE) -> Column:
     return F.when((F.size(h) > 0) & (F.size(h) < n), F.array(F.xxhash64(h))).otherwise(runs(h, n))
 
 
+def term(h: Column) -> Column:
+    """What a shingle is known by in all draws: its hash without the lowest two bits, which ``compare_edited`` uses."""
+    return F.shiftright(h, 2)
+
+
 def _table(values: list[float]) -> Column:
     return F.from_json(F.lit(json.dumps(values)), "array<double>")
 
@@ -150,7 +155,7 @@ def samples_of(terms: DataFrame, keys: list[str], weights: dict[str, str], n: in
 def fingerprints(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     """doc_id and fingerprint of every row of ``docs`` (doc_id, text); rows equal in both come once."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), shingles(word_hashes(F.coalesce("text", F.lit("")))).alias("terms")).distinct()
-    terms = rows.select("doc_id", "row", F.explode("terms").alias("term")).groupBy("doc_id", "row", "term").agg(F.count(F.lit(1)).alias("weight"))
+    terms = rows.select("doc_id", "row", F.explode("terms").alias("x")).groupBy("doc_id", "row", term(F.col("x")).alias("term")).agg(F.count(F.lit(1)).alias("weight"))
     found = samples_of(terms, ["doc_id", "row"], {"samples": "weight"}, n).select(F.col("doc_id").alias("id"), F.col("row").alias("r"), "samples")
     rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("r")), "left")
     return rows.select("doc_id", as_text(F.col("samples"), n).alias("fingerprint"))
@@ -160,13 +165,16 @@ def in_order(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, text, bucket and nth_row of every row, and b, v: the text of each bucket's first row.
 
     Buckets are ranges of descending doc_id, nth_row counts in each. Only the bounds of the ranges, at most one per
-    bucket, pass through the driver. Null ids come last.
+    bucket, pass through the driver. Null ids come last, in as many ranges of their texts' hashes as their rows need.
     """
     shares = [i / buckets for i in range(1, buckets)]
-    found = docs.agg(F.percentile_approx("doc_id", shares, 20 * buckets)).first()[0] if shares else None
-    bounds = sorted({-int(b) for b in found or []})
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(search_bucket(-F.col("doc_id"), bounds))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), bucket.cast("int").alias("bucket"))
+    asked = [F.percentile_approx("doc_id", shares, 20 * buckets)] if shares else []
+    *found, nulls, total = docs.agg(*asked, F.count_if(F.col("doc_id").isNull()), F.count(F.lit(1))).first()
+    bounds = sorted({-int(b) for b in (found[0] if found and found[0] else [])})
+    spread = max(1, math.ceil(buckets * nulls / max(total, 1)))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    bucket = F.when(F.col("doc_id").isNull(), len(bounds) + 1 + uniform_bucket(F.xxhash64(text), spread)).otherwise(search_bucket(-F.col("doc_id"), bounds))
+    rows = docs.select("doc_id", text.alias("text"), bucket.cast("int").alias("bucket"))
     down = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     # one row a bucket: found by id, so that the texts are shuffled once
     top = rows.groupBy(F.col("bucket").alias("b")).agg(F.max("doc_id").alias("top"))
@@ -223,7 +231,7 @@ def compare_edited(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     both = both.otherwise(F.concat(told(shingles(F.col("ours")), 1), told(shingles(F.col("theirs")), 2)))
     terms = hashed.select("bucket", "nth_row", F.explode(both).alias("x"))
     in_ours, in_theirs = F.col("x").bitwiseAND(F.lit(1)), F.shiftright("x", 1).bitwiseAND(F.lit(1))
-    terms = terms.groupBy("bucket", "nth_row", F.shiftright("x", 2).alias("term")).agg(F.sum(in_ours).alias("ours"), F.sum(in_theirs).alias("theirs"))
+    terms = terms.groupBy("bucket", "nth_row", term(F.col("x")).alias("term")).agg(F.sum(in_ours).alias("ours"), F.sum(in_theirs).alias("theirs"))
     found = samples_of(terms, ["bucket", "nth_row"], {"fingerprint": "ours", "edited_fingerprint": "theirs"}, n)
     found = found.select(F.col("bucket").alias("b"), F.col("nth_row").alias("r"), *[as_text(F.col(c), n).alias(c) for c in ("fingerprint", "edited_fingerprint")])
     zeros = F.lit("0" * (TAG_BITS // 4) * n)

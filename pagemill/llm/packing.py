@@ -74,7 +74,7 @@ class _Bins:
 
 
 def pack_block(pdf: pd.DataFrame, capacity: int, max_per_source: int) -> pd.DataFrame:
-    """Packs the rows (block, doc_id, size, source_hash, cluster) of one block."""
+    """Packs the rows (block, doc_id, none, size, source_hash, cluster) of one block; doc_id is 0 where ``none`` holds."""
     bins = _Bins(capacity, max_per_source)
     first = int(pdf["block"].iloc[0]) << 32
     sources = {s: 1 << i for i, s in enumerate(sorted(set(pdf["source_hash"])))}
@@ -82,7 +82,8 @@ def pack_block(pdf: pd.DataFrame, capacity: int, max_per_source: int) -> pd.Data
     clusters = {c: 1 << i for i, c in enumerate(sorted(copies[copies > 1].index))}
     rows: list[tuple] = []
     tails = []
-    ids = [None if pd.isna(i) else int(i) for i in pdf["doc_id"]]
+    # whole numbers all the way: a column with a null would come as floating point
+    ids = [None if none else i for i, none in zip(pdf["doc_id"].tolist(), pdf["none"].tolist(), strict=True)]
     for doc, size, source, cluster in zip(ids, pdf["size"].tolist(), pdf["source_hash"], pdf["cluster"], strict=True):
         whole, tail = divmod(size, capacity)
         rows += [(doc, i, i * capacity, capacity, None, 0) for i in range(whole)]
@@ -102,15 +103,15 @@ def pack_block(pdf: pd.DataFrame, capacity: int, max_per_source: int) -> pd.Data
             n += 1
         else:
             packed.append((doc, part, start, words, None, None))
-    out = pd.DataFrame(packed, columns=["doc_id", "part", "start", "n_words", "bin_id", "bin_start"])
-    return out.astype({"doc_id": "Int64", "bin_id": "Int64", "bin_start": "Int64"})
+    names = ("doc_id", "part", "start", "n_words", "bin_id", "bin_start")
+    return pd.DataFrame({name: pd.array([row[i] for row in packed], dtype="Int64") for i, name in enumerate(names)})
 
 
 def pack(docs: DataFrame, size: Column, cluster: Column, capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE, block: int = BLOCK) -> DataFrame:
     """One row per piece of every row of ``docs`` (doc_id, source): its words, its bin, and where in the bin it begins."""
     n = max(1, -(-docs.count() // block))
     rows = docs.select(
-        "doc_id", size.cast("bigint").alias("size"), F.xxhash64("source").alias("source_hash"), cluster.alias("cluster"), F.pmod(F.xxhash64("doc_id", cluster, F.lit(5)), F.lit(n)).alias("block")
+        F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("doc_id"), F.col("doc_id").isNull().alias("none"), size.cast("bigint").alias("size"), F.xxhash64("source").alias("source_hash"), cluster.alias("cluster"), F.pmod(F.xxhash64("doc_id", cluster, F.lit(5)), F.lit(n)).alias("block")
     )
     return rows.groupBy("block").applyInPandas(lambda pdf: pack_block(pdf, capacity, max_per_source), SCHEMA)
 

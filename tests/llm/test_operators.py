@@ -67,6 +67,49 @@ def test_cut_after_a_line_break(spark):
     assert got[2] == 1.0
 
 
+def edits(rows):
+    """(doc_id, text, edited text) by the definition, plainly."""
+    order = sorted(rows, key=lambda r: -r[0])
+    for i, (doc, text) in enumerate(order):
+        cut = len(text or "") // 3
+        yield doc, text or "", (text or "")[: len(text or "") - cut] + (order[(i + 1) % len(order)][1] or "")[:cut]
+
+
+def check_edits(spark, docs, rows):
+    edited = list(edits(rows))
+    texts = spark.createDataFrame([(doc, after) for doc, _, after in edited], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in fingerprints.compare_edited(docs).collect()}
+    for side, found in (("fingerprint", fingerprints.fingerprints(docs)), ("edited_fingerprint", fingerprints.fingerprints(texts))):
+        want = {r.doc_id: r.fingerprint for r in found.collect()}
+        assert {i: got[i][side] for i in want} == want and len(want) == len(got)
+    assert all(got[doc].edited_sha256 == hashlib.sha256(after.encode()).hexdigest() for doc, _, after in edited)
+
+
+def test_edited_fingerprint_is_that_of_the_edited_text(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    check_edits(spark, docs, [tuple(r) for r in docs.collect()])
+
+
+def test_edits_cut_at_every_separator(spark):
+    rows, rng = [], random.Random(9)
+    for sep in [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\r\n", "\x1c", "\x1f", "\x85", "\xa0", "\u2028", "\u2029", "."]:
+        for n in (2, 7, 30):
+            text = " ".join(rng.choice(["one", "two", "three", "four"]) for _ in range(n))
+            keep = text[: len(text) * 2 // 3] + sep
+            # the part kept ends with the separator, and with it and a letter
+            rows += [(len(rows), keep + "x" * (len(keep) // 2)), (len(rows) + 1, keep[:-1] + "w" + sep + "x" * (len(keep) // 2))]
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, "a")]
+    check_edits(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), rows)
+
+
+def test_null_ids_are_spread_and_all_there(spark):
+    docs = spark.createDataFrame([(None if i % 3 else i, f"text number {i % 40} of some") for i in range(400)], "doc_id bigint, text string")
+    ordered, _ = fingerprints.in_order(docs, 16)
+    assert ordered.where("doc_id is null").select("bucket").distinct().count() > 5
+    got = fingerprints.compare_edited(docs).collect()
+    assert len(got) == 400 and sum(r.doc_id is None for r in got) == 266
+
+
 def test_collision_rate_is_weighted_jaccard(spark):
     base = [f"w{i}" for i in range(60)]
     a = " ".join(w for i, w in enumerate(base) for _ in range(1 + i % 4))
@@ -504,6 +547,36 @@ def test_packing(awkward, empty):
     assert packing.pack(empty, mixing.word_count(), packing.copies_cluster()).count() == 0
 
 
+def test_ids_beside_nulls_stay_whole(spark):
+    big = [2**53 + 1, 2**60 + 3, -(2**62) - 1]
+    docs = spark.createDataFrame([(i, "one two", "s") for i in [*big, None, 0]], "doc_id bigint, text string, source string")
+    got = packing.pack(docs, mixing.word_count(), packing.copies_cluster(), block=100).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i in [*big, None, 0])
+
+
+def test_placements_equal_plain_best_fit():
+    """Every placement against a search through all open bins: least residual, then the bin that came to it first."""
+    rng = random.Random(6)
+    for most, capacity in ((1, 50), (3, 100)):
+        bins, plain, clock = packing._Bins(capacity, most), [], 0
+        sizes = sorted((rng.randint(1, capacity) for _ in range(400)), reverse=True)
+        for size in sizes if most == 1 else rng.sample(sizes, len(sizes)):
+            source, cluster = 1 << rng.randrange(5), rng.choice([0, 0, 1, 2, 4])
+            fits = [(b["left"], b["since"], i) for i, b in enumerate(plain) if b["left"] >= size and b["sources"][source] < most and not b["clusters"] & cluster]
+            clock += 1
+            if fits:
+                i = min(fits)[2]
+            else:
+                i = len(plain)
+                plain.append({"left": capacity, "since": 0, "sources": Counter(), "clusters": 0})
+            at = capacity - plain[i]["left"]
+            plain[i]["left"] -= size
+            plain[i]["since"] = clock
+            plain[i]["sources"][source] += 1
+            plain[i]["clusters"] |= cluster
+            assert bins.place(size, source, cluster) == (i, at)
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     bins = packing._Bins(10, 2)
     assert bins.place(7, 1, 0) == (0, 0) and bins.place(6, 1, 4) == (1, 0)
