@@ -154,8 +154,11 @@ def samples_of(terms: DataFrame, keys: list[str], weights: dict[str, str], n: in
 
 def fingerprints(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     """doc_id and fingerprint of every row of ``docs`` (doc_id, text); rows equal in both come once."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), shingles(word_hashes(F.coalesce("text", F.lit("")))).alias("terms")).distinct()
-    terms = rows.select("doc_id", "row", F.explode("terms").alias("x")).groupBy("doc_id", "row", term(F.col("x")).alias("term")).agg(F.count(F.lit(1)).alias("weight"))
+    # words are a column of their own: within the shingles' expression they would be made anew for each
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), word_hashes(F.coalesce("text", F.lit(""))).alias("words"))
+    rows = rows.select("doc_id", "row", shingles(F.col("words")).alias("terms")).distinct()
+    # an outer explode: Spark would test a plain one's array for emptiness below, and make it once more for that
+    terms = rows.select("doc_id", "row", F.explode_outer("terms").alias("x")).where("x is not null").groupBy("doc_id", "row", term(F.col("x")).alias("term")).agg(F.count(F.lit(1)).alias("weight"))
     found = samples_of(terms, ["doc_id", "row"], {"samples": "weight"}, n).select(F.col("doc_id").alias("id"), F.col("row").alias("r"), "samples")
     rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("r")), "left")
     return rows.select("doc_id", as_text(F.col("samples"), n).alias("fingerprint"))
@@ -229,7 +232,8 @@ def compare_edited(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     hashed = hashed.select("bucket", "nth_row", F.slice("words", 1, alike).alias("same"), ours.alias("ours"), theirs.alias("theirs"), (before > 0).alias("long"))
     both = F.when(F.col("long"), F.concat(told(runs(F.col("same")), 3), told(runs(F.col("ours")), 1), told(runs(F.col("theirs")), 2)))
     both = both.otherwise(F.concat(told(shingles(F.col("ours")), 1), told(shingles(F.col("theirs")), 2)))
-    terms = hashed.select("bucket", "nth_row", F.explode(both).alias("x"))
+    # an outer explode: Spark would test a plain one's array for emptiness below, and make it once more for that
+    terms = hashed.select("bucket", "nth_row", F.explode_outer(both).alias("x")).where("x is not null")
     in_ours, in_theirs = F.col("x").bitwiseAND(F.lit(1)), F.shiftright("x", 1).bitwiseAND(F.lit(1))
     terms = terms.groupBy("bucket", "nth_row", term(F.col("x")).alias("term")).agg(F.sum(in_ours).alias("ours"), F.sum(in_theirs).alias("theirs"))
     found = samples_of(terms, ["bucket", "nth_row"], {"fingerprint": "ours", "edited_fingerprint": "theirs"}, n)
