@@ -14,11 +14,13 @@ _KEPT: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary folder only where that is unset on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="pagemill-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -69,6 +71,30 @@ def search_bucket(x: Column, bounds: list) -> Column:
     )
 
 
+#: A key with more than this share of the rows is joined by broadcast; there are fewer such keys than its inverse.
+HOT = 1 / 1024
+
+
+def hot_keys(counts: DataFrame, n: str, total: int) -> DataFrame:
+    """The rows of ``counts`` (one a key) whose count ``n`` is above ``HOT`` of ``total``: less than 1 / HOT of them."""
+    return counts.where(F.col(n) > max(1, int(total * HOT)))
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key) on ``keys``; the few ``hot`` keys by broadcast, where they lie.
+
+    So no key's rows are gathered in one task, however many it has. ``how`` is inner or left.
+    """
+    few = F.broadcast(hot.select(*keys))
+    large = rows.join(F.broadcast(table.join(few, keys, "left_semi")), keys)
+    if how == "left":
+        # hot keys without a match are in neither part otherwise
+        unmatched = hot.select(*keys).join(table.select(*keys), keys, "left_anti")
+        few = F.broadcast(hot.select(*keys).join(F.broadcast(unmatched), keys, "left_anti"))
+    small = rows.join(few, keys, "left_anti").join(table, keys, how)
+    return large.unionByName(small)
+
+
 def with_offsets(df: DataFrame, keys: list[str], bucket: str, value: Column, out: str) -> DataFrame:
     """One row per (keys, bucket) of ``df`` with the sum of ``value`` over the earlier buckets of the same keys.
 

@@ -16,6 +16,8 @@ are equal in every output column.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +26,10 @@ from pagemill.llm._common import kept, with_offsets
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST = 2
-#: Equal ratios of finish times that share a range: 256 ranges for each doubling.
+#: Equal ratios of finish times that share a range: so many ranges at least for each doubling of them.
 RANGES = 256
+#: Rows that a part of a source's queue or a range should hold at most; a larger table has more parts and ranges.
+PART_ROWS = 65536
 
 
 def word_count(text: str = "text") -> Column:
@@ -33,7 +37,9 @@ def word_count(text: str = "text") -> Column:
 
 
 def _shuffled() -> Column:
-    return F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    # rows without an id are told apart by their texts, else they would stand together in the queue
+    known = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.col("text_hash").cast("string")))
+    return F.md5(F.concat(F.lit("mix:"), known).cast("binary"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -57,44 +63,59 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, occurrence, size, source_size, target and taken of every row of ``docs`` (doc_id, text, source).
+    """doc_id, text_hash, occurrence, size, source_size, target and taken of every row of ``docs`` (doc_id, text, source).
 
-    ``occurrence`` numbers rows that share a doc_id, in the order of their texts' hashes.
+    ``text_hash`` is of text and source; ``occurrence`` numbers rows that share it and the doc_id.
     """
-    same_id = Window.partitionBy("doc_id").orderBy(F.col("text_hash"), "source")
-    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), word_count().alias("size"))
-    sized = kept(sized.select("doc_id", "source", "size", F.row_number().over(same_id).alias("occurrence"), _shuffled().alias("h")))
+    same = Window.partitionBy("doc_id", "text_hash").orderBy("size")
+    sized = docs.select("doc_id", "source", F.xxhash64("text", "source").alias("text_hash"), word_count().alias("size"))
+    sized = kept(sized.select("doc_id", "source", "size", "text_hash", F.row_number().over(same).alias("occurrence"), _shuffled().alias("h")))
+    total = sized.count()
+    digits = max(3, math.ceil(math.log(max(1, total / PART_ROWS), 16)))
+    ranges = max(RANGES, total // (16 * PART_ROWS))
     by_source = kept(targets(sized))
     t = by_source.withColumnRenamed("source", "of")
-    rows = sized.join(t, F.col("source").eqNullSafe(F.col("of"))).drop("of", "source").withColumn("part", F.substring("h", 1, 3))
+    rows = sized.join(t, F.col("source").eqNullSafe(F.col("of"))).drop("of", "source").withColumn("part", F.substring("h", 1, digits))
 
     in_source = with_offsets(rows, ["rank"], "part", F.col("size"), "earlier")
-    queue = Window.partitionBy("rank", "part").orderBy("h", "doc_id", "size", "occurrence")
+    queue = Window.partitionBy("rank", "part").orderBy("h", "doc_id", "size", "text_hash", "occurrence")
     done = F.col("earlier") + F.sum("size").over(queue.rowsBetween(Window.unboundedPreceding, 0))
     queued = rows.join(in_source, ["rank", "part"]).withColumn("done", done)
 
     passes = queued.where("size > 0").select("*", F.explode(F.array(*[F.lit(i) for i in range(MOST)])).alias("pass"))
     passes = passes.withColumn("finish", (F.col("done") + F.col("pass") * F.col("source_size")) / F.col("target"))
-    passes = passes.withColumn("range", F.floor(F.log2("finish") * RANGES).cast("int")).withColumn("one", F.lit(0))
-    # at most RANGES times the number of doublings between the first and the last finish time
+    passes = passes.withColumn("range", F.floor(F.log2("finish") * ranges).cast("int")).withColumn("one", F.lit(0))
+    # as many ranges a doubling as asked, times the doublings between the first and the last finish time
     ahead = with_offsets(passes, ["one"], "range", F.col("size"), "ahead").drop("one")
-    in_range = Window.partitionBy("range").orderBy("finish", "rank", "pass", "h", "doc_id", "size", "occurrence")
+    in_range = Window.partitionBy("range").orderBy("finish", "rank", "pass", "h", "doc_id", "size", "text_hash", "occurrence")
     so_far = F.col("ahead") + F.sum("size").over(in_range.rowsBetween(Window.unboundedPreceding, 0))
     cut = passes.join(ahead, "range").withColumn("so_far", so_far)
-    chosen = cut.where("so_far <= budget").groupBy("doc_id", "occurrence").agg(F.sum("size").alias("got"))
-    chosen = chosen.select(F.col("doc_id").alias("id"), F.col("occurrence").alias("nth"), "got")
-    out = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("occurrence") == F.col("nth")), "left")
-    return out.select("doc_id", "occurrence", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("bigint").alias("taken"))
+    # a null id is 0 with a flag, so that rows are found again by plain equality
+    key = {"id": F.coalesce("doc_id", F.lit(0)), "none": F.col("doc_id").isNull()}
+    chosen = cut.where("so_far <= budget").withColumns(key).groupBy("id", "none", "text_hash", "occurrence").agg(F.sum("size").alias("got"))
+    out = rows.withColumns(key).join(chosen, ["id", "none", "text_hash", "occurrence"], "left")
+    return out.select("doc_id", "text_hash", "occurrence", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("bigint").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as they are taken, with the columns of ``docs``."""
+    """The mix itself: rows of ``docs`` as often as they are taken, with the columns of ``docs``.
+
+    Texts are shuffled once: rows are numbered among those that share id, text and source, and joined on the same key.
+    """
+    own = {name: f"{name}_of_mix" for name in ("id", "none", "hash", "nth", "times", "pass", "all")}
+    while set(own.values()) & set(docs.columns):
+        own = {k: v + "_" for k, v in own.items()}
+    key = [own["id"], own["none"], own["hash"]]
     taken = mix(docs.select("doc_id", "text", "source")).where("taken > 0")
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("occurrence").alias("__nth"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    same_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source")
-    rows = docs.withColumn("__n", F.row_number().over(same_id))
-    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__nth")))
-    return rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    taken = taken.select(
+        F.coalesce("doc_id", F.lit(0)).alias(own["id"]), F.col("doc_id").isNull().alias(own["none"]), F.col("text_hash").alias(own["hash"]),
+        F.struct("occurrence", (F.col("taken") / F.col("size")).cast("int").alias("times")).alias("one"),
+    )
+    taken = taken.groupBy(*key).agg(F.map_from_entries(F.collect_list("one")).alias(own["times"]))
+    rows = docs.withColumns({own["id"]: F.coalesce("doc_id", F.lit(0)), own["none"]: F.col("doc_id").isNull(), own["hash"]: F.xxhash64("text", "source")})
+    rows = rows.withColumn(own["nth"], F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))).join(taken, key)
+    times = F.coalesce(F.try_element_at(own["times"], F.col(own["nth"])), F.lit(0))
+    return rows.withColumn(own["pass"], F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm._common import kept, with_offsets
+from pagemill.llm._common import hot_keys, join_by_key, kept, with_offsets
 
 SHARDS = 24
 BLOCK = 4096
@@ -27,7 +27,9 @@ LAST = 16384
 #: Of each level, about so many items go up unbundled; and every item above 1 / LARGE of a shard's share.
 LOOSE = 2048
 LARGE = 64
+#: Parts that slots of a shard are counted in: so many at least, and as many more as hold about so many rows each.
 SLOT_PARTS = 512
+SLOT_ROWS = 65536
 
 
 def difference(weights: list[int], k: int) -> list[int]:
@@ -93,9 +95,12 @@ def shard_documents(docs: DataFrame, k: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row of ``docs`` (doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = kept(docs.select("doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")))
-    groups = kept(rows.groupBy("a", "b").agg(F.sum("size").alias("w")))
-    placed = rows.join(shard_groups(groups, k), ["a", "b"]).withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_PARTS)).cast("int"))
-    placed = kept(placed)
+    groups = kept(rows.groupBy("a", "b").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")))
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    parts = max(SLOT_PARTS, total // (k * SLOT_ROWS))
+    # copies share their group: many of them are joined where they lie
+    placed = join_by_key(rows, shard_groups(groups, k), ["a", "b"], hot_keys(groups, "n", total))
+    placed = kept(placed.withColumn("deal", F.pmod(F.xxhash64("doc_id", "a"), F.lit(parts)).cast("int")))
     before = with_offsets(placed, ["shard"], "deal", F.lit(1), "earlier")
     nth = F.row_number().over(Window.partitionBy("shard", "deal").orderBy("doc_id", "a", "b"))
     out = placed.join(before, ["shard", "deal"]).withColumn("slot", (F.col("earlier") + nth - 1).cast("bigint"))

@@ -22,15 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm._common import kept
+from pagemill.llm._common import hot_keys, join_by_key, kept
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-#: Fingerprints looked at to place the vantage points; the tree's depth ends where a leaf has few sampled ones.
+#: Fingerprints looked at to place the vantage points, at least and at most; between, so many for each leaf.
 SAMPLE = 4096
-MAX_DEPTH = 11
+MOST_SAMPLED = 1 << 20
+PER_LEAF = 16
 LEAF = 512
+#: Fingerprints that are routed through the tree together.
+ROUTED = 1 << 20
 #: Rows of one side that one comparing task takes; a larger leaf is compared block by block.
 BLOCK = 4096
 
@@ -129,20 +132,36 @@ def links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, leaf:
     """Links (a, b) between distinct fingerprints ``fp``, enough of them to connect all that are within ``radius`` bits."""
     spark = distinct.sparkSession
     total = distinct.count()
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, total) / leaf))))
-    picked = distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect() if depth else []
-    tree = _tree(np.array([r.fp for r in picked], dtype=np.int64).view(np.uint64), depth, [0])
+    # the tree grows with the table: leaves hold about as many fingerprints whatever its size
+    depth = max(0, math.ceil(math.log2(max(1, total) / leaf)))
+    wanted = min(MOST_SAMPLED, max(sample, PER_LEAF << depth))
+    h = F.xxhash64("fp")
+    some = distinct.where(h < F.lit(int(2.0**64 * 2 * wanted / total) - 2**63)) if total > 4 * wanted else distinct
+    picked = some.select("fp").orderBy(h, "fp").limit(wanted).toArrow()["fp"].to_numpy() if depth else np.empty(0, dtype=np.int64)
+    tree = spark.sparkContext.broadcast(_tree(np.array(picked, dtype=np.int64).view(np.uint64), depth, [0]))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        held: list[np.ndarray] = []
+
+        def routed() -> Iterator[pd.DataFrame]:
             out: list = []
-            fps = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-            _route(tree, fps, np.ones(len(fps), dtype=bool), radius, out)
-            for shard, found, home in out:
-                yield pd.DataFrame({"leaf": np.int32(shard), "fp": found.view(np.int64), "home": home})
+            fps = np.concatenate(held).view(np.uint64)
+            _route(tree.value, fps, np.ones(len(fps), dtype=bool), radius, out)
+            leaves = np.repeat(np.array([n for n, _, _ in out], dtype=np.int32), [len(f) for _, f, _ in out])
+            fps, homes = np.concatenate([f for _, f, _ in out]).view(np.int64), np.concatenate([x for _, _, x in out])
+            for at in range(0, len(fps), 65536):
+                yield pd.DataFrame({"leaf": leaves[at : at + 65536], "fp": fps[at : at + 65536], "home": homes[at : at + 65536]})
+
+        for pdf in batches:
+            held.append(pdf["fp"].to_numpy(np.int64))
+            if sum(map(len, held)) >= ROUTED:
+                yield from routed()
+                held = []
+        if sum(map(len, held)):
+            yield from routed()
 
     dealt = kept(distinct.select("fp").mapInPandas(deal, "leaf int, fp bigint, home boolean"))
-    # at most 2^MAX_DEPTH rows: the leaves that need more than one block
+    # the leaves that need more than one block: those of fingerprints that crowd around one point
     large = dealt.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("int")).alias("r")).where(F.col("n") > block).collect()
     one = F.lit(1)
     n_home, n_all = one, one
@@ -169,17 +188,21 @@ def links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, leaf:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node reachable. Alternating star contractions."""
     stars = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
+    digest = lambda edges: edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = digest(stars)
     for _ in range(max_rounds):
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: every larger neighbour of a node is linked to the smallest of its neighbourhood
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = kept(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        # the centre of a star has many neighbours
+        met = join_by_key(both, least.select("a", "m"), ["a"], hot_keys(least, "n", 2 * before[0]))
+        large = kept(met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # small star: a node and its smaller neighbours are linked to the smallest of them
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        stars = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(small.select("a", F.col("m").alias("b"))).distinct()
+        small = kept(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        met = join_by_key(large, small.select("a", "m"), ["a"], hot_keys(small, "n", before[0]))
+        stars = met.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(small.select("a", F.col("m").alias("b"))).distinct()
         stars = kept(stars)
-        now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = digest(stars)
         if now == before:
             break
         before = now
@@ -190,13 +213,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def grouped(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``prints`` (doc_id, fp and others) with component_id and group: a fingerprint that names the component."""
-    distinct = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    distinct = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
     roots = components(links(distinct, radius))
     linked = distinct.join(roots.union(roots.select("root", "root").distinct()), F.col("fp") == F.col("node"))
     named = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     member = linked.join(named, "root").select("fp", "component_id", F.col("root").alias("group"))
     ids = distinct.join(member, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("group", "fp").alias("group"))
-    return prints.join(ids, "fp")
+    # copies share their fingerprint: many of them are joined where they lie
+    return join_by_key(prints, ids, ["fp"], hot_keys(distinct, "n", distinct.agg(F.sum("n")).first()[0] or 0))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text") -> DataFrame:
