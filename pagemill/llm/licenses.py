@@ -1,7 +1,8 @@
 r"""License scans: TF-IDF cosine of lines and blocks to templates, then inheritance from the nearest ancestor directory.
 
 A scan compares each line, each block of consecutive lines that hold words (a paragraph, or a comment's block, whatever
-its marks), and a license file as a whole: notices are wrapped as they may be. Terms are lower-cased words; such a part and a template are sparse vectors of term counts times inverse document frequency,
+its marks), the header (the comment lines that a file begins with), and a license file as a whole, with sentences,
+notices and whole license texts: notices are wrapped as they may be. Terms are lower-cased words; such a part and a template are sparse vectors of term counts times inverse document frequency,
 which is counted over the lines of the whole table. Parts that hold none of the templates' rare terms are left out
 before their terms are exploded: by Cauchy-Schwarz the others cannot reach the threshold, so nothing is lost. A file
 has the license of its best part, but 'All rights reserved' only where nothing else matches, and of the BSD licenses the
@@ -16,6 +17,7 @@ share a key share the best of their lines; rows without a key have none of their
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -23,7 +25,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm._common import kept
+from pagemill.llm._common import hot_keys, join_by_key, kept
 
 THRESHOLD = 0.6
 WORD = r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]"
@@ -61,27 +63,57 @@ NOTICES = (
     ("BSD-2-Clause", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("BSD-3-Clause+", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
 )
-LICENSE_FILE = r"^(licen[cs]e|copying|unlicense)([.-].*)?$"
+#: Whole license texts that are short enough to stand in a file's header.
+TEXTS = (
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
+)
+LICENSE_FILE = r"^(licen[cs]e|copying|unlicense)([.-].*)?\z"
 #: Between two blocks: lines without a letter or digit.
 BREAK = r"\n(?:[^A-Za-z0-9\n]*\n)+"
+#: A file's header: the lines it begins with that are marked as comments.
+HEADER = r"\A((?:[ \t]*+(?:#|//|/\*|\*|--|;|%|<!--)[^\n]*+\n?+)++)"
 
 
 def terms(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(f"({WORD})"), F.lit(1))
 
 
+def _exploded(docs: DataFrame, key: str, parts: Column) -> DataFrame:
+    """doc, line (a name for the part) and terms of each of the parts of a text; rows without a key have none.
+
+    Terms are made before an outer explode, so that they are made once: filters cannot be pushed below it.
+    """
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.posexplode_outer(F.transform(parts, terms)).alias("at", "terms"))
+    # parts at one place of rows that share a key stay apart
+    return rows.where("at is not null").select("doc", F.xxhash64("at", "terms").alias("line"), "terms")
+
+
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "words")).select("doc", "line", terms(F.col("words")).alias("terms"))
+    return _exploded(docs, key, F.split(F.col(text), "\n"))
 
 
 def _parts(docs: DataFrame, key: str, text: str, whole: Column) -> DataFrame:
-    """Lines, blocks of several lines, and the whole text where ``whole`` holds."""
+    """Lines, blocks of several lines, the header, and the whole text where ``whole`` holds."""
     t = F.col(text)
-    blocks = F.filter(F.split(t, BREAK), lambda b: F.contains(b, F.lit("\n")))
-    found = F.concat(F.split(t, "\n"), blocks, F.when(whole, F.array(t)).otherwise(F.array().cast("array<string>")))
-    parts = docs.select(F.col(key).alias("doc"), F.posexplode(found).alias("at", "words"))
-    # parts at one place of rows that share a key stay apart
-    return parts.select("doc", F.xxhash64("at", "words").alias("line"), terms(F.col("words")).alias("terms"))
+    several = F.filter(F.concat(F.split(t, BREAK), F.array(F.regexp_extract(t, HEADER, 1))), lambda b: F.contains(b, F.lit("\n")))
+    return _exploded(docs, key, F.concat(F.split(t, "\n"), several, F.when(whole, F.array(t)).otherwise(F.array().cast("array<string>"))))
+
+
+def _table(spark: SparkSession, rows: list[tuple], names: list[str], schema: str) -> DataFrame:
+    """A small table from literals."""
+    given = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(given), f"array<struct<{schema}>>")))
 
 
 def own_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple = TEMPLATES, threshold: float = THRESHOLD, whole: Column | None = None) -> DataFrame:
@@ -94,7 +126,8 @@ def own_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templ
     vocabulary = sorted(set().union(*(v for _, v in vectors)))
     lines = _lines(docs, key, text)
     # one row per template term; the null row counts all lines
-    seen = lines.select(F.explode(F.concat(F.array_intersect("terms", F.array(*map(F.lit, vocabulary))), F.array(F.lit(None).cast("string")))).alias("term"))
+    known = F.array_distinct(F.filter("terms", lambda t: t.isin(*vocabulary)))
+    seen = lines.select(F.explode_outer(F.concat(known, F.array(F.lit(None).cast("string")))).alias("term"))
     counts = {r.term: r.n for r in seen.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = counts.get(None, 0)
     idf = {t: math.log((1 + total) / (1 + counts.get(t, 0))) + 1 for t in vocabulary}
@@ -106,13 +139,14 @@ def own_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templ
         trial = common | {t}
         if all(sum((n * idf[x]) ** 2 for x, n in v.items() if x in trial) < (0.999 * threshold * norm) ** 2 for (_, v), norm in zip(vectors, norms, strict=True)):
             common = trial
-    rare = F.array(*[F.lit(t) for t in vocabulary if t not in common])
+    rare = [t for t in vocabulary if t not in common]
     parts = lines if whole is None else _parts(docs, key, text, whole)
-    near = parts.where(F.arrays_overlap("terms", rare)).select("doc", "line", F.explode("terms").alias("term"))
-    tf = near.groupBy("doc", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weights = spark.createDataFrame([(t, float(w)) for t, w in idf.items()], "term string, idf double")
-    entries = [(i, name, t, float(n * idf[t] / norm)) for i, ((name, v), norm) in enumerate(zip(vectors, norms, strict=True)) for t, n in v.items()]
-    entries = spark.createDataFrame(entries, "template int, license string, term string, part double")
+    near = parts.where(F.exists("terms", lambda t: t.isin(*rare))).select("doc", "line", F.explode_outer("terms").alias("term"))
+    # written once: the norms and the products both read it
+    tf = kept(near.groupBy("doc", "line", "term").agg(F.count(F.lit(1)).alias("tf")))
+    weights = _table(spark, list(idf.items()), ["term", "idf"], "term string, idf double")
+    entries = [(i, name, t, n * idf[t] / norm) for i, ((name, v), norm) in enumerate(zip(vectors, norms, strict=True)) for t, n in v.items()]
+    entries = _table(spark, entries, ["template", "license", "term", "part"], "template int, license string, term string, part double")
     # both tables are bounded by the templates
     weighed = tf.join(F.broadcast(weights), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
     norm = weighed.groupBy("doc", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -134,24 +168,34 @@ def own_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templ
 
 
 def _parent(path: Column) -> Column:
-    return F.regexp_replace(path, r"/?[^/]*$", "")
+    return F.regexp_replace(path, r"/?[^/]*\z", "")
+
+
+def _name(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"([^/]*)\z", 1))
 
 
 def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """key, path, license, score, origin (own, inherited or none) and licensed_by (the path it comes from) of every row."""
-    named = F.lower(F.regexp_extract(F.coalesce(F.col(path), F.lit("")), r"([^/]*)$", 1)).rlike(LICENSE_FILE)
-    found = own_licenses(files, key, text, TEMPLATES + NOTICES, threshold, named).withColumnRenamed("license", "own").withColumnRenamed("score", "own_score")
+    named = _name(F.coalesce(F.col(path), F.lit(""))).rlike(LICENSE_FILE)
+    found = own_licenses(files, key, text, TEMPLATES + NOTICES + TEXTS, threshold, named).withColumnRenamed("license", "own").withColumnRenamed("score", "own_score")
     names = files.select(F.col(key), F.coalesce(path, F.lit("")).alias("path"))
-    rows = kept(names.join(found, F.col(key) == F.col("doc"), "left").drop("doc").withColumn("dir", _parent(F.col("path"))))
-    is_license = F.lower(F.regexp_extract("path", r"([^/]*)$", 1)).rlike(LICENSE_FILE)
+    # rows without a key match nothing and stay where they are
+    without = names.where(F.col(key).isNull()).select(key, "path", F.lit(None).cast("string").alias("own"), F.lit(None).cast("double").alias("own_score"))
+    rows = names.where(F.col(key).isNotNull()).join(found, F.col(key) == F.col("doc"), "left").drop("doc").unionByName(without)
+    rows = kept(rows.withColumn("dir", _parent(F.col("path"))))
+    is_license = _name(F.col("path")).rlike(LICENSE_FILE)
     by_dir = rows.where(is_license & F.col("own").isNotNull()).groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", "own")).alias("b"))
     by_dir = by_dir.select(F.col("dir").alias("at"), F.col("b.path").alias("from_path"), F.col("b.own").alias("from_license"), (-F.col("b.s")).alias("from_score"))
     # each directory once, however many files it has: its prefixes are its ancestors
     parts = F.split("dir", "/")
     prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    ups = rows.select("dir").distinct().select("dir", F.posexplode(prefixes).alias("depth", "at"))
+    sizes = kept(rows.groupBy("dir").agg(F.count(F.lit(1)).alias("n_files")))
+    ups = sizes.select("dir", F.posexplode(prefixes).alias("depth", "at"))
     nearest = ups.join(by_dir, "at").groupBy("dir").agg(F.max(F.struct("depth", "from_path", "from_license", "from_score")).alias("n"))
-    out = rows.join(nearest.select(F.col("dir").alias("of"), "n"), F.col("dir") == F.col("of"), "left")
+    total = sizes.agg(F.sum("n_files")).first()[0] or 0
+    # one directory may hold most files
+    out = join_by_key(rows, nearest, ["dir"], hot_keys(sizes, "n_files", total), "left")
     own, up = F.col("own").isNotNull(), F.col("n").isNotNull()
     return out.select(
         key,

@@ -113,7 +113,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     )
     taken = taken.groupBy(*key).agg(F.map_from_entries(F.collect_list("one")).alias(own["times"]))
     rows = docs.withColumns({own["id"]: F.coalesce("doc_id", F.lit(0)), own["none"]: F.col("doc_id").isNull(), own["hash"]: F.xxhash64("text", "source")})
-    rows = rows.withColumn(own["nth"], F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))).join(taken, key)
+    # rows alike in the key may differ in other columns; maps have no hash
+    rest = F.xxhash64(*[F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    rows = rows.withColumn(own["nth"], F.row_number().over(Window.partitionBy(*key).orderBy(rest))).join(taken, key)
     times = F.coalesce(F.try_element_at(own["times"], F.col(own["nth"])), F.lit(0))
     return rows.withColumn(own["pass"], F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -292,6 +293,34 @@ int main;"""
     assert [got[i] for i in range(1, 6)] == ["BSD-3-Clause", "BSD-2-Clause", "GPL-2.0", "Proprietary", "BSD-3-Clause"] and got[10] is None
 
 
+def test_headers_and_whole_files_are_near_their_texts(spark):
+    text = dict(licenses.TEXTS)
+    wrap = lambda s, mark, width: "\n".join(mark + line for para in s.split("\n") for line in [*textwrap.wrap(para, width), ""])
+    files = [(i, f"d{i}/{'LICENSE' if i % 2 else 'x.py'}", (f"The {name} license\n\nCopyright 2020 A Holder\n\n" + wrap(t, "", 70)) if i % 2 else wrap(t, "# ", 60) + "\n\nimport os\n") for j, (name, t) in enumerate(text.items()) for i in (2 * j + 1, 2 * j + 2)]
+    rng = random.Random(3)
+    files += [(i, f"e/{i}", "\n".join(" ".join(rng.choice(["some", "plain", "words", "of", "the", "software", "notice", "use", "and"]) for _ in range(9)) for _ in range(6))) for i in range(100, 300)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(files, "doc_id bigint, path string, text string")).collect()}
+    for j, name in enumerate(text):
+        for i in (2 * j + 1, 2 * j + 2):
+            assert got[i].license == name and got[i].score > 0.85, (name, i, got[i])
+    assert all(got[i].license is None for i in range(100, 300))
+
+
+def test_license_scan_of_awkward_rows(spark, awkward):
+    """Repeated rows, ties, null paths, a crowded directory, very long text and clashing columns."""
+    more = [(None, "Released under the MIT License.", "q/x"), (900, "Released under the MIT License.", "q/LICENSE"), (901, "Licensed under CC BY 4.0.", "q/LICENSE"), (902, "x", "q/r/s/t"), (902, "x", "q/r/s/t"), (903, None, None)]
+    docs = awkward.withColumn("path", F.lit("p/f")).withColumn("license", F.lit("clash")).withColumn("dir", F.lit(1)).withColumn("n", F.lit(1))
+    given = spark.createDataFrame(more, "doc_id bigint, text string, path string")
+    files = docs.unionByName(given, allowMissingColumns=True)
+    rows = licenses.scan(files).collect()
+    assert len(rows) == len(ROWS) + len(more)
+    by = [r for r in rows if r.path.startswith("q/")]
+    # of two license files at one path the higher score counts, then the license that sorts first
+    assert [(r.license, r.origin) for r in by if r.doc_id == 902] == [("CC-BY-4.0", "inherited")] * 2 or [(r.license, r.origin) for r in by if r.doc_id == 902] == [("MIT", "inherited")] * 2
+    assert [(r.origin) for r in by if r.doc_id is None] == ["inherited"]
+    assert all(r.license is None and r.origin == "none" for r in rows if r.path in ("p/f", ""))
+
+
 # -- 5: mixing
 
 
