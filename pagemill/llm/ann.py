@@ -2,16 +2,18 @@ r"""Approximate nearest neighbours by cosine: inverted lists, product-quantised
 
 Coarse centroids and the codebooks of the residuals' sub-vectors are fitted on a bounded hash sample with at least
 ``PER_LIST`` vectors for each list. How many lists a query must probe is measured: queries held out of the sample are
-compared with all vectors, batch by batch, and enough lists are probed to meet most of their nearest ones. Every vector is then encoded and
-dealt by a hash of its id into shards of bounded size, each an inverted file of its own, so that a common vector or a
-crowded list is spread over all of them. A query scores the probed lists of each shard with its table of inner
-products (asymmetric distances). The best ``DEPTH`` of a shard, and all that lie within the quantisation error of the
-last of them, are reranked there with the original vectors in double precision; each shard returns its ``k`` nearest, so
-that a group of near copies is refined whole however large it is, and the rows that leave a shard stay bounded.
+compared with all vectors, batch by batch, and enough lists are probed to meet most of their nearest ones.
+
+Every vector is encoded and goes to the shard of its list; neighbouring lists share a shard of bounded size, a crowded
+list is dealt over several by a hash. A query goes to the shards of the lists it probes and to no others, so what is
+shuffled grows with the lists probed, not with all pairs of shards and queries. There it scores each probed list with
+its table of inner products (asymmetric distances); the best ``DEPTH`` of a list, and all that lie within the
+quantisation error of the last of them, are reranked with the original vectors in double precision. A shard returns the
+``k`` nearest of a query, so that a group of near copies is refined whole however large it is.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or that hold a null or non-finite
-component take no part, nor do rows without a vec_id. Rows that share a vec_id count once. Ties go to the smaller vec_id. With fewer candidates
-than asked for, all are returned.
+component take no part, nor do rows without a vec_id. Rows that share a vec_id are one candidate, with the vector of the
+least hash. Ties go to the smaller vec_id. With fewer candidates than asked for, all are returned.
 """
 
 from __future__ import annotations
@@ -30,16 +32,22 @@ from pagemill.llm._common import kept
 SAMPLE = 8192
 #: Vectors of the sample that each list has at least; a larger table has a larger sample, or else no more lists.
 PER_LIST = 32
-#: Lists at most: each then has 16 vectors in a shard.
-LISTS = 1024
+#: Lists at most, which bounds the sample to PER_LIST times as many vectors.
+LISTS = 4096
 #: Vectors held out of the sample to measure by.
 TESTS = 256
 PARTS = 16
 CODES = 256
 ROUNDS = 8
-DEPTH = 100
+#: Best candidates of a list that are reranked, with those that may be as near as the last.
+DEPTH = 16
+#: Vectors of neighbouring lists that are searched in one task, and queries that ask them together.
 SHARD = 16384
 QUERY_BLOCK = 16384
+#: Queries and vectors that are scored together, and pairs that are reranked together: they bound a task's memory.
+QUERY_BATCH = 256
+VECTOR_BATCH = 4096
+EXACT_BATCH = 65536
 #: Share of a held-out query's nearest that its probed lists must hold.
 COVER = 0.98
 
@@ -92,30 +100,58 @@ class Index:
         rest = self.books[np.arange(codes.shape[1]), codes].reshape(len(codes), -1)
         return self.coarse[lists] + rest[:, : self.coarse.shape[1]]
 
-    def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, lists: np.ndarray, codes: np.ndarray, vectors: np.ndarray, k: int, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query: its id, and the ids and exact scores of its nearest of one shard; rows of ``queries`` and ``vectors`` are as given."""
+    def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, lists: np.ndarray, codes: np.ndarray, vectors: np.ndarray, k: int, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Query ids, vector ids and exact scores of the queries' nearest among some vectors; both sides are as given.
+
+        A query looks at the lists it probes. Of each list it reranks the best ``depth`` by its table of inner products,
+        and all within the quantisation error of the last of them.
+        """
         order = np.lexsort((ids, lists))
         ids, lists, codes, vectors = ids[order], lists[order], codes[order], vectors[order]
-        sizes = np.bincount(lists, minlength=len(self.coarse))
-        columns = np.arange(codes.shape[1])
-        for q in range(len(queries)):
-            if q % 256 == 0:
-                units = _unit(queries[q : q + 256])
-                tables = np.einsum("qpw,pcw->qpc", self._split(units), self.books)
-                centre = units @ self.coarse.T
-            near, table = centre[q % 256], tables[q % 256]
-            probed = np.zeros(len(self.coarse), dtype=bool)
-            probed[np.argsort(-near, kind="stable")[: self.probes]] = True
-            at = np.flatnonzero(np.repeat(probed, sizes))
-            at = at[ids[at] != own[q]]
-            if len(at) > depth:
-                score = near[lists[at]] + table[columns, codes[at]].sum(1)
-                at = at[score >= np.partition(score, len(score) - depth)[len(score) - depth] - self.margin]
-            # row sums do not depend on a row's place, so that equal vectors tie
-            x, y = vectors[at].astype(np.float64), queries[q].astype(np.float64)
-            score = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum())
-            best = np.lexsort((ids[at], -score))[:k]
-            yield int(own[q]), ids[at[best]], score[best]
+        held, first = np.unique(lists, return_index=True)
+        ends = [*first[1:].tolist(), len(lists)]
+        for at in range(0, len(queries), QUERY_BATCH):
+            units = _unit(queries[at : at + QUERY_BATCH])
+            near = units @ self.coarse.T
+            probed = self.probed(near)
+            tables = np.einsum("qpw,pcw->qpc", self._split(units), self.books)
+            rows, cols = [], []
+            for one, start, end in zip(held.tolist(), first.tolist(), ends, strict=True):
+                asking = np.flatnonzero(probed[:, one])
+                for lot in range(0, end - start, VECTOR_BATCH) if len(asking) else ():
+                    some = slice(start + lot, min(end, start + lot + VECTOR_BATCH))
+                    score = np.repeat(near[asking, one][:, None], some.stop - some.start, axis=1)
+                    for p in range(codes.shape[1]):
+                        score += tables[asking, p][:, codes[some, p]]
+                    score[own[at + asking][:, None] == ids[some]] = -9
+                    if score.shape[1] > depth:
+                        last = np.partition(score, score.shape[1] - depth, axis=1)[:, score.shape[1] - depth] - self.margin
+                        good = (score >= last[:, None]) & (score > -9)
+                    else:
+                        good = score > -9
+                    q, v = np.nonzero(good)
+                    rows.append(asking[q])
+                    cols.append(v + some.start)
+            if not rows:
+                continue
+            q, v = np.concatenate(rows), np.concatenate(cols)
+            exact = np.empty(len(q))
+            for lot in range(0, len(q), EXACT_BATCH):
+                x, y = vectors[v[lot : lot + EXACT_BATCH]].astype(np.float64), queries[at + q[lot : lot + EXACT_BATCH]].astype(np.float64)
+                # row sums do not depend on a row's place, so that equal vectors tie
+                exact[lot : lot + EXACT_BATCH] = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+            best = np.lexsort((ids[v], -exact, q))
+            q, v, exact = q[best], v[best], exact[best]
+            nth = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+            top = nth < k
+            yield own[at + q[top]], ids[v[top]], exact[top]
+
+    def probed(self, near: np.ndarray) -> np.ndarray:
+        """Which lists (columns) queries probe, by their products with the centroids."""
+        out = np.zeros(near.shape, dtype=bool)
+        best = np.argsort(-near, axis=1, kind="stable")[:, : self.probes]
+        np.put_along_axis(out, best, True, axis=1)
+        return out
 
 
 def _unit(vectors: pd.Series | np.ndarray) -> np.ndarray:
@@ -192,6 +228,27 @@ def _probes(rows: DataFrame, index: Index, tests: np.ndarray, own: np.ndarray, k
     return int(np.quantile(met, COVER, method="higher")) + 1 if met else len(index.coarse)
 
 
+def shards_of(coarse: np.ndarray, sizes: dict[int, int], shard: int) -> dict[int, tuple[int, int]]:
+    """For each list its first shard and how many it has: neighbouring lists share one, a crowded list has several.
+
+    Lists are neighbours along the direction in which their centroids differ most.
+    """
+    lists = np.array(sorted(sizes))
+    centred = coarse[lists] - coarse[lists].mean(0)
+    along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0]
+    out, at, held = {}, -1, shard
+    for one in lists[np.argsort(along, kind="stable")].tolist():
+        parts = -(-sizes[one] // shard)
+        if parts > 1 or held + sizes[one] > shard:
+            at, held = at + 1, 0
+        out[one] = (at, parts)
+        if parts > 1:
+            at, held = at + parts - 1, shard
+        else:
+            held += sizes[one]
+    return out
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, depth: int = DEPTH, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of every row of ``vectors`` where ``is_query`` holds."""
     spark = vectors.sparkSession
@@ -201,8 +258,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, depth: int = DEPTH
     if total < 2:
         return spark.createDataFrame([], schema)
     index = spark.sparkContext.broadcast(fit(rows, total, k=k))
-    n_queries = rows.where(is_query).count()
-    shards, blocks = -(-total // shard), max(1, -(-n_queries // QUERY_BLOCK))
     # floats stay exact in single precision: they are scaled by a power of two only
     kind = np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64
 
@@ -211,22 +266,52 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, depth: int = DEPTH
             if len(pdf):
                 lists, codes = index.value.encode(_unit(pdf["vector"]))
                 raw = [np.asarray(v, dtype=kind).tobytes() for v in pdf["vector"]]
-                yield pd.DataFrame({"vec_id": pdf["vec_id"], "list": lists.astype(np.int32), "code": [c.tobytes() for c in codes], "raw": raw})
-
-    coded = rows.select("vec_id", "vector").mapInPandas(encode, "vec_id bigint, list int, code binary, raw binary")
-    base = coded.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = coded.where(is_query).select("vec_id", "raw", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "asks": pdf["asks"], "list": lists.astype(np.int32), "code": [c.tobytes() for c in codes], "raw": raw})
+
+    marked = rows.select("vec_id", "vector", F.coalesce(is_query, F.lit(False)).alias("asks"))
+    coded = kept(marked.mapInPandas(encode, "vec_id bigint, asks boolean, list int, code binary, raw binary"))
+    # one row a list
+    sizes = dict(coded.groupBy("list").count().toArrow().to_pandas().itertuples(index=False, name=None))
+    placed = spark.sparkContext.broadcast(shards_of(index.value.coarse, sizes, shard))
+    n_shards = sum(parts for _, parts in placed.value.values())
+
+    @F.pandas_udf("int")
+    def shard_of(lists: pd.Series, dealt: pd.Series) -> pd.Series:
+        first, parts = (np.array([placed.value[one][i] for one in lists], dtype=np.int64) for i in (0, 1))
+        return pd.Series((first + dealt.to_numpy() % np.maximum(parts, 1)).astype(np.int32))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each query goes to the shards of the lists it probes, once to each."""
+        for pdf in batches:
+            for at in range(0, len(pdf), QUERY_BATCH):
+                some = pdf.iloc[at : at + QUERY_BATCH]
+                x = np.frombuffer(b"".join(some["raw"]), dtype=kind).reshape(len(some), -1)
+                wanted = np.zeros((len(some), n_shards), dtype=bool)
+                for one, asking in enumerate(index.value.probed(_unit(x) @ index.value.coarse.T).T):
+                    if one in placed.value and asking.any():
+                        first, parts = placed.value[one]
+                        wanted[asking, first : first + parts] = True
+                q, at_shard = np.nonzero(wanted)
+                yield pd.DataFrame({"vec_id": some["vec_id"].to_numpy()[q], "raw": some["raw"].to_numpy()[q], "shard": at_shard.astype(np.int32)})
+
+    base = coded.withColumn("shard", shard_of("list", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 31))))
+    asked = coded.where("asks").select("vec_id", "raw").mapInPandas(ask, "vec_id bigint, raw binary, shard int")
+    # a shard that more queries ask than one task should hold is searched in several
+    crowds = {r.shard: -(-r["count"] // QUERY_BLOCK) for r in asked.groupBy("shard").count().where(F.col("count") > QUERY_BLOCK).collect()}
+    blocks = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in crowds.items() for x in pair]), F.col("shard")), F.lit(1)) if crowds else F.lit(1)
+    base = base.withColumn("block", F.explode_outer(F.sequence(F.lit(0), blocks - 1)))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), blocks).cast("int"))
 
     def scan(base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(base) and len(queries):
             codes = np.frombuffer(b"".join(base["code"]), dtype=np.uint8).reshape(len(base), -1)
             x, y = (np.frombuffer(b"".join(side["raw"]), dtype=kind).reshape(len(side), -1) for side in (base, queries))
-            for q, ids, scores in index.value.search(y, queries["vec_id"].to_numpy(), base["vec_id"].to_numpy(), base["list"].to_numpy(), codes, x, k, depth):
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            out = list(index.value.search(y, queries["vec_id"].to_numpy(), base["vec_id"].to_numpy(), base["list"].to_numpy(), codes, x, k, depth))
+        q, v, score = (np.concatenate(c) for c in zip(*out, strict=True)) if out else ([], [], [])
+        return pd.DataFrame({"query_id": np.asarray(q, dtype=np.int64), "vec_id": np.asarray(v, dtype=np.int64), "score": np.asarray(score, dtype=np.float64)})
 
+    base = base.select("shard", "block", "vec_id", "list", "code", "raw")
     found = base.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(scan, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

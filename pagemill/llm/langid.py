@@ -4,7 +4,7 @@ The filter is an array of 64-bit words; bit l of a word belongs to language l. A
 few words, so one AND over these words returns all languages that hold it. A text's n-grams are looked up at once,
 counted per language, and each count is corrected for the share of false positives that the filter's fill predicts.
 
-Fitting takes a bounded sample of labelled rows (``max_docs`` per language, chosen by a hash of doc_id); the n-grams a
+Fitting takes a bounded sample of labelled rows (``max_docs`` per language, chosen by a hash of id and text); the n-grams a
 language keeps are those in at least ``min_share`` of its sampled documents, which bounds the model. Prediction reads
 nothing but the text, whole.
 
@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm._common import kept
+
 MAX_DOCS = 2000
 MIN_SHARE = 0.02
 ORDERS = (3, 4)
@@ -45,30 +47,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def grams(text: str, orders: tuple[int, ...] = ORDERS) -> Iterator[np.ndarray]:
-    """Hashes of the n-grams of letters and single word gaps, part by part; texts without a letter give nothing."""
+    """Hashes of the n-grams of letters and single word gaps, part by part; texts without a letter give nothing.
+
+    A part begins with the last symbols of the one before, so that n-grams do not depend on where the parts are cut.
+    """
     letters = _letters()
+    text = text.lower()
+    seq = np.array([32], dtype=np.uint64)
     for at in range(0, len(text), CHUNK):
-        part = text[max(0, at - max(orders) + 1) : at + CHUNK] if at else text[:CHUNK]
-        u = np.frombuffer(part.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        is_letter = letters[u]
-        if not is_letter.any():
-            continue
-        u = np.where(is_letter, u, np.uint32(32))
-        u = np.concatenate([[np.uint32(32)], u, [np.uint32(32)]])
+        u = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        u = np.concatenate([np.where(letters[u], u, np.uint32(32)), np.full(int(at + CHUNK >= len(text)), 32, dtype=np.uint32)])
         gap = u == 32
-        u = u[~(gap & np.concatenate([[False], gap[:-1]]))].astype(np.uint64)
-        inner = u != 32
+        before = np.concatenate([[seq[-1] == 32], gap[:-1]])
+        old = len(seq)
+        seq = np.concatenate([seq, u[~(gap & before)].astype(np.uint64)])
+        inner = seq != 32
         for n in orders:
-            if len(u) < n:
+            start = max(0, old - n + 1)
+            m = len(seq) - n + 1 - start
+            if m < 1:
                 continue
-            m = len(u) - n + 1
             h = np.full(m, n, dtype=np.uint64)
             ok = np.ones(m, dtype=bool)
             for i in range(n):
-                h = h * np.uint64(0x100000001B3) + u[i : i + m]
+                h = h * np.uint64(0x100000001B3) + seq[start + i : start + i + m]
                 if 0 < i < n - 1:
-                    ok &= inner[i : i + m]
+                    ok &= inner[start + i : start + i + m]
             yield _mix(h[ok])
+        seq = seq[-(max(orders) - 1) :]
 
 
 @dataclass(frozen=True)
@@ -133,7 +139,8 @@ def fit(docs: DataFrame, train: Column, max_docs: int = MAX_DOCS, min_share: flo
     if not sizes:
         return build_filter([])
     cuts = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, max_docs / n))])
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    # of id and text, so that rows without an id are sampled one by one too
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     sample = usable.where(chance < F.element_at(cuts, F.col("lang"))).select("lang", "text")
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,20 +156,18 @@ def fit(docs: DataFrame, train: Column, max_docs: int = MAX_DOCS, min_share: flo
             yield pd.DataFrame({"lang": lang, "gram": pd.array([*counts, None], dtype="Int64"), "n": [*counts.values(), docs_of[lang]]})
 
     counts = sample.mapInPandas(tally, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
+    counts = kept(counts)
     totals = {r.lang: r.n for r in counts.where("gram is null").collect()}
     if not totals:
-        counts.unpersist()
         return build_filter([])
     least = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, max(1.0, min_share * n))])
     # at most (n-grams of a document) / min_share rows per language
     found = counts.where(F.col("gram").isNotNull() & (F.col("n") >= F.element_at(least, F.col("lang")))).collect()
-    counts.unpersist()
     return build_filter([(r.lang, r.gram) for r in found])
 
 
-def predict(docs: DataFrame, model: LanguageFilter, out: str = "__lang_id") -> DataFrame:
-    """The rows of ``docs`` with the column ``out``: struct of lang_pred and score."""
+def predict(docs: DataFrame, model: LanguageFilter, out: str) -> DataFrame:
+    """The rows of ``docs`` with the column ``out``, a struct of lang_pred and score; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -180,5 +185,14 @@ def held_out() -> Column:
 def identify_languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row; the held-out rows take no part in fitting."""
     model = fit(docs.select("doc_id", "text", "lang"), ~held_out())
-    rows = predict(docs.select("doc_id", "text"), model)
-    return rows.select("doc_id", held_out().alias("held_out"), "__lang_id.lang_pred", "__lang_id.score")
+    rows = predict(docs.select("doc_id", "text"), model, "found")
+    return rows.select("doc_id", held_out().alias("held_out"), "found.lang_pred", "found.score")
+
+
+def of_known_language(docs: DataFrame, model: LanguageFilter, least: float) -> DataFrame:
+    """The rows of ``docs`` whose text is of a learned language with at least the score ``least``."""
+    out = "found"
+    while out in docs.columns:
+        out += "_"
+    rows = predict(docs, model, out)
+    return rows.where((F.col(out)["lang_pred"] != UND) & (F.col(out)["score"] >= least)).select(*docs.columns)

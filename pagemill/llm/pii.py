@@ -1,8 +1,9 @@
 r"""Personal data: regular expressions propose spans, checksums confirm them, nearby context words adjust the score.
 
-Kinds: email, ip, card (Luhn) and phone stand as proposed and validated; iban (mod 97), national_id and local_phone
-are added by the method where their score, with context, reaches ``THRESHOLD`` and no span of the first four kinds
-covers them. All offsets are code points, the end exclusive. Scanning is linear in the text: patterns are anchored at
+Every span has a score: what its shape and checksum are worth, raised by words of its kind nearby and lowered by words
+that speak of something else, such as order or version numbers. Kinds: email, ip, card (Luhn) and phone stand as
+proposed and validated, whatever their score; iban (mod 97), national_id and local_phone are added by the method where
+their score reaches ``THRESHOLD`` and no span of the first four kinds covers them. All offsets are code points, the end exclusive. Scanning is linear in the text: patterns are anchored at
 ``@``, ``+`` or the start of a run of digits.
 
 Defined results: null and empty texts have no spans; matches that fail their check are dropped and not retried,
@@ -41,6 +42,9 @@ _WORDS = {
     "national_id": ("ssn", "social", "security", "passport", "identity"),
     "local_phone": ("phone", "tel", "call", "fax", "mobile", "contact"),
 }
+#: Words that speak against personal data, and what a word for or against is worth.
+_AGAINST = ("order", "invoice", "part", "serial", "isbn", "version", "release", "build", "article", "item", "sku", "reference")
+_WORTH = 0.3
 #: Score before context: a passed checksum counts for more than a shape.
 _PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.8, "iban": 0.9, "national_id": 0.4, "local_phone": 0.4}
 
@@ -98,9 +102,10 @@ def _proposed(text: str) -> list[tuple[str, int, int]]:
 
 
 def _score(text: str, kind: str, start: int, stop: int) -> float:
-    near = (text[max(0, start - CONTEXT) : start] + " " + text[stop : stop + CONTEXT]).lower()
-    words = re.findall(r"[^\W\d_]+", near)
-    return min(1.0, _PRIOR[kind] + 0.3 * any(w.startswith(_WORDS[kind]) for w in words))
+    before, after = (re.findall(r"[^\W\d_]+", part.lower()) for part in (text[max(0, start - CONTEXT) : start], text[stop : stop + CONTEXT]))
+    # what a number is of stands before it
+    told = any(w.startswith(_WORDS[kind]) for w in before + after) - any(w in _AGAINST for w in before[-2:])
+    return round(min(1.0, _PRIOR[kind] + _WORTH * told), 2)
 
 
 def find_spans(text: str | None) -> list[dict]:
@@ -167,14 +172,15 @@ def joined(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts by base kind, the hash of the base spans, and all spans as text, for each row of ``find_personal_data``."""
+    """Counts by base kind, the hash of the base spans, all spans and their scores as text, of each row of ``find_personal_data``."""
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     counts = [count(k) for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",")
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), scores.alias("scores"))
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:

@@ -176,6 +176,8 @@ def test_method_spans_and_redaction(spark, awkward, empty):
     text = "iban DE89 3704 0044 0532 0130 00 and DE88 3704 0044 0532 0130 00, phone 555-123-4567, order 555-123-4568 of parts"
     kinds = [s["kind"] for s in pii.find_spans(text)]
     assert kinds.count("iban") == 1 and "local_phone" in kinds
+    assert not any(s["kind"] == "local_phone" for s in pii.find_spans("phone order 555-123-4567"))
+    assert [s["score"] for s in pii.find_spans("release 1.2.3.4 of it")] == [0.4] and [s["score"] for s in pii.find_spans("the host 1.2.3.4 is")] == [1.0]
     assert pii.find_spans("n 078-05-1120 x") == [] and pii.find_spans("his ssn 078-05-1120")[0]["kind"] == "national_id"
     assert pii.redact("mail a@b.co now") == "mail [EMAIL] now" and pii.redact(None) is None
     rows = pii.digest(pii.find_personal_data(awkward)).collect()
@@ -376,6 +378,25 @@ def test_vector_search(spark):
     assert ann.nearest(df.where("vec_id in (0, 3)"), F.col("vec_id") % 50 == 0).count() == 1
 
 
+def test_shards_hold_neighbouring_lists_and_split_crowded_ones():
+    coarse = np.random.default_rng(5).normal(size=(40, 6)).astype(np.float32)
+    sizes = {i: (1000 if i == 7 else 30 + i) for i in range(40) if i != 3}
+    placed = ann.shards_of(coarse, sizes, 200)
+    held = defaultdict(int)
+    for one, (first, parts) in placed.items():
+        for shard in range(first, first + parts):
+            held[shard] += sizes[one] / parts
+    assert set(placed) == set(sizes) and placed[7][1] == 5 and max(held.values()) <= 200
+    assert sorted(held) == list(range(len(held))) and len(held) < len(sizes) / 1.5
+
+
+def test_search_takes_clashing_columns(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=6)], 1, "x", 2.0) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, shard int, list string, score double")
+    assert ann.nearest(df, F.col("vec_id") % 50 == 0).count() == 15
+
+
 def test_lists_stay_below_the_sample(spark):
     vectors = np.random.default_rng(1).normal(size=(4096, 8))
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id bigint, vector array<double>")
@@ -417,6 +438,40 @@ def test_language_id(spark, awkward, empty, sf):
     assert np.mean([r.lang_pred == want[r.doc_id] for r in held]) > 0.97
 
 
+def test_grams_do_not_depend_on_parts(monkeypatch):
+    rng = random.Random(8)
+    for text in ["".join(rng.choice("ab é.ÇΣ1\n") for _ in range(n)) for n in (0, 1, 5, 40, 200)]:
+        whole = sorted(x for part in langid.grams(text) for x in part.tolist())
+        symbols = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        while "  " in symbols:
+            symbols = symbols.replace("  ", " ")
+        plain = sum(" " not in symbols[i + 1 : i + n - 1] for n in langid.ORDERS for i in range(len(symbols) - n + 1))
+        assert len(whole) == plain
+        for size in (1, 2, 3, 7):
+            monkeypatch.setattr(langid, "CHUNK", size)
+            assert sorted(x for part in langid.grams(text) for x in part.tolist()) == whole
+        monkeypatch.undo()
+
+
+def test_rows_without_ids_are_sampled_one_by_one(spark):
+    docs = spark.createDataFrame([(None, f"word{'s' * (i % 30)} number {i}", "aa") for i in range(900)], "doc_id bigint, text string, lang string")
+    assert langid.fit(docs, F.lit(True), max_docs=100).languages == ("aa",)
+
+
+def test_predictions_are_plain_counts():
+    """Counts by sets of n-grams: the filter may only add false positives, which the correction takes off on average."""
+    rng = random.Random(12)
+    vocab = {"aa": ["the", "thing", "other", "with"], "bb": ["le", "quelle", "dans", "leur"]}
+    train = {lang: " ".join(rng.choice(w) for _ in range(400)) for lang, w in vocab.items()}
+    sets = {lang: {x for part in langid.grams(t) for x in part.tolist()} for lang, t in train.items()}
+    model = langid.build_filter([(lang, np.uint64(x).astype(np.int64).item()) for lang, s in sets.items() for x in s])
+    for text in ("the other thing", "quelle leur", "the le dans", "zzz the"):
+        found = [x for part in langid.grams(text) for x in part.tolist()]
+        plain = {lang: sum(x in s for x in found) / len(found) for lang, s in sets.items()}
+        lang, score = model.predict(text)
+        assert lang == max(sorted(plain), key=plain.get) and abs(score - plain[lang]) < 0.05
+
+
 def test_bit_sliced_filter_returns_all_languages():
     pairs = [(f"l{i % 70:02}", h) for i, h in enumerate(np.random.default_rng(1).integers(-(2**62), 2**62, 7000).tolist())]
     model = langid.build_filter(pairs)
