@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagemill.llm import langid, mixing, packing, pii, simhash
 from pagemill.llm._common import kept
@@ -14,10 +13,8 @@ LEAST_SCORE = 0.2
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a learned language. Null and letterless texts go."""
-    cols = docs.columns
     model = langid.fit(docs.select("doc_id", "text", "lang"), ~langid.held_out())
-    rows = langid.predict(docs, model)
-    return rows.where((F.col("__lang_id.lang_pred") != langid.UND) & (F.col("__lang_id.score") >= LEAST_SCORE)).select(*cols)
+    return langid.of_known_language(docs, model, LEAST_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
