@@ -19,7 +19,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -29,10 +29,13 @@ from pyspark.sql import functions as F
 TRAINING_PAGES = 1200
 SEED = 20
 
-_TAG = re.compile(r"""<(?:!--(?:.*?-->|.*)|([!?/]?)([a-zA-Z][^\s/>]*+)?((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|([!?/]?)([a-zA-Z][^\s/>]*+)([^>]*+)>)""", re.S)
+_TAG = re.compile(r"""<(?:!--(?:-?>|.*?--!?>|.*)|([!?/]?)([a-zA-Z][^\s/>]*+)?((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|([!?/]?)([a-zA-Z][^\s/>]*+)([^>]*+)>)""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
-_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "noscript", "iframe", "template", "title", "xmp", "noframes")}
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "noscript", "iframe", "template", "title", "xmp", "noframes", "svg", "video", "audio", "canvas", "object")}
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Words whose use in a short text may tell what its block is; what they tell is learned.
+_TOLD = frozenset("comment comments reply replies responses related share follow subscribe newsletter advertisement sponsored cookies cookie tags menu search login popular trending recommended discussion".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _KINDS = {
     "article": "main", "main": "main", "nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form",
@@ -57,14 +60,19 @@ class Page:
     label: list[bool] = field(default_factory=list)
 
 
-def _run_cues(text: str, linked: int) -> list[str]:
+def _run_cues(text: str, linked: int, within: str) -> list[str]:
+    """What a run's form says; headings and items are short and open wherever they stand, so theirs says so apart."""
+    place = f"{within}:" if within in ("item", "cell", "h1", "h") else ""
     n = len(text)
     share = linked / n
+    lower = text.lower() if n < 400 else ""
+    told = _TOLD.intersection(_WORD.findall(lower)) if n < 40 and text.count(" ") < 3 else ()
     return [
-        f"len{min(9, n.bit_length())}",
+        f"{place}len{min(9, n.bit_length())}",
         "links0" if not linked else "links1" if share < 0.4 else "links2" if share < 0.9 else "links3",
-        "ends" if text[-1] in ".!?…:;\"'" else "open",
-        *(["mark"] if text[0] in "©|»›" or "©" in text else []),
+        place + ("ends" if text[-1] in ".!?…:;\"'" else "open"),
+        *(["mark"] if text[0] in "©|»›" or "©" in text or lower.startswith("copyright") or "all rights reserved" in lower else []),
+        *(f"told:{w}" for w in sorted(told)),
     ]
 
 
@@ -93,7 +101,7 @@ def parse(source: str) -> Page:
         text = " ".join("".join(run).split())
         if text:
             # a text that repeats on its page is no further evidence: its node goes with its parent
-            node("text", [] if text in seen else _run_cues(text, min(linked[0], len(text))), text, "")
+            node("text", [] if text in seen else _run_cues(text, min(linked[0], len(text)), kind[stack[-1][1]] if stack else "root"), text, "")
             seen.add(text)
         run.clear()
         linked[0] = 0
@@ -150,14 +158,14 @@ def parse(source: str) -> Page:
             if what not in ("p", "item", "row", "cell") and stack and kind[stack[-1][1]] == "p" and stack[-1][0] == "p":
                 stack.pop()
             found, label = [], ""
-            if rest and "=" in rest:
+            if rest:
                 for a in _ATTR.finditer(rest):
-                    name = a[1].lower()
+                    name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                     if name in ("class", "id", "role", "itemprop"):
-                        found += _WORD.findall((a[2] or a[3] or a[4] or "").lower())
+                        found += _WORD.findall(value.lower())
                     elif name == "data-content":
-                        label = a[2] or ""
-                    elif name == "hidden":
+                        label = value
+                    elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
                         found.append("hidden")
             i = node(what, found, None, label)
             if not rest.endswith("/") or tag not in _VOID:
@@ -232,7 +240,7 @@ def train(pages: Iterable[str], smooth: float = 0.5) -> TreeModel:
     edge = {k: (odds(c[False, True], c[False, False]), odds(c[True, True], c[True, False])) for k, c in edges.items()}
     known = {}
     for c in cues[True].keys() | cues[False].keys():
-        group = "text" if re.match(r"len\d|links\d|ends$|open$|mark$", c) else "element"
+        group = "text" if re.match(r"(\w+:)?(len\d|ends$|open$)|links\d|mark$|told:", c) else "element"
         known[c] = odds(cues[True][c], cues[False][c]) - odds(nodes[group, True], nodes[group, False])
     return TreeModel(edge, known, -5.0)
 
@@ -262,38 +270,127 @@ def _links(rng: random.Random, low: int = 2, high: int = 8) -> str:
     return "<ul>" + "".join(f'<li><a href="/{w}">{w}</a></li>' for w in _words(rng, low, high)) + "</ul>"
 
 
+def _unknown(rng: random.Random) -> str:
+    """An attribute that says nothing, or none: pages often have such."""
+    name = f"{rng.choice('bcdgjkqvwxz')}{rng.randint(1, 99)}"
+    return rng.choice(("", f' class="{name}"', f' id="{name}"'))
+
+
 def _box(rng: random.Random, names: str, inner: str, tags: str = "div div section aside") -> str:
     tag, name = rng.choice(tags.split()), rng.choice(names.split())
-    attr = rng.choice(("class", "class", "class", "id")) if name != "-" else ""
-    return f'<{tag}{f" {attr}={chr(34)}{name}{chr(34)}" if attr else ""} data-content="no">{inner}</{tag}>'
+    return f'<{tag} {rng.choice(("class", "class", "class", "id"))}="{name}" data-content="no">{inner}</{tag}>'
+
+
+def _plain(rng: random.Random, n: int) -> str:
+    return "".join(f"<p>{_prose(rng)}</p>" for _ in range(n))
+
+
+def _said(rng: random.Random) -> str:
+    """What a reader says, in one of many forms."""
+    shape = rng.choice(('<div class="comment"><p>{}</p></div>', '<li class="comment"><b>ann</b> {}</li>', "<p>{}</p>", "<p><b>bob</b>: {}</p>", '<div class="reply">{}</div>', "<blockquote>{}</blockquote>", "<div>{}</div>"))
+    return "".join(shape.format(_prose(rng)) for _ in range(rng.randint(1, 4)))
+
+
+def _told(rng: random.Random, words: str) -> str:
+    """A heading of a block, which says what the block is."""
+    tag, text = rng.choice(("h2", "h3", "h4", "p", "div")), rng.choice(words.split())
+    text = rng.choice((text.capitalize(), f"{rng.randint(1, 40)} {text}", f"{text.capitalize()} {_words(rng, 1, 1)[0]}"))
+    return f"<{tag}>{text}</{tag}>"
+
+
+def _rows_of_links(rng: random.Random) -> str:
+    return rng.choice(" | , · ".split(" ")).join(f'<a href="/{w}">{" ".join(_words(rng, 1, 3))}</a>' for w in _words(rng, 2, 6))
+
+
+def _advert(rng: random.Random) -> str:
+    inner = rng.choice((_sentence(rng), _plain(rng, 1), f'<a href="/x">{_sentence(rng)}</a>'))
+    return _box(rng, "ad ads advert advertisement banner-ad sponsored promo promotion sponsor ad-slot adbox", inner, "div div div aside section")
+
+
+def _sidebar(rng: random.Random) -> str:
+    inner = rng.choice((_links(rng), f"<h3>{_sentence(rng, 1, 3)}</h3>{_links(rng)}", _plain(rng, 1), f"<h2>{_sentence(rng, 1, 3)}</h2>{_plain(rng, 1)}"))
+    return _box(rng, "sidebar side-bar side related related-posts widget widgets popular trending recommended more-stories toc", inner, "aside aside div section")
+
+
+def _comments(rng: random.Random) -> str:
+    head = f"<h2>{_sentence(rng, 1, 3)}</h2>" * rng.randint(0, 1)
+    return _box(rng, "comments comment-list reader-comments discussion responses replies user-comments disqus_thread comment-thread respond", head + _said(rng), "section section div div aside ol")
+
 
+def _notice(rng: random.Random) -> str:
+    inner = rng.choice((_plain(rng, 1), _sentence(rng), f"{_sentence(rng)} <button>{_words(rng, 1, 2)[0]}</button>"))
+    return _box(rng, "notice cookie-notice cookie cookies consent alert gdpr cookie-banner privacy-notice warning popup modal overlay newsletter subscribe paywall disclaimer", inner, "div div section aside")
 
-def _boilerplate(rng: random.Random) -> str:
+
+def _form(rng: random.Random) -> str:
+    name = rng.choice(("search", "signup", "login", "newsletter", "contact-form"))
+    return f'<form data-content="no" class="{name}"><label>{_sentence(rng, 1, 3)}</label><input name="q"><select><option>{_words(rng, 1, 1)[0]}</option></select><button>{_words(rng, 1, 1)[0]}</button>{_plain(rng, rng.randint(0, 1))}</form>'
+
+
+def _meta(rng: random.Random) -> str:
+    return _box(rng, "share social social-links breadcrumb breadcrumbs tags pagination pager menu navbar nav-links author-bio byline meta post-meta", rng.choice((_links(rng), _rows_of_links(rng), _sentence(rng, 1, 4))), "div div ul section")
+
+
+def _unnamed(rng: random.Random) -> str:
+    """Boxes without a telling name: what they hold must tell."""
+    inner = (
+        _told(rng, "comments comment replies responses discussion") + _said(rng),
+        _told(rng, "related popular trending recommended") + _links(rng),
+        _told(rng, "share follow tags menu") + _rows_of_links(rng),
+        _told(rng, "subscribe newsletter advertisement sponsored cookies") + _plain(rng, 1),
+        _rows_of_links(rng),
+        _links(rng, 3, 9),
+    )
+    tag = rng.choice(("div", "div", "section"))
+    return f'<{tag}{_unknown(rng)} data-content="no">{rng.choice(inner)}</{tag}>'
+
+
+def _unseen(rng: random.Random) -> str:
+    """Boxes that the page hides."""
+    how = rng.choice((" hidden", ' style="display:none"', ' style="color:red; visibility: hidden"', ' aria-hidden="true"'))
+    tag = rng.choice(("div", "div", "section"))
+    return f'<{tag}{_unknown(rng)}{how} data-content="no">{rng.choice((_prose(rng), _plain(rng, 2)))}</{tag}>'
+
+
+def _by_role(rng: random.Random) -> str:
+    role, inner = rng.choice((("navigation", _links(rng)), ("contentinfo", _prose(rng)), ("complementary", _plain(rng, 1)), ("banner", _sentence(rng, 1, 4)), ("search", _sentence(rng, 1, 3)), ("alert", _sentence(rng))))
+    return f'<div role="{role}" data-content="no">{inner}</div>'
+
+
+#: Kinds of blocks that are not main text, by name.
+FAMILIES = {
+    "nav": lambda rng: f'<nav data-content="no">{_links(rng)}</nav>',
+    "advert": _advert,
+    "sidebar": _sidebar,
+    "comments": _comments,
+    "notice": _notice,
+    "form": _form,
+    "meta": _meta,
+    "aside": lambda rng: f'<aside data-content="no">{rng.choice((_plain(rng, 1), _links(rng), _sentence(rng)))}</aside>',
+    "raw": lambda rng: rng.choice(("<script>var a='</p>';</script>", "<style>p{margin:0}</style>", "<noscript>turn it on</noscript>", "<svg><text>drawn</text></svg>", "<!-->", "<!-- a -- b --!>")),
+    "unnamed": _unnamed,
+    "unseen": _unseen,
+    "role": _by_role,
+}
+
+
+def _boilerplate(rng: random.Random, families: Sequence[str]) -> str:
     """One block that is not main text, marked so."""
-    p = lambda n: "".join(f"<p>{_prose(rng)}</p>" for _ in range(n))
-    kind = rng.randrange(9)
-    if kind == 0:
-        return f'<nav data-content="no">{_links(rng)}</nav>'
-    if kind == 1:
-        return _box(rng, "ad ads advert advertisement banner-ad sponsored promo promotion sponsor ad-slot adbox", rng.choice((_sentence(rng), p(1), f'<a href="/x">{_sentence(rng)}</a>')), "div div div aside section")
-    if kind == 2:
-        return _box(rng, "sidebar side-bar side related related-posts widget widgets popular trending recommended more-stories toc", rng.choice((_links(rng), f"<h3>{_sentence(rng, 1, 3)}</h3>{_links(rng)}", p(1), f"<h2>{_sentence(rng, 1, 3)}</h2>{p(1)}")), "aside aside div section")
-    if kind == 3:
-        shape = rng.choice(('<div class="comment"><p>{}</p></div>', '<li class="comment"><b>ann</b> {}</li>', "<p>{}</p>", "<p><b>bob</b>: {}</p>", '<div class="reply">{}</div>', "<blockquote>{}</blockquote>"))
-        body = "".join(shape.format(_prose(rng)) for _ in range(rng.randint(1, 4)))
-        return _box(rng, "comments comment-list reader-comments discussion responses replies user-comments", f"<h2>{_sentence(rng, 1, 3)}</h2>" * rng.randint(0, 1) + body, "section section div div aside ol")
-    if kind == 4:
-        return _box(rng, "notice cookie-notice cookie cookies consent alert gdpr cookie-banner privacy-notice warning popup modal overlay newsletter subscribe paywall disclaimer", rng.choice((p(1), _sentence(rng), f"{_sentence(rng)} <button>{_words(rng, 1, 2)[0]}</button>")), "div div section aside")
-    if kind == 5:
-        return f'<form data-content="no" class="{rng.choice(("search", "signup", "login", "newsletter", "contact-form"))}"><label>{_sentence(rng, 1, 3)}</label><input name="q"><select><option>{_words(rng, 1, 1)[0]}</option></select><button>{_words(rng, 1, 1)[0]}</button>{p(rng.randint(0, 1))}</form>'
-    if kind == 6:
-        return _box(rng, "share social social-links breadcrumb breadcrumbs tags pagination pager menu navbar nav-links author-bio byline meta post-meta", rng.choice((_links(rng), " | ".join(f'<a href="/{w}">{w}</a>' for w in _words(rng, 2, 5)), _sentence(rng, 1, 4))), "div div ul section")
-    if kind == 7:
-        return f'<aside data-content="no">{rng.choice((p(1), _links(rng), _sentence(rng)))}</aside>'
-    return rng.choice(("<script>var a='</p>';</script>", "<style>p{margin:0}</style>", "<noscript>turn it on</noscript>"))
-
-
-def _article(rng: random.Random) -> str:
+    return FAMILIES[rng.choice(families)](rng)
+
+
+def _foot(rng: random.Random) -> str:
+    mark = rng.choice(("&copy; ", "Copyright 2020 ", "Copyright ", "© "))
+    said = rng.choice((f"{mark}{_prose(rng)}", f"<p>{mark}{_sentence(rng, 1, 4)}</p>", f"{_sentence(rng, 1, 5)} All rights reserved."))
+    return rng.choice((
+        f'<footer data-content="no">{rng.choice(("&copy; ", "", "<p>"))}{_prose(rng)}</footer>',
+        f'<footer data-content="no">{rng.choice(("&copy; ", "", "<p>"))}{_prose(rng)}</footer>',
+        _box(rng, "footer site-footer foot copyright", _prose(rng), "div"),
+        f'<div{_unknown(rng)} data-content="no">{said}</div>',
+    ))
+
+
+def _article(rng: random.Random, families: Sequence[str]) -> str:
     parts = [f"<h1>{_sentence(rng, 1, 9)}</h1>"] if rng.random() < 0.8 else []
     for _ in range(rng.choice((1, 1, 2, 3, 5, 8, 12))):
         kind = rng.random()
@@ -314,7 +411,7 @@ def _article(rng: random.Random) -> str:
         else:
             parts.append(f"<pre>{_prose(rng)}</pre>")
     for _ in range(rng.choice((0, 0, 0, 1, 2))):
-        parts.insert(rng.randint(0, len(parts)), _boilerplate(rng))
+        parts.insert(rng.randint(0, len(parts)), _boilerplate(rng, families))
     inner = "".join(parts)
     if rng.random() < 0.2:
         inner = f'<div class="{rng.choice(("entry-content", "article-body", "post-content", "text", "body"))}">{inner}</div>'
@@ -322,23 +419,22 @@ def _article(rng: random.Random) -> str:
         return f"<!--bare-->{inner}"
     tag = rng.choice(("article", "article", "article", "main", "div", "section"))
     name = rng.choice(("content", "main-content", "article", "post", "entry", "story", "article-body", "post-content", "main"))
-    attr = f' {rng.choice(("class", "id"))}="{name}"' if rng.random() < (0.9 if tag in ("div", "section") else 0.3) else ""
+    attr = f' {rng.choice(("class", "id"))}="{name}"' if rng.random() < (0.8 if tag in ("div", "section") else 0.3) else rng.choice((_unknown(rng), ' role="main"' if tag == "div" else ""))
     whole = f'<{tag}{attr} data-content="yes">{inner}</{tag}>'
-    return f'<{rng.choice(("div", "main"))} class="{rng.choice(("wrapper", "container", "page", "layout", "row"))}">{whole}{_boilerplate(rng) if rng.random() < 0.5 else ""}</div>' if rng.random() < 0.3 else whole
+    return f'<{rng.choice(("div", "main"))} class="{rng.choice(("wrapper", "container", "page", "layout", "row"))}">{whole}{_boilerplate(rng, families) if rng.random() < 0.5 else ""}</div>' if rng.random() < 0.3 else whole
 
 
-def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[str]:
-    """Pages whose elements say by ``data-content`` whether they hold main text."""
+def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED, families: Sequence[str] = tuple(FAMILIES)) -> list[str]:
+    """Pages whose elements say by ``data-content`` whether they hold main text; ``families`` are the kinds of other blocks."""
     rng = random.Random(seed)
     out = []
     for _ in range(n):
         top = [f'<header data-content="no">{rng.choice((_sentence(rng, 1, 4), "<h1>" + _sentence(rng, 1, 3) + "</h1>", _links(rng)))}</header>'] if rng.random() < 0.5 else []
-        top += [_boilerplate(rng) for _ in range(rng.randint(0, 3))]
-        bottom = [_boilerplate(rng) for _ in range(rng.randint(0, 3))]
-        foot = f'<footer data-content="no">{rng.choice(("&copy; ", "", "<p>"))}{_prose(rng)}</footer>' if rng.random() < 0.8 else _box(rng, "footer site-footer foot copyright", _prose(rng), "div")
-        article = _article(rng)
+        top += [_boilerplate(rng, families) for _ in range(rng.randint(0, 3))]
+        bottom = [_boilerplate(rng, families) for _ in range(rng.randint(0, 3))]
+        article = _article(rng, families)
         label = "yes" if article.startswith("<!--bare-->") else "no"  # the body itself holds the text
-        body = "".join([*top, article, *bottom, foot])
+        body = "".join([*top, article, *bottom, _foot(rng) if rng.random() < 0.9 else ""])
         page = f'<head><title>{_sentence(rng, 1, 5)}</title><style>p{{}}</style></head><body data-content="{label}">{body}</body>'
         out.append(f'<!DOCTYPE html><html data-content="no">{page}</html>')
     return out

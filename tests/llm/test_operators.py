@@ -598,6 +598,36 @@ def test_main_text(spark, sf):
     assert mainhtml.extract_pages(odd.limit(0)).count() == 0
 
 
+def test_whole_families_of_blocks_held_out():
+    """Blocks of a kind that no training page has are told by links, headings and place."""
+    for family in ("nav", "sidebar", "form", "meta", "aside", "unnamed"):
+        model = mainhtml.train(mainhtml.labelled_pages(400, families=[f for f in mainhtml.FAMILIES if f != family]))
+        wrong = n = 0
+        for source in mainhtml.labelled_pages(60, seed=5, families=[family]):
+            page = mainhtml.parse(source)
+            for text, label, m in zip(page.text, page.label, model.marginals(page), strict=True):
+                if text is not None:
+                    n, wrong = n + 1, wrong + ((m >= 0.5) != label)
+        assert wrong / n < 0.12, family
+
+
+def test_blocks_without_telling_names():
+    article = "<article><h1>The old mill by the river</h1><p>The mill was built long ago, and it still turns on quiet days.</p><p>Many people came to see it every summer.</p></article>"
+    want = "The old mill by the river\n\nThe mill was built long ago, and it still turns on quiet days.\n\nMany people came to see it every summer."
+    model = mainhtml.train(mainhtml.labelled_pages())
+    for block in (
+        "<div hidden><p>This is the text that nobody should ever see.</p></div>", '<div style="display: none">Nor this text, which is hidden too.</div>',
+        '<div id="disqus_thread"><p>I liked this story very much!</p><p>Me too, it was good.</p></div>', "<div><h3>3 Comments</h3><p><b>anna</b> I liked this story very much!</p><p><b>ben</b> Me too.</p></div>",
+        '<div class="xq7z">Copyright 2024 The Company. All rights reserved.</div>', "<svg><title>Icon of a mill</title><text>drawn words</text></svg><video src=x>No video here.</video>",
+        '<div role="contentinfo">Call us at the office.</div>', "<!-->", "<!---><!-- a --!>", "<!-- never ended <p>words",
+    ):
+        assert model.main_text(f"<body>{article}{block}</body>") == want, block
+        if block != "<!-- never ended <p>words":
+            assert model.main_text(f"<body>{block}{article}</body>") == want, block
+    inner = "<article><h1>T of it</h1><p>Some words are here <svg><text>no</text></svg>and more follow.</p></article>"
+    assert model.main_text(inner) == "T of it\n\nSome words are here and more follow."
+
+
 # -- 10: packing
 
 
