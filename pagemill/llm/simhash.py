@@ -40,17 +40,22 @@ BLOCK = 4096
 
 def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
     """SimHash of one text as a signed 64-bit number."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
+        n += len(hashes)
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+
+
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of a text, repeats included, part by part; fewer words: the whole sequence; none: nothing."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
-    n = max(1, len(words) - shingle + 1)
-    counts = np.zeros(64, dtype=np.int64)
+    n = max(1, len(words) - shingle + 1) if words else 0
     for at in range(0, n, 65536):
         part = words[at : min(n, at + 65536) + shingle - 1]
         hashes = [digest(b" ".join(x), SEED) for x in zip(*(part[i:] for i in range(shingle)), strict=False)] or [digest(b" ".join(words), SEED)]
-        counts += np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+        yield np.array(hashes, dtype="<u8")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:

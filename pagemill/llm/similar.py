@@ -1,0 +1,234 @@
+"""Near-duplicate groups by five-word shingles at a Jaccard similarity of 0.8 or more, for the pipeline's stage.
+
+SimHash fingerprints of such pairs are about ten of 64 bits apart, and a vantage-point tree cannot prune at that
+radius: almost every leaf is within reach. So the tree of ``simhash`` gives the links of up to ``RADIUS`` bits, and
+candidates further apart come from bands of MinHash values: a pair of similarity 0.8 shares at least one of the bands
+with a probability of 0.9996. Every link, from either, is confirmed by the exact similarity of the whole texts.
+
+Texts with equal sets of shingles are folded first. A band's bucket is not turned into all its pairs: within it, the
+signatures give estimates, and a spanning forest of the pairs above ``LIKELY``, nearest first, is put to the test. Where
+a pair of the forest fails, the bucket is gone through again without it, until nothing new is put to the test. Buckets
+of more than ``BLOCK`` members are dealt into blocks that share their first ``HUBS`` members.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pagemill.llm import simhash
+from pagemill.llm._common import hot_keys, join_by_key, kept
+
+SHINGLE = 5
+LEAST = 0.8
+BANDS, ROWS = 20, 6
+RADIUS = 2
+#: Signatures must agree in this share for a pair to be tested: four standard deviations below LEAST.
+LIKELY = 0.65
+BLOCK, HUBS = 2048, 64
+#: Links of one text that are tested in one task.
+TESTED = 1024
+KEY = ("none", "id", "hash")
+_rng = np.random.default_rng(17)
+_MULTIPLY = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted hashes of the different five-word shingles of a text."""
+    parts = list(simhash.shingle_hashes(text, SHINGLE))
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, dtype="<u8")
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; 1 of two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def sketch(text: str | None) -> tuple[bytes, list[int], bytes, int]:
+    """A name of the text's set of shingles, its bands, its signature, and its SimHash."""
+    found = shingle_set(text)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint64)
+    for at in range(0, len(found), 2048):
+        least = np.minimum(least, ((found[at : at + 2048, None] * _MULTIPLY + _ADD) >> np.uint64(32)).min(axis=0))
+    values = least.astype("<u4")
+    bands = [xxhash.xxh64_intdigest(values[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+    return xxhash.xxh3_128_digest(found.tobytes()), bands, values.astype("<u2").tobytes(), simhash.fingerprint_of(text, SHINGLE)
+
+
+def forests(signatures: np.ndarray, failed: set[tuple[int, int]], times: int = 1) -> list[tuple[int, int]]:
+    """Spanning forests of the likely pairs but the failed ones, nearest first, one after another without common pairs.
+
+    Pairs are (a, b) with a before b; a may be the hub of many.
+    """
+    n = len(signatures)
+    rows, cols, same = [], [], []
+    for at in range(0, n, 64):
+        alike = (signatures[at : at + 64, None] == signatures[None, at:]).sum(axis=2, dtype=np.int16)
+        i, j = np.nonzero(alike >= LIKELY * signatures.shape[1])
+        later = j > i
+        rows.append(i[later] + at)
+        cols.append(j[later] + at)
+        same.append(alike[i[later], j[later]])
+    i, j, near = np.concatenate(rows), np.concatenate(cols), np.concatenate(same)
+    taken = {x * n + y for x, y in failed}
+    out: list[tuple[int, int]] = []
+    for _ in range(times):
+        if taken:
+            good = ~np.isin(i * n + j, np.fromiter(taken, dtype=np.int64, count=len(taken)))
+            i, j, near = i[good], j[good], near[good]
+        if not len(i):
+            break
+        found = _forest(n, i, j, near)
+        taken = {x * n + y for x, y in found}
+        out += found
+    return out
+
+
+def _forest(n: int, i: np.ndarray, j: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+    parent = np.arange(n)
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for level in np.unique(near)[::-1]:
+        a, b = i[near == level], j[near == level]
+        while len(a):
+            _, first = np.unique(b, return_index=True)
+            for x, y in zip(a[first].tolist(), b[first].tolist(), strict=True):
+                p, q = find(x), find(y)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((x, y))
+            roots = np.array([find(x) for x in range(n)])
+            apart = roots[a] != roots[b]
+            a, b = a[apart], b[apart]
+    return out
+
+
+def _likely(members: DataFrame, failed: DataFrame, times: int = 1) -> DataFrame:
+    """band, block, a and b of the forests of all buckets ``members`` (band, block, s, sig), without the ``failed`` pairs."""
+
+    def links(bucket: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
+        if len(bucket) < 2:
+            return pd.DataFrame({"band": [], "block": [], "a": [], "b": []})
+        bucket = bucket.sort_values("s", ignore_index=True)
+        place = {s: i for i, s in enumerate(bucket["s"])}
+        pairs = {(place[a], place[b]) for a, b in zip(gone["a"], gone["b"], strict=True)}
+        found = forests(np.frombuffer(b"".join(bucket["sig"]), dtype="<u2").reshape(len(bucket), -1), pairs, times)
+        out = pd.DataFrame({"a": [bucket["s"][x] for x, _ in found], "b": [bucket["s"][y] for _, y in found]}, dtype=object)
+        return out.assign(band=int(bucket["band"][0]), block=int(bucket["block"][0]))[["band", "block", "a", "b"]]
+
+    both = members.groupBy("band", "block").cogroup(failed.groupBy("band", "block"))
+    return both.applyInPandas(links, "band bigint, block int, a binary, b binary")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with ok: whether the texts (s, text) are similar. A text with many partners is dealt over tasks."""
+
+    @F.pandas_udf("boolean")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        last, sets = None, None
+        out = []
+        for x, y in zip(a, b, strict=True):
+            if x != last:
+                last, sets = x, shingle_set(x)
+            out.append(similarity(sets, shingle_set(y)) >= LEAST)
+        return pd.Series(out, dtype=bool)
+
+    counts = kept(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    salts = counts.select("a", F.ceil(F.col("n") / TESTED).cast("int").alias("salts"))
+    dealt = join_by_key(pairs.select("a", "b"), salts, ["a"], hot_keys(counts, "n", total))
+    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
+    ours = texts.select(F.col("s").alias("a"), F.col("text").alias("x")).join(salts, "a").select("a", "x", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    theirs = texts.select(F.col("s").alias("b"), F.col("text").alias("y"))
+    return dealt.join(ours, ["a", "salt"]).join(theirs, "b").select("a", "b", similar("x", "y").alias("ok"))
+
+
+def _members(sets: DataFrame) -> DataFrame:
+    """band, block, s and sig of the members of all buckets that more than one of the ``sets`` share."""
+    bands = kept(sets.select("s", F.explode_outer("bands").alias("band")))
+    crowds = kept(bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    shared = join_by_key(bands, crowds, ["band"], hot_keys(crowds, "m", bands.count()))
+    chance, blocks = F.xxhash64("s", F.lit(3)), F.ceil(F.col("m") / BLOCK).cast("int")
+    # about HUBS members of a large bucket, chosen by a hash, are in all of its blocks
+    hub = (blocks > 1) & (F.pmod(F.xxhash64("s", F.lit(5)), "m") < HUBS)
+    at = F.when(hub, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(chance, blocks).cast("int")))
+    return kept(shared.select("s", "band", F.explode_outer(at).alias("block")).join(sets.select("s", "sig"), "s"))
+
+
+def _near_prints(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``sets`` whose fingerprints are within ``RADIUS`` bits, enough to connect them."""
+    prints = kept(sets.groupBy("fp").agg(F.min("s").alias("one"), F.count(F.lit(1)).alias("n")))
+    same = join_by_key(sets.select("s", "fp"), prints.select("fp", "one"), ["fp"], hot_keys(prints, "n", sets.count()))
+    near = simhash.links(prints.select("fp"), RADIUS)
+    near = near.join(prints.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b")
+    pairs = same.select(F.col("one").alias("x"), F.col("s").alias("y")).unionByName(near.select("x", "y"))
+    return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _links(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) that connect all similar ``sets`` (s, none, id, hash, sig, bands, fp) of ``rows`` (key, text)."""
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = kept(pairs)
+        some = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
+        texts = rows.select(*KEY, "text").join(sets.join(some, "s", "left_semi").select("s", *KEY), list(KEY)).select("s", "text").dropDuplicates(["s"])
+        return kept(_confirmed(pairs, kept(texts)))
+
+    members = _members(sets)
+    none = sets.sparkSession.createDataFrame([], "band bigint, block int, a binary, b binary")
+    found = kept(_likely(members, none))
+    tested = confirmed(found.select("a", "b").unionByName(_near_prints(sets)).distinct())
+    failed, times = none, 1
+    while True:
+        bad = kept(found.join(tested.where("not ok"), ["a", "b"], "left_semi").select("band", "block", "a", "b"))
+        if bad.isEmpty():
+            return tested.where("ok").select("a", "b")
+        # twice as many forests each time: the failed pairs of a bucket are soon all known
+        failed, times = kept(failed.unionByName(bad)), 2 * times
+        again = bad.select("band", "block").distinct()
+        found = kept(_likely(members.join(again, ["band", "block"], "left_semi"), failed.join(again, ["band", "block"], "left_semi"), times))
+        new = kept(found.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            tested = kept(tested.unionByName(confirmed(new)))
+
+
+def first_of_similar(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` (doc_id, text) of each group of similar texts: that of the smallest doc_id, then text hash.
+
+    Texts are in one group if links of similarity ``LEAST`` or more join them. Null, empty and wordless texts are one
+    group. Null ids come last, so a group without ids keeps a row too; of rows equal in id and text, any one stays. An
+    empty table gives no rows. All columns of ``docs`` stay as they are, whatever their names.
+    """
+
+    @F.pandas_udf("s binary, bands array<bigint>, sig binary, fp bigint")
+    def sketched(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sketch(t) for t in texts], columns=["s", "bands", "sig", "fp"])
+
+    # a null id is 0 with a flag, so that rows are found again by plain equality
+    key = {"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)).cast("bigint"), "hash": F.xxhash64("text")}
+    rows = docs.select("text", *[c.alias(name) for name, c in key.items()], sketched("text").alias("k"))
+    rows = kept(rows.select(*KEY, "text", "k.*"))
+    least = F.min(F.struct(*KEY)).alias("least")
+    sets = kept(rows.groupBy("s").agg(least, *[F.any_value(c).alias(c) for c in ("sig", "bands", "fp")]).select("s", "least.*", "sig", "bands", "fp"))
+    roots = simhash.components(_links(sets, rows))
+    named = sets.select("s", *KEY).join(roots.withColumnRenamed("node", "s"), "s", "left")
+    keep = named.groupBy(F.coalesce("root", "s").alias("g")).agg(least).select("least.*")
+    own = {name: name for name in KEY}
+    while set(own.values()) & set(docs.columns):
+        own = {name: f"{at}_" for name, at in own.items()}
+    found = docs.withColumns({own[name]: c for name, c in key.items()})
+    found = found.join(keep.select(*[F.col(name).alias(at) for name, at in own.items()]), list(own.values()), "left_semi")
+    return found.dropDuplicates(list(own.values())).select(*docs.columns)

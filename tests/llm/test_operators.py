@@ -12,7 +12,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from pagemill.llm import ann, fingerprints, langid, licenses, mainhtml, mixing, packing, pii, sharding, simhash
+from pagemill.llm import ann, fingerprints, langid, licenses, mainhtml, mixing, packing, pii, sharding, simhash, similar
 
 from .conftest import awkward_rows
 
@@ -551,6 +551,83 @@ def test_vantage_point_links_are_exact(spark):
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def plain_groups(texts):
+    """The least key of each group at a similarity of 0.8, by all pairs."""
+    sets = [frozenset(" ".join(re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in s) for s in shingles(t)) for _, t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if (not a and not b) or (a | b and len(a & b) / len(a | b) >= 0.8):
+                p, q = find(i), find(j)
+                parent[max(p, q)] = min(p, q)
+    groups = defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[find(i)].append(t)
+    return sorted(min(g, key=lambda t: t[0])[0] for g in groups.values())
+
+
+def edited_copies(rng, n):
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(n):
+        base = [rng.choice(words) for _ in range(rng.randint(3, 120))]
+        texts.append(base)
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(copy) // 25))):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(copy)
+    rng.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_similar_texts_match_all_pairs(spark, awkward, empty):
+    texts = edited_copies(random.Random(21), 250)
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    want = plain_groups(texts)
+    assert len(texts) - len(want) > 100
+    assert sorted(r.doc_id for r in similar.first_of_similar(docs).collect()) == want
+    kept = similar.first_of_similar(awkward)
+    rows = sorted({r[0]: r[1] for r in ROWS}.items())
+    assert kept.columns == awkward.columns and sorted(r.doc_id for r in kept.collect()) == plain_groups(rows)
+    assert similar.first_of_similar(empty).count() == 0
+
+
+def test_large_group_of_similar_texts(spark, monkeypatch):
+    """Many edited copies of one text, dealt over blocks, and rows without ids."""
+    monkeypatch.setattr(similar, "BLOCK", 60)
+    monkeypatch.setattr(similar, "HUBS", 12)
+    rng = random.Random(4)
+    base = [f"v{i}" for i in range(200)]
+    texts = []
+    for i in range(300):
+        copy = list(base)
+        copy[rng.randrange(200)] = f"x{i}"
+        copy[rng.randrange(200)] = f"y{i}"
+        texts.append((i, " ".join(copy)))
+    texts += [(1000 + i, " ".join(f"o{rng.randrange(90)}" for _ in range(50))) for i in range(30)]
+    docs = spark.createDataFrame([*texts, (None, "a lone text"), (None, "a lone text")], "doc_id bigint, text string")
+    got = [r.doc_id for r in similar.first_of_similar(docs).collect()]
+    assert sorted(x for x in got if x is not None) == [0, *range(1000, 1030)] and got.count(None) == 1
+
+
+def test_forests_come_nearest_first_and_leave_out_what_failed():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 60000, 120).astype(np.uint16)
+    signatures = np.stack([np.where(rng.random(120) < p, 7, base) for p in (0, 0.05, 0.1, 0.15, 0.2)]).astype(np.uint16)
+    first = similar.forests(signatures, set())
+    assert len(first) == 4
+    more = similar.forests(signatures, set(first), 10)
+    assert not set(first) & set(more) and len(set(first) | set(more)) == len(first) + len(more) <= 10
+
+
 # -- 9: main text
 
 
