@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import langid, mixing, packing, pii, simhash
+from pagemill.llm import langid, mixing, packing, pii, similar
 from pagemill.llm._common import kept
 
 #: A document goes only if no language is found in it, or fewer than this share of its n-grams in the best one.
@@ -12,28 +12,48 @@ LEAST_SCORE = 0.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of a learned language. Null and letterless texts go."""
+    """Keeps documents of a learned language.
+
+    Null, empty, blank and letterless texts go, and all rows where no row is labelled. Repeated rows stay or go alike, very
+    long texts are read whole; null ids and sources play no part. An empty table stays empty.
+    """
     model = langid.fit(docs.select("doc_id", "text", "lang"), ~langid.held_out())
     return langid.of_known_language(docs, model, LEAST_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each near-duplicate group."""
-    return simhash.first_of_group(docs)
+    """Keeps the document of smallest doc_id of each group of five-word similarity 0.8 or more.
+
+    Null, empty and wordless texts are one group. Of repeated rows one stays; of rows that share an id, that of the least
+    text hash; null ids come last, so that a group of such rows keeps one. An empty table stays empty.
+    """
+    return similar.first_of_similar(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts by its kind."""
+    """Replaces personal data in the texts by its kind; every row stays.
+
+    Null texts stay null with n_chars 0, empty ones empty; repeated rows are redacted alike, very long texts whole. An
+    empty table stays empty.
+    """
     return pii.redact_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it."""
+    """Each document as often as its source's target takes it.
+
+    Null, empty and wordless texts have no words and are not taken; the null source is a source of its own. Repeated rows
+    and rows without an id are taken one by one, ties in the queue fall by hash. An empty table stays empty.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their bins."""
+    """Pieces of the documents with their bins.
+
+    Null, empty and wordless texts give one row without a bin; very long texts fill whole bins. Repeated rows are packed
+    one by one, as copies into different bins, rows without an id too. An empty table gives no rows.
+    """
     return packing.pack(docs, mixing.word_count(), packing.copies_cluster())
 
 
