@@ -7,7 +7,7 @@ compared with all vectors, batch by batch, and enough lists are probed to meet m
 Every vector is encoded and goes to the shard of its list; neighbouring lists share a shard of bounded size, a crowded
 list is dealt over several by a hash. A query goes to the shards of the lists it probes and to no others, so what is
 shuffled grows with the lists probed, not with all pairs of shards and queries. There it scores each probed list with
-its table of inner products (asymmetric distances); the best ``DEPTH`` of a list, and all that lie within the
+its table of inner products (asymmetric distances); the best ``DEPTH`` of a shard, and all that lie within the
 quantisation error of the last of them, are reranked with the original vectors in double precision. A shard returns the
 ``k`` nearest of a query, so that a group of near copies is refined whole however large it is.
 
@@ -39,14 +39,13 @@ TESTS = 256
 PARTS = 16
 CODES = 256
 ROUNDS = 8
-#: Best candidates of a list that are reranked, with those that may be as near as the last.
-DEPTH = 16
+#: Best candidates of a shard that are reranked, with those that may be as near as the last.
+DEPTH = 100
 #: Vectors of neighbouring lists that are searched in one task, and queries that ask them together.
 SHARD = 16384
 QUERY_BLOCK = 16384
-#: Queries and vectors that are scored together, and pairs that are reranked together: they bound a task's memory.
+#: Queries that are scored together, and pairs that are reranked together: they bound a task's memory.
 QUERY_BATCH = 256
-VECTOR_BATCH = 4096
 EXACT_BATCH = 65536
 #: Share of a held-out query's nearest that its probed lists must hold.
 COVER = 0.98
@@ -101,40 +100,26 @@ class Index:
         return self.coarse[lists] + rest[:, : self.coarse.shape[1]]
 
     def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, lists: np.ndarray, codes: np.ndarray, vectors: np.ndarray, k: int, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Query ids, vector ids and exact scores of the queries' nearest among some vectors; both sides are as given.
+        """Query ids, vector ids and exact scores of the queries' nearest in one shard; both sides are as given.
 
-        A query looks at the lists it probes. Of each list it reranks the best ``depth`` by its table of inner products,
-        and all within the quantisation error of the last of them.
+        A query looks at the lists it probes; the best ``depth`` by its table of inner products, and all within the
+        quantisation error of the last of them, are reranked.
         """
-        order = np.lexsort((ids, lists))
-        ids, lists, codes, vectors = ids[order], lists[order], codes[order], vectors[order]
-        held, first = np.unique(lists, return_index=True)
-        ends = [*first[1:].tolist(), len(lists)]
         for at in range(0, len(queries), QUERY_BATCH):
+            asking = own[at : at + QUERY_BATCH]
             units = _unit(queries[at : at + QUERY_BATCH])
             near = units @ self.coarse.T
-            probed = self.probed(near)
-            tables = np.einsum("qpw,pcw->qpc", self._split(units), self.books)
-            rows, cols = [], []
-            for one, start, end in zip(held.tolist(), first.tolist(), ends, strict=True):
-                asking = np.flatnonzero(probed[:, one])
-                for lot in range(0, end - start, VECTOR_BATCH) if len(asking) else ():
-                    some = slice(start + lot, min(end, start + lot + VECTOR_BATCH))
-                    score = np.repeat(near[asking, one][:, None], some.stop - some.start, axis=1)
-                    for p in range(codes.shape[1]):
-                        score += tables[asking, p][:, codes[some, p]]
-                    score[own[at + asking][:, None] == ids[some]] = -9
-                    if score.shape[1] > depth:
-                        last = np.partition(score, score.shape[1] - depth, axis=1)[:, score.shape[1] - depth] - self.margin
-                        good = (score >= last[:, None]) & (score > -9)
-                    else:
-                        good = score > -9
-                    q, v = np.nonzero(good)
-                    rows.append(asking[q])
-                    cols.append(v + some.start)
-            if not rows:
-                continue
-            q, v = np.concatenate(rows), np.concatenate(cols)
+            # a row for each vector, so that a code's entries for all queries lie together
+            score = np.ascontiguousarray(near.T)[lists]
+            for table, code in zip(np.einsum("qpw,pcw->pcq", self._split(units), self.books), codes.T, strict=True):
+                score += table[code]
+            score[~np.ascontiguousarray(self.probed(near).T)[lists] | (ids[:, None] == asking)] = -9
+            score = np.ascontiguousarray(score.T)
+            good = score > -9
+            if score.shape[1] > depth:
+                last = np.partition(score, score.shape[1] - depth, axis=1)[:, score.shape[1] - depth]
+                good &= score >= last[:, None] - self.margin
+            q, v = np.nonzero(good)
             exact = np.empty(len(q))
             for lot in range(0, len(q), EXACT_BATCH):
                 x, y = vectors[v[lot : lot + EXACT_BATCH]].astype(np.float64), queries[at + q[lot : lot + EXACT_BATCH]].astype(np.float64)
@@ -142,9 +127,8 @@ class Index:
                 exact[lot : lot + EXACT_BATCH] = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
             best = np.lexsort((ids[v], -exact, q))
             q, v, exact = q[best], v[best], exact[best]
-            nth = np.arange(len(q)) - np.searchsorted(q, q, side="left")
-            top = nth < k
-            yield own[at + q[top]], ids[v[top]], exact[top]
+            top = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
+            yield asking[q[top]], ids[v[top]], exact[top]
 
     def probed(self, near: np.ndarray) -> np.ndarray:
         """Which lists (columns) queries probe, by their products with the centroids."""
