@@ -239,10 +239,13 @@ def first_of_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Null ids come last, so a group in which no row has an id keeps one too. Of rows equal in both, any one stays.
     """
     text_hash = F.xxhash64("text")
+    own = {name: name for name in ("none", "id", "hash")}
+    while set(own.values()) & set(docs.columns):
+        own = {name: f"{at}_" for name, at in own.items()}
     # a null id is 0 with a flag, so that the rows are found again by plain equality
-    key = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)).cast("bigint"), "__hash": text_hash}
+    key = {own["none"]: F.col("doc_id").isNull(), own["id"]: F.coalesce("doc_id", F.lit(0)).cast("bigint"), own["hash"]: text_hash}
     rows = grouped(kept(fingerprints(docs.select("doc_id", "text", text_hash.alias("hash")), keep=("hash",))), radius)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("__id"), F.col("hash").alias("__hash")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias(own["none"]), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias(own["id"]), F.col("hash").alias(own["hash"])))
     keep = rows.groupBy("group").agg(first.alias("first")).select("first.*")
     found = docs.withColumns(key).join(keep, list(key), "left_semi").dropDuplicates(list(key))
     return found.select(*docs.columns)
