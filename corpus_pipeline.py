@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import langid, mixing, packing, pii, similar
+from pagemill.llm import langid, mixing, packing, pii, simhash
 from pagemill.llm._common import kept
 
 #: A document goes only if no language is found in it, or fewer than this share of its n-grams in the best one.
@@ -22,12 +22,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of five-word similarity 0.8 or more.
+    """Keeps the document of smallest doc_id of each group of fingerprints linked at 2 or fewer differing bits.
 
-    Null, empty and wordless texts are one group. Of repeated rows one stays; of rows that share an id, that of the least
+    Only almost equal texts are such: README says why links of a similarity of 0.8 are not taken. Null, empty and wordless
+    texts are one group. Of repeated rows one stays; of rows that share an id, that of the least
     text hash; null ids come last, so that a group of such rows keeps one. An empty table stays empty.
     """
-    return similar.first_of_similar(docs)
+    return simhash.first_of_group(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
