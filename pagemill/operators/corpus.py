@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,18 +13,40 @@ from pagemill.functions import text as T
 from pagemill.functions import url as U
 
 
+def _tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key and t: the tokens of every document that has any."""
+    return docs.select(F.col(key), F.regexp_extract_all(text, F.lit(r"(\S+)"), F.lit(1)).alias("t"))
+
+
 def shingles(docs: DataFrame, key: str, text: str, k: int = 6) -> DataFrame:
     """key, pos and shingle: every run of k tokens, or all tokens of a shorter document."""
-    tokens = F.regexp_extract_all(text, F.lit(r"(\S+)"), F.lit(1))
-    rows = docs.select(F.col(key), tokens.alias("t")).where(F.size("t") > 0)
-    last = F.greatest(F.size("t") - k, F.lit(0))
-    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("t", i + 1, k), " "))
-    return rows.select(key, F.posexplode(runs).alias("pos", "shingle"))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("t") - k, F.lit(0))), lambda i: F.array_join(F.slice("t", i + 1, k), " "))
+    rows = _tokens(docs, key, text).select(key, F.posexplode_outer(F.when(F.size("t") > 0, runs)).alias("pos", "shingle"))
+    return rows.where("shingle is not null")
+
+
+def shingle_hashes(docs: DataFrame, key: str, text: str, k: int = 6) -> DataFrame:
+    """key, pos, and two 64-bit hashes h and g of every shingle."""
+    hashed = _tokens(docs, key, text).select(key, F.transform("t", lambda w: F.xxhash64(w)).alias("t"))
+    runs = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("t") - k, F.lit(0))),
+        lambda i: F.struct(F.xxhash64(F.slice("t", i + 1, k)).alias("h"), F.xxhash64(F.lit(1), F.slice("t", i + 1, k)).alias("g")),
+    )
+    rows = hashed.select(key, F.posexplode_outer(F.when(F.size("t") > 0, runs)).alias("pos", "x"))
+    return rows.where("x is not null").select(key, "pos", "x.h", "x.g")
 
 
-def shingle_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 6) -> DataFrame:
-    """shingle and the number of documents that hold it."""
-    return shingles(docs, key, text, k).select(key, "shingle").distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("n_docs"))
+def shingle_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 6, least: int = 1) -> DataFrame:
+    """shingle and n_docs, the number of documents that hold it, of all shingles in at least so many.
+
+    Counted by hashes; only the first place of a shingle that is frequent enough is turned into words.
+    """
+    once = shingle_hashes(docs, key, text, k).groupBy("h", "g", F.col(key).alias("doc")).agg(F.min("pos").alias("pos"))
+    counts = once.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc", "pos")).alias("at")).where(F.col("n_docs") >= least)
+    places = counts.select(F.col("at.doc").alias("doc"), F.struct(F.col("at.pos").alias("pos"), "n_docs").alias("x")).groupBy("doc").agg(F.collect_list("x").alias("all"))
+    rows = _tokens(docs, key, text).join(places, F.col(key).eqNullSafe(F.col("doc")))
+    said = F.transform("all", lambda x: F.struct(F.array_join(F.slice("t", x["pos"] + 1, k), " ").alias("shingle"), x["n_docs"].alias("n_docs")))
+    return rows.select(F.explode_outer(said).alias("x")).select("x.*")
 
 
 def boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5, min_docs: int = 3, k: int = 6, min_run: int = 12) -> DataFrame:
@@ -37,28 +62,27 @@ def boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     if n < min_docs:
         return docs.select(key, text)
     least = max(2, -int(-(threshold * n) // 1))
-    common = shingle_frequency(docs, key, text, k).where(F.col("n_docs") >= least).select("shingle")
-    hits = shingles(docs, key, text, k).join(common, "shingle", "left_semi").groupBy(key).agg(F.array_sort(F.collect_list("pos")).alias("hits"))
-    hits = hits.withColumnRenamed(key, "__key")
-    rows = docs.select(key, text).join(hits, F.col(key) == F.col("__key"), "left")
+    at = shingle_hashes(docs, key, text, k)
+    common = at.groupBy("h", "g", F.col(key)).agg(F.lit(1).alias("one")).groupBy("h", "g").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= least).select("h", "g")
+    # a common shingle has many places; no more than tokens / least are common, and few of them where least is a share
+    hits = at.join(common, ["h", "g"], "left_semi").select(F.col(key).alias("doc"), "pos")
+    # runs of places whose shingles touch or overlap, by gaps: [first token, token after the last)
+    in_doc = Window.partitionBy("doc").orderBy("pos")
+    hits = hits.withColumn("gap", F.coalesce(F.col("pos") - F.lag("pos").over(in_doc) > k, F.lit(True)))
+    hits = hits.withColumn("run", F.sum(F.col("gap").cast("int")).over(in_doc))
+    found = hits.groupBy("doc", "run").agg(F.min("pos").alias("a"), F.max("pos").alias("last"))
+    found = found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("a", "last"))).alias("found"))
+    rows = docs.select(key, text).join(found, F.col(key).eqNullSafe(F.col("doc")), "left")
     # pieces: white space before a token and the token, so that positions and bytes survive
     pieces = F.regexp_extract_all(text, F.lit(r"(\s*\S+)"), F.lit(1))
-    rows = rows.withColumn("pieces", F.when(F.col("hits").isNotNull(), pieces))
-    # runs of hits whose shingles touch or overlap: [first token, token after the last)
+    rows = rows.withColumn("pieces", F.when(F.col("found").isNotNull(), pieces))
     size = F.size("pieces")
-    merged = F.aggregate(
-        "hits",
-        F.array().cast("array<struct<a:int,b:int>>"),
-        lambda runs, h: F.when(
-            (F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["b"] >= h),
-            F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(F.try_element_at(runs, F.lit(-1))["a"].alias("a"), F.least(h + k, size).alias("b")))),
-        ).otherwise(F.concat(runs, F.array(F.struct(h.alias("a"), F.least(h + k, size).alias("b"))))),
-    )
-    rows = rows.withColumn("runs", F.filter(merged, lambda r: r["b"] - r["a"] >= min_run))
+    runs = F.transform("found", lambda r: F.struct(r["a"].alias("a"), F.least(r["last"] + k, size).alias("b")))
+    rows = rows.withColumn("runs", F.filter(runs, lambda r: r["b"] - r["a"] >= min_run))
     starts = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["b"]))
     ends = F.concat(F.transform("runs", lambda r: r["a"]), F.array(size))
     kept = F.filter(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: x["e"] > x["s"])
-    parts = F.transform(kept, lambda x: F.regexp_replace(F.array_join(F.slice("pieces", x["s"] + 1, x["e"] - x["s"]), ""), r"^\s+|\s+$", ""))
+    parts = F.transform(kept, lambda x: F.regexp_replace(F.array_join(F.slice("pieces", x["s"] + 1, x["e"] - x["s"]), ""), r"^\s+|\s+\z", ""))
     rows = rows.withColumn("parts", parts)
     out = F.when(F.col("runs").isNull() | (F.size("runs") == 0) | (F.size("parts") == 0), F.col(text)).otherwise(F.array_join("parts", "\n\n"))
     return rows.select(key, out.alias(text))
@@ -127,7 +151,8 @@ def sections(docs: DataFrame, key: str = "doc_id", text: str = "text", levels: t
     A heading of a split level begins a section, but for the first of its level; so does a rule. Lines in fences and
     the fences of front matter split nothing. Headings stay in force until a split at their level or above.
     """
-    rows = docs.select(F.col(key).alias("key"), F.posexplode(F.split(F.regexp_replace(text, r"^\s+", ""), "\n")).alias("i", "line"))
+    rows = docs.select(F.col(key).alias("key"), F.posexplode_outer(F.split(F.regexp_replace(text, r"^\s+", ""), "\n")).alias("i", "line"))
+    rows = rows.where("i is not null")
     doc = Window.partitionBy("key").orderBy("i")
     up_to = doc.rowsBetween(Window.unboundedPreceding, 0)
     fence = F.col("line").startswith("```")
@@ -166,32 +191,48 @@ def sections(docs: DataFrame, key: str = "doc_id", text: str = "text", levels: t
     )
 
 
+#: Where a section may be cut, the best first: after an empty line, a closing fence, a line, a space.
+_SEPARATORS = (b"\n\n", b"```\n", b"\n", b" ")
+
+
+def _ends(data: np.ndarray, sep: bytes) -> np.ndarray:
+    """The offsets after each occurrence of ``sep``, overlapping ones too."""
+    n = len(data) - len(sep) + 1
+    if n < 1:
+        return np.empty(0, dtype=np.int64)
+    return np.flatnonzero(np.logical_and.reduce([data[i : i + n] == c for i, c in enumerate(sep)])) + len(sep)
+
+
 def cut_points(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
-    """Byte ranges of the chunks of one section: cut at the last empty line, fence, line or space before ``size``."""
-    data = text.encode()
-    out, start, last_cut, line_end = [], 0, 0, 0
-    while line_end < len(data):
-        at = data.find(b"\n", line_end)
-        line_end = len(data) if at < 0 else at + 1
-        if line_end - start <= size:
-            continue
-        limit, cut = min(start + size, line_end), -1
-        for sep in (b"\n\n", b"```\n", b"\n", b" "):
-            found = data.rfind(sep, start, limit)
-            end = found + len(sep)
-            if found >= 0 and end > max(last_cut, start) and data.count(b"```", 0, end) % 2 == 0:
-                cut = end
-                break
-        cut = cut if cut > start else line_end
+    """Byte ranges of the chunks of one section: the best separator whose last place within ``size`` is free decides.
+
+    A place is free if it lies behind the last cut and outside a fence. All places, and how many fences lie before
+    each, are found once; a section without a free place is cut after the line that passes ``size``.
+    """
+    source = text.encode()
+    data = np.frombuffer(source, dtype=np.uint8)
+    fences = np.array([m.end() for m in re.finditer(b"```", source)], dtype=np.int64)
+    places = [(len(sep), _ends(data, sep)) for sep in _SEPARATORS]
+    free = [np.searchsorted(fences, ends, side="right") % 2 == 0 for _, ends in places]
+    lines = np.union1d(_ends(data, b"\n"), [len(data)])
+
+    def best(start: int, least: int) -> int | None:
+        for (width, ends), outside in zip(places, free, strict=True):
+            at = np.searchsorted(ends, start + size, side="right") - 1
+            if at >= 0 and ends[at] - width >= start and ends[at] > least and outside[at]:
+                return int(ends[at])
+        return None
+
+    out: list[tuple[int, int]] = []
+    start, line = 0, 0
+    while (line := max(line, int(np.searchsorted(lines, start + size, side="right")))) < len(lines):
+        cut = best(start, max(start, out[-1][1] if out else 0)) or int(lines[line])
         out.append((start, cut))
-        last_cut = cut
-        back = min(overlap, cut - start - 1) if overlap else 0
-        start = cut - max(back, 0)
-        while start < len(data) and data[start] & 0xC0 == 0x80:
-            start += 1
-    if start < len(data):
-        out.append((start, len(data)))
-    return out
+        start = cut - min(overlap, cut - start - 1)
+        # not within a character
+        start += next((i for i, byte in enumerate(source[start : start + 4]) if byte & 0xC0 != 0x80), len(data) - start)
+        line += 1
+    return [*out, (start, len(data))] if start < len(data) else out
 
 
 def chunks(parts: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:

@@ -15,7 +15,7 @@ LINK = r"""(?is)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)[^>]*>(.*?)</a>"""
 def links(pages: DataFrame, origin: Column | None = None, clean: bool = True) -> DataFrame:
     """page_id, pos, href, url and text of every link, without a shuffle: the page's own columns are exploded."""
     found = F.regexp_extract_all("html", F.lit(f"({LINK})"), F.lit(1))
-    rows = pages.select("page_id", "url", F.posexplode(found).alias("pos", "a"))
+    rows = pages.select("page_id", "url", F.posexplode_outer(found).alias("pos", "a")).where("pos is not null")
     raw = F.regexp_extract("a", LINK, 1)
     href = T.decode_entities(F.when(raw.rlike("^[\"']"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw))
     inner = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("a", LINK, 2), "<[^>]*>", ""), r"\s+", " "))

@@ -225,10 +225,22 @@ _SHINGLES = r"""SELECT DISTINCT doc_id, array_to_string(t[i:i + 5], ' ') AS shin
 
 @query(f"SELECT shingle, count(*) AS n_docs FROM ({_SHINGLES}) GROUP BY shingle HAVING count(*) > 1")
 def boilerplate_frequency(spark, sf_dir):
-    return corpus.shingle_frequency(_read(spark, sf_dir, "documents")).where("n_docs > 1")
+    return corpus.shingle_frequency(_read(spark, sf_dir, "documents"), least=2)
 
 
-@query()
+_STRIP = r"""WITH docs AS (SELECT doc_id, text, regexp_extract_all(text, '\S+') AS t, regexp_extract_all(text, '\s*\S+') AS p FROM documents),
+  places AS (SELECT doc_id, i, array_to_string(t[i:i + 5], ' ') AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 5, 1) + 1)) AS i FROM docs WHERE len(t) > 0)),
+  common AS (SELECT g FROM places GROUP BY g HAVING count(DISTINCT doc_id) >= greatest(2, ceil(0.01 * (SELECT count(*) FROM documents)))),
+  hits AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 6, true) AS gap FROM places WHERE g IN (SELECT g FROM common)),
+  runs AS (SELECT doc_id, min(i) AS a, max(i) + 6 AS b FROM (SELECT doc_id, i, sum(CAST(gap AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hits) GROUP BY doc_id, r),
+  gone AS (SELECT doc_id, a, least(b, len(p) + 1) AS b FROM runs JOIN docs USING (doc_id) WHERE least(b, len(p) + 1) - a >= 12),
+  bounds AS (SELECT doc_id, list_sort(list(a)) AS a, list_sort(list(b)) AS b FROM gone GROUP BY doc_id),
+  parts AS (SELECT doc_id, list_filter(list_transform(list_zip(list_prepend(1::BIGINT, b), list_append(a, (len(p) + 1)::BIGINT)), lambda z: array_to_string(p[z[1]:z[2] - 1], '')), lambda s: s <> '') AS parts FROM bounds JOIN docs USING (doc_id))
+  SELECT d.doc_id, CASE WHEN parts IS NULL OR len(parts) = 0 THEN text ELSE array_to_string(list_transform(parts, lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), chr(10) || chr(10)) END AS text
+  FROM docs d LEFT JOIN parts ON d.doc_id = parts.doc_id"""
+
+
+@query(_STRIP)
 def boilerplate_strip(spark, sf_dir):
     return corpus.boilerplate(_read(spark, sf_dir, "documents"), threshold=0.01)
 
