@@ -2,7 +2,7 @@
 
 Each row becomes a piece: text, or a marker of its tag. How pieces are separated depends on the block boundaries
 between them, which windows within the page tell. Pieces are joined in order once per page. Spaces and line breaks
-that must survive the final clean-up are carried as private-use characters.
+that must survive the final clean-up, and marks of emphasis, are carried as noncharacters.
 """
 
 from __future__ import annotations
@@ -15,7 +15,10 @@ from pagemill.functions import url as U
 from pagemill.operators import markup as M
 from pagemill.operators import selectors as S
 
-SPACE, BREAK = "\ue000", "\ue001"
+# Carriers of what must survive the final clean-up, and of marks until empty pairs of them are gone: noncharacters,
+# which no text may hold. A page that does has U+FFFD in their place.
+SPACE, BREAK, _STRONG, _EM, _DEL = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3", "\ufdd4"
+_MARKS = {_STRONG: "**", _EM: "*", _DEL: "~~"}
 #: What a block inside a table cell asks for: less than a line break, a space.
 IN_CELL = 0.5
 STRONG, EM, DEL, CODE = ("strong", "b", "dfn"), ("em", "i", "cite"), ("del", "s", "strike"), ("code", "kbd", "samp", "var")
@@ -43,6 +46,7 @@ def _attr(name: str) -> Column:
 
 def _with_attrs(rows: DataFrame) -> DataFrame:
     """Adds the attributes of tags, decoded together: one decoding expression instead of one an attribute."""
+    rows = rows.withColumn("token", F.translate("token", SPACE + BREAK + "".join(_MARKS), "\ufffd" * 5))
     raw = F.array(*[M.raw_attribute(F.col("token"), name) for name in _ATTRS])
     return rows.withColumn("attrs", F.when((F.col("kind") != "text") & F.contains(F.col("token"), F.lit("=")), F.transform(raw, lambda a: T.decode_entities(a))))
 
@@ -69,6 +73,8 @@ def _structured(rows: DataFrame) -> DataFrame:
         "pre": M.depth("pre") > 0,
         "quotes": M.depth("blockquote"),
         "heading": M.depth(*M.HEADINGS) > 0,
+        # quotes that the list itself stands in
+        "around": F.last(F.when(M.is_open("ul", "ol"), M.depth("blockquote")), ignorenulls=True).over(p),
         "block": M.so_far(F.when(F.col("boundary"), 1).otherwise(0)),
         "row_no": M.so_far(F.when(M.is_open("tr", "table"), 1).otherwise(0)),
         "before": F.lag("edge").over(p),
@@ -92,7 +98,11 @@ def _with_items(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("item", item - 1 + F.coalesce(F.col("list.start"), F.lit(1)))
     rows = rows.withColumn("cells", F.sum(F.when(cell, 1).otherwise(0)).over(in_row)).withColumn("width", F.sum(F.when(cell & inside, 1).otherwise(0)).over(row))
     rows = rows.withColumn("row_end", inside & (F.col("width") > 0) & (F.col("pos") == F.max(F.when(inside, F.col("pos"))).over(row)))
-    aligns = F.collect_list(F.when(cell & inside, F.struct("pos", F.lower(F.coalesce(_attr("align"), F.lit(""))).alias("a")))).over(row)
+    # a cell over several columns counts as so many, those after it empty
+    spans = F.least(F.greatest(F.coalesce(T.bounded_int(_attr("colspan"), 1000), F.lit(1)), F.lit(1)), F.lit(1000)).cast("int")
+    before = F.last(F.when(cell, spans), ignorenulls=True).over(in_row.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("spans", F.coalesce(F.when(cell, spans), before, F.lit(1))).withColumn("spans_before", F.coalesce(before, F.lit(1)))
+    aligns = F.collect_list(F.when(cell & inside, F.struct("pos", "spans", F.lower(F.coalesce(_attr("align"), F.lit(""))).alias("a")))).over(row)
     rows = rows.withColumn("aligns", F.when(F.col("row_end"), aligns))
     table = M.so_far(F.when(M.is_open("table"), 1).otherwise(0))
     rows = rows.withColumn("table_no", table)
@@ -130,12 +140,28 @@ def _joined(rows: DataFrame, spacing: Column, prefix: Column, name: str) -> Data
     whole = rows.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "").alias(name))
     text = F.regexp_replace(F.regexp_replace(F.col(name), " {2,}", " "), r" ?\n ?", "\n")
     text = F.regexp_replace(text, "\n{3,}", "\n\n")
-    text = F.regexp_replace(text, r"^[ \n]+|[ \n\ue000\ue001]+$", "")
+    text = F.regexp_replace(text, rf"^[ \n]+|[ \n{SPACE}{BREAK}]+\z", "")
     text = F.replace(text, F.lit(BREAK * 2 + "```"), F.lit(BREAK + "```"))
-    text = F.replace(F.replace(text, F.lit("****"), F.lit("")), F.lit("~~~~"), F.lit(""))
+    # a pair of marks with nothing between them goes; of nested ones the outer pair after the inner
+    text = F.regexp_replace(F.regexp_replace(text, f"([{''.join(_MARKS)}])\\1", ""), f"([{''.join(_MARKS)}])\\1", "")
+    for carrier, mark in _MARKS.items():
+        text = F.replace(text, F.lit(carrier), F.lit(mark))
     return whole.withColumn(name, F.translate(text, SPACE + BREAK, " \n"))
 
 
+def for_all(pages: DataFrame, converted: DataFrame, key: str = "page_id") -> DataFrame:
+    """``converted`` with a row for each row of ``pages``: one that renders nothing, or is null or empty, gets an empty text."""
+    texts = converted.withColumnRenamed(key, "of")
+    joined = pages.select(key).join(texts, F.col(key).eqNullSafe(F.col("of")), "left").drop("of")
+    return joined.select(key, *[F.coalesce(c, F.lit("")).alias(c) for c in converted.columns if c != key])
+
+
+def _ticks(text: Column, least: int) -> Column:
+    """How many backticks fence a code text: one more than its longest run of them, ``least`` at least."""
+    runs = F.transform(F.regexp_extract_all(text, F.lit("(`+)"), F.lit(1)), lambda r: F.length(r))
+    return F.greatest(F.lit(least), F.coalesce(F.array_max(runs), F.lit(0)) + 1)
+
+
 def _spacing() -> Column:
     """Line breaks that a boundary asks for."""
     tag, kind = F.col("tag"), F.col("kind")
@@ -149,6 +175,7 @@ def _spacing() -> Column:
         .when(tag == "li", 0)
         .when(tag.isin("ul", "ol"), F.when(F.col("lists") > F.when(kind == "open", 1).otherwise(0), 0).otherwise(2))
         .when((F.col("lists") > 0) & (tag == "p"), 2)
+        .when((F.col("lists") > 0) & (tag == "blockquote"), 1)
         .when(F.col("lists") > 0, 0)
         .when(tag.isin(*FLAT), 0)
         .otherwise(2)
@@ -178,13 +205,15 @@ def _texts(rows: DataFrame) -> DataFrame:
 def to_markdown(rows: DataFrame, origin: Column | None = None, clean: bool = False, key: str = "page_id") -> DataFrame:
     """key and markdown of every page that has rows."""
     rows = _texts(_prepared(rows, origin, clean))
-    rows, strong, owed_strong = _inline(rows, STRONG, "**", "n_strong")
-    rows, em, owed_em = _inline(rows, EM, "*", "n_em")
-    rows, gone, owed_del = _inline(rows, DEL, "~~", "n_del")
+    rows, strong, owed_strong = _inline(rows, STRONG, _STRONG, "n_strong")
+    rows, em, owed_em = _inline(rows, EM, _EM, "n_em")
+    rows, gone, owed_del = _inline(rows, DEL, _DEL, "n_del")
     rows, code, owed_code = _inline(rows, CODE, "`", "n_code")
 
     tag, kind, token = F.col("tag"), F.col("kind"), F.col("token")
-    prefix = F.concat(F.repeat(F.lit(">" + SPACE), F.col("quotes")), F.repeat(F.lit(SPACE), F.col("indent")))
+    outside = F.when(F.col("lists") > 0, F.least(F.coalesce("around", F.lit(0)), F.col("quotes"))).otherwise(F.col("quotes"))
+    quoted = F.repeat(F.lit(">" + SPACE), outside)
+    prefix = F.concat(quoted, F.repeat(F.lit(SPACE), F.col("indent")), F.repeat(F.lit(">" + SPACE), F.col("quotes") - outside))
     starts = F.col("before").isNotNull() & ~F.col("heading") & (F.col("tables") == 0) | (F.lag("pos").over(M.in_page()).isNull())
     in_code = (F.col("n_code") > 0) & ~F.col("pre")
     # each step is a column of its own: nested in one expression they would be repeated
@@ -202,14 +231,19 @@ def to_markdown(rows: DataFrame, origin: Column | None = None, clean: bool = Fal
     in_link = (M.depth("a") > 0) & (F.col("href") != BREAK)
     rows = rows.withColumn("escaped", F.when(in_link, F.replace("escaped", F.lit("]"), F.lit("\\]"))).otherwise(F.col("escaped")))
     ends_heading = F.col("heading") & (F.col("after_kind") == "close") & F.col("after_tag").isin(*M.HEADINGS)
-    rows = rows.withColumn("escaped", F.when(ends_heading, F.regexp_replace("escaped", r"(^|[ ])(#+) ?$", r"$1\\$2")).otherwise(F.col("escaped")))
+    rows = rows.withColumn("escaped", F.when(ends_heading, F.regexp_replace("escaped", r"(^|[ ])(#+) ?\z", r"$1\\$2")).otherwise(F.col("escaped")))
     text = F.when(F.col("pre") | in_code, F.translate("plain", " \n", SPACE + BREAK)).otherwise(F.col("escaped"))
 
     linked = F.col("href") != BREAK
     level = F.substring("tag", 2, 1).cast("int")
     language = F.coalesce(F.regexp_extract(token, r"language-([^\s\"'<>&~`]+)", 1), F.lit(""))
     nearby = F.coalesce(F.regexp_extract(F.lead("token").over(M.in_page()), r"^<code[^>]*language-([^\s\"'<>&~`]+)", 1), F.lit(""))
-    fence = F.concat(F.lit("```"), F.when(language != "", language).otherwise(nearby), F.lit(BREAK))
+    # the code's text is the next row, or the one after the code tag within pre; it ends a row, or two, before the end
+    said = F.when(kind == "text", F.col("plain"))
+    ahead = F.when(F.contains(F.coalesce(F.lead(said).over(p), F.lead(said, 2).over(p)), F.lit("`")), F.coalesce(F.lead(said).over(p), F.lead(said, 2).over(p)))
+    behind = F.when(F.contains(F.coalesce(said, F.lag(said).over(p)), F.lit("`")), F.coalesce(said, F.lag(said).over(p)))
+    rows = rows.withColumns({"ahead": ahead, "behind": behind})
+    fence = F.concat(F.repeat(F.lit("`"), _ticks(F.col("ahead"), 3)), F.when(language != "", language).otherwise(nearby), F.lit(BREAK))
     number = F.when(F.col("list.tag") == "ol", F.concat(F.col("item").cast("string"), F.lit("." + SPACE))).otherwise(F.lit("-" + SPACE))
     src, alt = _attr("src"), F.coalesce(_attr("alt"), F.lit(""))
     if origin is not None or clean:
@@ -231,18 +265,28 @@ def to_markdown(rows: DataFrame, origin: Column | None = None, clean: bool = Fal
         .when(M.is_close("a") & linked, F.concat(F.lit("]("), _destination(F.col("href")), _title(F.col("link_title")), F.lit(")")))
         .when((tag == "img") & ~F.lit(clean), image)
         .when((tag == "img") & (alt != ""), image)
-        .when(M.is_open("td", "th"), F.when(F.col("cells") == 1, "|" + SPACE).otherwise(SPACE + "|" + SPACE))
+        .when(M.is_open("td", "th"), F.when(F.col("cells") == 1, "|" + SPACE).otherwise(F.concat(F.repeat(F.lit(SPACE + "|"), F.col("spans_before")), F.lit(SPACE))))
         .when(tag == "q", '"')
         .when(tag.isin(*KEPT_TAGS), F.concat(F.when(kind == "close", "</").otherwise("<"), tag, F.lit(">")))
     )
+    # inline code that holds backticks has more around it, and a space where it begins or ends with one
+    inside = F.when(kind == "close", F.lag(said).over(p)).otherwise(F.lead(said).over(p))
+    wide = F.contains(F.coalesce(inside, F.lit("")), F.lit("`"))
+    room = F.when(inside.rlike(r"^`|`\z"), SPACE).otherwise("")
+    opening = F.concat(F.repeat(F.lit("`"), _ticks(inside, 1)), room)
+    closing = F.concat(room, F.repeat(F.lit("`"), _ticks(inside, 1)))
+    code = F.when(code.isNotNull() & wide, F.when(kind == "close", closing).otherwise(opening)).otherwise(code)
     piece = F.coalesce(piece, strong, em, gone, F.when(~F.col("pre"), code), F.lit(""))
-    fence_end = F.when((F.col("after_kind") == "close") & (F.col("after_tag") == "pre"), F.lit(BREAK + "```")).otherwise(F.lit(""))
-    owed = F.concat(owed_em, owed_del, owed_strong, owed_code, fence_end)
-    rule = F.array_join(F.transform(F.array_sort("aligns"), lambda c: F.when(c["a"] == "center", ":---:").when(c["a"] == "right", "---:").when(c["a"] == "left", ":---").otherwise("---")), f"{SPACE}|{SPACE}")
-    row_end = F.when(F.col("row_end"), F.concat(F.lit(SPACE + "|"), F.when(F.col("first_row"), F.concat(F.lit("\n|" + SPACE), rule, F.lit(SPACE + "|"))).otherwise(F.lit("")))).otherwise(F.lit(""))
+    fence_end = F.when((F.col("after_kind") == "close") & (F.col("after_tag") == "pre"), F.concat(F.lit(BREAK), F.repeat(F.lit("`"), _ticks(F.col("behind"), 3)))).otherwise(F.lit(""))
+    # a link that the page never closes ends with it
+    owed_link = F.when(F.col("is_last") & in_link & ~M.is_close("a"), F.concat(F.lit("]("), _destination(F.col("href")), _title(F.col("link_title")), F.lit(")"))).otherwise(F.lit(""))
+    owed = F.concat(owed_em, owed_del, owed_strong, owed_code, fence_end, owed_link)
+    columns = F.flatten(F.transform(F.array_sort("aligns"), lambda c: F.array_repeat(c, c["spans"])))
+    rule = F.array_join(F.transform(columns, lambda c: F.when(c["a"] == "center", ":---:").when(c["a"] == "right", "---:").when(c["a"] == "left", ":---").otherwise("---")), f"{SPACE}|{SPACE}")
+    row_end = F.when(F.col("row_end"), F.concat(F.repeat(F.lit(SPACE + "|"), F.col("spans")), F.when(F.col("first_row"), F.concat(F.lit("\n|" + SPACE), rule, F.lit(SPACE + "|"))).otherwise(F.lit("")))).otherwise(F.lit(""))
     rows = rows.withColumn("piece", F.concat(piece, owed, row_end))
     markers = M.is_open("li", "pre", "td", "th", *M.HEADINGS)
-    marked = F.when(M.is_open("li"), F.concat(F.repeat(F.lit(">" + SPACE), F.col("quotes")), F.repeat(F.lit(SPACE), F.greatest(F.col("indent") - F.when(F.col("list.tag") == "ol", 3).otherwise(2), F.lit(0)))))
+    marked = F.when(M.is_open("li"), F.concat(quoted, F.repeat(F.lit(SPACE), F.greatest(F.col("indent") - F.when(F.col("list.tag") == "ol", 3).otherwise(2), F.lit(0)))))
     rows = rows.withColumn("is_marker", markers)
     out = _joined(rows, _spacing(), F.coalesce(marked, prefix), "markdown")
     return out.withColumnRenamed("key", key)

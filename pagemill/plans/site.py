@@ -14,7 +14,7 @@ from pagemill.streaming import documents
 def site(pages: DataFrame, site_name: str = "Site", origin: str = "", strip: bool = True) -> tuple[DataFrame, DataFrame]:
     """Markdown of the first page of each address (page_id, url, title, file, markdown), and the lines of its index."""
     first = links.first_by_url(pages)
-    md = convert.to_markdown(convert.minimal(markup.tokens(first)))
+    md = convert.for_all(first, convert.to_markdown(convert.minimal(markup.tokens(first))))
     if strip:
         md = corpus.boilerplate(md, "page_id", "markdown")
     about = links.metadata(first).select("page_id", "title", "description")
@@ -28,8 +28,8 @@ def stream_to_markdown(stream: DataFrame, out: str, checkpoint: str):
     """Starts a query that converts each finished document of a stream of pieces and appends it to a table."""
 
     def convert_batch(batch: DataFrame, _: int) -> None:
-        rows = markup.tokens(batch.withColumnRenamed("key", "page_id"))
-        convert.to_markdown(rows).write.mode("append").parquet(out)
+        pages = batch.withColumnRenamed("key", "page_id")
+        convert.for_all(pages, convert.to_markdown(markup.tokens(pages))).write.mode("append").parquet(out)
 
     return documents.assemble(stream).writeStream.option("checkpointLocation", checkpoint).foreachBatch(convert_batch).trigger(availableNow=True).start()
 

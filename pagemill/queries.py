@@ -168,12 +168,14 @@ _GAP = "chr(10) || chr(10)"
 
 @query(rf"SELECT page_id, {_escaped(_TITLE)} || {_GAP} || {_MD_LINKS} || {_GAP} || {_escaped(_AD)} || {_GAP} || '# ' || {_escaped(_TITLE)} || {_GAP} || {_MD_BLOCKS} || {_GAP} || {_escaped(_FOOT)} AS markdown FROM pages")
 def convert_markdown(spark, sf_dir):
-    return convert.to_markdown(markup.tokens(_read(spark, sf_dir, "pages")))
+    pages = _read(spark, sf_dir, "pages")
+    return convert.for_all(pages, convert.to_markdown(markup.tokens(pages)))
 
 
 @query(rf"SELECT page_id, '# ' || {_escaped(_TITLE)} || {_GAP} || {_MD_BLOCKS} AS markdown FROM pages")
 def convert_minimal(spark, sf_dir):
-    return convert.to_markdown(convert.minimal(markup.tokens(_read(spark, sf_dir, "pages"))))
+    pages = _read(spark, sf_dir, "pages")
+    return convert.for_all(pages, convert.to_markdown(convert.minimal(markup.tokens(pages))))
 
 
 _TEXT_BLOCKS = rf"array_to_string(list_transform({_BLOCK_LIST}, lambda b: {_clean('''regexp_replace(b, '<[^>]*>', '', 'g')''')}), chr(10) || chr(10))"
@@ -182,12 +184,14 @@ _TEXT_LINKS = rf"""array_to_string(list_transform({_LINK_LIST}, lambda a: {_clea
 
 @query(rf"SELECT page_id, {_clean(_TITLE)} || {_GAP} || {_TEXT_LINKS} || {_GAP} || {_clean(_AD)} || {_GAP} || {_clean(_TITLE)} || {_GAP} || {_TEXT_BLOCKS} || {_GAP} || {_clean(_FOOT)} AS text FROM pages")
 def convert_text(spark, sf_dir):
-    return convert.to_text(markup.tokens(_read(spark, sf_dir, "pages")))
+    pages = _read(spark, sf_dir, "pages")
+    return convert.for_all(pages, convert.to_text(markup.tokens(pages)))
 
 
 @query()
 def convert_html(spark, sf_dir):
-    return convert.to_html(markup.tokens(_read(spark, sf_dir, "pages")))
+    pages = _read(spark, sf_dir, "pages")
+    return convert.for_all(pages, convert.to_html(markup.tokens(pages)))
 
 
 @query(rf"""SELECT page_id, 'h1' AS selector, {_clean(_TITLE)} AS text_content FROM pages UNION ALL SELECT page_id, '.ad', {_clean(_AD)} FROM pages
@@ -265,7 +269,7 @@ def llms_index(spark, sf_dir):
 @query()
 def llms_full(spark, sf_dir):
     pages = _read(spark, sf_dir, "pages")
-    md = convert.to_markdown(convert.minimal(markup.tokens(pages))).withColumnRenamed("page_id", "id")
+    md = convert.for_all(pages, convert.to_markdown(convert.minimal(markup.tokens(pages)))).withColumnRenamed("page_id", "id")
     rows = pages.select("page_id", "url").join(md, F.col("page_id") == F.col("id")).join(links.metadata(pages).select("page_id", "title", "description"), "page_id")
     return corpus.llms_full_blocks(rows.select(F.col("page_id").alias("ord"), "title", "url", "description", F.col("markdown").alias("content")))
 
