@@ -90,6 +90,11 @@ def hard_wrap(md: Column, width: int) -> Column:
     return outside_fences(md, lambda part: F.array_join(F.transform(F.split(part, "\n"), line), "\n"))
 
 
+def fold_blank_lines(md: Column) -> Column:
+    """Runs of empty lines become one; lines of white space alone count as empty."""
+    return F.regexp_replace(md, r"\n(?:[ \t]*\n){2,}", "\n\n")
+
+
 #: All cleaning steps by name, in the order in which they are applied.
 STEPS: dict[str, Callable[[Column], Column]] = {
     "empty_images": drop_empty_images,
@@ -100,8 +105,8 @@ STEPS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def clean_markdown(md: Column, fragments: bool = True, **steps: bool) -> Column:
-    """Applies all steps but those given as ``False``, then unwraps dead fragments."""
+def clean_markdown(md: Column, fragments: bool = True, blank_lines: bool = False, **steps: bool) -> Column:
+    """Applies all steps but those given as ``False``, then unwraps dead fragments; ``blank_lines`` are folded on demand."""
     unknown = steps.keys() - STEPS.keys()
     if unknown:
         raise ValueError(f"no such cleaning steps: {sorted(unknown)}")
@@ -113,4 +118,6 @@ def clean_markdown(md: Column, fragments: bool = True, **steps: bool) -> Column:
         return part
 
     cleaned = outside_fences(md, each)
+    if blank_lines:
+        cleaned = outside_fences(cleaned, fold_blank_lines)
     return unwrap_dead_fragments(cleaned) if fragments else cleaned

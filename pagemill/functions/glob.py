@@ -71,14 +71,20 @@ def starting_url(pattern: str) -> str:
     return base + (before[: before.rfind("/") + 1] or "/")
 
 
-def matches(url: Column, pattern: str) -> Column:
-    """Whether an address is of the pattern's host and matches its path."""
+def matches(url: Column, pattern: str, suffixes: Sequence[str] = ()) -> Column:
+    """Whether an address is of the pattern's host and matches its path.
+
+    With a list of public ``suffixes``, all hosts of the pattern's registrable domain count as its host.
+    """
     base, path, is_glob = parse_pattern(pattern)
     if not is_glob:
         return F.lit(True)
     if path.endswith("*") and not path.endswith(("**", "/*")):
         path = f"{{{path[:-1]},{path[:-1]}/**}}"
-    return (U.origin_of(url) == base) & _target(url).rlike(to_regex(path))
+    same = U.origin_of(url) == base
+    if suffixes:
+        same |= registrable_domain(U.host_of(url), suffixes) == registrable_domain(U.host_of(F.lit(base)), suffixes)
+    return same & _target(url).rlike(to_regex(path))
 
 
 def excluded(url: Column, patterns: Sequence[str]) -> Column:
@@ -94,6 +100,12 @@ def excluded(url: Column, patterns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, map(one, patterns), F.lit(False))
 
 
+def wanted(url: Column, include: Sequence[str] = (), exclude: Sequence[str] = (), suffixes: Sequence[str] = ()) -> Column:
+    """Whether a crawl or a sitemap may give an address: none of ``exclude`` matches, and any of ``include`` if there are any."""
+    taken = reduce(lambda a, b: a | b, [matches(url, p, suffixes) for p in include], F.lit(not include))
+    return taken & ~excluded(url, exclude)
+
+
 def registrable_domain(host: Column, suffixes: Sequence[str]) -> Column:
     """The label before the longest public suffix, with it. ``suffixes`` is the list to use; one label if none matches."""
     known = "|".join(re.escape(s) for s in sorted(suffixes, key=len, reverse=True))

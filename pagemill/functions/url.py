@@ -35,6 +35,11 @@ def origin_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
 
 
+def host_of(url: Column) -> Column:
+    """The host without port, lower-cased; empty for relative addresses."""
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
 def strip_tracking(url: Column) -> Column:
     """Drops query parameters whose key begins like a tracking parameter; order and fragment stay."""
     keep = F.filter(F.split(query_of(url), "&"), lambda p: ~p.rlike("^(" + "|".join(TRACKING_PREFIXES) + ")"))

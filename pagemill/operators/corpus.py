@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -105,23 +106,95 @@ def sort_keys(pages: DataFrame, path: str = "path") -> DataFrame:
     return rows.withColumn("group", group).drop("seg1", "prefix2", "n2", "nested")
 
 
-def llms_lines(pages: DataFrame, site: str = "Site", description: str = "", origin: str = "", cut: int = 100) -> DataFrame:
-    """ord and line of a site index: heading, description, origin, one line a page. ``pages``: ord, title, url, description."""
-    spark = pages.sparkSession
-    head = [f"# {site}", "", *([f"> {description}", ""] if description else []), *([f"Canonical Origin: {origin}", ""] if origin else [])]
-    top = spark.createDataFrame([(i - len(head) - 2, x) for i, x in enumerate(head)], "ord bigint, line string")
-    title = pages.limit(1).select(F.explode(F.array(F.struct(F.lit(-2).cast("bigint").alias("ord"), F.lit("## Pages").alias("line")), F.struct(F.lit(-1).cast("bigint").alias("ord"), F.lit("").alias("line")))).alias("x")).select("x.ord", "x.line")
+def _page_line(origin: str, cut: int) -> Column:
+    """The line of a page (title, url, description) in an index."""
     url = F.when(F.col("url").rlike("^https?://"), F.col("url")).otherwise(F.concat(F.lit(origin), F.col("url")))
     said = F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(": "), T.truncate(F.col("description"), cut))).otherwise(F.lit(""))
-    lines = pages.select(F.col("ord").cast("bigint"), F.concat(F.lit("- ["), "title", F.lit("]("), url, F.lit(")"), said).alias("line"))
+    return F.concat(F.lit("- ["), "title", F.lit("]("), url, F.lit(")"), said)
+
+
+def _section_lines(section: Mapping) -> list[str]:
+    """The lines of one section: title, description (one or several) and links (title, href, description)."""
+    said = section.get("description") or []
+    listed = [f"- [{x['title']}]({x['href']})" + (f": {x['description']}" if x.get("description") else "") for x in section.get("links", ())]
+    return [f"## {section['title']}", "", *(y for x in ([said] if isinstance(said, str) else said) for y in (x, "")), *listed, *([""] if listed else [])]
+
+
+def _heading(site: str, description: str, origin: str) -> list[str]:
+    return [f"# {site}", "", *([f"> {description}", ""] if description else []), *([f"Canonical Origin: {origin}", ""] if origin else [])]
+
+
+def _framed(lines: DataFrame, head: list[str], name: str, tail: list[str]) -> DataFrame:
+    """``lines`` (ord, line) under their title ``name`` if there are any, between the lines ``head`` and ``tail``."""
+    fixed = [(i - len(head) - 2, x) for i, x in enumerate(head)] + [((1 << 62) + i, x) for i, x in enumerate(tail)]
+    top = lines.sparkSession.createDataFrame(fixed, "ord bigint, line string")
+    titled = F.array(*[F.struct(F.lit(i).cast("bigint").alias("ord"), F.lit(x).alias("line")) for i, x in ((-2, f"## {name}"), (-1, ""))])
+    title = lines.limit(1).select(F.explode(titled).alias("x")).select("x.ord", "x.line")
     return top.unionByName(title).unionByName(lines)
 
 
+def index_lines(lines: DataFrame, site: str = "Site", description: str = "", origin: str = "", sections: Sequence[Mapping] = (), notes: str | Sequence[str] = ()) -> DataFrame:
+    """ord and line of a site index around the lines of its pages."""
+    head = _heading(site, description, origin) + [line for section in sections for line in _section_lines(section)]
+    return _framed(lines, head, "Pages", [y for x in ([notes] if isinstance(notes, str) else notes) for y in ("", x)])
+
+
+def llms_lines(pages: DataFrame, site: str = "Site", description: str = "", origin: str = "", cut: int = 100, sections: Sequence[Mapping] = (), notes: str | Sequence[str] = ()) -> DataFrame:
+    """ord and line of a site index: heading, description, origin, sections, one line a page, notes.
+
+    ``pages``: ord, title, url, description. A section has a title and may have a description and links; notes come last.
+    """
+    return index_lines(pages.select(F.col("ord").cast("bigint"), _page_line(origin, cut).alias("line")), site, description, origin, sections, notes)
+
+
+def llms_entries(pages: DataFrame, origin: str = "", cut: int = 100) -> DataFrame:
+    """ord, line, toc and block of every page: its line of the index, and what a full site text has of it."""
+    return _with_blocks(pages, origin).select(F.col("ord").cast("bigint"), _page_line(origin, cut).alias("line"), "toc", "block")
+
+
+def full_lines(blocks: DataFrame, site: str = "Site", description: str = "", origin: str = "", sections: Sequence[Mapping] = (), notes: str | Sequence[str] = ()) -> DataFrame:
+    """ord and line of a full site text: heading, sections, table of contents, the pages, notes. ``blocks``: ord, toc, block.
+
+    Table and pages are two ranges of one order, ord from 0 on: pages come after all entries of the table.
+    """
+    half = 1 << 61
+    toc = blocks.select(F.col("ord").cast("bigint"), F.col("toc").alias("line"))
+    rule = F.array(*[F.struct(F.lit(half - 3 + i).alias("ord"), F.lit(x).alias("line")) for i, x in enumerate(("", "---", ""))])
+    ruled = blocks.limit(1).select(F.explode(rule).alias("x")).select("x.ord", "x.line")
+    pages = blocks.select((F.col("ord") + F.lit(half)).alias("ord"), F.col("block").alias("line"))
+    head = _heading(site, description, origin) + [line for section in sections for line in _section_lines(section)]
+    tail = [y for x in ([notes] if isinstance(notes, str) else notes) for y in ("", x)]
+    return _framed(toc, head, "Table of Contents", tail).unionByName(ruled).unionByName(pages)
+
+
+def llms_grouped(pages: DataFrame, origin: str = "", cut: int = 160) -> DataFrame:
+    """grp, is_blank, path and line of an index in the order of a directory tree: ``orderBy(grp, is_blank, path)``.
+
+    ``pages``: path, title, url, description. An empty line ends the pages of the root, and each of the next two groups
+    if it has more than one page, unless nothing follows. Only the sizes of the groups are needed for that.
+    """
+    rows = sort_keys(pages).withColumnRenamed("group", "grp")
+    order = F.struct((F.col("grp") != "").alias("below"), "grp")
+    sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).orderBy(order).limit(4)
+    # four rows at most; without pages at the root the first group is number one
+    numbered = sizes.withColumns({"nth": F.row_number().over(Window.orderBy(order)), "least": F.min("grp").over(Window.orderBy(order)), "follows": F.lead("grp").over(Window.orderBy(order)).isNotNull()})
+    nth = F.col("nth") - F.when(F.col("least") == "", 1).otherwise(0)
+    ended = numbered.where("follows").where((nth == 0) | (nth <= 2) & (F.col("n") > 1))
+    none = F.lit(None).cast("array<string>")
+    blank = ended.select("grp", F.lit(True).alias("is_blank"), none.alias("path"), F.lit("").alias("line"))
+    return rows.select("grp", F.lit(False).alias("is_blank"), F.col("segments").alias("path"), _page_line(origin, cut).alias("line")).unionByName(blank)
+
+
 def llms_full_blocks(pages: DataFrame, origin: str = "") -> DataFrame:
     """ord, toc and block of a full site text. ``pages``: ord, title, url, description, content.
 
     A page's own front matter is merged under title, url and description; a first line that repeats the title goes.
     """
+    return _with_blocks(pages, origin).select("ord", "toc", "block")
+
+
+def _with_blocks(pages: DataFrame, origin: str) -> DataFrame:
+    """Adds toc and block to pages."""
     url = F.when(F.col("url").rlike("^https?://"), F.col("url")).otherwise(F.concat(F.lit(origin), F.col("url")))
     fields = F.filter(F.array(F.struct(F.lit("title").alias("k"), F.col("title").alias("v")), F.struct(F.lit("url").alias("k"), url.alias("v")), F.struct(F.lit("description").alias("k"), F.col("description").alias("v"))), lambda x: F.coalesce(x["v"], F.lit("")) != "")
     own = F.coalesce(F.map_entries(T.frontmatter(F.col("content"))), F.array().cast("array<struct<key:string,value:string>>"))
@@ -136,7 +209,7 @@ def llms_full_blocks(pages: DataFrame, origin: str = "") -> DataFrame:
     body = F.when((line == F.col("title")) | (line == F.concat(F.lit("# "), "title")), rest).otherwise(F.col("body"))
     toc = F.concat(F.lit("- ["), "title", F.lit("](#"), T.anchor(F.col("title")), F.lit(")"))
     block = F.concat(F.lit("---\n"), "head", F.lit("\n---\n\n"), body, F.lit("\n\n---\n"))
-    return rows.select("ord", toc.alias("toc"), block.alias("block"))
+    return rows.withColumns({"toc": toc, "block": block})
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -192,29 +265,30 @@ def sections(docs: DataFrame, key: str = "doc_id", text: str = "text", levels: t
 
 
 #: Where a section may be cut, the best first: after an empty line, a closing fence, a line, a space.
-_SEPARATORS = (b"\n\n", b"```\n", b"\n", b" ")
+_SEPARATORS = ("\n\n", "```\n", "\n", " ")
 
 
-def _ends(data: np.ndarray, sep: bytes) -> np.ndarray:
+def _ends(data: np.ndarray, sep: str) -> np.ndarray:
     """The offsets after each occurrence of ``sep``, overlapping ones too."""
     n = len(data) - len(sep) + 1
     if n < 1:
         return np.empty(0, dtype=np.int64)
-    return np.flatnonzero(np.logical_and.reduce([data[i : i + n] == c for i, c in enumerate(sep)])) + len(sep)
+    return np.flatnonzero(np.logical_and.reduce([data[i : i + n] == ord(c) for i, c in enumerate(sep)])) + len(sep)
 
 
-def cut_points(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
-    """Byte ranges of the chunks of one section: the best separator whose last place within ``size`` is free decides.
+def cut_points(text: str, size: int, overlap: int, unit: str = "bytes") -> list[tuple[int, int]]:
+    """Ranges, in bytes or characters, of one section's chunks: the best separator whose last place in reach is free decides.
 
     A place is free if it lies behind the last cut and outside a fence. All places, and how many fences lie before
     each, are found once; a section without a free place is cut after the line that passes ``size``.
     """
-    source = text.encode()
-    data = np.frombuffer(source, dtype=np.uint8)
-    fences = np.array([m.end() for m in re.finditer(b"```", source)], dtype=np.int64)
+    in_bytes = unit == "bytes"
+    source = text.encode() if in_bytes else text
+    data = np.frombuffer(source, dtype=np.uint8) if in_bytes else np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    fences = np.array([m.end() for m in re.finditer(b"```" if in_bytes else "```", source)], dtype=np.int64)
     places = [(len(sep), _ends(data, sep)) for sep in _SEPARATORS]
     free = [np.searchsorted(fences, ends, side="right") % 2 == 0 for _, ends in places]
-    lines = np.union1d(_ends(data, b"\n"), [len(data)])
+    lines = np.union1d(_ends(data, "\n"), [len(data)])
 
     def best(start: int, least: int) -> int | None:
         for (width, ends), outside in zip(places, free, strict=True):
@@ -229,22 +303,35 @@ def cut_points(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
         cut = best(start, max(start, out[-1][1] if out else 0)) or int(lines[line])
         out.append((start, cut))
         start = cut - min(overlap, cut - start - 1)
-        # not within a character
-        start += next((i for i, byte in enumerate(source[start : start + 4]) if byte & 0xC0 != 0x80), len(data) - start)
+        if in_bytes:
+            # not within a character
+            start += next((i for i, byte in enumerate(source[start : start + 4]) if byte & 0xC0 != 0x80), len(data) - start)
         line += 1
     return [*out, (start, len(data))] if start < len(data) else out
 
 
-def chunks(parts: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """Cuts sections longer than ``size`` bytes into overlapping chunks; adds chunk (its number in the section)."""
+def chunks(parts: DataFrame, size: int = 1000, overlap: int = 200, unit: str = "bytes") -> DataFrame:
+    """Cuts sections longer than ``size`` into overlapping chunks; adds chunk (its number in the section).
+
+    Sizes count bytes (of UTF-8) or characters, as ``unit`` says.
+    """
     if overlap >= size:
         raise ValueError("overlap must be less than size")
+    if unit not in ("bytes", "characters"):
+        raise ValueError("unit must be bytes or characters")
+
+    def pieces(text: str) -> list[str]:
+        ranges = cut_points(text, size, overlap, unit)
+        if unit == "characters":
+            return [text[a:b].rstrip() for a, b in ranges]
+        source = text.encode()
+        return [source[a:b].decode("utf-8", "ignore").rstrip() for a, b in ranges]
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([[t.encode()[a:b].decode("utf-8", "ignore").rstrip() for a, b in cut_points(t, size, overlap)] for t in texts])
+        return pd.Series([pieces(t) for t in texts])
 
-    short = F.octet_length("content") <= size
+    short = (F.octet_length("content") if unit == "bytes" else F.length("content")) <= size
     long_ones = parts.where(~short).select("*", F.posexplode(cut("content")).alias("chunk", "piece"))
     whole = parts.where(short).select("*", F.lit(0).alias("chunk"), F.col("content").alias("piece"))
     return whole.unionByName(long_ones).where("piece <> ''").drop("content").withColumnRenamed("piece", "content")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions import glob as G
 from pagemill.functions import text as T
 from pagemill.functions import url as U
 from pagemill.operators import markup as M
@@ -24,10 +28,22 @@ def links(pages: DataFrame, origin: Column | None = None, clean: bool = True) ->
     return rows.select("page_id", "pos", "href", U.resolve(F.col("href"), F.col("at"), clean).alias("url"), "text")
 
 
-def metadata(pages: DataFrame) -> DataFrame:
+def host_links(pages: DataFrame) -> DataFrame:
+    """page_id and links: the absolute addresses on the page's own host, as written, fragments and tracking included.
+
+    Each address once, in page order; ``metadata`` gives the other kind of list, normalized and of one origin.
+    """
+    found = links(pages, clean=False).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "url"))).alias("found"))
+    rows = pages.select("page_id", U.host_of(F.col("url")).alias("host")).join(found.withColumnRenamed("page_id", "of"), F.col("page_id").eqNullSafe(F.col("of")), "left")
+    urls = F.array_distinct(F.transform(F.filter("found", lambda x: U.host_of(x["url"]) == F.col("host")), lambda x: x["url"]))
+    return rows.select("page_id", F.coalesce(urls, F.array().cast("array<string>")).alias("links"))
+
+
+def metadata(pages: DataFrame, domains: Sequence[str] = ()) -> DataFrame:
     """page_id, title, description, keywords, author and links of every page.
 
-    The first non-empty value in page order counts; the title falls back to og:title, then to the address's path.
+    The first non-empty value in page order counts; the title falls back to og:title, then to the address's path. Links
+    are those of the page's origin, and of the hosts ``domains``.
     """
     rows = M.tokens(pages)
     p = M.in_page()
@@ -48,7 +64,7 @@ def metadata(pages: DataFrame) -> DataFrame:
     )
     out = pages.select(F.col("page_id"), F.col("url")).join(facts, F.col("page_id") == F.col("key"), "left")
     urls = F.array_distinct(F.transform("hrefs", lambda h: U.normalize(U.resolve(h["href"], U.origin_of(F.col("url"))))))
-    same = F.filter(urls, lambda u: u.startswith(U.origin_of(F.col("url"))))
+    same = F.filter(urls, lambda u: u.startswith(U.origin_of(F.col("url"))) | U.host_of(u).isin(*domains))
     return out.select("page_id", F.coalesce("title", U.path_of(F.col("url"))).alias("title"), "description", "keywords", "author", F.coalesce(same, F.array().cast("array<string>")).alias("links"))
 
 
@@ -66,25 +82,87 @@ def capped_variants(urls: DataFrame, most: int = 5, order: str = "page_id") -> D
     return rows.withColumn("nth", nth).where(~F.col("with_query") | (F.col("nth") <= most)).drop("nth", "with_query", "path")
 
 
-def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int, keep=lambda df: df) -> DataFrame:
+@dataclass(frozen=True)
+class CrawlConfig:
+    """What a crawl takes: how deep, how many pages in all and in one wave (in order of address), and which addresses.
+
+    ``include`` and ``exclude`` are address patterns, ``domains`` hosts besides those of the seeds, ``variants`` how many
+    addresses with a query a path may have in one wave. With public ``suffixes`` patterns cover subdomains.
+    """
+
+    max_depth: int = 3
+    max_pages: int | None = None
+    per_wave: int | None = None
+    include: tuple[str, ...] = ()
+    exclude: tuple[str, ...] = ()
+    domains: tuple[str, ...] = ()
+    suffixes: tuple[str, ...] = ()
+    variants: int = 5
+
+
+def crawl_site(seeds: DataFrame, edges: DataFrame, config: CrawlConfig) -> DataFrame:
+    """url and depth of the addresses that a crawl with ``config`` takes from ``seeds`` (url) over ``edges`` (src, dst).
+
+    Links to hosts other than those of the seeds and of ``domains`` go before the first wave, by a semi join. The edges
+    are written once: every wave reads them, and filters on addresses would otherwise repeat what makes the addresses.
+    """
+    edges = _written(edges.select("src", "dst"))
+    own = seeds.select(U.host_of(F.col("url")).alias("host")).distinct()
+    if config.domains:
+        own = own.unionByName(seeds.sparkSession.createDataFrame([(d.lower(),) for d in config.domains], "host string")).distinct()
+    url = F.col("dst")
+    taken = edges.where(U.is_content(url) & G.wanted(url, config.include, config.exclude, config.suffixes)).withColumn("host", U.host_of(url))
+    taken = taken.join(own, "host", "left_semi").select("src", "dst")
+    return crawl(seeds, taken, config.max_depth, lambda wave: capped_variants(wave, config.variants, "url"), config.max_pages, config.per_wave)
+
+
+def _written(rows: DataFrame) -> DataFrame:
+    """The rows as a checkpoint, or persisted in sessions that have no folder for one."""
+    spark = rows.sparkSession
+    return rows.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else rows.persist()
+
+
+def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int, keep=lambda df: df, max_pages: int | None = None, per_wave: int | None = None) -> DataFrame:
     """url and depth of all addresses that links reach from the seeds within ``max_depth`` steps, breadth first.
 
     Each wave joins the frontier with the links and takes away what was seen; ``keep`` may filter a wave. Waves are
-    written to checkpoints where the session has a folder for them.
+    written to checkpoints where the session has a folder for them. ``per_wave`` and ``max_pages`` (seeds included)
+    take the first addresses of a wave in their order.
     """
     seen = seeds.select("url", F.lit(0).alias("depth")).distinct()
     frontier = seen
-    durable = bool(seeds.sparkSession.conf.get("spark.checkpoint.dir", None) or seeds.sparkSession.sparkContext.getCheckpointDir())
     for step in range(1, max_depth + 1):
         found = frontier.select(F.col("url").alias("src")).join(edges.select("src", "dst"), "src").select(F.col("dst").alias("url")).distinct()
         frontier = keep(found.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(step)))
-        frontier = frontier.checkpoint() if durable else frontier.persist()
+        room = [per_wave] if per_wave is not None else []
+        if max_pages is not None:
+            room.append(max(max_pages - seen.count(), 0))
+        if room:
+            frontier = frontier.orderBy("url").limit(min(room))
+        frontier = _written(frontier)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
     return seen
 
 
+def site_facts(pages: DataFrame, order: str = "page_id", name: str | None = None, description: str | None = None) -> DataFrame:
+    """origin, name and description of every site. ``pages``: url, title, description and an order.
+
+    The name is the given one, else the home page's title, else the host; the description the given one, else the home
+    page's, else that of the site's first page.
+    """
+    home = (U.path_of(F.col("url")) == "/") & ~F.col("url").rlike("[?#]")
+    # an empty value is none
+    said = lambda c: F.when(F.col(c) != "", F.col(c))
+    found = pages.select(order, U.origin_of(F.col("url")).alias("origin"), U.host_of(F.col("url")).alias("host"), home.alias("home"), said("title").alias("title"), said("description").alias("description"))
+    facts = found.groupBy("origin").agg(
+        F.min(F.when(F.col("home"), F.struct(order, "title", "description"))).alias("front"), F.min(F.struct(order, "description")).alias("first"), F.first("host").alias("host")
+    )
+    chosen = F.coalesce(F.lit(name or None), F.col("front.title"), F.col("host")).alias("name")
+    return facts.select("origin", chosen, F.coalesce(F.lit(description or None), F.col("front.description"), F.col("first.description")).alias("description"))
+
+
 def latency(log: DataFrame, by: str, ms: Column) -> DataFrame:
     """by, total, least, most and n of the latencies ``ms`` of a fetch log; rows without one do not count."""
     return log.groupBy(by).agg(F.sum(ms).alias("total"), F.min(ms).alias("least"), F.max(ms).alias("most"), F.count(ms).alias("n"))

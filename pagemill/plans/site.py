@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.functions import url as U
-from pagemill.operators import convert, corpus, links, markup
+from pagemill.operators import convert, corpus, links, markup, selectors
 from pagemill.streaming import documents
 
 
@@ -24,18 +26,53 @@ def site(pages: DataFrame, site_name: str = "Site", origin: str = "", strip: boo
     return kept, index
 
 
+def _each_batch(stream: DataFrame, make, out: str, checkpoint: str):
+    """Starts a query that writes ``make`` of each batch into a folder of its own: a batch that is run again replaces it."""
+
+    def write(batch: DataFrame, nth: int) -> None:
+        make(batch).write.mode("overwrite").parquet(f"{out}/batch={nth}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
 def stream_to_markdown(stream: DataFrame, out: str, checkpoint: str):
-    """Starts a query that converts each finished document of a stream of pieces and appends it to a table."""
+    """Starts a query that converts each finished document of a stream of pieces (text or bytes): page_id, markdown, batch."""
 
-    def convert_batch(batch: DataFrame, _: int) -> None:
+    def converted(batch: DataFrame) -> DataFrame:
         pages = batch.withColumnRenamed("key", "page_id")
-        convert.for_all(pages, convert.to_markdown(markup.tokens(pages))).write.mode("append").parquet(out)
+        return convert.for_all(pages, convert.to_markdown(markup.tokens(pages)))
+
+    in_bytes = stream.schema["chunk"].dataType.typeName() == "binary"
+    return _each_batch(documents.assemble_bytes(stream) if in_bytes else documents.assemble(stream), converted, out, checkpoint)
+
+
+def stream_to_elements(stream: DataFrame, chosen: Sequence[str], out: str, checkpoint: str):
+    """Starts a query that extracts the elements that selectors choose from each finished document of a stream of pieces."""
+    return _each_batch(documents.assemble(stream), lambda batch: selectors.extract(markup.tokens(batch, "key"), chosen), out, checkpoint)
+
+
+def stream_to_index(pages: DataFrame, out: str, checkpoint: str, origin: str = ""):
+    """Starts a query that gathers the index lines and full texts of a stream of pages: ord, line, toc, block, batch.
+
+    ``pages``: ord, title, url, description, content. ``close_index`` puts them in order when the stream has ended.
+    """
+
+    def gathered(batch: DataFrame) -> DataFrame:
+        return corpus.llms_entries(batch, origin)
+
+    return _each_batch(pages, gathered, out, checkpoint)
+
 
-    return documents.assemble(stream).writeStream.option("checkpointLocation", checkpoint).foreachBatch(convert_batch).trigger(availableNow=True).start()
+def close_index(spark: SparkSession, out: str, site_name: str = "Site", description: str = "", origin: str = "") -> tuple[DataFrame, DataFrame]:
+    """The lines (ord, line) of the index and of the full text that ``stream_to_index`` gathered, sorted range by range."""
+    rows = spark.read.parquet(out)
+    index = corpus.index_lines(rows.select("ord", "line"), site_name, description, origin)
+    return index, corpus.full_lines(rows.select("ord", "toc", "block"), site_name, description, origin)
 
 
-def pieces_of(spark: SparkSession, pages: DataFrame, size: int = 1000) -> DataFrame:
-    """Pages cut into pieces (key, seq, chunk, is_last), as a stream would deliver them."""
-    n = F.greatest(F.ceil(F.length("html") / size), F.lit(1)).cast("int")
-    rows = pages.select(F.col("page_id").alias("key"), "html", n.alias("n")).select("key", "html", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("seq"))
+def pieces_of(spark: SparkSession, pages: DataFrame, size: int = 1000, in_bytes: bool = False) -> DataFrame:
+    """Pages cut into pieces (key, seq, chunk, is_last) of text or bytes, as a stream would deliver them."""
+    html = F.encode("html", "UTF-8") if in_bytes else F.col("html")
+    n = F.greatest(F.coalesce(F.ceil(F.length(html) / size), F.lit(1)), F.lit(1)).cast("int")
+    rows = pages.select(F.col("page_id").alias("key"), html.alias("html"), n.alias("n")).select("key", "html", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("seq"))
     return rows.select("key", "seq", F.substring("html", F.col("seq") * size + 1, F.lit(size)).alias("chunk"), (F.col("seq") == F.col("n") - 1).alias("is_last"))

@@ -212,10 +212,22 @@ def document_lines(spark, sf_dir):
     return corpus.lines(_read(spark, sf_dir, "documents"))
 
 
-@query()
+_SECTIONS = rf"""WITH md AS MATERIALIZED ({ORACLE_SQL["convert_markdown"]}),
+  cut AS MATERIALIZED (SELECT page_id, l, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT page_id, string_split(regexp_replace(markdown, '^\s+', ''), chr(10)) AS l FROM md)),
+  fenced AS (SELECT *, starts_with(line, '```') AS fence, sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) % 2 = 1 AS within FROM cut),
+  leveled AS (SELECT *, NOT fence AND NOT within AS free, CASE WHEN NOT fence AND NOT within THEN length(regexp_extract(line, '^(#{{1,6}}) .', 1)) ELSE 0 END AS level FROM fenced),
+  begun AS (SELECT *, (level IN (1, 2) AND row_number() OVER (PARTITION BY page_id, level ORDER BY i) > 1) OR (free AND level = 0 AND regexp_matches(trim(line), '^(-{{3,}}|\*{{3,}}|_{{3,}})$')) AS begins FROM leveled),
+  parted AS (SELECT *, sum(CAST(begins AS INT)) OVER (PARTITION BY page_id ORDER BY i) AS part, last_value(CASE WHEN level = 1 THEN trim(regexp_replace(substr(line, 3), '[*_`]', '', 'g')) END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i) AS h FROM begun),
+  parts AS (SELECT page_id, part, count(*) AS n, regexp_replace(string_agg(line, chr(10) ORDER BY i), '\s+$', '') AS content, arg_max(h, i) AS h1 FROM parted GROUP BY page_id, part)
+  SELECT page_id, CAST(row_number() OVER w AS INTEGER) AS nth, content, h1, CAST(1 + coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS loc_from,
+  CAST(1 + sum(n) OVER w - CASE WHEN lead(part) OVER w IS NULL THEN 1 ELSE 0 END AS INTEGER) AS loc_to FROM parts WHERE content <> '' WINDOW w AS (PARTITION BY page_id ORDER BY part)"""
+
+
+@query(_SECTIONS)
 def page_sections(spark, sf_dir):
     md = convert.to_markdown(markup.tokens(_read(spark, sf_dir, "pages")))
-    return corpus.sections(md, "page_id", "markdown", levels=(1, 2))
+    found = corpus.sections(md, "page_id", "markdown", levels=(1, 2))
+    return found.select("page_id", "nth", "content", F.try_element_at("headers", F.lit("h1")).alias("h1"), "loc_from", "loc_to")
 
 
 @query()
@@ -266,7 +278,8 @@ def llms_index(spark, sf_dir):
     return corpus.llms_lines(pages, "Pages")
 
 
-@query()
+@query(rf"""SELECT page_id AS ord, '- [' || t || '](#' || regexp_replace(lower(t), '[^a-z0-9]', '-', 'g') || ')' AS toc, '---' || chr(10) || 'title: ' || t || chr(10) || 'url: ' || url || chr(10) || '---' || {_GAP} || body || {_GAP} || '---' || chr(10) AS block
+  FROM (SELECT page_id, url, {_clean(_TITLE)} AS t, CASE WHEN {_escaped(_TITLE)} = {_clean(_TITLE)} THEN {_MD_BLOCKS} ELSE '# ' || {_escaped(_TITLE)} || {_GAP} || {_MD_BLOCKS} END AS body FROM pages)""")
 def llms_full(spark, sf_dir):
     pages = _read(spark, sf_dir, "pages")
     md = convert.for_all(pages, convert.to_markdown(convert.minimal(markup.tokens(pages)))).withColumnRenamed("page_id", "id")
@@ -286,6 +299,80 @@ def crawl_frontier(spark, sf_dir):
     return links.crawl(spark.createDataFrame([("/The",)], "url string"), edges, 3)
 
 
+_SITE_EDGES = _EDGES.replace("'/' || regexp_extract", "'https://e.test/' || regexp_extract").replace("""regexp_extract(a, 'href="([^"]*)"', 1) AS dst""", """'https://e.test' || regexp_extract(a, 'href="([^"]*)"', 1) AS dst""")
+_WAVE = """SELECT DISTINCT dst AS url FROM edges JOIN {} ON src = url WHERE NOT regexp_matches(dst, '^https://e.test/[^/]*a$') AND NOT contains(regexp_extract(dst, '([^/]*)$', 1), '.') AND dst NOT IN (SELECT url FROM {})"""
+
+
+@query(rf"""WITH edges AS MATERIALIZED ({_SITE_EDGES}), w0 AS (SELECT 'https://e.test/The' AS url),
+  w1 AS MATERIALIZED (SELECT * FROM ({_WAVE.format("w0", "w0")}) ORDER BY url LIMIT 12), s1 AS MATERIALIZED (FROM w0 UNION ALL FROM w1),
+  w2 AS MATERIALIZED (SELECT * FROM ({_WAVE.format("w1", "s1")}) ORDER BY url LIMIT 12), s2 AS MATERIALIZED (FROM s1 UNION ALL FROM w2),
+  w3 AS MATERIALIZED (SELECT * FROM ({_WAVE.format("w2", "s2")}) ORDER BY url LIMIT least(12, greatest(0, 30 - (SELECT count(*) FROM s2))))
+  SELECT url, CAST(0 AS INTEGER) AS depth FROM w0 UNION ALL SELECT url, 1 FROM w1 UNION ALL SELECT url, 2 FROM w2 UNION ALL SELECT url, 3 FROM w3""")
+def crawl_limits(spark, sf_dir):
+    """A crawl of at most 30 pages, 12 a wave, without addresses that end in "a"."""
+    pages = _read(spark, sf_dir, "pages")
+    word = F.regexp_extract(F.trim(F.regexp_replace(T.decode_entities(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)), r"[ \t\n\f\r]+", " ")), "^([^ ]*)", 1)
+    at = pages.select("page_id", F.concat(F.lit("https://e.test/"), word).alias("src"))
+    edges = links.links(pages, F.lit("https://e.test"), clean=False).join(at, "page_id").select("src", F.col("url").alias("dst")).distinct()
+    seeds = spark.createDataFrame([("https://e.test/The",)], "url string")
+    return links.crawl_site(seeds, edges, links.CrawlConfig(max_depth=3, max_pages=30, per_wave=12, exclude=("/*a",)))
+
+
+@query(rf"""SELECT page_id, url FROM pages WHERE regexp_matches({_PATH} || regexp_extract(url, '^[^?#]*([?#].*)$', 1), '^/(?:en|de)(?:/.*)?$') AND regexp_matches(url, '^https://(?:[^/?#]*[.])?example[.]com[/?#]')
+  AND NOT regexp_matches({_PATH} || regexp_extract(url, '^[^?#]*([?#].*)$', 1), '^/[^/]*/[^/]*\.html$')""")
+def sitemap_filter(spark, sf_dir):
+    """Addresses of two folders on the subdomains of two sites that a sitemap's filter lets through."""
+    suffixes = ("com", "org", "net")
+    wanted = G.wanted(F.col("url"), ("https://example.com/en/**", "https://example.com/de/**"), ("/*/*.html",), suffixes)
+    return _read(spark, sf_dir, "pages").where(wanted & F.col("url").startswith("https:")).select("page_id", "url")
+
+
+@query(f"SELECT p.page_id, CAST(count(DISTINCT target) AS INTEGER) AS n_links, min(target) AS least, max(target) AS most FROM pages p LEFT JOIN ({_LINKS}) l USING (page_id) GROUP BY p.page_id")
+def host_links(spark, sf_dir):
+    """By page: how many addresses of its own host it links to, the first and the last of them by code point."""
+    found = links.host_links(_read(spark, sf_dir, "pages"))
+    return found.select("page_id", F.size("links").alias("n_links"), F.array_min("links").alias("least"), F.array_max("links").alias("most"))
+
+
+_FACTS = rf"""SELECT {_ORIGIN} AS origin, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS host, page_id, {_clean(_TITLE)} AS t, {_clean(_AD)} AS d, regexp_matches(url, '^[a-z]+://[^/?#]*/?$') AS home FROM pages_at"""
+
+
+@query(f"""WITH pages_at AS (SELECT page_id, html, CASE WHEN page_id % 5 = 0 THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) ELSE url END AS url FROM pages), f AS ({_FACTS})
+  SELECT origin, coalesce(arg_min(t, page_id) FILTER (home), min(host)) AS name, coalesce(arg_min(d, page_id) FILTER (home), arg_min(d, page_id)) AS description FROM f GROUP BY origin""")
+def site_facts(spark, sf_dir):
+    """Name and description of each site, where some pages stand for home pages."""
+    url = F.when(F.col("page_id") % 5 == 0, U.origin_of(F.col("url"))).otherwise(F.col("url"))
+    said = lambda tag: F.trim(F.regexp_replace(T.decode_entities(F.regexp_extract("html", tag, 1)), r"[ \t\n\f\r]+", " "))
+    pages = _read(spark, sf_dir, "pages")
+    return links.site_facts(pages.select("page_id", url.alias("url"), said(r"(?s)<title>(.*?)</title>").alias("title"), said('<div class="ad">([^<]*)').alias("description")))
+
+
+_GROUPS = ORACLE_SQL["page_sort_groups"]
+
+
+@query(f"""WITH g AS ({_GROUPS}), sized AS (SELECT grp, count(*) AS n, row_number() OVER (ORDER BY grp <> '', grp) - CASE WHEN (SELECT count(*) FROM g WHERE grp = '') > 0 THEN 1 ELSE 0 END AS nth, lead(grp) OVER (ORDER BY grp <> '', grp) AS nxt FROM g GROUP BY grp)
+  SELECT grp, false AS is_blank, path, '- [' || page_id || '](' || url || ')' AS line FROM g JOIN (SELECT page_id, url FROM pages) p USING (page_id)
+  UNION ALL SELECT grp, true, NULL, '' FROM sized WHERE nxt IS NOT NULL AND (nth = 0 OR (nth <= 2 AND n > 1))""")
+def llms_grouped(spark, sf_dir):
+    """An index in the order of a directory tree, with the empty lines that end its first groups."""
+    pages = _read(spark, sf_dir, "pages").select(U.path_of(F.col("url")).alias("path"), F.col("page_id").cast("string").alias("title"), "url", F.lit(None).cast("string").alias("description"))
+    found = corpus.llms_grouped(pages)
+    return found.select("grp", "is_blank", F.array_join("path", "/").alias("path"), "line")
+
+
+_SECTION = {"title": "Start", "description": ["One.", "Two."], "links": [{"title": "A", "href": "/a", "description": "first"}, {"title": "B", "href": "/b"}]}
+
+
+@query(rf"""SELECT CAST(ord AS BIGINT) AS ord, line FROM (VALUES (-15, '# N'), (-14, ''), (-13, '> D'), (-12, ''), (-11, 'Canonical Origin: https://o.test'), (-10, ''), (-9, '## Start'), (-8, ''), (-7, 'One.'), (-6, ''), (-5, 'Two.'), (-4, ''), (-3, '- [A](/a): first'), (-2, '- [B](/b)'), (-1, '')) h(ord, line)
+  UNION ALL SELECT n_nationkey + 2, '- [' || n_name || '](https://o.test/' || n_nationkey || ')' || CASE WHEN length(repeat(n_name, 13)) > 100 THEN ': ' || repeat(n_name, 13)[1:100] || '...' ELSE ': ' || repeat(n_name, 13) END FROM nation
+  UNION ALL SELECT * FROM (VALUES (0, '## Pages'), (1, ''), (4611686018427387904, ''), (4611686018427387905, 'Bye.')) t(ord, line)""")
+def llms_sections(spark, sf_dir):
+    """An index with a section before its pages and a note after them."""
+    nation = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("title"), F.concat(F.lit("/"), F.col("n_nationkey").cast("string")).alias("url"), F.repeat("n_name", F.lit(13)).alias("description"))
+    rows = corpus.llms_lines(nation, "N", "D", "https://o.test", sections=[_SECTION], notes="Bye.")
+    return rows.select(F.when(F.col("ord") < 1 << 60, F.col("ord") + 2).otherwise(F.col("ord")).alias("ord"), "line")
+
+
 _ACCEPTS = ("text/markdown", "text/html", "*/*", "text/html;q=0.5, text/markdown;q=0.9", "text/markdown;q=0, */*", "application/json", "", "text/plain, text/html", "text/html, */*;q=0.1")
 
 
@@ -361,12 +448,46 @@ def token_savings(spark, sf_dir):
 @query(ORACLE_SQL["convert_markdown"])
 def stream_markdown(spark, sf_dir):
     """Pages cut into pieces, streamed through per-document state and converted as they end."""
+    stream, at = _streamed(spark, sf_dir)
+    site.stream_to_markdown(stream, f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("page_id", "markdown")
+
+
+def _streamed(spark, sf_dir, in_bytes: bool = False):
+    """A stream of the pages' pieces, and a new folder in the shared place."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="pagemill-")
     at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    site.pieces_of(spark, _read(spark, sf_dir, "pages")).write.parquet(f"{at}/pieces")
-    stream = spark.readStream.schema("key bigint, seq int, chunk string, is_last boolean").parquet(f"{at}/pieces")
+    site.pieces_of(spark, _read(spark, sf_dir, "pages"), in_bytes=in_bytes).write.parquet(f"{at}/pieces")
+    return spark.readStream.schema(f"key bigint, seq int, chunk {'binary' if in_bytes else 'string'}, is_last boolean").parquet(f"{at}/pieces"), at
+
+
+@query(ORACLE_SQL["convert_markdown"])
+def stream_bytes(spark, sf_dir):
+    """Pages as bytes, cut within characters too, streamed and converted as they end."""
+    stream, at = _streamed(spark, sf_dir, in_bytes=True)
     site.stream_to_markdown(stream, f"{at}/out", f"{at}/state").awaitTermination()
-    return spark.read.schema("page_id bigint, markdown string").parquet(f"{at}/out")
+    return spark.read.parquet(f"{at}/out").select("page_id", "markdown")
+
+
+@query(ORACLE_SQL["extract_elements"])
+def stream_elements(spark, sf_dir):
+    """Elements of pages that arrive in pieces."""
+    stream, at = _streamed(spark, sf_dir)
+    site.stream_to_elements(stream, ["a[href]", "h1", ".ad"], f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(F.col("key").alias("page_id"), "selector", "text_content")
+
+
+@query(rf"""SELECT CAST(ord AS BIGINT) AS ord, line FROM (VALUES (-4, '# Pages'), (-3, ''), (-2, '## Pages'), (-1, '')) v(ord, line)
+  UNION ALL SELECT page_id, '- [' || {_clean(_TITLE)} || '](' || url || ')' FROM pages""")
+def stream_index(spark, sf_dir):
+    """The index of a stream of pages, gathered batch by batch and put in order at its end."""
+    _, at = _streamed(spark, sf_dir)
+    pages = _read(spark, sf_dir, "pages")
+    title = F.trim(F.regexp_replace(T.decode_entities(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)), r"[ \t\n\f\r]+", " "))
+    pages.select(F.col("page_id").alias("ord"), title.alias("title"), "url", F.lit(None).cast("string").alias("description"), F.lit("").alias("content")).write.parquet(f"{at}/pages")
+    stream = spark.readStream.schema("ord bigint, title string, url string, description string, content string").parquet(f"{at}/pages")
+    site.stream_to_index(stream, f"{at}/out", f"{at}/state").awaitTermination()
+    return site.close_index(spark, f"{at}/out", "Pages")[0]
 
 
 FLAGSHIP = token_savings

@@ -6,13 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-SCHEMA = "key bigint, html string"
-STATE = "pieces array<string>, numbers array<int>, last int"
 
-
-def _gather(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None) -> Iterator[pd.DataFrame]:
+def _gather(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None, empty: str | bytes) -> Iterator[pd.DataFrame]:
     pieces, numbers, last = state.get if state.exists else ([], [], -1)
     if state.hasTimedOut:
         state.remove()
@@ -20,24 +18,38 @@ def _gather(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl_
     got = dict(zip(numbers, pieces, strict=True))
     for pdf in batches:
         for seq, chunk, end in zip(pdf["seq"], pdf["chunk"], pdf["is_last"], strict=True):
-            got[int(seq)] = chunk
+            got[int(seq)] = empty if chunk is None else chunk
             last = int(seq) if end else last
     if last >= 0 and len(got) == last + 1:
         if state.exists:
             state.remove()
-        yield pd.DataFrame({"key": [key[0]], "html": ["".join(got[i] for i in range(last + 1))]})
+        yield pd.DataFrame({"key": [key[0]], "html": [empty.join(got[i] for i in range(last + 1))]})
     else:
         state.update((list(got.values()), list(got), last))
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
 
 
+def _assembled(stream: DataFrame, ttl_ms: int | None, kind: str, empty: str | bytes) -> DataFrame:
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    state = f"pieces array<{kind}>, numbers array<int>, last int"
+    return stream.groupBy("key").applyInPandasWithState(lambda k, b, s: _gather(k, b, s, ttl_ms, empty), f"key bigint, html {kind}", state, "append", timeout)
+
+
 def assemble(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """key and html of each finished document of a stream (key, seq, chunk, is_last).
 
-    Pieces may come in any order and again; a document is out once all up to its last are there. With ``ttl_ms``,
-    unfinished ones are forgotten so long after their latest piece; a query that is to end by itself (availableNow)
-    needs it unset, as time-outs always ask for one more batch.
+    Pieces may come in any order and again; a document is out once all up to its last are there. A null piece is an empty
+    one. With ``ttl_ms``, unfinished ones are forgotten so long after their latest piece; a query that is to end by itself
+    (availableNow) needs it unset, as time-outs always ask for one more batch.
     """
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return stream.groupBy("key").applyInPandasWithState(lambda k, b, s: _gather(k, b, s, ttl_ms), SCHEMA, STATE, "append", timeout)
+    return _assembled(stream, ttl_ms, "string", "")
+
+
+def assemble_bytes(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """key, html and valid of each finished document whose pieces are bytes, cut anywhere, within characters too.
+
+    Documents that are not valid UTF-8 come with html null and valid false.
+    """
+    valid = F.is_valid_utf8("html")
+    return _assembled(stream, ttl_ms, "binary", b"").select("key", F.when(valid, F.decode("html", "UTF-8")).alias("html"), valid.alias("valid"))
