@@ -7,6 +7,8 @@ that must survive the final clean-up, and marks of emphasis, are carried as nonc
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +74,8 @@ def _structured(rows: DataFrame) -> DataFrame:
         "tables": M.depth("table"),
         "pre": M.depth("pre") > 0,
         "quotes": M.depth("blockquote"),
-        "heading": M.depth(*M.HEADINGS) > 0,
+        # a heading ends where the next one begins, closed or not
+        "heading": F.coalesce(F.last(F.when(F.col("tag").isin(*M.HEADINGS) & (F.col("kind") != "text"), F.col("kind") == "open"), ignorenulls=True).over(p), F.lit(False)),
         # quotes that the list itself stands in
         "around": F.last(F.when(M.is_open("ul", "ol"), M.depth("blockquote")), ignorenulls=True).over(p),
         "block": M.so_far(F.when(F.col("boundary"), 1).otherwise(0)),
@@ -110,13 +113,14 @@ def _with_items(rows: DataFrame) -> DataFrame:
     return rows.withColumn("first_row", F.col("row_no") == first)
 
 
-def _inline(rows: DataFrame, tags: tuple[str, ...], mark: str, name: str) -> tuple[DataFrame, Column, Column]:
+def _inline(rows: DataFrame, tags: tuple[str, ...], mark: str, name: str, closing: str | None = None) -> tuple[DataFrame, Column, Column]:
     """Marker of an inline element on its own tags, and the one owed where its block ends without a closing tag."""
+    closing = mark if closing is None else closing
     in_block = Window.partitionBy("key", "block").orderBy("pos")
     step = F.when(M.is_open(*tags), 1).when(M.is_close(*tags), -1).otherwise(0)
     rows = rows.withColumn(name, F.sum(step).over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
-    marker = F.when((M.is_open(*tags) & (F.col(name) == 1)) | (M.is_close(*tags) & (F.col(name) == 0)), F.lit(mark))
-    owed = F.when(F.col("block_end") & (F.col(name) > 0), F.lit(mark)).otherwise(F.lit(""))
+    marker = F.when(M.is_open(*tags) & (F.col(name) == 1), F.lit(mark)).when(M.is_close(*tags) & (F.col(name) == 0), F.lit(closing))
+    owed = F.when(F.col("block_end") & (F.col(name) > 0), F.lit(closing)).otherwise(F.lit(""))
     return rows, marker, owed
 
 
@@ -202,13 +206,25 @@ def _texts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("words", words)
 
 
-def to_markdown(rows: DataFrame, origin: Column | None = None, clean: bool = False, key: str = "page_id") -> DataFrame:
-    """key and markdown of every page that has rows."""
+def to_markdown(rows: DataFrame, origin: Column | None = None, clean: bool = False, key: str = "page_id", marks: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
+    """key and markdown of every page that has rows.
+
+    ``marks`` gives inline elements other marks than their own: by tag, what is written where it begins and where it
+    ends. An element that its block ends gets its second mark there.
+    """
+    marks = {t.lower(): m for t, m in (marks or {}).items()}
+    own = lambda tags: tuple(t for t in tags if t not in marks) or ("",)
     rows = _texts(_prepared(rows, origin, clean))
-    rows, strong, owed_strong = _inline(rows, STRONG, _STRONG, "n_strong")
-    rows, em, owed_em = _inline(rows, EM, _EM, "n_em")
-    rows, gone, owed_del = _inline(rows, DEL, _DEL, "n_del")
-    rows, code, owed_code = _inline(rows, CODE, "`", "n_code")
+    rows, strong, owed_strong = _inline(rows, own(STRONG), _STRONG, "n_strong")
+    rows, em, owed_em = _inline(rows, own(EM), _EM, "n_em")
+    rows, gone, owed_del = _inline(rows, own(DEL), _DEL, "n_del")
+    rows, code, owed_code = _inline(rows, own(CODE), "`", "n_code")
+    given, owed_given = [], []
+    for i, (name, ends) in enumerate(sorted(marks.items())):
+        first, second = (m.replace(" ", SPACE).replace("\n", BREAK) for m in ends)
+        rows, mark, owed_mark = _inline(rows, (name,), first, f"n_given{i}", second)
+        given.append(mark)
+        owed_given.append(owed_mark)
 
     tag, kind, token = F.col("tag"), F.col("kind"), F.col("token")
     outside = F.when(F.col("lists") > 0, F.least(F.coalesce("around", F.lit(0)), F.col("quotes"))).otherwise(F.col("quotes"))
@@ -251,7 +267,8 @@ def to_markdown(rows: DataFrame, origin: Column | None = None, clean: bool = Fal
     image = F.concat(F.lit("!["), F.regexp_replace(alt, r"([\[\]\\])", r"\\$1"), F.lit("]("), _destination(F.coalesce(src, F.lit(""))), _title(_attr("title")), F.lit(")"))
     line = F.when(F.col("heading") | (F.col("tables") > 0), F.lit("<br>")).when(F.col("pre") | in_code, F.lit(BREAK)).otherwise(F.concat(F.lit(SPACE * 2 + "\n"), prefix))
     piece = (
-        F.when(F.col("auto"), F.col("plain"))
+        F.when((kind != "text") & tag.isin(*marks), F.coalesce(*given, F.lit("")))
+        .when(F.col("auto"), F.col("plain"))
         .when(kind == "text", text)
         .when(F.col("pre") & ~tag.isin("pre", "br"), "")
         .when(M.is_open(*M.HEADINGS), F.concat(F.repeat(F.lit("#"), level), F.lit(SPACE)))
@@ -280,7 +297,7 @@ def to_markdown(rows: DataFrame, origin: Column | None = None, clean: bool = Fal
     fence_end = F.when((F.col("after_kind") == "close") & (F.col("after_tag") == "pre"), F.concat(F.lit(BREAK), F.repeat(F.lit("`"), _ticks(F.col("behind"), 3)))).otherwise(F.lit(""))
     # a link that the page never closes ends with it
     owed_link = F.when(F.col("is_last") & in_link & ~M.is_close("a"), F.concat(F.lit("]("), _destination(F.col("href")), _title(F.col("link_title")), F.lit(")"))).otherwise(F.lit(""))
-    owed = F.concat(owed_em, owed_del, owed_strong, owed_code, fence_end, owed_link)
+    owed = F.concat(*owed_given, owed_em, owed_del, owed_strong, owed_code, fence_end, owed_link)
     columns = F.flatten(F.transform(F.array_sort("aligns"), lambda c: F.array_repeat(c, c["spans"])))
     rule = F.array_join(F.transform(columns, lambda c: F.when(c["a"] == "center", ":---:").when(c["a"] == "right", "---:").when(c["a"] == "left", ":---").otherwise("---")), f"{SPACE}|{SPACE}")
     row_end = F.when(F.col("row_end"), F.concat(F.repeat(F.lit(SPACE + "|"), F.col("spans")), F.when(F.col("first_row"), F.concat(F.lit("\n|" + SPACE), rule, F.lit(SPACE + "|"))).otherwise(F.lit("")))).otherwise(F.lit(""))
@@ -369,3 +386,11 @@ def to_html(rows: DataFrame, key: str = "page_id") -> DataFrame:
 def minimal(rows: DataFrame) -> DataFrame:
     """The rows that the minimal preset renders: main content without navigation, forms and the like, and no title."""
     return M.without(S.exclude(M.isolate_main(rows), MINIMAL), F.col("tag") == "head")
+
+
+def renamed(rows: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """Token rows whose elements are rendered as others, by name: ``{"x-note": "blockquote"}``."""
+    if not names:
+        return rows
+    known = F.create_map(*[F.lit(x.lower()) for pair in names.items() for x in pair])
+    return rows.withColumn("tag", F.coalesce(F.try_element_at(known, F.col("tag")), F.col("tag")))

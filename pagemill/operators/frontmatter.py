@@ -21,8 +21,7 @@ def fields(rows: DataFrame, meta: Sequence[str] = (), key: str = "page_id") -> D
     Pages without a title have a null one; pages without meta tags an empty map.
     """
     p = M.in_page()
-    in_head = M.depth("head") > 0
-    rows = rows.withColumn("in_head", in_head).withColumn("in_title", (F.lag("tag").over(p) == "title") & (F.lag("kind").over(p) == "open") & (F.col("kind") == "text"))
+    rows = rows.withColumn("in_head", M.in_head()).withColumn("in_title", (F.lag("tag").over(p) == "title") & (F.lag("kind").over(p) == "open") & (F.col("kind") == "text"))
     name = F.coalesce(M.attribute(F.col("token"), "name"), M.attribute(F.col("token"), "property"))
     rows = rows.withColumn("name", F.when(F.col("tag") == "meta", name)).withColumn("content", F.when(F.col("tag") == "meta", M.attribute(F.col("token"), "content")))
     said = F.trim(F.regexp_replace(T.decode_entities(F.col("token")), r"[ \t\n\f\r]+", " "))

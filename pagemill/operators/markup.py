@@ -96,6 +96,17 @@ def depth(*tags: str) -> Column:
     return F.greatest(so_far(step), F.lit(0))
 
 
+#: Elements that a head holds; any other ends a head that is not closed.
+HEAD_TAGS = ("head", "title", "meta", "link", "base", "basefont", "bgsound", *RAW)
+
+
+def in_head() -> Column:
+    """Whether this row is in a head: from its tag to its closing tag, or to the first tag of another kind."""
+    ends = is_close("head") | (F.col("kind").isin("open", "void") & ~F.col("tag").isin(*HEAD_TAGS))
+    state = F.when(is_open("head"), True).when(ends, False)
+    return F.coalesce(F.last(state, ignorenulls=True).over(in_page().rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
+
+
 def same_level() -> Window:
     """Rows of one tag and level in page order, for rows of ``with_ends``."""
     return Window.partitionBy("key", "tag", "level").orderBy("pos")
@@ -135,7 +146,7 @@ def within(rows: DataFrame, chosen: Column) -> DataFrame:
 def isolate_main(rows: DataFrame) -> DataFrame:
     """The head, and what the first ``main`` holds; without one, from the first heading outside headers to the next footer."""
     whole = Window.partitionBy("key")
-    marked = with_ends(rows).withColumn("in_head", depth("head") > 0).withColumn("in_header", depth("header") > 0)
+    marked = with_ends(rows).withColumn("in_head", in_head()).withColumn("in_header", depth("header") > 0)
     start = F.min(F.when(is_open("main"), F.struct("pos", "end"))).over(whole)
     heading = F.min(F.when(is_open(*HEADINGS) & ~F.col("in_header"), F.col("pos"))).over(whole)
     marked = marked.withColumn("main", start).withColumn("heading", heading)

@@ -15,6 +15,7 @@ from pagemill.functions import http, style
 from pagemill.functions import text as T
 from pagemill.functions import url as U
 from pagemill.operators import convert, corpus, frontmatter, links, markup, selectors
+from pagemill.plans import convert as plans
 from pagemill.plans import site
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -490,4 +491,24 @@ def stream_index(spark, sf_dir):
     return site.close_index(spark, f"{at}/out", "Pages")[0]
 
 
+@query(f"SELECT page_id, yaml || markdown AS markdown FROM ({ORACLE_SQL['page_frontmatter']}) f JOIN ({ORACLE_SQL['convert_minimal']}) m USING (page_id)")
+def convert_preset(spark, sf_dir):
+    """The whole minimal preset: main content, filters, front matter, styles and cleaning."""
+    return plans.pages_to_markdown(_read(spark, sf_dir, "pages"), plans.Options.minimal())
+
+
+@query(ORACLE_SQL["convert_minimal"].replace("'**' || ", "'{' || ").replace("|| '**'", "|| '}'").replace("'# ' || ", "'### ' || "))
+def convert_overrides(spark, sf_dir):
+    """Main content with first headings as third ones, and bold text in braces."""
+    options = plans.Options.minimal(frontmatter=False, exclude=(*convert.MINIMAL, "head"), cleaning=False, names={"h1": "h3"}, marks={"b": ("{", "}")})
+    return plans.pages_to_markdown(_read(spark, sf_dir, "pages"), options)
+
+
+@query(f"SELECT page_id, CASE WHEN contains(html, '<html lang=\"de\"') THEN html ELSE markdown END AS markdown FROM pages JOIN ({ORACLE_SQL['convert_markdown']}) m USING (page_id)")
+def markdown_answers(spark, sf_dir):
+    """Pages converted, but for those that came as Markdown."""
+    kind = F.when(F.contains("html", F.lit('<html lang="de"')), "text/markdown; charset=utf-8").otherwise("text/html")
+    return plans.answers_to_markdown(_read(spark, sf_dir, "pages").withColumn("content_type", kind))
+
+
 FLAGSHIP = token_savings

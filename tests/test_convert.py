@@ -37,6 +37,7 @@ MARKDOWN = [
     ("<p>a<!--> b <!-- c -- d --!> e<![CDATA[ f > g ]]> h", "a b e h"),
     ("<p>a</p><script>document.write('<p>no</p>')</script><style>p > a {}</style><p>b</p>", "a\n\nb"),
     ('at <a href="https://a.test/x_y">https://a.test/x_y</a>', "at <https://a.test/x_y>"),
+    ("<h2>first<h3>second</h3><p>10 # not a mark #</p>", "## first\n\n### second\n\n10 # not a mark #"),
     ("<!-- nothing -->", ""),
     ("", ""),
     (None, ""),
@@ -143,3 +144,16 @@ def test_first_usable_sitemap(spark):
     sites = spark.createDataFrame([("https://a", ["https://a/own.xml"]), ("https://b", ["https://b/bad.xml"]), ("https://c", None)], "origin string, sitemaps array<string>")
     files = spark.createDataFrame([("https://a/own.xml", "<urlset>"), ("https://a/sitemap.xml", "<urlset>"), ("https://b/bad.xml", "<html>"), ("https://b/sitemaps.xml", "<sitemapindex>")], "url string, xml string")
     assert {tuple(r) for r in links.first_sitemaps(sites, files).collect()} == {("https://a", "https://a/own.xml"), ("https://b", "https://b/sitemaps.xml")}
+
+
+def test_options(spark):
+    from pagemill.plans import convert as plans
+
+    page = "<head><title>A: b</title><meta name=author content=Me><body><nav>menu</nav><main><h1>T</h1><x-note>n</x-note><p>a <sup>2</sup> <a href='#'>x</a><p hidden>no</main>"
+    df = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
+    run = lambda o: {r.page_id: r.markdown for r in plans.pages_to_markdown(df, o).collect()}
+    got = run(plans.Options.minimal(names={"x-note": "blockquote"}, marks={"sup": ("^", "^")}))
+    assert got == {1: '---\ntitle: "A: b"\nmeta:\n  author: Me\n---\n\n# T\n\n> n\n\na ^2^ x', 2: ""}
+    assert run(plans.Options.minimal(frontmatter=False, isolate_main=False, exclude=("head", "nav"), cleaning=False))[1] == "# T\n\nn\n\na <sup>2</sup> [x](#)"
+    with pytest.raises(TypeError):
+        plans.Options.minimal(nonsense=True)
