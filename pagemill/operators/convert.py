@@ -385,7 +385,7 @@ def to_html(rows: DataFrame, key: str = "page_id") -> DataFrame:
 
 def minimal(rows: DataFrame) -> DataFrame:
     """The rows that the minimal preset renders: main content without navigation, forms and the like, and no title."""
-    return M.without(S.exclude(M.isolate_main(rows), MINIMAL), F.col("tag") == "head")
+    return M.without_head(S.exclude(M.isolate_main(rows), MINIMAL))
 
 
 def renamed(rows: DataFrame, names: Mapping[str, str]) -> DataFrame:

@@ -107,6 +107,11 @@ def in_head() -> Column:
     return F.coalesce(F.last(state, ignorenulls=True).over(in_page().rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
 
 
+def without_head(rows: DataFrame) -> DataFrame:
+    """Drops the head, closed or not."""
+    return rows.withColumn("in_head", in_head()).where(~F.col("in_head") & ~is_close("head")).drop("in_head")
+
+
 def same_level() -> Window:
     """Rows of one tag and level in page order, for rows of ``with_ends``."""
     return Window.partitionBy("key", "tag", "level").orderBy("pos")

@@ -53,7 +53,7 @@ def pages_to_markdown(pages: DataFrame, options: Options | None = None, origin:
     if options.include:
         rows = selectors.include(rows, options.include)
     if options.frontmatter:
-        rows = markup.without(rows, F.col("tag") == "head")
+        rows = markup.without_head(rows)
     md = convert.for_all(pages, convert.to_markdown(rows, origin, options.cleaning, marks=options.marks))
     text = F.col("markdown")
     if options.cleaning:
