@@ -129,8 +129,11 @@ def with_ends(rows: DataFrame) -> DataFrame:
     leveled = rows.withColumn("level", F.when(F.col("kind") == "close", after - step).otherwise(after))
     same = same_level()
     last = F.max("pos").over(Window.partitionBy("key"))
+    outside = F.min(F.when(F.col("kind").isin("open", "void") & ~F.col("tag").isin("html", *HEAD_TAGS), F.col("pos"))).over(Window.partitionBy("key"))
     end = F.when(F.lead("kind").over(same) == "close", F.lead("pos").over(same)).otherwise(F.lead("pos").over(same) - 1)
-    return leveled.withColumn("end", F.when(F.col("kind") == "open", F.coalesce(end, last)).when(F.col("kind") == "void", F.col("pos")))
+    # a head that is not closed ends before the first element outside it
+    end = F.when((F.col("tag") == "head") & (outside > F.col("pos")), F.least(F.coalesce(end, last), outside - 1)).otherwise(F.coalesce(end, last))
+    return leveled.withColumn("end", F.when(F.col("kind") == "open", end).when(F.col("kind") == "void", F.col("pos")))
 
 
 def without(rows: DataFrame, chosen: Column) -> DataFrame:
