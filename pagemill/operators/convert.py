@@ -62,6 +62,24 @@ def _title(title: Column) -> Column:
     return F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit(' "'), F.replace(title, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(F.lit(""))
 
 
+# Table rows and blocks are numbered in page order, and a table row begins with a block. So this order is the page's,
+# and one sort by it serves windows over pages, over table rows and over blocks.
+_ORDER = ("row_no", "block", "pos")
+
+
+def _in_order() -> Window:
+    """The page in order, where rows are dealt by table row and block."""
+    return Window.partitionBy("key").orderBy(*_ORDER)
+
+
+def _in_row() -> Window:
+    return Window.partitionBy("key", "row_no").orderBy("block", "pos")
+
+
+def _in_block() -> Window:
+    return Window.partitionBy("key", "row_no", "block").orderBy("pos")
+
+
 def _structured(rows: DataFrame) -> DataFrame:
     """Adds to each row what rendering needs to know of its place."""
     step = F.when(M.is_open("ul"), 2).when(M.is_close("ul"), -2).when(M.is_open("ol"), 3).when(M.is_close("ol"), -3).otherwise(0)
@@ -72,17 +90,22 @@ def _structured(rows: DataFrame) -> DataFrame:
         "lists": M.depth("ul", "ol"),
         "indent": F.greatest(M.so_far(step), F.lit(0)),
         "tables": M.depth("table"),
+        "links": M.depth("a"),
         "pre": M.depth("pre") > 0,
         "quotes": M.depth("blockquote"),
         # a heading ends where the next one begins, closed or not
         "heading": F.coalesce(F.last(F.when(F.col("tag").isin(*M.HEADINGS) & (F.col("kind") != "text"), F.col("kind") == "open"), ignorenulls=True).over(p), F.lit(False)),
-        # quotes that the list itself stands in
-        "around": F.last(F.when(M.is_open("ul", "ol"), M.depth("blockquote")), ignorenulls=True).over(p),
         "block": M.so_far(F.when(F.col("boundary"), 1).otherwise(0)),
         "row_no": M.so_far(F.when(M.is_open("tr", "table"), 1).otherwise(0)),
+        "table_no": M.so_far(F.when(M.is_open("table"), 1).otherwise(0)),
         "before": F.lag("edge").over(p),
+        "before_kind": F.lag("kind").over(p),
+        "before_tag": F.lag("tag").over(p),
         "after_kind": F.lead("kind").over(p),
         "after_tag": F.lead("tag").over(p),
+        "nearby": F.coalesce(F.regexp_extract(F.lead("token").over(p), r"^<code[^>]*language-([^\s\"'<>&~`]+)", 1), F.lit("")),
+        "is_first": F.lag("pos").over(p).isNull(),
+        "is_last": F.lead("pos").over(p).isNull(),
         "href": F.last(F.when(opens_link, F.coalesce(_attr("href"), F.lit(BREAK))), ignorenulls=True).over(p),
         "link_title": F.last(F.when(opens_link, F.coalesce(_attr("title"), F.lit(""))), ignorenulls=True).over(p),
     })
@@ -94,49 +117,49 @@ def _with_items(rows: DataFrame) -> DataFrame:
     opened = F.last(F.when(M.is_open("ul", "ol"), F.struct("pos", "tag", T.bounded_int(_attr("start"), 999_999_999).alias("start"))), ignorenulls=True).over(at_depth)
     rows = rows.withColumn("list", opened)
     item = F.sum(F.when(M.is_open("li"), 1).otherwise(0)).over(Window.partitionBy("key", "list.pos").orderBy("pos"))
-    in_row = Window.partitionBy("key", "row_no").orderBy("pos")
-    row = Window.partitionBy("key", "row_no")
     cell = M.is_open("td", "th")
     inside = (F.col("tables") > 0) & (F.col("row_no") > 0)
-    rows = rows.withColumn("item", item - 1 + F.coalesce(F.col("list.start"), F.lit(1)))
-    rows = rows.withColumn("cells", F.sum(F.when(cell, 1).otherwise(0)).over(in_row)).withColumn("width", F.sum(F.when(cell & inside, 1).otherwise(0)).over(row))
-    rows = rows.withColumn("row_end", inside & (F.col("width") > 0) & (F.col("pos") == F.max(F.when(inside, F.col("pos"))).over(row)))
     # a cell over several columns counts as so many, those after it empty
     spans = F.least(F.greatest(F.coalesce(T.bounded_int(_attr("colspan"), 1000), F.lit(1)), F.lit(1)), F.lit(1000)).cast("int")
-    before = F.last(F.when(cell, spans), ignorenulls=True).over(in_row.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("spans", F.coalesce(F.when(cell, spans), before, F.lit(1))).withColumn("spans_before", F.coalesce(before, F.lit(1)))
-    aligns = F.collect_list(F.when(cell & inside, F.struct("pos", "spans", F.lower(F.coalesce(_attr("align"), F.lit(""))).alias("a")))).over(row)
-    rows = rows.withColumn("aligns", F.when(F.col("row_end"), aligns))
-    table = M.so_far(F.when(M.is_open("table"), 1).otherwise(0))
-    rows = rows.withColumn("table_no", table)
-    first = F.min(F.when(F.col("width") > 0, F.col("row_no"))).over(Window.partitionBy("key", "table_no"))
-    return rows.withColumn("first_row", F.col("row_no") == first)
-
-
-def _inline(rows: DataFrame, tags: tuple[str, ...], mark: str, name: str, closing: str | None = None) -> tuple[DataFrame, Column, Column]:
-    """Marker of an inline element on its own tags, and the one owed where its block ends without a closing tag."""
+    rows = rows.withColumns({"item": item - 1 + F.coalesce(F.col("list.start"), F.lit(1)), "span": F.when(cell, spans)})
+    row = _in_row().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({
+        "cells": F.sum(F.when(cell, 1).otherwise(0)).over(_in_row()),
+        "width": F.sum(F.when(cell & inside, 1).otherwise(0)).over(row),
+        "last_inside": F.max(F.when(inside, F.col("pos"))).over(row),
+        "span_before": F.last("span", ignorenulls=True).over(_in_row().rowsBetween(Window.unboundedPreceding, -1)),
+        "aligns": F.collect_list(F.when(cell & inside, F.struct("pos", F.col("span").alias("spans"), F.lower(F.coalesce(_attr("align"), F.lit(""))).alias("a")))).over(row),
+    })
+    rows = rows.withColumns({"row_end": inside & (F.col("width") > 0) & (F.col("pos") == F.col("last_inside")), "spans": F.coalesce("span", "span_before", F.lit(1)), "spans_before": F.coalesce("span_before", F.lit(1))})
+    # a row is its table's first if the row that ended last is of another table
+    ended = F.last(F.when(F.col("row_end"), F.col("table_no")), ignorenulls=True).over(_in_order().rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumns({"aligns": F.when(F.col("row_end"), F.col("aligns")), "first_row": ~ended.eqNullSafe(F.col("table_no"))})
+
+
+def _inline(name: str, tags: tuple[str, ...], mark: str, closing: str | None = None) -> tuple[Column, Column, Column]:
+    """How many of an inline element are open in the block, to be added as ``name``; its marker on its own tags; and the one owed where its block ends without a closing tag."""
     closing = mark if closing is None else closing
-    in_block = Window.partitionBy("key", "block").orderBy("pos")
     step = F.when(M.is_open(*tags), 1).when(M.is_close(*tags), -1).otherwise(0)
-    rows = rows.withColumn(name, F.sum(step).over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
+    count = F.sum(step).over(_in_block().rowsBetween(Window.unboundedPreceding, 0))
     marker = F.when(M.is_open(*tags) & (F.col(name) == 1), F.lit(mark)).when(M.is_close(*tags) & (F.col(name) == 0), F.lit(closing))
     owed = F.when(F.col("block_end") & (F.col(name) > 0), F.lit(closing)).otherwise(F.lit(""))
-    return rows, marker, owed
+    return count, marker, owed
 
 
 def _joined(rows: DataFrame, spacing: Column, prefix: Column, name: str) -> DataFrame:
     """Joins pieces in page order; ``spacing`` of the boundaries between two pieces decides the breaks between them."""
-    p = M.in_page()
-    rows = rows.withColumn("is_piece", F.col("piece") != "")
-    rows = rows.withColumn("gap", F.coalesce(F.sum(F.when(F.col("is_piece"), 1).otherwise(0)).over(p.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("breaks", F.max(spacing).over(Window.partitionBy("key", "gap").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumns({"is_piece": F.col("piece") != "", "spacing": spacing, "prefix": prefix})
+    rows = rows.withColumn("gap", F.coalesce(F.sum(F.when(F.col("is_piece"), 1).otherwise(0)).over(_in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("breaks", F.max("spacing").over(Window.partitionBy("key", "gap").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.where("is_piece or is_last")
+    # gaps are numbered in page order too
+    p = Window.partitionBy("key").orderBy("gap", "pos")
     rows = rows.withColumn("was", F.lag("quotes").over(p)).withColumn("last_marker", F.coalesce(F.lag("is_marker").over(p), F.lit(False)))
     quoted = F.least(F.col("was"), F.col("quotes"))
     sep = (
-        F.when((F.col("gap") == 0) | F.col("last_marker"), F.when((F.col("gap") == 0) & (F.col("quotes") > 0), prefix).otherwise(F.lit("")))
-        .when(F.col("breaks") >= 2, F.concat(F.lit("\n"), F.rtrim(F.repeat(F.lit(">" + SPACE), quoted), F.lit(SPACE)), F.lit("\n"), prefix))
-        .when(F.col("breaks") == 1, F.concat(F.lit("\n"), prefix))
+        F.when((F.col("gap") == 0) | F.col("last_marker"), F.when((F.col("gap") == 0) & (F.col("quotes") > 0), F.col("prefix")).otherwise(F.lit("")))
+        .when(F.col("breaks") >= 2, F.concat(F.lit("\n"), F.rtrim(F.repeat(F.lit(">" + SPACE), quoted), F.lit(SPACE)), F.lit("\n"), "prefix"))
+        .when(F.col("breaks") == 1, F.concat(F.lit("\n"), "prefix"))
         .when((F.col("breaks") == IN_CELL) & ~F.col("boundary"), F.lit(" "))
         .otherwise(F.lit(""))
     )
@@ -187,10 +210,7 @@ def _spacing() -> Column:
 
 
 def _prepared(rows: DataFrame, resolve: Column | None, clean: bool) -> DataFrame:
-    rows = _with_items(_structured(_with_attrs(rows)))
-    end = F.lead("pos").over(Window.partitionBy("key", "block").orderBy("pos")).isNull()
-    last = F.lead("pos").over(M.in_page()).isNull()
-    rows = rows.withColumns({"block_end": end, "is_last": last})
+    rows = _structured(_with_attrs(rows))
     if resolve is not None or clean:
         at = resolve if resolve is not None else F.lit("")
         rows = rows.withColumn("href", F.when(F.col("href") == BREAK, BREAK).otherwise(U.resolve(F.col("href"), at, clean)))
@@ -215,36 +235,45 @@ def to_markdown(rows: DataFrame, origin: Column | None = None, clean: bool = Fal
     marks = {t.lower(): m for t, m in (marks or {}).items()}
     own = lambda tags: tuple(t for t in tags if t not in marks) or ("",)
     rows = _texts(_prepared(rows, origin, clean))
-    rows, strong, owed_strong = _inline(rows, own(STRONG), _STRONG, "n_strong")
-    rows, em, owed_em = _inline(rows, own(EM), _EM, "n_em")
-    rows, gone, owed_del = _inline(rows, own(DEL), _DEL, "n_del")
-    rows, code, owed_code = _inline(rows, own(CODE), "`", "n_code")
-    given, owed_given = [], []
+    tag, kind, token = F.col("tag"), F.col("kind"), F.col("token")
+    # each step is a column of its own: nested in one expression they would be repeated
+    rows = rows.withColumn("plain", T.decode_entities(F.col("words")))
+    # a link that shows nothing but its own address is written <address>
+    alone = (F.col("before_tag") == "a") & (F.col("before_kind") == "open") & (F.col("after_tag") == "a") & (F.col("after_kind") == "close")
+    auto = alone & (kind == "text") & (F.col("plain") == F.col("href")) & (F.col("link_title") == "") & U.is_autolink(F.col("href")) & ~F.col("pre")
+    rows = rows.withColumns({"auto": F.coalesce(auto, F.lit(False)), "said": F.when(kind == "text", F.col("plain"))})
+    p, said = M.in_page(), F.col("said")
+    ticked = lambda c: F.when(F.contains(c, F.lit("`")), c)
+    rows = rows.withColumns({
+        # quotes that the list itself stands in
+        "around": F.last(F.when(M.is_open("ul", "ol"), F.col("quotes")), ignorenulls=True).over(p),
+        "auto_opens": F.coalesce(F.lead("auto").over(p), F.lit(False)),
+        "auto_ends": F.coalesce(F.lag("auto").over(p), F.lit(False)),
+        # code that holds backticks: its text is the next row, or the one after the code tag within pre; it ends a row, or two, before the end
+        "ahead": ticked(F.coalesce(F.lead(said).over(p), F.lead(said, 2).over(p))),
+        "behind": ticked(F.coalesce(said, F.lag(said).over(p))),
+        "inside": ticked(F.when(kind == "close", F.lag(said).over(p)).otherwise(F.lead(said).over(p))),
+    })
+    rows = _with_items(rows)
+    inline = {"n_strong": (own(STRONG), _STRONG), "n_em": (own(EM), _EM), "n_del": (own(DEL), _DEL), "n_code": (own(CODE), "`")}
     for i, (name, ends) in enumerate(sorted(marks.items())):
-        first, second = (m.replace(" ", SPACE).replace("\n", BREAK) for m in ends)
-        rows, mark, owed_mark = _inline(rows, (name,), first, f"n_given{i}", second)
-        given.append(mark)
-        owed_given.append(owed_mark)
+        inline[f"n_given{i}"] = ((name,), *(m.replace(" ", SPACE).replace("\n", BREAK) for m in ends))
+    made = {name: _inline(name, *told) for name, told in inline.items()}
+    rows = rows.withColumns({"block_end": F.lead("pos").over(_in_block()).isNull(), **{name: count for name, (count, _, _) in made.items()}})
+    strong, em, gone, code, *given = [marker for _, marker, _ in made.values()]
+    owed_strong, owed_em, owed_del, owed_code, *owed_given = [owed for _, _, owed in made.values()]
 
-    tag, kind, token = F.col("tag"), F.col("kind"), F.col("token")
     outside = F.when(F.col("lists") > 0, F.least(F.coalesce("around", F.lit(0)), F.col("quotes"))).otherwise(F.col("quotes"))
     quoted = F.repeat(F.lit(">" + SPACE), outside)
     prefix = F.concat(quoted, F.repeat(F.lit(SPACE), F.col("indent")), F.repeat(F.lit(">" + SPACE), F.col("quotes") - outside))
-    starts = F.col("before").isNotNull() & ~F.col("heading") & (F.col("tables") == 0) | (F.lag("pos").over(M.in_page()).isNull())
+    starts = F.col("before").isNotNull() & ~F.col("heading") & (F.col("tables") == 0) | F.col("is_first")
     in_code = (F.col("n_code") > 0) & ~F.col("pre")
-    # each step is a column of its own: nested in one expression they would be repeated
-    rows = rows.withColumn("starts", F.coalesce(starts, F.lit(False))).withColumn("plain", T.decode_entities(F.col("words")))
+    rows = rows.withColumn("starts", F.coalesce(starts, F.lit(False)))
     rows = rows.withColumn("escaped", T.escape_markdown(F.col("plain"), F.col("starts")))
     rows = rows.withColumn("escaped", F.when(F.col("words").contains("&"), _guarded(F.col("escaped"))).otherwise(F.col("escaped")))
     hazards = F.when(F.col("tables") > 0, r"(\|)").when(F.col("quotes") > 0, r"(?<!\\)(>)")
     rows = rows.withColumn("escaped", F.when(hazards.isNotNull(), F.regexp_replace("escaped", hazards, F.lit(r"\\$1"))).otherwise(F.col("escaped")))
-    # a link that shows nothing but its own address is written <address>
-    p = M.in_page()
-    alone = (F.lag("tag").over(p) == "a") & (F.lag("kind").over(p) == "open") & (F.col("after_tag") == "a") & (F.col("after_kind") == "close")
-    auto = alone & (kind == "text") & (F.col("plain") == F.col("href")) & (F.col("link_title") == "") & U.is_autolink(F.col("href")) & ~F.col("pre")
-    rows = rows.withColumn("auto", F.coalesce(auto, F.lit(False)))
-    rows = rows.withColumns({"auto_opens": F.coalesce(F.lead("auto").over(p), F.lit(False)), "auto_ends": F.coalesce(F.lag("auto").over(p), F.lit(False))})
-    in_link = (M.depth("a") > 0) & (F.col("href") != BREAK)
+    in_link = (F.col("links") > 0) & (F.col("href") != BREAK)
     rows = rows.withColumn("escaped", F.when(in_link, F.replace("escaped", F.lit("]"), F.lit("\\]"))).otherwise(F.col("escaped")))
     ends_heading = F.col("heading") & (F.col("after_kind") == "close") & F.col("after_tag").isin(*M.HEADINGS)
     rows = rows.withColumn("escaped", F.when(ends_heading, F.regexp_replace("escaped", r"(^|[ ])(#+) ?\z", r"$1\\$2")).otherwise(F.col("escaped")))
@@ -253,13 +282,7 @@ def to_markdown(rows: DataFrame, origin: Column | None = None, clean: bool = Fal
     linked = F.col("href") != BREAK
     level = F.substring("tag", 2, 1).cast("int")
     language = F.coalesce(F.regexp_extract(token, r"language-([^\s\"'<>&~`]+)", 1), F.lit(""))
-    nearby = F.coalesce(F.regexp_extract(F.lead("token").over(M.in_page()), r"^<code[^>]*language-([^\s\"'<>&~`]+)", 1), F.lit(""))
-    # the code's text is the next row, or the one after the code tag within pre; it ends a row, or two, before the end
-    said = F.when(kind == "text", F.col("plain"))
-    ahead = F.when(F.contains(F.coalesce(F.lead(said).over(p), F.lead(said, 2).over(p)), F.lit("`")), F.coalesce(F.lead(said).over(p), F.lead(said, 2).over(p)))
-    behind = F.when(F.contains(F.coalesce(said, F.lag(said).over(p)), F.lit("`")), F.coalesce(said, F.lag(said).over(p)))
-    rows = rows.withColumns({"ahead": ahead, "behind": behind})
-    fence = F.concat(F.repeat(F.lit("`"), _ticks(F.col("ahead"), 3)), F.when(language != "", language).otherwise(nearby), F.lit(BREAK))
+    fence = F.concat(F.repeat(F.lit("`"), _ticks(F.col("ahead"), 3)), F.when(language != "", language).otherwise(F.col("nearby")), F.lit(BREAK))
     number = F.when(F.col("list.tag") == "ol", F.concat(F.col("item").cast("string"), F.lit("." + SPACE))).otherwise(F.lit("-" + SPACE))
     src, alt = _attr("src"), F.coalesce(_attr("alt"), F.lit(""))
     if origin is not None or clean:
@@ -287,12 +310,11 @@ def to_markdown(rows: DataFrame, origin: Column | None = None, clean: bool = Fal
         .when(tag.isin(*KEPT_TAGS), F.concat(F.when(kind == "close", "</").otherwise("<"), tag, F.lit(">")))
     )
     # inline code that holds backticks has more around it, and a space where it begins or ends with one
-    inside = F.when(kind == "close", F.lag(said).over(p)).otherwise(F.lead(said).over(p))
-    wide = F.contains(F.coalesce(inside, F.lit("")), F.lit("`"))
+    inside = F.col("inside")
     room = F.when(inside.rlike(r"^`|`\z"), SPACE).otherwise("")
     opening = F.concat(F.repeat(F.lit("`"), _ticks(inside, 1)), room)
     closing = F.concat(room, F.repeat(F.lit("`"), _ticks(inside, 1)))
-    code = F.when(code.isNotNull() & wide, F.when(kind == "close", closing).otherwise(opening)).otherwise(code)
+    code = F.when(code.isNotNull() & inside.isNotNull(), F.when(kind == "close", closing).otherwise(opening)).otherwise(code)
     piece = F.coalesce(piece, strong, em, gone, F.when(~F.col("pre"), code), F.lit(""))
     fence_end = F.when((F.col("after_kind") == "close") & (F.col("after_tag") == "pre"), F.concat(F.lit(BREAK), F.repeat(F.lit("`"), _ticks(F.col("behind"), 3)))).otherwise(F.lit(""))
     # a link that the page never closes ends with it
@@ -316,7 +338,7 @@ def _guarded(text: Column) -> Column:
 
 def to_text(rows: DataFrame, key: str = "page_id") -> DataFrame:
     """key and text of every page that has rows: no markers, cells by tabs, images by their alternative text."""
-    rows = _texts(_prepared(rows, None, False))
+    rows = _with_items(_texts(_prepared(rows, None, False)))
     tag, token = F.col("tag"), F.col("token")
     words = T.decode_entities(F.col("words"))
     text = F.when(F.col("pre"), F.translate(words, " \n", SPACE + BREAK)).otherwise(words)

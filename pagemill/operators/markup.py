@@ -59,7 +59,9 @@ def attributes(tag: Column) -> Column:
 def tokens(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, pos, token, kind (open, close, void or text) and tag of every page; comments and raw elements are gone."""
     # an outer explode: Spark would test a plain one's array for emptiness below, and cut the page once more for that
-    dealt = pages.select(F.col(key).alias("key"), F.coalesce(html, F.lit("")).alias("html")).repartition("key")
+    dealt = pages.select(F.col(key).alias("key"), F.coalesce(html, F.lit("")).alias("html"))
+    # as many tasks as the session asks for: sized by their compressed pages, too few would share the rows of all tokens
+    dealt = dealt.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     rows = dealt.select("key", F.posexplode_outer(F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0))).alias("pos", "token")).where("pos is not null")
     tag = F.lower(F.regexp_extract("token", r"^</?([a-zA-Z][^\s/>]*)", 1))
     rows = rows.withColumn("tag", tag)
