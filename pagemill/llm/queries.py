@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import ann, fingerprints, langid, licenses, mainhtml, mixing, packing, pii, sharding, simhash
+from pagemill.llm import ann, fingerprints, langid, licenses, mainhtml, mixing, packing, pii, quality, sharding, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, mixing.word_count(), packing.copies_cluster())
 
 
+def op13_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_personal_data": op2_personal_data,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_main_text": op9_main_text,
     "op10_packing": op10_packing,
+    "op13_quality_score": op13_quality_score,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_source_mix": mixing.ORACLE_SQL}
