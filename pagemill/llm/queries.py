@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import ann, fingerprints, langid, licenses, mainhtml, mixing, packing, pii, quality, sharding, simhash
+from pagemill.llm import ann, collocations, fingerprints, langid, licenses, mainhtml, mixing, packing, pii, quality, repeats, sharding, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,6 +62,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, mixing.word_count(), packing.copies_cluster())
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return repeats.digest(repeats.collapse_repeats(repeats.repeated_on_purpose(docs)))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 def op13_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -77,7 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_main_text": op9_main_text,
     "op10_packing": op10_packing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
     "op13_quality_score": op13_quality_score,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_source_mix": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_source_mix": mixing.ORACLE_SQL, "op12_collocations": collocations.ORACLE_SQL}
