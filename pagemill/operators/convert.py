@@ -19,12 +19,20 @@ from pagemill.operators import selectors as S
 
 # Carriers of what must survive the final clean-up, and of marks until empty pairs of them are gone: noncharacters,
 # which no text may hold. A page that does has U+FFFD in their place.
-SPACE, BREAK, _STRONG, _EM, _DEL = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3", "\ufdd4"
-_MARKS = {_STRONG: "**", _EM: "*", _DEL: "~~"}
+SPACE, BREAK, _STRONG, _EM, _DEL, _STRONG_END, _EM_END, _DEL_END = (chr(c) for c in range(0xFDD0, 0xFDD8))
+_MARKS = {_STRONG: "**", _EM: "*", _DEL: "~~", _STRONG_END: "**", _EM_END: "*", _DEL_END: "~~"}
+_OPENING, _CLOSING = _STRONG + _EM + _DEL, _STRONG_END + _EM_END + _DEL_END
+#: Two marks with nothing between them: of an empty element, or of two that follow each other.
+_NOTHING = "|".join(a + b + "|" + b + a for a, b in zip(_OPENING, _CLOSING, strict=True))
 #: What a block inside a table cell asks for: less than a line break, a space.
 IN_CELL = 0.5
 STRONG, EM, DEL, CODE = ("strong", "b", "dfn"), ("em", "i", "cite"), ("del", "s", "strike"), ("code", "kbd", "samp", "var")
 KEPT_TAGS = ("sub", "sup", "ins", "mark", "u")
+#: Elements that Markdown has no marks for: their tags are written as they are.
+RAW_BLOCKS = ("details", "summary", "address", "dl", "dt", "dd")
+#: Of a table within a cell, and of other blocks in a cell, tags are written too: a table row is one line.
+RAW_IN_TABLE = ("table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption")
+RAW_IN_CELL = ("ul", "ol", "li", "pre", *M.HEADINGS)
 #: Elements that add no line break of their own.
 FLAT = ("html", "head", "body", "footer", "header", "tbody", "thead", "tfoot", "td", "th")
 #: The minimal preset drops these elements.
@@ -48,7 +56,7 @@ def _attr(name: str) -> Column:
 
 def _with_attrs(rows: DataFrame) -> DataFrame:
     """Adds the attributes of tags, decoded together: one decoding expression instead of one an attribute."""
-    rows = rows.withColumn("token", F.translate("token", SPACE + BREAK + "".join(_MARKS), "\ufffd" * 5))
+    rows = rows.withColumn("token", F.translate("token", SPACE + BREAK + "".join(_MARKS), "\ufffd" * 8))
     raw = F.array(*[M.raw_attribute(F.col("token"), name) for name in _ATTRS])
     return rows.withColumn("attrs", F.when((F.col("kind") != "text") & F.contains(F.col("token"), F.lit("=")), F.transform(raw, lambda a: T.decode_entities(a))))
 
@@ -86,18 +94,36 @@ def _structured(rows: DataFrame) -> DataFrame:
     boundary = F.col("tag").isin(*M.BLOCKS) & (F.col("kind") != "text")
     p = M.in_page()
     opens_link = M.is_open("a")
-    return rows.withColumns({"boundary": boundary, "edge": F.when(boundary, F.col("tag"))}).withColumns({
+    rows = rows.withColumns({"boundary": boundary, "edge": F.when(boundary, F.col("tag"))}).withColumns({
         "lists": M.depth("ul", "ol"),
-        "indent": F.greatest(M.so_far(step), F.lit(0)),
         "tables": M.depth("table"),
+        "in_cell": M.depth("td", "th") > 0,
+        "region": M.depth(*RAW_BLOCKS),
+        "tight": M.depth("address", "dt") > 0,
         "links": M.depth("a"),
         "pre": M.depth("pre") > 0,
+        "spans": F.coalesce(F.last(F.when(opens_link, _attr("href").isNotNull()), ignorenulls=True).over(p), F.lit(False)),
+    })
+    # a table's own tags are as deep as what it holds
+    deep = F.col("tables") + F.when(M.is_close("table"), 1).otherwise(0)
+    cell = (F.col("tables") > 0) & F.col("in_cell")
+    tag = F.col("tag")
+    in_link = (F.col("links") > 0) & F.col("spans") & ~cell
+    raw_tag = (F.col("kind") != "text") & (
+        ((deep > 1) & tag.isin(*RAW_IN_TABLE)) | (cell & tag.isin(*RAW_IN_CELL)) | (cell & F.col("pre") & (tag == "code")) | (~F.col("pre") & tag.isin(*RAW_BLOCKS)) | (in_link & tag.isin(*M.HEADINGS))
+    )
+    rows = rows.withColumns({"deep": deep, "cell": cell, "raw_tag": raw_tag})
+    # what follows a raw block's tag is raw, until a blank line
+    raw = F.last(F.when(tag.isin(*RAW_BLOCKS) & (F.col("kind") != "text"), ~M.is_close("summary", "details")).when(F.col("boundary") & (_spacing() == 2), F.lit(False)), ignorenulls=True).over(p)
+    return rows.withColumns({
+        "raw": F.coalesce((F.col("region") > 0) & ~cell & raw, F.lit(False)),
+        "indent": F.greatest(M.so_far(step), F.lit(0)),
         "quotes": M.depth("blockquote"),
         # a heading ends where the next one begins, closed or not
         "heading": F.coalesce(F.last(F.when(F.col("tag").isin(*M.HEADINGS) & (F.col("kind") != "text"), F.col("kind") == "open"), ignorenulls=True).over(p), F.lit(False)),
         "block": M.so_far(F.when(F.col("boundary"), 1).otherwise(0)),
-        "row_no": M.so_far(F.when(M.is_open("tr", "table"), 1).otherwise(0)),
-        "table_no": M.so_far(F.when(M.is_open("table"), 1).otherwise(0)),
+        "row_no": M.so_far(F.when(M.is_open("tr", "table") & (deep == 1), 1).otherwise(0)),
+        "table_no": M.so_far(F.when(M.is_open("table") & (deep == 1), 1).otherwise(0)),
         "before": F.lag("edge").over(p),
         "before_kind": F.lag("kind").over(p),
         "before_tag": F.lag("tag").over(p),
@@ -117,7 +143,7 @@ def _with_items(rows: DataFrame) -> DataFrame:
     opened = F.last(F.when(M.is_open("ul", "ol"), F.struct("pos", "tag", T.bounded_int(_attr("start"), 999_999_999).alias("start"))), ignorenulls=True).over(at_depth)
     rows = rows.withColumn("list", opened)
     item = F.sum(F.when(M.is_open("li"), 1).otherwise(0)).over(Window.partitionBy("key", "list.pos").orderBy("pos"))
-    cell = M.is_open("td", "th")
+    cell = M.is_open("td", "th") & (F.col("deep") <= 1)
     inside = (F.col("tables") > 0) & (F.col("row_no") > 0)
     # a cell over several columns counts as so many, those after it empty
     spans = F.least(F.greatest(F.coalesce(T.bounded_int(_attr("colspan"), 1000), F.lit(1)), F.lit(1)), F.lit(1000)).cast("int")
@@ -155,9 +181,13 @@ def _joined(rows: DataFrame, spacing: Column, prefix: Column, name: str) -> Data
     # gaps are numbered in page order too
     p = Window.partitionBy("key").orderBy("gap", "pos")
     rows = rows.withColumn("was", F.lag("quotes").over(p)).withColumn("last_marker", F.coalesce(F.lag("is_marker").over(p), F.lit(False)))
+    # a link's end stands right behind what it shows; breaks before it follow it
+    closing = M.is_close("a")
+    rows = rows.withColumn("breaks", F.greatest("breaks", F.lag("after").over(p), F.when(F.lag(closing).over(p), F.lag("breaks").over(p))))
     quoted = F.least(F.col("was"), F.col("quotes"))
     sep = (
-        F.when((F.col("gap") == 0) | F.col("last_marker"), F.when((F.col("gap") == 0) & (F.col("quotes") > 0), F.col("prefix")).otherwise(F.lit("")))
+        F.when(closing, F.lit(""))
+        .when((F.col("gap") == 0) | F.col("last_marker"), F.when((F.col("gap") == 0) & (F.col("quotes") > 0), F.col("prefix")).otherwise(F.lit("")))
         .when(F.col("breaks") >= 2, F.concat(F.lit("\n"), F.rtrim(F.repeat(F.lit(">" + SPACE), quoted), F.lit(SPACE)), F.lit("\n"), "prefix"))
         .when(F.col("breaks") == 1, F.concat(F.lit("\n"), "prefix"))
         .when((F.col("breaks") == IN_CELL) & ~F.col("boundary"), F.lit(" "))
@@ -165,12 +195,14 @@ def _joined(rows: DataFrame, spacing: Column, prefix: Column, name: str) -> Data
     )
     rows = rows.withColumn("out", F.when(F.col("is_piece"), F.concat(sep, "piece")).otherwise(F.lit("")))
     whole = rows.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "").alias(name))
-    text = F.regexp_replace(F.regexp_replace(F.col(name), " {2,}", " "), r" ?\n ?", "\n")
-    text = F.regexp_replace(text, "\n{3,}", "\n\n")
-    text = F.regexp_replace(text, rf"^[ \n]+|[ \n{SPACE}{BREAK}]+\z", "")
+    # spaces within marks go out of them, as marks beside spaces mark nothing
+    text = F.regexp_replace(F.regexp_replace(F.col(name), f"([{_OPENING}]++) ++", " $1"), f" ++([{_CLOSING}]++)", "$1 ")
+    text = F.regexp_replace(F.regexp_replace(text, "  ++", " "), r" ?\n ?", "\n")
+    text = F.regexp_replace(text, "\n\n\n++", "\n\n")
+    text = F.regexp_replace(text, rf"^[ \n]++|[ \n{SPACE}{BREAK}]++\z", "")
     text = F.replace(text, F.lit(BREAK * 2 + "```"), F.lit(BREAK + "```"))
     # a pair of marks with nothing between them goes; of nested ones the outer pair after the inner
-    text = F.regexp_replace(F.regexp_replace(text, f"([{''.join(_MARKS)}])\\1", ""), f"([{''.join(_MARKS)}])\\1", "")
+    text = F.regexp_replace(F.regexp_replace(text, _NOTHING, ""), _NOTHING, "")
     for carrier, mark in _MARKS.items():
         text = F.replace(text, F.lit(carrier), F.lit(mark))
     return whole.withColumn(name, F.translate(text, SPACE + BREAK, " \n"))
@@ -194,6 +226,10 @@ def _spacing() -> Column:
     tag, kind = F.col("tag"), F.col("kind")
     return (
         F.when(~F.col("boundary"), 0)
+        .when(tag.isin("option", "optgroup", "select"), F.when(kind == "open", IN_CELL).otherwise(0))
+        .when(F.col("raw_tag") & (tag.isin(*RAW_BLOCKS)), F.when((kind == "open") & tag.isin("details", "summary") & ~F.col("cell") & ~F.col("tight"), 2).otherwise(0))
+        .when(F.col("raw_tag"), 0)
+        .when(F.col("tight") & (F.col("tables") == 0), 0)
         .when((F.col("tables") > 0) & tag.isin("td", "th", "tbody", "thead", "tfoot"), 0)
         .when((F.col("tables") > 0) & ~tag.isin("table", "tr", "caption"), IN_CELL)
         .when(M.is_open("tr"), 1)
@@ -201,6 +237,7 @@ def _spacing() -> Column:
         .when(M.is_open("li"), 1)
         .when(tag == "li", 0)
         .when(tag.isin("ul", "ol"), F.when(F.col("lists") > F.when(kind == "open", 1).otherwise(0), 0).otherwise(2))
+        .when((F.col("lists") > 0) & (tag == "table"), F.when(kind == "open", 1).otherwise(2))
         .when((F.col("lists") > 0) & (tag == "p"), 2)
         .when((F.col("lists") > 0) & (tag == "blockquote"), 1)
         .when(F.col("lists") > 0, 0)
@@ -209,6 +246,12 @@ def _spacing() -> Column:
     )
 
 
+def _spacing_after() -> Column:
+    """Line breaks that follow an end tag that is written itself."""
+    outside = F.col("raw_tag") & ~F.col("cell") & (F.col("kind") == "close")
+    return F.when(outside & F.col("tag").isin("details", "summary"), 2).when(outside & F.col("tag").isin("dt", "dd"), 1).otherwise(0)
+
+
 def _prepared(rows: DataFrame, resolve: Column | None, clean: bool) -> DataFrame:
     rows = _structured(_with_attrs(rows))
     if resolve is not None or clean:
@@ -255,7 +298,7 @@ def to_markdown(rows: DataFrame, origin: Column | None = None, clean: bool = Fal
         "inside": ticked(F.when(kind == "close", F.lag(said).over(p)).otherwise(F.lead(said).over(p))),
     })
     rows = _with_items(rows)
-    inline = {"n_strong": (own(STRONG), _STRONG), "n_em": (own(EM), _EM), "n_del": (own(DEL), _DEL), "n_code": (own(CODE), "`")}
+    inline = {"n_strong": (own(STRONG), _STRONG, _STRONG_END), "n_em": (own(EM), _EM, _EM_END), "n_del": (own(DEL), _DEL, _DEL_END), "n_code": (own(CODE), "`")}
     for i, (name, ends) in enumerate(sorted(marks.items())):
         inline[f"n_given{i}"] = ((name,), *(m.replace(" ", SPACE).replace("\n", BREAK) for m in ends))
     made = {name: _inline(name, *told) for name, told in inline.items()}
@@ -268,6 +311,7 @@ def to_markdown(rows: DataFrame, origin: Column | None = None, clean: bool = Fal
     prefix = F.concat(quoted, F.repeat(F.lit(SPACE), F.col("indent")), F.repeat(F.lit(">" + SPACE), F.col("quotes") - outside))
     starts = F.col("before").isNotNull() & ~F.col("heading") & (F.col("tables") == 0) | F.col("is_first")
     in_code = (F.col("n_code") > 0) & ~F.col("pre")
+    folded = F.col("pre") & F.col("cell")
     rows = rows.withColumn("starts", F.coalesce(starts, F.lit(False)))
     rows = rows.withColumn("escaped", T.escape_markdown(F.col("plain"), F.col("starts")))
     rows = rows.withColumn("escaped", F.when(F.col("words").contains("&"), _guarded(F.col("escaped"))).otherwise(F.col("escaped")))
@@ -277,7 +321,20 @@ def to_markdown(rows: DataFrame, origin: Column | None = None, clean: bool = Fal
     rows = rows.withColumn("escaped", F.when(in_link, F.replace("escaped", F.lit("]"), F.lit("\\]"))).otherwise(F.col("escaped")))
     ends_heading = F.col("heading") & (F.col("after_kind") == "close") & F.col("after_tag").isin(*M.HEADINGS)
     rows = rows.withColumn("escaped", F.when(ends_heading, F.regexp_replace("escaped", r"(^|[ ])(#+) ?\z", r"$1\\$2")).otherwise(F.col("escaped")))
-    text = F.when(F.col("pre") | in_code, F.translate("plain", " \n", SPACE + BREAK)).otherwise(F.col("escaped"))
+    # a line break that a reference stands for would end the table's row
+    rows = rows.withColumn("escaped", F.when(F.col("tables") > 0, F.replace(F.replace("escaped", F.lit("\n"), F.lit("&#10;")), F.lit("\r"), F.lit("&#13;"))).otherwise(F.col("escaped")))
+    as_html = F.replace(F.replace(F.replace("plain", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    as_raw = F.replace(F.replace(as_html, F.lit("\n"), F.lit("&#10;")), F.lit("\r"), F.lit("&#13;"))
+    as_raw = F.when(F.col("tables") > 0, F.replace(as_raw, F.lit("|"), F.lit("&#124;"))).when(in_link, F.replace(F.replace(as_raw, F.lit("["), F.lit("&#91;")), F.lit("]"), F.lit("&#93;"))).otherwise(as_raw)
+    # code in a cell stays on the row's line; the line breaks next to its tags go
+    first = (F.col("before_kind") == "open") & F.col("before_tag").isin("pre", "code")
+    last = (F.col("after_kind") == "close") & F.col("after_tag").isin("pre", "code")
+    line_up = F.when(first, F.regexp_replace(as_html, r"\A\n", "")).otherwise(as_html)
+    line_up = F.when(last, F.regexp_replace(line_up, r"\n\z", "")).otherwise(line_up)
+    line_up = F.replace(F.translate(F.replace(line_up, F.lit("|"), F.lit("&#124;")), " ", SPACE), F.lit("\n"), F.lit("<br>"))
+    verbatim = F.translate("plain", " \n", SPACE + BREAK)
+    verbatim = F.when(in_code & (F.col("tables") > 0), F.replace(F.translate("plain", "\n ", SPACE + SPACE), F.lit("|"), F.lit("\\|"))).otherwise(verbatim)
+    text = F.when(folded, line_up).when(F.col("raw") & ~F.col("pre"), as_raw).when(F.col("pre") | in_code, verbatim).otherwise(F.col("escaped"))
 
     linked = F.col("href") != BREAK
     level = F.substring("tag", 2, 1).cast("int")
@@ -288,11 +345,12 @@ def to_markdown(rows: DataFrame, origin: Column | None = None, clean: bool = Fal
     if origin is not None or clean:
         src = U.resolve(src, origin if origin is not None else F.lit(""), clean)
     image = F.concat(F.lit("!["), F.regexp_replace(alt, r"([\[\]\\])", r"\\$1"), F.lit("]("), _destination(F.coalesce(src, F.lit(""))), _title(_attr("title")), F.lit(")"))
-    line = F.when(F.col("heading") | (F.col("tables") > 0), F.lit("<br>")).when(F.col("pre") | in_code, F.lit(BREAK)).otherwise(F.concat(F.lit(SPACE * 2 + "\n"), prefix))
+    line = F.when(F.col("heading") | (F.col("tables") > 0) | F.col("raw"), F.lit("<br>")).when(F.col("pre") | in_code, F.lit(BREAK)).otherwise(F.concat(F.lit(SPACE * 2 + "\n"), prefix))
     piece = (
         F.when((kind != "text") & tag.isin(*marks), F.coalesce(*given, F.lit("")))
         .when(F.col("auto"), F.col("plain"))
         .when(kind == "text", text)
+        .when(F.col("raw_tag"), F.concat(F.when(kind == "close", "</").otherwise("<"), tag, F.lit(">")))
         .when(F.col("pre") & ~tag.isin("pre", "br"), "")
         .when(M.is_open(*M.HEADINGS), F.concat(F.repeat(F.lit("#"), level), F.lit(SPACE)))
         .when(tag == "br", line)
@@ -314,19 +372,19 @@ def to_markdown(rows: DataFrame, origin: Column | None = None, clean: bool = Fal
     room = F.when(inside.rlike(r"^`|`\z"), SPACE).otherwise("")
     opening = F.concat(F.repeat(F.lit("`"), _ticks(inside, 1)), room)
     closing = F.concat(room, F.repeat(F.lit("`"), _ticks(inside, 1)))
-    code = F.when(code.isNotNull() & inside.isNotNull(), F.when(kind == "close", closing).otherwise(opening)).otherwise(code)
+    code = F.when(code.isNotNull() & F.col("raw"), F.when(kind == "close", "</code>").otherwise("<code>")).when(code.isNotNull() & inside.isNotNull(), F.when(kind == "close", closing).otherwise(opening)).otherwise(code)
     piece = F.coalesce(piece, strong, em, gone, F.when(~F.col("pre"), code), F.lit(""))
-    fence_end = F.when((F.col("after_kind") == "close") & (F.col("after_tag") == "pre"), F.concat(F.lit(BREAK), F.repeat(F.lit("`"), _ticks(F.col("behind"), 3)))).otherwise(F.lit(""))
+    fence_end = F.when((F.col("after_kind") == "close") & (F.col("after_tag") == "pre") & ~F.col("cell"), F.concat(F.lit(BREAK), F.repeat(F.lit("`"), _ticks(F.col("behind"), 3)))).otherwise(F.lit(""))
     # a link that the page never closes ends with it
     owed_link = F.when(F.col("is_last") & in_link & ~M.is_close("a"), F.concat(F.lit("]("), _destination(F.col("href")), _title(F.col("link_title")), F.lit(")"))).otherwise(F.lit(""))
     owed = F.concat(*owed_given, owed_em, owed_del, owed_strong, owed_code, fence_end, owed_link)
     columns = F.flatten(F.transform(F.array_sort("aligns"), lambda c: F.array_repeat(c, c["spans"])))
     rule = F.array_join(F.transform(columns, lambda c: F.when(c["a"] == "center", ":---:").when(c["a"] == "right", "---:").when(c["a"] == "left", ":---").otherwise("---")), f"{SPACE}|{SPACE}")
-    row_end = F.when(F.col("row_end"), F.concat(F.repeat(F.lit(SPACE + "|"), F.col("spans")), F.when(F.col("first_row"), F.concat(F.lit("\n|" + SPACE), rule, F.lit(SPACE + "|"))).otherwise(F.lit("")))).otherwise(F.lit(""))
+    row_end = F.when(F.col("row_end"), F.concat(F.repeat(F.lit(SPACE + "|"), F.col("spans")), F.when(F.col("first_row"), F.concat(F.lit("\n"), prefix, F.lit("|" + SPACE), rule, F.lit(SPACE + "|"))).otherwise(F.lit("")))).otherwise(F.lit(""))
     rows = rows.withColumn("piece", F.concat(piece, owed, row_end))
-    markers = M.is_open("li", "pre", "td", "th", *M.HEADINGS)
-    marked = F.when(M.is_open("li"), F.concat(quoted, F.repeat(F.lit(SPACE), F.greatest(F.col("indent") - F.when(F.col("list.tag") == "ol", 3).otherwise(2), F.lit(0)))))
-    rows = rows.withColumn("is_marker", markers)
+    markers = (M.is_open("li", "pre", "td", "th", *M.HEADINGS) | (F.col("raw_tag") & F.col("cell") & (kind == "open"))) & ~(F.col("raw_tag") & ~F.col("cell") & ~tag.isin(*M.HEADINGS))
+    marked = F.when(M.is_open("li") & ~F.col("cell"), F.concat(quoted, F.repeat(F.lit(SPACE), F.greatest(F.col("indent") - F.when(F.col("list.tag") == "ol", 3).otherwise(2), F.lit(0)))))
+    rows = rows.withColumns({"is_marker": markers, "after": _spacing_after()})
     out = _joined(rows, _spacing(), F.coalesce(marked, prefix), "markdown")
     return out.withColumnRenamed("key", key)
 
@@ -351,23 +409,31 @@ def to_text(rows: DataFrame, key: str = "page_id") -> DataFrame:
         .when(tag == "q", '"')
         .when(M.is_open("td", "th") & (F.col("cells") > 1), "\t")
     )
-    rows = rows.withColumn("piece", F.coalesce(piece, F.lit(""))).withColumn("is_marker", F.lit(False)).withColumn("quotes", F.lit(0))
+    rows = rows.withColumns({"piece": F.coalesce(piece, F.lit("")), "is_marker": F.lit(False), "quotes": F.lit(0), "after": F.lit(0), "raw_tag": F.lit(False)})
     return _joined(rows, _spacing(), F.lit(""), "text").withColumnRenamed("key", key)
 
 
 def to_html(rows: DataFrame, key: str = "page_id") -> DataFrame:
-    """key and safe of every page that has rows: allowed tags and attributes only, text escaped, headings with anchors."""
-    tag, kind, token = F.col("tag"), F.col("kind"), F.col("token")
+    """key and safe of every page that has rows: allowed tags and attributes only, text escaped, headings with anchors.
+
+    Elements nest as they do in ``rows``. Code stays as it is; what else stands within pre is its text only.
+    """
+    tag, kind = F.col("tag"), F.col("kind")
     p = M.in_page()
     rows = _with_attrs(rows)
-    rows = rows.withColumn("boundary", tag.isin(*M.BLOCKS) & (kind != "text")).withColumn("block", M.so_far(F.when(F.col("boundary"), 1).otherwise(0)))
-    in_block = Window.partitionBy("key", "block")
-    words = F.regexp_replace(T.decode_entities(token), r"[ \t\n\f\r]+", " ")
-    rows = rows.withColumn("words", F.when(kind == "text", words))
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(kind == "text", F.struct("pos", "words"))).over(in_block)), lambda x: x["words"]), "")
+    edge = tag.isin(*M.BLOCKS) & (kind != "text")
+    whole = p.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({
+        "boundary": edge, "pre": M.depth("pre") > 0, "at_start": F.coalesce(F.lag(edge).over(p), F.lit(True)), "at_end": F.coalesce(F.lead(edge).over(p), F.lit(True)),
+        "heading": F.last(F.when(tag.isin(*M.HEADINGS) & (kind != "text"), F.when(kind == "open", F.col("pos")).otherwise(-1)), ignorenulls=True).over(whole),
+        "inner": F.coalesce(F.regexp_extract(F.lead("token").over(p), r"^<code[^>]*language-([^\s\"'<>&~`]++)", 1), F.lit("")),
+    })
+    decoded = T.decode_entities(F.col("token"))
+    rows = rows.withColumn("words", F.when(kind == "text", F.when(F.col("pre"), decoded).otherwise(F.regexp_replace(decoded, r"[ \t\n\f\r]++", " "))))
+    of_heading = Window.partitionBy("key", "heading")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.when((kind == "text") & (F.col("heading") >= 0), F.struct("pos", "words"))).over(of_heading)), lambda x: x["words"]), "")
     rows = rows.withColumn("slug", F.when(M.is_open(*M.HEADINGS), T.slugify(said)))
-    first = F.lag("boundary").over(p)
-    text = F.when(F.coalesce(first, F.lit(True)), F.ltrim("words")).otherwise(F.col("words"))
+    text = F.when(F.col("pre"), F.col("words")).when((F.col("words") == " ") & (F.col("at_start") | F.col("at_end")), "").when(F.col("at_start"), F.ltrim("words")).otherwise(F.col("words"))
     text = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     name = F.when(tag == "b", "strong").when(tag == "i", "em").when(tag.isin("s", "strike"), "del").otherwise(tag)
 
@@ -377,31 +443,32 @@ def to_html(rows: DataFrame, key: str = "page_id") -> DataFrame:
         return F.when(kept, F.concat(F.lit(f' {attr}="'), T.escape_html(value), F.lit('"'))).otherwise(F.lit(""))
 
     href, src = _attr("href"), _attr("src")
+    language = F.coalesce(F.regexp_extract("token", r"language-([^\s\"'<>&~`]++)", 1), F.lit(""))
     attrs = (
-        F.when(tag == "a", F.concat(carried("href", U.is_safe(href)), carried("title")))
-        .when(tag == "img", F.concat(carried("src", U.is_safe(src, link=False)), carried("alt"), carried("title")))
-        .when(tag == "ol", carried("start", _attr("start").rlike("^[0-9]+$")))
-        .when(tag.isin("td", "th"), F.concat(carried("colspan", _attr("colspan").rlike("^[0-9]+$")), F.lower(carried("align"))))
+        F.when(tag == "a", F.concat(carried("href"), carried("title")))
+        .when(tag == "img", F.concat(carried("src"), carried("alt"), carried("title")))
+        .when(tag == "ol", carried("start", _attr("start").rlike("^[0-9]++$")))
+        .when(tag.isin("td", "th"), F.concat(carried("colspan", _attr("colspan").rlike("^[0-9]++$")), F.lower(carried("align", (tag == "th") & _attr("align").rlike("^(?i:left|center|right)$")))))
+        .when((tag == "code") & (language != ""), F.concat(F.lit(' class="language-'), language, F.lit('"')))
         .when(tag.isin(*M.HEADINGS) & (F.col("slug") != ""), F.concat(F.lit(' id="'), F.col("slug"), F.lit('"')))
         .otherwise(F.lit(""))
     )
-    unsafe = (tag == "a") & (F.col("safe_link") == False) | (tag == "img") & ~F.coalesce(U.is_safe(src, link=False), F.lit(False))  # noqa: E712
-    rows = rows.withColumn("safe_link", F.last(F.when(M.is_open("a"), F.coalesce(U.is_safe(href), F.lit(False))), ignorenulls=True).over(p))
-    inline = ("strong", "b", "em", "i", "del", "s", "strike", "u", "a", "code", "sub", "sup", "mark", "small", "ins")
-    step = F.when(M.is_open(*inline), 1).when(M.is_close(*inline), -1).otherwise(0)
-    rows = rows.withColumn("open_inline", F.sum(step).over(in_block.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    tail = F.when((F.lead("pos").over(in_block.orderBy("pos")).isNull()) & (F.col("open_inline") > 0), F.concat(F.lit("</"), F.last(F.when(M.is_open(*inline), name), ignorenulls=True).over(in_block.orderBy("pos")), F.lit(">"))).otherwise(F.lit(""))
-    # a paragraph that the next block ends without its tag
-    opens = F.last(F.when(M.is_open("p"), F.lit("open")).when(F.col("boundary"), F.lit("none")), ignorenulls=True).over(p.rowsBetween(Window.unboundedPreceding, -1))
-    ended = F.when(F.col("boundary") & (opens == "open") & ~M.is_close("p"), "</p>").otherwise("")
+    # an end tag knows what became of its start tag
+    dropped = F.when(M.is_open("a"), ~F.coalesce(U.is_safe(href), F.lit(False))).when(tag == "img", ~F.coalesce(U.is_safe(src, link=False), F.lit(False)))
+    rows = rows.withColumns({"dropped": F.coalesce(F.max(dropped).over(Window.partitionBy("key", "el")), F.lit(False)), "attributes": attrs})
+    coded = F.when(language != "", language).otherwise(F.col("inner"))
+    fence = F.concat(F.lit('<pre tabindex="0"><code'), F.when(coded != "", F.concat(F.lit(' class="language-'), coded, F.lit('"'))).otherwise(""), F.lit(">"))
     piece = (
         F.when(kind == "text", text)
-        .when(~tag.isin(*SAFE_TAGS) | unsafe, "")
+        .when(M.is_open("pre"), fence)
+        .when(M.is_close("pre"), "</code></pre>")
+        .when(F.col("pre"), F.when(tag == "br", "\n").otherwise(""))
+        .when(~tag.isin(*SAFE_TAGS) | F.col("dropped"), "")
         .when(kind == "close", F.concat(F.lit("</"), name, F.lit(">")))
-        .otherwise(F.concat(F.lit("<"), name, attrs, F.lit(">")))
+        .otherwise(F.concat(F.lit("<"), name, "attributes", F.lit(">")))
     )
-    stray = M.is_close(*inline) & (F.col("open_inline") < 0)
-    rows = rows.withColumn("out", F.concat(ended, F.when(stray, "").otherwise(piece), tail))
+    spaced = F.when(M.is_open("option") & ~F.col("pre"), " ").otherwise("")
+    rows = rows.withColumn("out", F.concat(spaced, piece))
     return rows.groupBy("key").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "")).alias("safe")).withColumnRenamed("key", key)
 
 

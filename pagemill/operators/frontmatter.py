@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import style
@@ -53,10 +53,8 @@ def styled(rows: DataFrame) -> DataFrame:
     has = F.col("kind").isin("open", "void") & F.contains(F.lower("token"), F.lit("class"))
     rows = rows.withColumn("look", F.when(has, style.properties(M.attribute(F.col("token"), "class"))))
     shown = M.without(rows, F.col("look.hidden"))
-    marked = M.with_ends(shown)
     as_tag = F.when(F.col("look.bold"), "strong").when(F.col("look.italic"), "em").when(F.col("look.struck"), "del")
-    marked = marked.withColumn("as", F.when(M.is_open("span"), as_tag))
-    same = M.same_level()
-    renamed = F.when(M.is_close("span") & (F.lag("kind").over(same) == "open"), F.lag("as").over(same)).otherwise(F.col("as"))
-    out = marked.withColumn("tag_now", F.coalesce(renamed, F.col("tag")))
-    return out.select("key", "pos", "token", F.col("tag_now").alias("tag"), "kind")
+    # an end tag is renamed like its start tag
+    named = F.max(F.when(M.is_open("span"), as_tag)).over(Window.partitionBy("key", "el"))
+    out = shown.withColumn("tag_now", F.coalesce(F.when(F.col("tag") == "span", named), F.col("tag")))
+    return out.select("key", "pos", "token", F.col("tag_now").alias("tag"), "kind", "el", "up", "end")

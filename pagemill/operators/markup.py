@@ -1,8 +1,9 @@
 """HTML as rows: one row per tag or text run of a page, with its place in the tree found by windows.
 
-A page is cut into tokens by one regular expression, and all that conversion, extraction and filtering need to know of
-the tree is a running sum or a neighbour within the page: how deep in lists, whether in a cell, where an element ends.
-Pages are dealt by their key once, before tokens are exploded; no window or aggregate after it shuffles again.
+A page is cut into tokens by one regular expression, and tags are matched by a stack (``tree``), so that all elements
+nest. What else conversion, extraction and filtering need to know of the tree is a running sum or a neighbour within the page:
+how deep in lists, whether in a cell. Pages are dealt by their key once, before tokens are exploded; no window or
+aggregate after it shuffles again.
 """
 
 from __future__ import annotations
@@ -11,22 +12,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
+from pagemill.operators import tree
 
-RAW = ("script", "style", "noscript", "iframe", "template", "noframes", "noembed", "datalist")
+#: Elements whose content is no markup and goes.
+RAW = ("script", "style", "noscript", "iframe", "noframes", "noembed", "datalist")
+#: Elements whose content is no markup but text.
+PLAIN = ("title", "textarea", "xmp", "plaintext")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-#: Elements that the next of their kind ends.
-IMPLIED = ("p", "li", "dt", "dd", "tr", "td", "th", "option")
 #: Boundaries between blocks of text.
 BLOCKS = (
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
-    "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title",
+    "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title",
     "tr", "ul", *HEADINGS,
 )
+# Every repeated group is possessive: Java runs others by recursion, and a long page would overflow the stack. A quote
+# counts behind an equals sign only; one that is never closed, like a tag that is not, takes the rest of the page.
+_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?=["']).*+|[^\s>"'][^\s>]*+)?+)*+"""
+# What a script holds: in a comment it may hold scripts of its own.
+_INNER = r"(?:[^<-]++|-(?!->)|<(?!/(?i:script)[\s/>]))*+(?:</(?i:script)(?=[\s/>]))?+"
+_COMMENT = rf"<!--(?:-?>|(?:[^<-]++|-(?!->)|<(?i:script)(?=[\s/>]){_INNER}|<(?!/?(?i:script)[\s/>]))*+(?:-->)?+)"
+_SCRIPT = rf"(?:[^<]++|{_COMMENT}|<(?!/(?i:script)[\s/>]))*+"
 TOKEN = (
-    r"(?s)<!--(?:-?>|.*?(?:--!?>|\z))|<!\[CDATA\[.*?(?:\]\]>|\z)|<(?i:(" + "|".join(RAW) + r"))\b[^>]*+>.*?(?:</(?i:\1)\s*+>|\z)|<[!?][^>]*+>|"
-    r"""</?[a-zA-Z][^\s/>]*+(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^<]++|<"""
+    r"(?s)<!--(?:-?>|.*?(?:--!?>|\z))|<!\[CDATA\[.*?(?:\]\]>|\z)"
+    rf"|<(?i:script)(?=[\s/>]){_REST}(?:(?<!/)>{_SCRIPT}(?:</(?i:script){_REST}>?+|\z)|\z)"
+    rf"|<(?i:({'|'.join(RAW[1:])}))(?=[\s/>]){_REST}(?:(?<!/)>.*?(?:</(?i:\1)(?=[\s/>]){_REST}>?+|\z)|\z)"
+    rf"|<(?i:({'|'.join(PLAIN)}))(?=[\s/>]){_REST}(?:(?<!/)>.*?(?=</(?i:\2)[\s/>]|\z)|\z)"
+    rf"|<[!?][^>]*+(?:>|\z)|</?[a-zA-Z][^\s/>]*+{_REST}(?:>|\z)|[^<]++|<"
 )
+_PLAIN = rf"(?s)^(<(?i:{'|'.join(PLAIN)})(?=[\s/>]){_REST}(?<!/)>)(.++)"
 ATTRIBUTE = r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?"""
 
 
@@ -56,23 +70,53 @@ def attributes(tag: Column) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, 1, i), lambda q: q["k"] == p["k"])))
 
 
+def _cut(html: Column) -> Column:
+    """The tags and texts of a page's source as (token, mark), for ``tree.nest``."""
+
+    def parts(token: Column) -> Column:
+        text = F.regexp_extract(token, _PLAIN, 2)
+        as_text = F.struct(text.alias("token"), F.lit("t").alias("mark"))
+        return F.when(text != "", F.array(_marked(F.regexp_extract(token, _PLAIN, 1)), as_text)).otherwise(F.array(_marked(token)))
+
+    return F.flatten(F.transform(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)), parts))
+
+
+def _marked(token: Column) -> Column:
+    tag = F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][^\s/>]*)", 1))
+    ended = token.endswith("/>") & ~token.rlike(r"=[^\s\"'>]*/>\z")
+    kind = (
+        F.when(~token.startswith("<") | (token == "<"), "t")
+        .when((tag == "") | ~token.endswith(">") | tag.isin(*RAW), "x")
+        .when(token.startswith("</"), F.concat(F.lit("/"), tag))
+        .when(tag.isin(*VOID), F.concat(F.lit("."), tag))
+        .otherwise(F.concat(F.when(ended, "!").otherwise("<"), tag))
+    )
+    return F.struct(token.alias("token"), kind.alias("mark"))
+
+
 def tokens(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, pos, token, kind (open, close, void or text) and tag of every page; comments and raw elements are gone."""
-    # an outer explode: Spark would test a plain one's array for emptiness below, and cut the page once more for that
+    """key, pos, token, kind (open, close, void or text), tag, el, up and end of every page; comments and raw elements are gone.
+
+    Elements nest: end tags that are left out are rows too, others that match nothing are not. ``el`` is where the row's element begins
+    (of a start and an end tag alike), ``up`` where its parent does (-1 without), ``end`` where the element ends.
+    """
     dealt = pages.select(F.col(key).alias("key"), F.coalesce(html, F.lit("")).alias("html"))
     # as many tasks as the session asks for: sized by their compressed pages, too few would share the rows of all tokens
     dealt = dealt.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    rows = dealt.select("key", F.posexplode_outer(F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0))).alias("pos", "token")).where("pos is not null")
-    tag = F.lower(F.regexp_extract("token", r"^</?([a-zA-Z][^\s/>]*)", 1))
-    rows = rows.withColumn("tag", tag)
-    kind = (
-        F.when(F.col("token").rlike("^<[!?]") | F.col("tag").isin(*RAW), "gone")
-        .when(F.col("tag") == "", "text")
-        .when(F.col("token").startswith("</"), "close")
-        .when(F.col("tag").isin(*VOID), "void")
-        .otherwise("open")
-    )
-    return rows.withColumn("kind", kind).where("kind <> 'gone'")
+    cut = dealt.select("key", _cut(F.col("html")).alias("cut"))
+    placed = cut.select("key", "cut", tree.nested(F.transform("cut", lambda c: c["mark"])).alias("nested"))
+
+    def row(x: Column) -> Column:
+        given = F.get("cut", F.when(x["of"] < 0, -1 - x["of"]).otherwise(x["of"]))
+        tag = F.substr(given["mark"], F.lit(2))
+        implied = F.concat(F.lit("</"), tag, F.lit(">"))
+        what = F.left(given["mark"], F.lit(1))
+        kind = F.when(x["of"] < 0, "close").when(what == "t", "text").when(what == "/", "close").when(what == ".", "void").otherwise("open")
+        return F.struct(F.when(x["of"] < 0, implied).otherwise(given["token"]).alias("token"), tag.alias("tag"), kind.alias("kind"), x["el"], x["up"], x["end"])
+
+    # an outer explode: Spark would test a plain one's array for emptiness below, and cut the page once more for that
+    rows = placed.select("key", F.posexplode_outer(F.transform("nested", row)).alias("pos", "row")).where("pos is not null")
+    return rows.select("key", "pos", "row.token", "row.tag", "row.kind", "row.el", "row.up", "row.end")
 
 
 def in_page() -> Window:
@@ -98,74 +142,47 @@ def depth(*tags: str) -> Column:
     return F.greatest(so_far(step), F.lit(0))
 
 
-#: Elements that a head holds; any other ends a head that is not closed.
-HEAD_TAGS = ("head", "title", "meta", "link", "base", "basefont", "bgsound", *RAW)
-
-
 def in_head() -> Column:
-    """Whether this row is in a head: from its tag to its closing tag, or to the first tag of another kind."""
-    ends = is_close("head") | (F.col("kind").isin("open", "void") & ~F.col("tag").isin(*HEAD_TAGS))
-    state = F.when(is_open("head"), True).when(ends, False)
-    return F.coalesce(F.last(state, ignorenulls=True).over(in_page().rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
+    """Whether this row is in a head, its tags included."""
+    reach = F.max(F.when(is_open("head"), F.col("end"))).over(in_page().rowsBetween(Window.unboundedPreceding, 0))
+    return F.coalesce(F.col("pos") <= reach, F.lit(False))
 
 
 def without_head(rows: DataFrame) -> DataFrame:
     """Drops the head, closed or not."""
-    return rows.withColumn("in_head", in_head()).where(~F.col("in_head") & ~is_close("head")).drop("in_head")
-
-
-def same_level() -> Window:
-    """Rows of one tag and level in page order, for rows of ``with_ends``."""
-    return Window.partitionBy("key", "tag", "level").orderBy("pos")
-
-
-def with_ends(rows: DataFrame) -> DataFrame:
-    """Adds level (nesting among elements of the same tag) and, for opening tags, end: where the element's last row is.
-
-    Within one page, tag and level, an opening tag is followed by its closing tag, or by the next opening one where
-    that is implied or the page forgot it.
-    """
-    by_tag = Window.partitionBy("key", "tag").orderBy("pos")
-    step = F.when(F.col("tag").isin(*IMPLIED), 0).when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    after = F.sum(step).over(by_tag.rowsBetween(Window.unboundedPreceding, 0))
-    leveled = rows.withColumn("level", F.when(F.col("kind") == "close", after - step).otherwise(after))
-    same = same_level()
-    last = F.max("pos").over(Window.partitionBy("key"))
-    outside = F.min(F.when(F.col("kind").isin("open", "void") & ~F.col("tag").isin("html", *HEAD_TAGS), F.col("pos"))).over(Window.partitionBy("key"))
-    end = F.when(F.lead("kind").over(same) == "close", F.lead("pos").over(same)).otherwise(F.lead("pos").over(same) - 1)
-    # a head that is not closed ends before the first element outside it
-    end = F.when((F.col("tag") == "head") & (outside > F.col("pos")), F.least(F.coalesce(end, last), outside - 1)).otherwise(F.coalesce(end, last))
-    return leveled.withColumn("end", F.when(F.col("kind") == "open", end).when(F.col("kind") == "void", F.col("pos")))
+    return rows.withColumn("in_head", in_head()).where("not in_head").drop("in_head")
 
 
 def without(rows: DataFrame, chosen: Column) -> DataFrame:
     """Drops the elements whose opening or void tag is ``chosen``, with all they hold."""
-    marked = with_ends(rows).withColumn("hit", F.coalesce(chosen, F.lit(False)) & F.col("kind").isin("open", "void"))
+    marked = rows.withColumn("hit", F.coalesce(chosen, F.lit(False)) & F.col("kind").isin("open", "void"))
     # the furthest end of any chosen element that began before
     reach = F.max(F.when(F.col("hit"), F.col("end"))).over(in_page().rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("reach", reach).where("reach is null or pos > reach").drop("hit", "level", "end", "reach")
+    return marked.withColumn("reach", reach).where("reach is null or pos > reach").drop("hit", "reach")
 
 
 def within(rows: DataFrame, chosen: Column) -> DataFrame:
     """Keeps the elements whose opening tag is ``chosen``, with all they hold."""
-    marked = with_ends(rows).withColumn("hit", F.coalesce(chosen, F.lit(False)) & F.col("kind").isin("open", "void"))
+    marked = rows.withColumn("hit", F.coalesce(chosen, F.lit(False)) & F.col("kind").isin("open", "void"))
     reach = F.max(F.when(F.col("hit"), F.col("end"))).over(in_page().rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("reach", reach).where("pos <= reach").drop("hit", "level", "end", "reach")
+    return marked.withColumn("reach", reach).where("pos <= reach").drop("hit", "reach")
 
 
 def isolate_main(rows: DataFrame) -> DataFrame:
     """The head, and what the first ``main`` holds; without one, from the first heading outside headers to the next footer."""
     whole = Window.partitionBy("key")
-    marked = with_ends(rows).withColumn("in_head", in_head()).withColumn("in_header", depth("header") > 0)
+    marked = rows.withColumn("in_head", in_head()).withColumn("in_header", depth("header") > 0)
     start = F.min(F.when(is_open("main"), F.struct("pos", "end"))).over(whole)
     heading = F.min(F.when(is_open(*HEADINGS) & ~F.col("in_header"), F.col("pos"))).over(whole)
     marked = marked.withColumn("main", start).withColumn("heading", heading)
     footer = F.min(F.when(is_open("footer") & (F.col("pos") > F.col("heading")), F.col("pos"))).over(whole)
     marked = marked.withColumn("footer", footer)
     by_main = F.col("pos").between(F.col("main.pos"), F.col("main.end"))
-    by_heading = (F.col("pos") >= F.col("heading")) & F.coalesce(F.col("pos") < F.col("footer"), F.lit(True))
-    keep = F.col("in_head") | is_close("head") | F.when(F.col("main").isNotNull(), by_main).when(F.col("heading").isNotNull(), by_heading).otherwise(F.lit(True))
-    return marked.where(keep).select("key", "pos", "token", "tag", "kind")
+    # elements that go on beyond the footer are ended all the same, those that began before the heading are not
+    begun = (F.col("el") >= F.col("heading")) & F.coalesce(F.col("el") < F.col("footer"), F.lit(True))
+    by_heading = (F.col("pos") >= F.col("heading")) & F.when(F.col("kind") == "close", begun).otherwise(F.coalesce(F.col("pos") < F.col("footer"), F.lit(True)))
+    keep = F.col("in_head") | F.when(F.col("main").isNotNull(), by_main).when(F.col("heading").isNotNull(), by_heading).otherwise(F.lit(True))
+    return marked.where(keep).select("key", "pos", "token", "tag", "kind", "el", "up", "end")
 
 
 def plain_text(rows: DataFrame) -> DataFrame:

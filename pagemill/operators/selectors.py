@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.operators import markup as M
@@ -75,12 +75,19 @@ def extract(rows: DataFrame, selectors: Sequence[str]) -> DataFrame:
     An element's text is that of all rows up to its end, in order, white space collapsed.
     """
     hits = F.filter(F.array(*[F.when(predicate(s), F.lit(s)) for s in selectors]), lambda s: s.isNotNull())
-    tags = M.with_ends(rows).where("kind in ('open', 'void')").withColumn("selector", F.explode(hits))
-    tags = tags.select("key", "selector", "pos", "tag", "end", M.attributes(F.col("token")).alias("attributes"))
-    # each element takes its page's rows in its range: page by page, so the join stays within the page's partition
-    texts = M.plain_text(rows).where("kind = 'text'").select(F.col("key").alias("k"), F.col("pos").alias("at"), "text")
-    held = tags.join(texts, (F.col("key") == F.col("k")) & F.col("at").between(F.col("pos"), F.col("end")), "left")
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "")
-    clean = F.trim(F.regexp_replace(said, r"[ \t\n\f\r]+", " "))
-    out = held.groupBy("key", "selector", "pos").agg(F.first("tag").alias("tag_name"), clean.alias("text_content"), F.any_value("attributes").alias("attributes"))
-    return out
+    # an element's text is that of its page from the texts before its start on to those before its end
+    rows = M.plain_text(rows).withColumn("before", M.so_far(F.when(F.col("kind") == "text", 1).otherwise(0)))
+    tags = rows.where("kind <> 'text'").withColumn("until", F.max("before").over(Window.partitionBy("key", "el")))
+    tags = tags.where("kind in ('open', 'void')").withColumn("selector", F.explode(hits))
+    chosen = tags.select("key", F.struct("selector", "pos", "before", "until", F.col("tag").alias("tag_name"), M.attributes(F.col("token")).alias("attributes")).alias("hit"))
+    chosen = chosen.groupBy("key").agg(F.collect_list("hit").alias("hits"))
+    texts = rows.where("kind = 'text'").groupBy(F.col("key").alias("of")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("texts"))
+    # both are dealt by page: nothing is shuffled again
+    page = chosen.join(texts, F.col("key").eqNullSafe(F.col("of")), "left")
+
+    def told(hit: Column) -> Column:
+        said = F.array_join(F.slice("texts", hit["before"].cast("int") + 1, (hit["until"] - hit["before"]).cast("int")), "")
+        clean = F.coalesce(F.trim(F.regexp_replace(said, r"[ \t\n\f\r]++", " ")), F.lit(""))
+        return F.struct(hit["selector"].alias("selector"), hit["pos"].alias("pos"), hit["tag_name"].alias("tag_name"), clean.alias("text_content"), hit["attributes"].alias("attributes"))
+
+    return page.select("key", F.explode(F.transform("hits", told)).alias("e")).select("key", "e.*")
