@@ -48,7 +48,7 @@ HOT_SHARE = 1 / 2048
 #: Windows that are summed and packed together: more of them where there are many buckets.
 BLOCK = 1 << 18
 #: What duckdb may hold in memory before it writes to the task's scratch folder.
-MEMORY = "400MB"
+MEMORY = "300MB"
 _SPLIT = r"[.,;:!?\x0A-\x0D]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = tuple(f"w{i}" for i in range(1, LONGEST + 1))
@@ -95,21 +95,40 @@ def _sums(lang: np.ndarray, at: np.ndarray, m: np.ndarray, words: int) -> tuple[
     return lang[first], at[first], total
 
 
-def _packed(bucket: np.ndarray, table: pa.Table) -> pa.RecordBatch:
-    """One row a bucket: the bucket and its rows of ``table`` as a compressed Arrow stream."""
+def _packed(bucket: np.ndarray, langs: pa.Array, words: pa.Array, lang: np.ndarray, at: np.ndarray, hot: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+    """One row a bucket: the bucket and its windows, each word once and numbered in short, as a compressed Arrow stream."""
     order = np.argsort(bucket, kind="stable")
-    table = table.take(pa.array(order)).combine_chunks()
     ids, starts = np.unique(bucket[order], return_index=True)
     blobs = []
-    for at, end in zip(starts, [*starts[1:], len(order)], strict=True):
+    for begin, end in zip(starts, [*starts[1:], len(order)], strict=True):
+        rows = order[begin:end]
+        used, number = np.unique(at[rows], return_inverse=True)
+        spoken, by = np.unique(lang[rows], return_inverse=True)
+        kind = np.uint16 if len(used) < 1 << 16 else np.uint32
+        number = number.reshape(-1, LONGEST).astype(kind)
+        # first words come in order, so their differences are small; they wrap around where a new language begins
+        number[:, 0] = np.diff(number[:, 0], prepend=kind(0))
+        columns = {"langs": langs.take(pa.array(spoken)), "words": words.take(pa.array(used - 1, mask=used == 0)), "lang": pa.array(by.astype(np.uint16 if len(spoken) < 1 << 16 else np.uint32))}
+        columns |= {w: pa.array(np.ascontiguousarray(number[:, k])) for k, w in enumerate(_WORDS)} | {"hot": pa.array(hot[rows]), "m": pa.array(m[rows])}
+        one = pa.record_batch([pa.ListArray.from_arrays([0, len(c)], c) for c in columns.values()], names=list(columns))
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, _COLUMNS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            # a slice would be written with the offsets of the whole column
-            out.write_table(table.slice(at, end - at))
+        with pa.ipc.new_stream(sink, one.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(one)
         blobs.append(sink.getvalue().to_pybytes())
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "rows"])
 
 
+def unpacked(blob: pa.Buffer) -> pa.RecordBatch:
+    """The windows that ``_packed`` has put into one value: lang, words, hot and m."""
+    one = pa.ipc.open_stream(blob).read_next_batch()
+    column = {name: one.column(name).flatten() for name in one.schema.names}
+    number = [np.asarray(column[w]) for w in _WORDS]
+    # sums wrap around as the differences did
+    number[0] = np.cumsum(number[0], dtype=number[0].dtype)
+    words = [column["words"].take(pa.array(n)) for n in number]
+    return pa.RecordBatch.from_arrays([column["langs"].take(column["lang"]), *words, column["hot"], column["m"]], schema=_COLUMNS)
+
+
 def packed_windows(rows: pa.Table, hot: list[tuple[str, str, str]], buckets: int, block: int) -> Iterator[pa.RecordBatch]:
     """Windows of pieces (lang, piece, m), summed and packed block by block; windows of one word count that word."""
     lists = pc.split_pattern(rows["piece"].combine_chunks(), " ")
@@ -141,8 +160,7 @@ def packed_windows(rows: pa.Table, hot: list[tuple[str, str, str]], buckets: int
         is_hot = np.isin((of * base + at[:, 0]) * base + at[:, 1], salted)
         h = _mix(_mix(h_lang[of] + h_word[at[:, 0]]) * np.uint64(3) + h_word[at[:, 1]])
         h = np.where(is_hot, _mix(_mix(h + h_word[at[:, 2]]) * np.uint64(3) + h_word[at[:, 3]]), h)
-        columns = [names.take(pa.array(of)), *[words.take(pa.array(at[:, k] - 1, mask=at[:, k] == 0)) for k in range(LONGEST)], pa.array(is_hot), pa.array(total)]
-        yield _packed((h % np.uint64(buckets)).astype(np.int64), pa.Table.from_arrays(columns, schema=_COLUMNS))
+        yield _packed((h % np.uint64(buckets)).astype(np.int64), names, words, of, at, is_hot, total)
 
 
 def _counted(blobs: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -152,10 +170,10 @@ def _counted(blobs: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
     """
     import duckdb
 
-    def unpacked() -> Iterator[pa.RecordBatch]:
+    def windows() -> Iterator[pa.RecordBatch]:
         for batch in blobs:
             for blob in batch.column("rows"):
-                yield from pa.ipc.open_stream(pa.py_buffer(blob.as_buffer()))
+                yield unpacked(blob.as_buffer())
 
     first = next(blobs, None)
     if first is None:
@@ -163,7 +181,7 @@ def _counted(blobs: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
     blobs = _chain(first, blobs)
     # scratch of this task alone, gone with it: nothing outside reads it
     with tempfile.TemporaryDirectory(prefix="pagemill-duckdb-") as scratch, duckdb.connect(config={"memory_limit": MEMORY, "temp_directory": scratch, "threads": "1", "preserve_insertion_order": "false"}) as con:
-        arriving = pa.RecordBatchReader.from_batches(_COLUMNS, unpacked())
+        arriving = pa.RecordBatchReader.from_batches(_COLUMNS, windows())
         con.register("arriving", arriving)
         keys = ", ".join(_WORDS)
         con.execute(f"CREATE TABLE windows AS SELECT lang, {keys}, hot, sum(m)::BIGINT AS m FROM arriving GROUP BY ALL")
