@@ -79,8 +79,8 @@ This program is distributed in the hope that it will be useful, but WITHOUT ANY
 Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
 )
 LICENSE_FILE = r"^(licen[cs]e|copying|unlicense)([.-].*)?\z"
-#: Between two blocks: lines without a letter or digit.
-BREAK = r"\n(?:[^A-Za-z0-9\n]*\n)+"
+#: Between two blocks: lines without a letter or digit. Possessive, as Java would run the group by recursion.
+BREAK = r"\n(?:[^A-Za-z0-9\n]*+\n)++"
 #: A file's header: the lines it begins with that are marked as comments.
 HEADER = r"\A((?:[ \t]*+(?:#|//|/\*|\*|--|;|%|<!--)[^\n]*+\n?+)++)"
 
