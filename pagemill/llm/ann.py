@@ -44,6 +44,8 @@ DEPTH = 100
 #: Vectors of neighbouring lists that are searched in one task, and queries that ask them together.
 SHARD = 16384
 QUERY_BLOCK = 16384
+#: Shards whose sizes may be joined by broadcast: 12 bytes each.
+MOST_BROADCAST = 1 << 20
 #: Queries that are scored together, and pairs that are reranked together: they bound a task's memory.
 QUERY_BATCH = 256
 EXACT_BATCH = 65536
@@ -281,10 +283,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, depth: int = DEPTH
     base = coded.withColumn("shard", shard_of("list", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 31))))
     asked = coded.where("asks").select("vec_id", "raw").mapInPandas(ask, "vec_id bigint, raw binary, shard int")
     # a shard that more queries ask than one task should hold is searched in several
-    crowds = {r.shard: -(-r["count"] // QUERY_BLOCK) for r in asked.groupBy("shard").count().where(F.col("count") > QUERY_BLOCK).collect()}
-    blocks = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in crowds.items() for x in pair]), F.col("shard")), F.lit(1)) if crowds else F.lit(1)
-    base = base.withColumn("block", F.explode_outer(F.sequence(F.lit(0), blocks - 1)))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), blocks).cast("int"))
+    crowds = asked.groupBy("shard").count().where(F.col("count") > QUERY_BLOCK).select("shard", F.ceil(F.col("count") / QUERY_BLOCK).cast("int").alias("blocks"))
+    # one row a shard: as many as the driver has placed
+    crowds = kept(crowds)
+    crowds = F.broadcast(crowds) if n_shards <= MOST_BROADCAST else crowds
+    blocks = F.coalesce("blocks", F.lit(1))
+    base = base.join(crowds, "shard", "left").withColumn("block", F.explode_outer(F.sequence(F.lit(0), blocks - 1)))
+    asked = asked.join(crowds, "shard", "left").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), blocks).cast("int"))
 
     def scan(base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -166,17 +166,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, leaf:
             yield from routed()
 
     dealt = kept(distinct.select("fp").mapInPandas(deal, "leaf int, fp bigint, home boolean"))
-    # the leaves that need more than one block: those of fingerprints that crowd around one point
-    large = dealt.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("int")).alias("r")).where(F.col("n") > block).collect()
-    one = F.lit(1)
-    n_home, n_all = one, one
-    if large:
-        blocks = F.create_map(*[F.lit(x) for r in large for x in (r.leaf, math.ceil(r.r / block) or 1)])
-        n_home = F.coalesce(F.element_at(blocks, F.col("leaf")), one)
-        blocks = F.create_map(*[F.lit(x) for r in large for x in (r.leaf, math.ceil(r.n / block) or 1)])
-        n_all = F.coalesce(F.element_at(blocks, F.col("leaf")), one)
+    # the leaves that need more than one block: those of fingerprints that crowd around one point. One row a leaf, of
+    # which there are 2 * MOST_SAMPLED / PER_LEAF at most, so they are joined by broadcast, where the rows lie
+    sizes = dealt.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("int")).alias("r")).where(F.col("n") > block)
+    large = sizes.select("leaf", *[F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int").alias(name) for c, name in (("r", "nh"), ("n", "na"))])
+    rows = dealt.join(F.broadcast(large), "leaf", "left").select("leaf", "fp", "home", *[F.coalesce(c, F.lit(1)).alias(c) for c in ("nh", "na")])
     salt = F.xxhash64("fp", F.lit(7))
-    rows = dealt.select("leaf", "fp", "home", n_home.alias("nh"), n_all.alias("na"))
     rows = rows.select("leaf", "fp", "home", "nh", "na", F.pmod(salt, "nh").cast("int").alias("bh"), F.pmod(salt, "na").cast("int").alias("ba"))
     # block (x, y) of a leaf compares its x-th part of residents with its y-th part of all rows
     residents = rows.where("home").select("leaf", "fp", F.lit(True).alias("home"), F.col("bh").alias("x"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("y"))
