@@ -28,8 +28,14 @@ from pyspark.sql import functions as F
 
 TRAINING_PAGES = 1200
 SEED = 20
-
-_TAG = re.compile(r"""<(?:!--(?:-?>|.*?--!?>|.*)|([!?/]?)([a-zA-Z][^\s/>]*+)?((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|([!?/]?)([a-zA-Z][^\s/>]*+)([^>]*+)>)""", re.S)
+#: Log odds that the cues of one text run may come to.
+MOST_TOLD = 4.0
+#: Log odds that the cues of all text runs of one list may come to.
+MOST_LISTED = 1.5
+
+# A quote counts behind an equals sign only; one that is never closed takes the rest of the page, as does a tag that is not.
+_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?=["']).*+|[^\s>"'][^\s>]*+)?+)*+"""
+_TAG = re.compile(rf"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)({_REST})(>|\Z))", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "noscript", "iframe", "template", "title", "xmp", "noframes", "svg", "video", "audio", "canvas", "object")}
@@ -38,7 +44,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _TOLD = frozenset("comment comments reply replies responses related share follow subscribe newsletter advertisement sponsored cookies cookie tags menu search login popular trending recommended discussion".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _KINDS = {
-    "article": "main", "main": "main", "nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form",
+    "article": "article", "main": "main", "nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form",
     "p": "p", "blockquote": "p", "pre": "p", "h1": "h1", "h2": "h", "h3": "h", "h4": "h", "h5": "h", "h6": "h", "ul": "list", "ol": "list", "dl": "list", "menu": "list",
     "li": "item", "dt": "item", "dd": "item", "table": "table", "thead": "row", "tbody": "row", "tfoot": "row", "tr": "row", "td": "cell", "th": "cell", "caption": "cell",
     "div": "box", "section": "box", "center": "box", "figure": "figure", "figcaption": "figure", "details": "box", "summary": "h", "address": "footer", "body": "root", "html": "root",
@@ -46,7 +52,7 @@ _KINDS = {
 }
 #: A new element ends open ones of these kinds, up to the nearest of the bounds.
 _ENDS = {"p": ("p",), "item": ("item",), "row": ("row", "cell"), "cell": ("cell",)}
-_BOUNDS = frozenset(("box", "main", "nav", "aside", "header", "footer", "form", "list", "table", "root"))
+_BOUNDS = frozenset(("box", "article", "main", "nav", "aside", "header", "footer", "form", "list", "table", "root"))
 
 
 @dataclass
@@ -123,12 +129,9 @@ def parse(source: str) -> Page:
         if m.start() > at:
             said(source[at : m.start()])
         at = m.end()
-        slash, tag, rest = (m[1], m[2], m[3]) if m[3] is not None else (m[4], m[5], m[6])
-        if rest is None or slash in ("!", "?"):
-            continue  # a comment or declaration
-        if not tag:
-            said(m[0])
-            continue
+        slash, tag, rest = m[1], m[2], m[3]
+        if not tag or not m[4]:
+            continue  # a comment or declaration, or a tag that never ends
         tag = tag.lower()
         what = _KINDS.get(tag)
         if slash:
@@ -180,6 +183,31 @@ def parse(source: str) -> Page:
     return page
 
 
+def is_prose(text: str, cues: Sequence[str]) -> bool:
+    """Whether a text run is a sentence or more, and not a link's."""
+    return len(text) >= 40 and " " in text and text[-1] in ".!?…:;\"'" and not {"links2", "links3"}.intersection(cues)
+
+
+def bounded(page: Page, told: Sequence[float]) -> list[float]:
+    """Log odds of nodes by their cues, where a text run's come to ``MOST_TOLD`` at most, and those of all runs of a list to ``MOST_LISTED``.
+
+    The runs of a list are alike, so each is no evidence of its own: they share one.
+    """
+    n = len(page.parent)
+    listed = [-1] * n
+    runs: Counter = Counter()
+    for i in range(n):
+        up = page.parent[i]
+        listed[i] = i if page.kind[i] == "list" else listed[up] if up >= 0 else -1
+        if page.kind[i] == "text" and listed[i] >= 0:
+            runs[listed[i]] += 1
+
+    def most(i: int) -> float:
+        return MOST_LISTED / runs[listed[i]] if listed[i] >= 0 else MOST_TOLD
+
+    return [max(-most(i), min(most(i), u)) if page.kind[i] == "text" else u for i, u in enumerate(told)]
+
+
 @dataclass(frozen=True)
 class TreeModel:
     """Log odds of content: ``edge`` by child kind and parent label, ``cue`` by cue."""
@@ -188,11 +216,15 @@ class TreeModel:
     cue: dict[str, float]
     root: float
 
-    def marginals(self, page: Page) -> list[float]:
-        """The probability of content of each node, by sum-product on the tree."""
+    def marginals(self, page: Page, body: bool = False) -> list[float]:
+        """The probability of content of each node, by sum-product on the tree; with ``body``, given that the body is content.
+
+        What text runs say of themselves is bounded (``bounded``), so that a few do not outweigh the tree.
+        """
         n = len(page.parent)
         cue, edge = self.cue, self.edge
         up = [sum(cue.get(c, 0.0) for c in page.cues[i]) for i in range(n)]
+        up = bounded(page, up)
         sent = [0.0] * n
         exp, log = math.exp, math.log
         chance = {k: (1 / (1 + exp(-a)), 1 / (1 + exp(-b))) for k, (a, b) in edge.items()}
@@ -208,6 +240,9 @@ class TreeModel:
         for i in range(n):
             p0, p1 = chance.get(page.kind[i], default)
             above = belief[page.parent[i]] - sent[i] if page.parent[i] >= 0 else self.root
+            if body and page.kind[i] == "root":
+                belief[i] = 30.0
+                continue
             e = exp(max(-30.0, min(30.0, above)))
             belief[i] = up[i] + log((p0 + p1 * e) / (1 - p0 + (1 - p1) * e))
         return [1 / (1 + exp(-max(-60.0, min(60.0, b)))) for b in belief]
@@ -217,7 +252,14 @@ class TreeModel:
         if not source:
             return ""
         page = parse(source)
-        return "\n\n".join(t for t, m in zip(page.text, self.marginals(page), strict=True) if t is not None and m >= 0.5)
+        found = self.chosen(page)
+        if not found and any(t is not None and is_prose(t, c) for t, c in zip(page.text, page.cues, strict=True)):
+            # no block stands out: the main text is what the body itself holds, but for what tells otherwise
+            found = self.chosen(page, body=True)
+        return "\n\n".join(found)
+
+    def chosen(self, page: Page, body: bool = False) -> list[str]:
+        return [t for t, m in zip(page.text, self.marginals(page, body), strict=True) if t is not None and m >= 0.5]
 
 
 def train(pages: Iterable[str], smooth: float = 0.5) -> TreeModel:
@@ -390,15 +432,49 @@ def _foot(rng: random.Random) -> str:
     ))
 
 
+def _heading(rng: random.Random) -> str:
+    """A heading within an article; its words may be those that head other blocks."""
+    level, text = rng.randint(2, 4), _sentence(rng, 1, 6)
+    if rng.random() < 0.4:
+        word = rng.choice(sorted(_TOLD))
+        text = rng.choice((word.capitalize(), f"{word.capitalize()} {_words(rng, 1, 1)[0]}", f"{_words(rng, 1, 1)[0].capitalize()} {word}"))
+    return f"<h{level}>{text}</h{level}>"
+
+
+def _short(rng: random.Random) -> str:
+    """A block of an article that says little."""
+    few = " ".join(_words(rng, 1, 4))
+    if rng.random() < 0.3:
+        few = rng.choice(sorted(_TOLD)).capitalize() + rng.choice(("", ".", f" {few}"))
+    link = f'<a href="/{_words(rng, 1, 1)[0]}">{few}</a>'
+    return rng.choice((f"<p>{few}</p>", f"<p>{few}.</p>", f"<sub>{few}</sub>", f"<pre>{few}</pre>", f"<p>{link}</p>", f"<div>{few}</div>", f"<p>{few} {link}</p>", f"<code>{few}</code>"))
+
+
+def _terms(rng: random.Random) -> str:
+    return "<dl>" + "".join(f"<dt>{' '.join(_words(rng, 1, 3)).capitalize()}</dt><dd>{rng.choice((' '.join(_words(rng, 1, 4)), _prose(rng)))}</dd>" for _ in range(rng.randint(1, 4))) + "</dl>"
+
+
+def _references(rng: random.Random) -> str:
+    """A list of links that belongs to an article."""
+    tag = rng.choice(("ul", "ol"))
+    return f"<{tag}>" + "".join(f'<li><a href="/{w}">{rng.choice((w, _sentence(rng, 1, 5)))}</a>{rng.choice(("", "", " " + _sentence(rng, 1, 5)))}</li>' for w in _words(rng, 1, 5)) + f"</{tag}>"
+
+
 def _article(rng: random.Random, families: Sequence[str]) -> str:
     parts = [f"<h1>{_sentence(rng, 1, 9)}</h1>"] if rng.random() < 0.8 else []
+    short = rng.random() < 0.08
     for _ in range(rng.choice((1, 1, 2, 3, 5, 8, 12))):
         kind = rng.random()
-        if kind < 0.66:
+        if short or kind < 0.06:
+            parts.append(_short(rng))
+        elif kind < 0.09:
+            parts.append(_terms(rng))
+        elif kind < 0.12:
+            parts.append(_references(rng))
+        elif kind < 0.66:
             parts.append(rng.choices(("<p>{}</p>", "<p><b>{}<br>", "<div>{}</div>", '<div class="para">{}</div>'), (85, 8, 5, 2))[0].format(_prose(rng)))
         elif kind < 0.76:
-            level = rng.randint(2, 4)
-            parts.append(f"<h{level}>{_sentence(rng, 1, 6)}</h{level}>")
+            parts.append(_heading(rng))
         elif kind < 0.84:
             long = rng.random() < 0.5
             parts.append("<ul>" + "".join(f"<li>{_prose(rng) if long else ' '.join(_words(rng, 1, 4)).capitalize()}</li>" for _ in range(rng.randint(1, 5))) + "</ul>")
@@ -415,7 +491,12 @@ def _article(rng: random.Random, families: Sequence[str]) -> str:
     inner = "".join(parts)
     if rng.random() < 0.2:
         inner = f'<div class="{rng.choice(("entry-content", "article-body", "post-content", "text", "body"))}">{inner}</div>'
-    if rng.random() < 0.06:
+    if rng.random() < 0.12:
+        return f"<!--bare-->{inner}"
+    if rng.random() < 0.08:
+        # boxes within boxes, none with a name that tells
+        for _ in range(rng.randint(1, 3)):
+            inner = f"<div{_unknown(rng)}>{inner}</div>"
         return f"<!--bare-->{inner}"
     tag = rng.choice(("article", "article", "article", "main", "div", "section"))
     name = rng.choice(("content", "main-content", "article", "post", "entry", "story", "article-body", "post-content", "main"))

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -561,6 +562,7 @@ def test_marginals_are_exact_on_small_trees():
     chance = lambda k, y: 1 / (1 + math.exp(-model.edge.get(k, model.edge["box"])[y]))
     total, on = 0.0, [0.0] * n
     root = 1 / (1 + math.exp(-model.root))
+    told = mainhtml.bounded(page, [sum(model.cue.get(x, 0) for x in c) for c in page.cues])
     for state in range(2**n):
         y = [state >> i & 1 for i in range(n)]
         p = 0.0
@@ -569,7 +571,7 @@ def test_marginals_are_exact_on_small_trees():
             for i in range(n):
                 up = y[page.parent[i]] if page.parent[i] >= 0 else above
                 c = chance(page.kind[i], up)
-                q *= (c if y[i] else 1 - c) * (math.exp(sum(model.cue.get(x, 0) for x in page.cues[i])) if y[i] else 1)
+                q *= (c if y[i] else 1 - c) * (math.exp(told[i]) if y[i] else 1)
             p += q
         total += p
         for i in range(n):
@@ -628,6 +630,53 @@ def test_blocks_without_telling_names():
     assert model.main_text(inner) == "T of it\n\nSome words are here and more follow."
 
 
+PROSE = "The old mill by the river was built long ago, and it still turns on quiet days. Many people came to see it every summer."
+AROUND = "<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/a>A</a></li><li><a href=/b>B</a></li></ul></nav>{}<footer>&copy; 2020 Site. All rights reserved.</footer></body></html>"
+SHAPES = [
+    (f"<p>{PROSE}</p><p>{PROSE} Two.</p>", f"{PROSE}\n\n{PROSE} Two."),
+    (f"<p>{PROSE}</p>", PROSE),
+    (f"<div><div><p>{PROSE}</p></div><div>{PROSE} Two.</div></div>", f"{PROSE}\n\n{PROSE} Two."),
+    (
+        f"<main><h1>Head</h1><p>{PROSE}</p><h2>Related work</h2><p>{PROSE} Two.</p><p>Subscribe</p><p><a href=/x>See also</a></p></main>",
+        f"Head\n\n{PROSE}\n\nRelated work\n\n{PROSE} Two.\n\nSubscribe\n\nSee also",
+    ),
+    ("<article><p>Water is wet</p><sub>H2O</sub><pre>x = 1</pre></article>", "Water is wet\n\nH2O\n\nx = 1"),
+    (f"<article><p>{PROSE}</p><dl><dt>Key</dt><dd>Value here</dd></dl></article>", f"{PROSE}\n\nKey\n\nValue here"),
+    ("<article><dl><dt>Key</dt><dd>Value here</dd></dl></article>", "Key\n\nValue here"),
+    (f"<article><p>{PROSE}</p><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li><li><a href=/3>Three</a></li></ul></article>", f"{PROSE}\n\nOne\n\nTwo\n\nThree"),
+]
+
+
+def test_articles_of_many_shapes(spark):
+    pages = spark.createDataFrame([(i, "u", AROUND.format(inner)) for i, (inner, _) in enumerate(SHAPES)] * 2, "page_id int, url string, html string")
+    rows = mainhtml.extract_pages(pages).collect()
+    assert len(rows) == 2 * len(SHAPES) and {(r.page_id, r.text) for r in rows} == {(i, text) for i, (_, text) in enumerate(SHAPES)}
+
+
+def test_held_out_articles():
+    model = mainhtml.train(mainhtml.labelled_pages())
+    wrong = n = 0
+    for source in mainhtml.labelled_pages(300, seed=99):
+        page = mainhtml.parse(source)
+        for text, label, m in zip(page.text, page.label, model.marginals(page), strict=True):
+            if text is not None:
+                n, wrong = n + 1, wrong + ((m >= 0.5) != label)
+    assert wrong / n < 0.03
+    # what holds prose is never empty
+    for source in (f"<div>{PROSE}</div>", f"<section><b>{PROSE}</b></section>", f"<table><tr><td>{PROSE}</td></tr></table>", f"<center>{PROSE}</center>", PROSE):
+        assert model.main_text(source) == PROSE
+
+
+def test_very_long_pages():
+    model = mainhtml.train(mainhtml.labelled_pages(200))
+    began = time.time()
+    for piece in ('<a "', '<a b="', "<a b=' ", "<!--", "<", "</", "<p>x", "<div>", "&"):
+        mainhtml.parse(piece * (300_000 // len(piece)))
+    long = model.main_text("<article>" + f"<p>{PROSE}</p>" * 5000 + "</article>")
+    assert long == "\n\n".join([PROSE] * 5000)
+    assert time.time() - began < 60
+
+
 # -- 10: packing
 
 
