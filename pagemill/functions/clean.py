@@ -26,7 +26,7 @@ def drop_empty_images(md: Column) -> Column:
 
 def unwrap_empty_links(md: Column) -> Column:
     """Links to ``#`` alone, and those of scripting and data schemes, become their text."""
-    return F.regexp_replace(md, r"(?<!!)\[([^\[\]]*)\]\((?:#|\s*(?i:javascript|data|vbscript):(?:[^()]|\([^()]*\))*)\)", "$1")
+    return F.regexp_replace(md, r"(?<!!)\[([^\[\]]*)\]\((?:#|\s*+(?i:javascript|data|vbscript):[^()]*+(?:\([^()]*+\)[^()]*+)*+)\)", "$1")
 
 
 def drop_textless_links(md: Column) -> Column:
@@ -76,8 +76,8 @@ def hard_wrap(md: Column, width: int) -> Column:
         raise ValueError("width must be at least 1")
 
     def line(x: Column) -> Column:
-        prefix = F.regexp_extract(x, r"^((?:> ?)*[ ]*(?:(?:[-*+]|[0-9]+[.)]) )?)", 1)
-        tail = F.regexp_extract(x, r"( *)$", 1)
+        prefix = F.regexp_extract(x, r"^((?:> ?+)*+ *+(?:(?:[-*+]|[0-9]++[.)]) )?+)", 1)
+        tail = F.regexp_extract(x, r"(?<! )( *+)$", 1)
         body = F.substring(x, F.length(prefix) + 1, F.length(x) - F.length(prefix) - F.length(tail))
         indent = F.concat(F.lit("\n"), F.regexp_replace(prefix, "[^> ]", " "))
         room = F.greatest(F.lit(1), width - F.length(prefix))
@@ -92,7 +92,7 @@ def hard_wrap(md: Column, width: int) -> Column:
 
 def fold_blank_lines(md: Column) -> Column:
     """Runs of empty lines become one; lines of white space alone count as empty."""
-    return F.regexp_replace(md, r"\n(?:[ \t]*\n){2,}", "\n\n")
+    return F.regexp_replace(md, r"\n(?:[ \t]*+\n){2,}+", "\n\n")
 
 
 #: All cleaning steps by name, in the order in which they are applied.

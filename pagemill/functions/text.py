@@ -18,7 +18,7 @@ def token_count(text: Column) -> Column:
 
 def slugify(text: Column) -> Column:
     """The anchor of a heading: link targets and emphasis marks go, ASCII is lower-cased, gaps become one dash."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1"), r"[*_`~]", "")
+    plain = F.regexp_replace(F.regexp_replace(text, r"\[([^\[\]]*+)\]\([^)]*+\)", "$1"), r"[*_`~]", "")
     plain = F.regexp_replace(plain, r"[^A-Za-z0-9 \t-]", "")
     return F.regexp_replace(F.regexp_replace(F.lower(plain), r"[ \t-]+", "-"), "^-|-$", "")
 

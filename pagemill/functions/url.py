@@ -80,13 +80,13 @@ def is_autolink(url: Column) -> Column:
 
 def is_empty_link(href: Column) -> Column:
     """Links that lead nowhere: ``#`` and scripting or data schemes, however spaced."""
-    bare = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
+    bare = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]++|(?<![\x00-\x20])[\x00-\x20]++$", ""), r"[\t\r\n]", "")
     return (bare == "#") | bare.rlike(r"^(?i:javascript|data|vbscript):")
 
 
 def is_safe(url: Column, link: bool = True) -> Column:
     """Whether safe HTML may carry the address: relative, http(s), and for links also mailto, tel and ftp."""
-    bare = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
+    bare = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]++|(?<![\x00-\x20])[\x00-\x20]++$", ""), r"[\t\r\n]", "")
     schemes = "https?|mailto|tel|ftp" if link else "https?"
     return ~bare.rlike(r"^[^/?#]*:") | bare.rlike(f"^(?i:{schemes}):")
 

@@ -196,10 +196,12 @@ def _joined(rows: DataFrame, spacing: Column, prefix: Column, name: str) -> Data
     rows = rows.withColumn("out", F.when(F.col("is_piece"), F.concat(sep, "piece")).otherwise(F.lit("")))
     whole = rows.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "").alias(name))
     # spaces within marks go out of them, as marks beside spaces mark nothing
-    text = F.regexp_replace(F.regexp_replace(F.col(name), f"([{_OPENING}]++) ++", " $1"), f" ++([{_CLOSING}]++)", "$1 ")
+    text = F.regexp_replace(F.regexp_replace(F.col(name), f"([{_OPENING}]++) ++", " $1"), f"(?<! ) ++([{_CLOSING}]++)", "$1 ")
     text = F.regexp_replace(F.regexp_replace(text, "  ++", " "), r" ?\n ?", "\n")
     text = F.regexp_replace(text, "\n\n\n++", "\n\n")
-    text = F.regexp_replace(text, rf"^[ \n]++|[ \n{SPACE}{BREAK}]++\z", "")
+    # line breaks at the end of code count among those that follow it
+    text = F.regexp_replace(text, rf"({BREAK}{BREAK})\n\n?|({BREAK}\n)\n|({BREAK})\n(?!\n)", "$1$2$3")
+    text = F.regexp_replace(text, rf"^[ \n]++|(?<![ \n{SPACE}{BREAK}])[ \n{SPACE}{BREAK}]++\z", "")
     text = F.replace(text, F.lit(BREAK * 2 + "```"), F.lit(BREAK + "```"))
     # a pair of marks with nothing between them goes; of nested ones the outer pair after the inner
     text = F.regexp_replace(F.regexp_replace(text, _NOTHING, ""), _NOTHING, "")
@@ -228,7 +230,7 @@ def _spacing() -> Column:
         F.when(~F.col("boundary"), 0)
         .when(tag.isin("option", "optgroup", "select"), F.when(kind == "open", IN_CELL).otherwise(0))
         .when(F.col("raw_tag") & (tag.isin(*RAW_BLOCKS)), F.when((kind == "open") & tag.isin("details", "summary") & ~F.col("cell") & ~F.col("tight"), 2).otherwise(0))
-        .when(F.col("raw_tag"), 0)
+        .when(F.col("raw_tag") | ((F.col("deep") > 1) & tag.isin("table", "caption")), 0)
         .when(F.col("tight") & (F.col("tables") == 0), 0)
         .when((F.col("tables") > 0) & tag.isin("td", "th", "tbody", "thead", "tfoot"), 0)
         .when((F.col("tables") > 0) & ~tag.isin("table", "tr", "caption"), IN_CELL)
@@ -247,9 +249,10 @@ def _spacing() -> Column:
 
 
 def _spacing_after() -> Column:
-    """Line breaks that follow an end tag that is written itself."""
+    """Line breaks that follow a rule, or an end tag that is written itself."""
     outside = F.col("raw_tag") & ~F.col("cell") & (F.col("kind") == "close")
-    return F.when(outside & F.col("tag").isin("details", "summary"), 2).when(outside & F.col("tag").isin("dt", "dd"), 1).otherwise(0)
+    rule = (F.col("tag") == "hr") & (F.col("kind") == "void") & (F.col("tables") == 0)
+    return F.when(rule | (outside & F.col("tag").isin("details", "summary")), 2).when(outside & F.col("tag").isin("dt", "dd"), 1).otherwise(0)
 
 
 def _prepared(rows: DataFrame, resolve: Column | None, clean: bool) -> DataFrame:
@@ -407,9 +410,9 @@ def to_text(rows: DataFrame, key: str = "page_id") -> DataFrame:
         .when(tag == "br", F.when(F.col("pre"), F.lit(BREAK)).otherwise(F.lit("\n")))
         .when(tag == "img", image)
         .when(tag == "q", '"')
-        .when(M.is_open("td", "th") & (F.col("cells") > 1), "\t")
+        .when(M.is_open("td", "th") & F.when(F.col("deep") > 1, (F.col("before_kind") == "close") & F.col("before_tag").isin("td", "th")).otherwise(F.col("cells") > 1), "\t")
     )
-    rows = rows.withColumns({"piece": F.coalesce(piece, F.lit("")), "is_marker": F.lit(False), "quotes": F.lit(0), "after": F.lit(0), "raw_tag": F.lit(False)})
+    rows = rows.withColumns({"piece": F.coalesce(piece, F.lit("")), "is_marker": M.is_open("td", "th"), "quotes": F.lit(0), "after": F.lit(0), "raw_tag": F.lit(False)})
     return _joined(rows, _spacing(), F.lit(""), "text").withColumnRenamed("key", key)
 
 
@@ -421,10 +424,11 @@ def to_html(rows: DataFrame, key: str = "page_id") -> DataFrame:
     tag, kind = F.col("tag"), F.col("kind")
     p = M.in_page()
     rows = _with_attrs(rows)
-    edge = tag.isin(*M.BLOCKS) & (kind != "text")
+    edge = tag.isin(*M.BLOCKS) & ~tag.isin("select", "option", "optgroup") & (kind != "text")
     whole = p.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({
         "boundary": edge, "pre": M.depth("pre") > 0, "at_start": F.coalesce(F.lag(edge).over(p), F.lit(True)), "at_end": F.coalesce(F.lead(edge).over(p), F.lit(True)),
+        "next_option": F.coalesce(F.lag(M.is_close("option", "optgroup")).over(p) | (F.lag(M.is_open("optgroup")).over(p) & F.lag(M.is_close("option", "optgroup"), 2).over(p)), F.lit(False)),
         "heading": F.last(F.when(tag.isin(*M.HEADINGS) & (kind != "text"), F.when(kind == "open", F.col("pos")).otherwise(-1)), ignorenulls=True).over(whole),
         "inner": F.coalesce(F.regexp_extract(F.lead("token").over(p), r"^<code[^>]*language-([^\s\"'<>&~`]++)", 1), F.lit("")),
     })
@@ -433,7 +437,9 @@ def to_html(rows: DataFrame, key: str = "page_id") -> DataFrame:
     of_heading = Window.partitionBy("key", "heading")
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.when((kind == "text") & (F.col("heading") >= 0), F.struct("pos", "words"))).over(of_heading)), lambda x: x["words"]), "")
     rows = rows.withColumn("slug", F.when(M.is_open(*M.HEADINGS), T.slugify(said)))
-    text = F.when(F.col("pre"), F.col("words")).when((F.col("words") == " ") & (F.col("at_start") | F.col("at_end")), "").when(F.col("at_start"), F.ltrim("words")).otherwise(F.col("words"))
+    text = F.when(F.col("pre"), F.col("words")).when((F.col("words") == " ") & (F.col("at_start") | F.col("at_end")), "").otherwise(F.col("words"))
+    text = F.when(F.col("at_start") & ~F.col("pre"), F.ltrim(text)).otherwise(text)
+    text = F.when(F.col("at_end") & ~F.col("pre"), F.rtrim(text)).otherwise(text)
     text = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     name = F.when(tag == "b", "strong").when(tag == "i", "em").when(tag.isin("s", "strike"), "del").otherwise(tag)
 
@@ -467,7 +473,7 @@ def to_html(rows: DataFrame, key: str = "page_id") -> DataFrame:
         .when(kind == "close", F.concat(F.lit("</"), name, F.lit(">")))
         .otherwise(F.concat(F.lit("<"), name, "attributes", F.lit(">")))
     )
-    spaced = F.when(M.is_open("option") & ~F.col("pre"), " ").otherwise("")
+    spaced = F.when(M.is_open("option") & F.col("next_option"), " ").otherwise("")
     rows = rows.withColumn("out", F.concat(spaced, piece))
     return rows.groupBy("key").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "")).alias("safe")).withColumnRenamed("key", key)
 

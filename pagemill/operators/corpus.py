@@ -14,6 +14,12 @@ from pagemill.functions import text as T
 from pagemill.functions import url as U
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """The rows as a checkpoint, or persisted in sessions that have no folder for one."""
+    spark = rows.sparkSession
+    return rows.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else rows.persist()
+
+
 def _tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key and t: the tokens of every document that has any."""
     return docs.select(F.col(key), F.regexp_extract_all(text, F.lit(r"(\S+)"), F.lit(1)).alias("t"))
@@ -37,12 +43,27 @@ def shingle_hashes(docs: DataFrame, key: str, text: str, k: int = 6) -> DataFram
     return rows.where("x is not null").select(key, "pos", "x.h", "x.g")
 
 
+def _first_places(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """doc, h, g and pos of every shingle of a document once, at its first place: found within the row, without a shuffle."""
+    hashed = _tokens(docs, key, text).select(F.col(key).alias("doc"), F.transform("t", lambda w: F.xxhash64(w)).alias("t"))
+    runs = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("t") - k, F.lit(0))),
+        lambda i: F.struct(F.xxhash64(F.slice("t", i + 1, k)).alias("h"), F.xxhash64(F.lit(1), F.slice("t", i + 1, k)).alias("g"), i.alias("pos")),
+    )
+    placed = hashed.select("doc", F.array_sort(F.when(F.size("t") > 0, runs)).alias("all"))
+    first = lambda x, i: (i == 0) | (F.get("all", i - 1)["h"] != x["h"]) | (F.get("all", i - 1)["g"] != x["g"])
+    return placed.select("doc", F.explode_outer(F.filter("all", first)).alias("x")).where("x is not null").select("doc", "x.h", "x.g", "x.pos")
+
+
 def shingle_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 6, least: int = 1) -> DataFrame:
     """shingle and n_docs, the number of documents that hold it, of all shingles in at least so many.
 
     Counted by hashes; only the first place of a shingle that is frequent enough is turned into words.
     """
-    once = shingle_hashes(docs, key, text, k).groupBy("h", "g", F.col(key).alias("doc")).agg(F.min("pos").alias("pos"))
+    once = _first_places(docs, key, text, k)
+    if docs.select(key).distinct().count() < docs.count():
+        # rows that share a key are one document
+        once = once.groupBy("h", "g", "doc").agg(F.min("pos").alias("pos"))
     counts = once.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc", "pos")).alias("at")).where(F.col("n_docs") >= least)
     places = counts.select(F.col("at.doc").alias("doc"), F.struct(F.col("at.pos").alias("pos"), "n_docs").alias("x")).groupBy("doc").agg(F.collect_list("x").alias("all"))
     rows = _tokens(docs, key, text).join(places, F.col(key).eqNullSafe(F.col("doc")))
@@ -50,12 +71,29 @@ def shingle_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return rows.select(F.explode_outer(said).alias("x")).select("x.*")
 
 
+#: Hashes that may be broadcast, of 8 bytes each.
+MOST_BROADCAST = 1 << 20
+
+
+def _often_seen(docs: DataFrame, key: str, text: str, k: int, least: int) -> DataFrame:
+    """The h of all shingles that at least so many rows hold, and of few others whose hashes are alike.
+
+    Each row is counted once, so it is never too few. The average of shingles a row over the share of rows that ``least`` is bounds them.
+    """
+    t = F.transform("t", lambda w: F.xxhash64(w))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("t") - k, F.lit(0))), lambda i: F.xxhash64(F.slice("t", i + 1, k)))
+    rows = _tokens(docs, key, text).select(t.alias("t")).select(F.explode_outer(F.array_distinct(F.when(F.size("t") > 0, runs))).alias("h")).where("h is not null")
+    return rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("h")
+
+
 def boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5, min_docs: int = 3, k: int = 6, min_run: int = 12) -> DataFrame:
     """key and text without runs of tokens that repeat across documents.
 
     A token is covered if a shingle over it is in at least max(2, threshold x documents) of them; covered runs of
     min_run tokens or more go, survivors are joined by empty lines. Documents that would lose nothing or everything,
     and corpora of fewer than min_docs, stay as they are.
+
+    One hash a shingle is counted first; places and second hashes are made only of shingles that may be frequent enough, which are few.
     """
     k = max(2, k)
     min_run = max(k, min_run)
@@ -63,9 +101,10 @@ def boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     if n < min_docs:
         return docs.select(key, text)
     least = max(2, -int(-(threshold * n) // 1))
-    at = shingle_hashes(docs, key, text, k)
-    common = at.groupBy("h", "g", F.col(key)).agg(F.lit(1).alias("one")).groupBy("h", "g").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= least).select("h", "g")
-    # a common shingle has many places; no more than tokens / least are common, and few of them where least is a share
+    often = _written(_often_seen(docs, key, text, k, least))
+    few = F.broadcast(often) if often.count() <= MOST_BROADCAST else often
+    at = shingle_hashes(docs, key, text, k).join(few, "h", "left_semi")
+    common = at.select("h", "g", key).distinct().groupBy("h", "g").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= least).select("h", "g")
     hits = at.join(common, ["h", "g"], "left_semi").select(F.col(key).alias("doc"), "pos")
     # runs of places whose shingles touch or overlap, by gaps: [first token, token after the last)
     in_doc = Window.partitionBy("doc").orderBy("pos")

@@ -12,20 +12,22 @@ from pagemill.functions import glob as G
 from pagemill.functions import text as T
 from pagemill.functions import url as U
 from pagemill.operators import markup as M
-
-LINK = r"""(?is)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)[^>]*>(.*?)</a>"""
+from pagemill.operators import selectors as S
 
 
 def links(pages: DataFrame, origin: Column | None = None, clean: bool = True) -> DataFrame:
-    """page_id, pos, href, url and text of every link, without a shuffle: the page's own columns are exploded."""
-    found = F.regexp_extract_all("html", F.lit(f"({LINK})"), F.lit(1))
-    rows = pages.select("page_id", "url", F.posexplode_outer(found).alias("pos", "a")).where("pos is not null")
-    raw = F.regexp_extract("a", LINK, 1)
-    href = T.decode_entities(F.when(raw.rlike("^[\"']"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw))
-    inner = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("a", LINK, 2), "<[^>]*>", ""), r"\s+", " "))
+    """page_id, pos (from 0), href, url and text of every link of a page's tree, in page order.
+
+    What stands in comments, scripts and templates is no link; a link without an end tag ends where its parent does, or where
+    the next one begins. ``origin`` may use page_id and url.
+    """
+    # page and address together are the key, so that rows which share an id stay apart and no join follows
+    rows = M.tokens(pages.select(F.struct("page_id", "url").alias("page"), "html"), "page")
+    found = S.extract(rows.where("kind = 'text' or tag = 'a'"), ["a[href]"]).withColumn("href", F.col("attributes")["href"]).where("href is not null")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("pos")) - 1
     at = origin if origin is not None else U.origin_of(F.col("url"))
-    rows = rows.select("page_id", "pos", at.alias("at"), href.alias("href"), T.decode_entities(inner).alias("text"))
-    return rows.select("page_id", "pos", "href", U.resolve(F.col("href"), F.col("at"), clean).alias("url"), "text")
+    told = found.select("key.page_id", "key.url", nth.alias("pos"), "href", F.col("text_content").alias("text"))
+    return told.select("page_id", "pos", "href", U.resolve(F.col("href"), at, clean).alias("url"), "text")
 
 
 def host_links(pages: DataFrame) -> DataFrame:

@@ -44,9 +44,19 @@ _PLAIN = rf"(?s)^(<(?i:{'|'.join(PLAIN)})(?=[\s/>]){_REST}(?<!/)>)(.++)"
 ATTRIBUTE = r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?"""
 
 
+def _before(name: str) -> str:
+    """What stands in a tag before its first attribute of a name."""
+    return rf"""(?is)^<[^\s/>]++(?:[\s/]++(?!{name}[\s=/>])[^\s=/>]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+[\s/]++{name}"""
+
+
+def has_attribute(tag: Column, name: str) -> Column:
+    """Whether a tag's source has an attribute, with a value or without."""
+    return tag.rlike(_before(name) + r"(?=[\s=/>])")
+
+
 def raw_attribute(tag: Column, name: str) -> Column:
     """An attribute of a tag's source as written; null if it has none. The first of several counts."""
-    quoted = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
+    quoted = F.regexp_extract(tag, _before(name) + r"""\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)""", 1)
     bare = F.when(quoted.rlike("^[\"']"), F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(quoted)
     return F.when(quoted != "", bare)
 

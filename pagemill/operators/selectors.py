@@ -30,7 +30,7 @@ def predicate(selector: str) -> Column:
             have = M.attribute(F.col("token"), re.escape(name))
             value = (m[5] or "").strip("\"'")
             test &= {
-                None: lambda h, v, n=name: h.isNotNull() | F.col("token").rlike(rf"(?i)\s{re.escape(n)}[\s>/]"),
+                None: lambda h, v, n=name: M.has_attribute(F.col("token"), re.escape(n)),
                 "=": lambda h, v: h == v,
                 "^=": lambda h, v: h.startswith(v),
                 "$=": lambda h, v: h.endswith(v),
@@ -49,7 +49,7 @@ def has_class(name: str) -> Column:
 def hidden() -> Column:
     """Elements that their own style or attribute hides."""
     style = M.attribute(F.col("token"), "style").rlike(_HIDDEN)
-    flag = F.col("token").rlike(r"(?i)\shidden[\s>/=]") & (F.coalesce(M.attribute(F.col("token"), "hidden"), F.lit("")) != "until-found")
+    flag = M.has_attribute(F.col("token"), "hidden") & (F.coalesce(M.attribute(F.col("token"), "hidden"), F.lit("")) != "until-found")
     return F.coalesce(style, F.lit(False)) | F.coalesce(flag, F.lit(False))
 
 

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill import composed
 from pagemill.functions import clean
 from pagemill.functions import glob as G
 from pagemill.functions import http, style
@@ -17,6 +18,7 @@ from pagemill.functions import url as U
 from pagemill.operators import convert, corpus, frontmatter, links, markup, selectors
 from pagemill.plans import convert as plans
 from pagemill.plans import site
+from pagemill.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -189,7 +191,17 @@ def convert_text(spark, sf_dir):
     return convert.for_all(pages, convert.to_text(markup.tokens(pages)))
 
 
-@query()
+def _as_html(x: str) -> str:
+    return f"replace(replace(replace({_clean(x)}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+_SLUG = rf"regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace({_clean(_TITLE)}, '[*_`~]', '', 'g'), '[^A-Za-z0-9 \t-]', '', 'g')), '[ \t-]+', '-', 'g'), '^-|-$', '', 'g')"
+_HTML_LINKS = rf"""array_to_string(list_transform({_LINK_LIST}, lambda a: '<li><a href="' || regexp_extract(a, 'href="([^"]*)"', 1) || '">' || {_as_html("regexp_extract(a, '>([^<]*)<', 1)")} || '</a></li>'), '')"""
+_HTML_BLOCKS = rf"array_to_string(list_transform({_BLOCK_LIST}, lambda b: CASE WHEN b LIKE '<p><b>%' THEN '<p><strong>' || {_as_html('substr(b, 7)')} || '<br></strong></p>' ELSE '<p>' || {_as_html('substr(b, 4)')} || '</p>' END), '')"
+
+
+@query(rf"""SELECT page_id, {_as_html(_TITLE)} || '<nav><ul>' || {_HTML_LINKS} || '</ul></nav><div>' || {_as_html(_AD)} || '</div><article><h1' || CASE WHEN {_SLUG} <> '' THEN ' id="' || {_SLUG} || '"' ELSE '' END || '>'
+  || {_as_html(_TITLE)} || '</h1>' || {_HTML_BLOCKS} || '</article><footer>' || {_as_html(_FOOT)} || '</footer>' AS safe FROM pages""")
 def convert_html(spark, sf_dir):
     pages = _read(spark, sf_dir, "pages")
     return convert.for_all(pages, convert.to_html(markup.tokens(pages)))
@@ -512,3 +524,38 @@ def markdown_answers(spark, sf_dir):
 
 
 FLAGSHIP = token_savings
+
+
+_RETRIED = ", ".join(str(x) for x in files.RETRIED)
+_LOG = """SELECT event_id AS id, 'https://h' || user_id % 7 || '.test/' || user_id AS url, ts AS seen, CASE event_type WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 429 ELSE 503 END WHEN 'view' THEN 200 WHEN 'click' THEN 404 WHEN 'purchase' THEN 301 END AS status,
+  CASE WHEN event_id % 3 = 0 THEN regexp_extract(props, '([0-9]+)', 1) END AS retry_after FROM events"""
+
+
+def _fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a log of fetches: errors ask to try again, some with a header that says when."""
+    status = F.expr("CASE event_type WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 429 ELSE 503 END WHEN 'view' THEN 200 WHEN 'click' THEN 404 WHEN 'purchase' THEN 301 END")
+    url = F.concat(F.lit("https://h"), F.col("user_id") % 7, F.lit(".test/"), F.col("user_id"))
+    after = F.when(F.col("event_id") % 3 == 0, F.regexp_extract("props", "([0-9]+)", 1))
+    return _read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), url.alias("url"), F.col("ts").alias("at"), status.alias("status"), after.alias("retry_after"))
+
+
+@query(rf"""WITH log AS ({_LOG}), marked AS (SELECT *, status IS NULL OR status IN ({_RETRIED}) AS again, regexp_extract(url, '://([^/]*)', 1) AS host,
+    CASE WHEN status = 429 THEN CASE WHEN retry_after IS NULL THEN 2 ELSE coalesce(nullif(CAST(retry_after AS BIGINT), 0), 1) END END AS asked FROM log),
+  cut AS (SELECT *, coalesce(sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY url ORDER BY seen, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part,
+    coalesce(max(asked) OVER (PARTITION BY host ORDER BY seen, id), 0) AS delay FROM marked),
+  counted AS (SELECT *, row_number() OVER (PARTITION BY url, part ORDER BY seen, id) - 1 AS n FROM cut)
+  SELECT id, url, CAST(n % 3 + 1 AS INTEGER) AS attempt, NOT again OR n % 3 = 2 AS final, CAST(delay AS BIGINT) AS host_delay,
+    CASE WHEN again AND n % 3 < 2 THEN seen + to_milliseconds(greatest(500, delay * 1000)) END AS next_try FROM counted""")
+def fetch_attempts(spark, sf_dir):
+    found = files.attempts(_fetch_log(spark, sf_dir), order=("at", "id"))
+    return found.select("id", "url", "attempt", "final", "host_delay", "next_try")
+
+
+@query(f"""WITH tries AS ({ORACLE_SQL["fetch_attempts"]}) SELECT regexp_extract(url, '://([^/]*)', 1) AS host, count(*) AS tries, CAST(count(*) FILTER (WHERE final) AS BIGINT) AS asks, max(host_delay) AS host_delay,
+  min(next_try) FILTER (WHERE id IN (SELECT max_by(id, (seen, id)) FROM (SELECT event_id AS id, ts AS seen, user_id FROM events) GROUP BY user_id)) AS next_try FROM tries GROUP BY 1""")
+def fetch_hosts(spark, sf_dir):
+    return files.next_tries(files.attempts(_fetch_log(spark, sf_dir), order=("at", "id")), order=("at", "id"))
+
+
+QUERIES.update(composed.QUERIES)
+ORACLE_SQL.update(composed.ORACLE_SQL)
