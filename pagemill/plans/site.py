@@ -46,6 +46,26 @@ def stream_to_markdown(stream: DataFrame, out: str, checkpoint: str):
     return _each_batch(documents.assemble_bytes(stream) if in_bytes else documents.assemble(stream), converted, out, checkpoint)
 
 
+def stream_to_deltas(stream: DataFrame, out: str, checkpoint: str):
+    """Starts a query that converts the finished parts of each document of a stream of pieces as they come: page_id, nth, delta, batch.
+
+    ``join_deltas`` gives the texts so far; a document's state is only its last, unfinished block.
+    """
+
+    def converted(batch: DataFrame) -> DataFrame:
+        parts = batch.select(F.struct("key", "nth").alias("part"), "html")
+        md = convert.to_markdown(markup.tokens(parts, "part"), key="part")
+        return md.where("markdown <> ''").select(F.col("part.key").alias("page_id"), F.col("part.nth").alias("nth"), F.col("markdown").alias("delta"))
+
+    return _each_batch(documents.fragments(stream), converted, out, checkpoint)
+
+
+def join_deltas(deltas: DataFrame) -> DataFrame:
+    """page_id and markdown: the deltas of each document in order, parted by empty lines."""
+    parts = F.array_sort(F.collect_list(F.struct("nth", "delta")))
+    return deltas.groupBy("page_id").agg(F.array_join(F.transform(parts, lambda x: x["delta"]), "\n\n").alias("markdown"))
+
+
 def stream_to_elements(stream: DataFrame, chosen: Sequence[str], out: str, checkpoint: str):
     """Starts a query that extracts the elements that selectors choose from each finished document of a stream of pieces."""
     return _each_batch(documents.assemble(stream), lambda batch: selectors.extract(markup.tokens(batch, "key"), chosen), out, checkpoint)

@@ -466,12 +466,25 @@ def stream_markdown(spark, sf_dir):
     return spark.read.parquet(f"{at}/out").select("page_id", "markdown")
 
 
-def _streamed(spark, sf_dir, in_bytes: bool = False):
-    """A stream of the pages' pieces, and a new folder in the shared place."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="pagemill-")
-    at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    site.pieces_of(spark, _read(spark, sf_dir, "pages"), in_bytes=in_bytes).write.parquet(f"{at}/pieces")
-    return spark.readStream.schema(f"key bigint, seq int, chunk {'binary' if in_bytes else 'string'}, is_last boolean").parquet(f"{at}/pieces"), at
+def _shared(spark) -> str:
+    """The folder that all executors share; a temporary one only where none is set on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="pagemill-")
+    return folder.rstrip("/")
+
+
+def _streamed(spark, sf_dir, in_bytes: bool = False, batches: int = 1):
+    """A stream of the pages' pieces, and a new folder in the shared place; ``batches`` of them if more than one."""
+    at = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    pieces = site.pieces_of(spark, _read(spark, sf_dir, "pages"), in_bytes=in_bytes)
+    if batches > 1:
+        pieces = pieces.repartitionById(batches, F.pmod("seq", F.lit(batches)))
+    pieces.write.parquet(f"{at}/pieces")
+    reader = spark.readStream.schema(f"key bigint, seq int, chunk {'binary' if in_bytes else 'string'}, is_last boolean")
+    return (reader.option("maxFilesPerTrigger", 1) if batches > 1 else reader).parquet(f"{at}/pieces"), at
 
 
 @query(ORACLE_SQL["convert_markdown"])
@@ -482,6 +495,14 @@ def stream_bytes(spark, sf_dir):
     return spark.read.parquet(f"{at}/out").select("page_id", "markdown")
 
 
+@query(ORACLE_SQL["convert_markdown"])
+def stream_deltas(spark, sf_dir):
+    """Pages whose pieces come in several batches, converted block by block as these are finished, and joined."""
+    stream, at = _streamed(spark, sf_dir, batches=3)
+    site.stream_to_deltas(stream, f"{at}/out", f"{at}/state").awaitTermination()
+    return site.join_deltas(spark.read.parquet(f"{at}/out"))
+
+
 @query(ORACLE_SQL["extract_elements"])
 def stream_elements(spark, sf_dir):
     """Elements of pages that arrive in pieces."""
