@@ -13,6 +13,7 @@ from pagemill.functions import text as T
 from pagemill.functions import url as U
 from pagemill.operators import markup as M
 from pagemill.operators import selectors as S
+from pagemill.operators.progress import Progress
 
 
 def links(pages: DataFrame, origin: Column | None = None, clean: bool = True) -> DataFrame:
@@ -102,20 +103,22 @@ class CrawlConfig:
     variants: int = 5
 
 
-def crawl_site(seeds: DataFrame, edges: DataFrame, config: CrawlConfig) -> DataFrame:
+def crawl_site(seeds: DataFrame, edges: DataFrame, config: CrawlConfig, progress: Progress | None = None) -> DataFrame:
     """url and depth of the addresses that a crawl with ``config`` takes from ``seeds`` (url) over ``edges`` (src, dst).
 
     Links to hosts other than those of the seeds and of ``domains`` go before the first wave, by a semi join. The edges
     are written once: every wave reads them, and filters on addresses would otherwise repeat what makes the addresses.
+    ``progress`` counts the edges and the addresses of each wave; it needs a session with a folder for checkpoints.
     """
-    edges = _written(edges.select("src", "dst"))
+    edges = edges.select("src", "dst")
+    edges = _written(progress.watch(edges, "edges", sources=F.approx_count_distinct("src")) if progress else edges)
     own = seeds.select(U.host_of(F.col("url")).alias("host")).distinct()
     if config.domains:
         own = own.unionByName(seeds.sparkSession.createDataFrame([(d.lower(),) for d in config.domains], "host string")).distinct()
     url = F.col("dst")
     taken = edges.where(U.is_content(url) & G.wanted(url, config.include, config.exclude, config.suffixes)).withColumn("host", U.host_of(url))
     taken = taken.join(own, "host", "left_semi").select("src", "dst")
-    return crawl(seeds, taken, config.max_depth, lambda wave: capped_variants(wave, config.variants, "url"), config.max_pages, config.per_wave)
+    return crawl(seeds, taken, config.max_depth, lambda wave: capped_variants(wave, config.variants, "url"), config.max_pages, config.per_wave, progress)
 
 
 def _written(rows: DataFrame) -> DataFrame:
@@ -124,7 +127,7 @@ def _written(rows: DataFrame) -> DataFrame:
     return rows.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else rows.persist()
 
 
-def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int, keep=lambda df: df, max_pages: int | None = None, per_wave: int | None = None) -> DataFrame:
+def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int, keep=lambda df: df, max_pages: int | None = None, per_wave: int | None = None, progress: Progress | None = None) -> DataFrame:
     """url and depth of all addresses that links reach from the seeds within ``max_depth`` steps, breadth first.
 
     Each wave joins the frontier with the links and takes away what was seen; ``keep`` may filter a wave. Waves are
@@ -141,7 +144,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int, keep=lambda df: df
             room.append(max(max_pages - seen.count(), 0))
         if room:
             frontier = frontier.orderBy("url").limit(min(room))
-        frontier = _written(frontier)
+        frontier = _written(progress.watch(frontier, f"wave {step}") if progress else frontier)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

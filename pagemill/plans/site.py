@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as T
 from pagemill.functions import url as U
 from pagemill.operators import convert, corpus, links, markup, selectors
+from pagemill.operators.progress import Progress
 from pagemill.streaming import documents
 
 
-def site(pages: DataFrame, site_name: str = "Site", origin: str = "", strip: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Markdown of the first page of each address (page_id, url, title, file, markdown), and the lines of its index."""
+def site(pages: DataFrame, site_name: str = "Site", origin: str = "", strip: bool = True, progress: Progress | None = None) -> tuple[DataFrame, DataFrame]:
+    """Markdown of the first page of each address (page_id, url, title, file, markdown), and the lines of its index.
+
+    ``progress`` counts the pages that are kept, their characters, and those without a title as the first result is written.
+    """
     first = links.first_by_url(pages)
     md = convert.for_all(first, convert.to_markdown(convert.minimal(markup.tokens(first))))
     if strip:
@@ -22,8 +26,9 @@ def site(pages: DataFrame, site_name: str = "Site", origin: str = "", strip: boo
     about = links.metadata(first).select("page_id", "title", "description")
     rows = first.select("page_id", "url", U.safe_filename(F.col("url")).alias("file")).join(md, "page_id").join(about, "page_id")
     kept = rows.where(F.length(F.trim(T.body_of(F.col("markdown")))) > 10)
+    watched = progress.watch(kept, "pages", characters=F.sum(F.length("markdown")), untitled=F.count_if(F.col("title").isNull())) if progress else kept
     index = corpus.llms_lines(kept.select(F.col("page_id").alias("ord"), "title", "url", "description"), site_name, origin=origin)
-    return kept, index
+    return watched, index
 
 
 def _each_batch(stream: DataFrame, make, out: str, checkpoint: str):
