@@ -41,4 +41,4 @@ def test_registered_names():
     import __spark_entry__ as entry
 
     assert "pipeline" in entry.queries() and all(name in entry.queries() for name in queries.QUERIES)
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
