@@ -11,7 +11,7 @@ from pagemill.functions import text as T
 from pagemill.functions import url as U
 from pagemill.operators import convert, corpus, links, markup, selectors
 from pagemill.operators.progress import Progress
-from pagemill.streaming import documents
+from pagemill.streaming import documents, sections
 
 
 def site(pages: DataFrame, site_name: str = "Site", origin: str = "", strip: bool = True, progress: Progress | None = None) -> tuple[DataFrame, DataFrame]:
@@ -71,6 +71,11 @@ def join_deltas(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("page_id").agg(F.array_join(F.transform(parts, lambda x: x["delta"]), "\n\n").alias("markdown"))
 
 
+def stream_to_chunks(stream: DataFrame, out: str, checkpoint: str, size: int = 1000, overlap: int = 200, unit: str = "bytes"):
+    """Starts a query that cuts Markdown documents of a stream of pieces into chunks as their sections are finished: the columns of ``corpus.chunks``, batch."""
+    return _each_batch(sections.sections(stream), lambda batch: corpus.chunks(batch, size, overlap, unit), out, checkpoint)
+
+
 def stream_to_elements(stream: DataFrame, chosen: Sequence[str], out: str, checkpoint: str):
     """Starts a query that extracts the elements that selectors choose from each finished document of a stream of pieces."""
     return _each_batch(documents.assemble(stream), lambda batch: selectors.extract(markup.tokens(batch, "key"), chosen), out, checkpoint)
@@ -95,9 +100,9 @@ def close_index(spark: SparkSession, out: str, site_name: str = "Site", descript
     return index, corpus.full_lines(rows.select("ord", "toc", "block"), site_name, description, origin)
 
 
-def pieces_of(spark: SparkSession, pages: DataFrame, size: int = 1000, in_bytes: bool = False) -> DataFrame:
-    """Pages cut into pieces (key, seq, chunk, is_last) of text or bytes, as a stream would deliver them."""
-    html = F.encode("html", "UTF-8") if in_bytes else F.col("html")
+def pieces_of(spark: SparkSession, pages: DataFrame, size: int = 1000, in_bytes: bool = False, key: str = "page_id", text: str = "html") -> DataFrame:
+    """Pages (or other texts) cut into pieces (key, seq, chunk, is_last) of text or bytes, as a stream would deliver them."""
+    html = F.encode(text, "UTF-8") if in_bytes else F.col(text)
     n = F.greatest(F.coalesce(F.ceil(F.length(html) / size), F.lit(1)), F.lit(1)).cast("int")
-    rows = pages.select(F.col("page_id").alias("key"), html.alias("html"), n.alias("n")).select("key", "html", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("seq"))
+    rows = pages.select(F.col(key).alias("key"), html.alias("html"), n.alias("n")).select("key", "html", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("seq"))
     return rows.select("key", "seq", F.substring("html", F.col("seq") * size + 1, F.lit(size)).alias("chunk"), (F.col("seq") == F.col("n") - 1).alias("is_last"))

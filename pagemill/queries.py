@@ -503,6 +503,17 @@ def stream_deltas(spark, sf_dir):
     return site.join_deltas(spark.read.parquet(f"{at}/out"))
 
 
+@query()
+def stream_chunks(spark, sf_dir):
+    """The documents, in pieces that come in several batches, cut into chunks as their sections are finished."""
+    at = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    pieces = site.pieces_of(spark, _read(spark, sf_dir, "documents"), key="doc_id", text="text")
+    pieces.repartitionById(3, F.pmod("seq", F.lit(3))).write.parquet(f"{at}/pieces")
+    stream = spark.readStream.schema("key bigint, seq int, chunk string, is_last boolean").option("maxFilesPerTrigger", 1).parquet(f"{at}/pieces")
+    site.stream_to_chunks(stream, f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("batch").withColumnRenamed("key", "doc_id")
+
+
 @query(ORACLE_SQL["extract_elements"])
 def stream_elements(spark, sf_dir):
     """Elements of pages that arrive in pieces."""

@@ -1,11 +1,13 @@
 """Documents converted block by block as they stream in."""
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from pagemill import composed
 from pagemill import queries as Q
-from pagemill.operators import convert, markup
+from pagemill.operators import convert, corpus, markup
 from pagemill.streaming import documents
+from pagemill.streaming import sections as streamed_sections
 
 from .test_tree import PAGES
 
@@ -72,3 +74,42 @@ def test_state_is_the_last_block():
 def test_query(spark, sf):
     got = {r.page_id: r.markdown for r in Q.stream_deltas(spark, sf).collect()}
     assert got == {r.page_id: r.markdown for r in Q.convert_markdown(spark, sf).collect()}
+
+
+MARKDOWN = [
+    "# A\n\ntext\n\n## B\n\none\n\n## C *x*\n\ntwo\n### D\nthree\n## E\n\n```py\n## no\n```\n\n---\n\nend\n",
+    "\n \n---\ntitle: t\n---\n\n# A\n## B\n## B\n\n***\n___\n\n", "", " \n ", "---\n\na\n---\nb", "no heading", "## A\n## A\n\n\n## A\nx\r\n---\r\ny", "```\n## a\n## a\n", "## `a_b`\n## [l](x) \n####### no\n#no\n# \n## c",
+]
+
+
+def test_sections_equal_those_of_whole_documents(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(MARKDOWN)], "doc_id bigint, text string")
+    want = {}
+    for r in corpus.sections(docs).collect():
+        want.setdefault(r.doc_id, []).append((r.nth, r.content, r.headers, r.code, r.loc_from, r.loc_to))
+    for i, text in enumerate(MARKDOWN):
+        for size in (1, 3, 1000):
+            pieces = [text[j : j + size] for j in range(0, len(text), size)] or [""]
+            for order in (range(len(pieces)), reversed(range(len(pieces)))):
+                state, got = State(), []
+                for j in order:
+                    batch = pd.DataFrame({"seq": [j], "chunk": [pieces[j]], "is_last": [j == len(pieces) - 1]})
+                    for out in streamed_sections._split((i,), iter([batch, batch]), state, [2, 3, 4, 5, 6]):
+                        got += [(r["nth"], r["content"], r["headers"], r["code"], r["loc_from"], r["loc_to"]) for r in out.to_dict("records")]
+                assert got == sorted(want.get(i, [])), (text, size)
+                assert not state.exists
+
+
+def test_sections_leave_when_they_are_finished():
+    state, longest, n = State(), 0, 0
+    for j in range(500):
+        batch = pd.DataFrame({"seq": [j], "chunk": [f"## part {j}\n\nsome words\n"], "is_last": [False]})
+        n += sum(len(out) for out in streamed_sections._split((1,), iter([batch]), state, [2]))
+        longest = max(longest, len(state.value[0]))
+    assert n == 498 and longest < 800
+
+
+def test_chunks_equal_those_of_whole_documents(spark, sf):
+    cols = ["doc_id", "nth", "chunk", "content", "code", "loc_from", "loc_to"]
+    rows = lambda df: sorted(df.select(*cols, F.to_json("headers")).collect(), key=repr)
+    assert rows(Q.stream_chunks(spark, sf)) == rows(Q.document_chunks(spark, sf))
