@@ -188,9 +188,11 @@ def in_order(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
 
 def _around(firsts: DataFrame) -> DataFrame:
     """For each bucket of ``firsts`` (b, v: one row a bucket) the next bucket's v; after the last comes the first."""
-    along = Window.partitionBy(F.lit(0)).orderBy("b")
+    # bucket numbers alone pass through one task; values are joined to them
+    along = Window.partitionBy(F.lit(0)).orderBy("at")
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return firsts.select("b", F.coalesce(F.lead("v").over(along), F.first("v").over(whole)).alias("head"))
+    after = firsts.select(F.col("b").alias("at")).select("at", F.coalesce(F.lead("at").over(along), F.first("at").over(whole)).alias("then"))
+    return after.join(firsts, F.col("then") == F.col("b")).select(F.col("at").alias("b"), F.col("v").alias("head"))
 
 
 def with_next(rows: DataFrame, firsts: DataFrame, value: str, out: str) -> DataFrame:
@@ -211,7 +213,8 @@ def compare_edited(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     """
     buckets = 4 * partitions(docs.sparkSession)
     ordered, firsts = in_order(docs, buckets)
-    rows = with_next(ordered, firsts, "text", "next_text")
+    # one text a bucket, read for its bucket's number and for itself
+    rows = with_next(ordered, kept(firsts), "text", "next_text")
     size = F.length("text")
     cut = F.floor(size / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), size - cut), F.substring("next_text", F.lit(1), cut))
