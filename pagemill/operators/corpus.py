@@ -32,27 +32,53 @@ def shingles(docs: DataFrame, key: str, text: str, k: int = 6) -> DataFrame:
     return rows.where("shingle is not null")
 
 
+def _window_hashes(rows: DataFrame, k: int, names: Sequence[str]) -> DataFrame:
+    """``rows`` with arrays of hashes, one a token, made arrays of hashes of every k neighbours; of all, where there are fewer.
+
+    Neighbours are hashed by twos, those by twos again, and so on: a few steps a window, each over whole arrays. Each step is a
+    column of its own, as one expression would compute it again wherever it is used.
+    """
+
+    def paired(left: Column, right: Column, by: int) -> Column:
+        return F.zip_with(left, F.slice(right, by + 1, F.greatest(F.size(right) - by, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+
+    size = 1
+    while size * 2 <= k:
+        rows = rows.withColumns({f"{n}_{size * 2}": paired(F.col(f"{n}_{size}"), F.col(f"{n}_{size}"), size) for n in names})
+        size *= 2
+    rows = rows.withColumns({f"{n}_all": F.col(f"{n}_{size}") for n in names})
+    covered = size
+    while size := size // 2:
+        if k - covered >= size:
+            rows = rows.withColumns({f"{n}_all": paired(F.col(f"{n}_all"), F.col(f"{n}_{size}"), covered) for n in names})
+            covered += size
+    whole = lambda n: F.when(F.size(f"{n}_1") >= k, F.slice(f"{n}_all", 1, F.greatest(F.size(f"{n}_1") - k + 1, F.lit(1)))).when(F.size(f"{n}_1") > 0, F.array(F.xxhash64(f"{n}_1")))
+    return rows.withColumns({n: whole(n) for n in names})
+
+
 def shingle_hashes(docs: DataFrame, key: str, text: str, k: int = 6) -> DataFrame:
     """key, pos, and two 64-bit hashes h and g of every shingle."""
-    hashed = _tokens(docs, key, text).select(key, F.transform("t", lambda w: F.xxhash64(w)).alias("t"))
-    runs = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("t") - k, F.lit(0))),
-        lambda i: F.struct(F.xxhash64(F.slice("t", i + 1, k)).alias("h"), F.xxhash64(F.lit(1), F.slice("t", i + 1, k)).alias("g")),
-    )
-    rows = hashed.select(key, F.posexplode_outer(F.when(F.size("t") > 0, runs)).alias("pos", "x"))
+    tokens = _tokens(docs, key, text).select(F.col(key), F.transform("t", lambda w: F.xxhash64(w)).alias("h_1"), F.transform("t", lambda w: F.xxhash64(F.lit(1), w)).alias("g_1"))
+    hashed = _window_hashes(tokens, k, ("h", "g"))
+    rows = hashed.select(key, F.posexplode_outer(F.arrays_zip("h", "g")).alias("pos", "x"))
     return rows.where("x is not null").select(key, "pos", "x.h", "x.g")
 
 
-def _first_places(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """doc, h, g and pos of every shingle of a document once, at its first place: found within the row, without a shuffle."""
-    hashed = _tokens(docs, key, text).select(F.col(key).alias("doc"), F.transform("t", lambda w: F.xxhash64(w)).alias("t"))
-    runs = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("t") - k, F.lit(0))),
-        lambda i: F.struct(F.xxhash64(F.slice("t", i + 1, k)).alias("h"), F.xxhash64(F.lit(1), F.slice("t", i + 1, k)).alias("g"), i.alias("pos")),
-    )
-    placed = hashed.select("doc", F.array_sort(F.when(F.size("t") > 0, runs)).alias("all"))
-    first = lambda x, i: (i == 0) | (F.get("all", i - 1)["h"] != x["h"]) | (F.get("all", i - 1)["g"] != x["g"])
-    return placed.select("doc", F.explode_outer(F.filter("all", first)).alias("x")).where("x is not null").select("doc", "x.h", "x.g", "x.pos")
+#: Hashes that may be broadcast, of 8 bytes each.
+MOST_BROADCAST = 1 << 20
+
+
+def _often_seen(docs: DataFrame, key: str, text: str, k: int, least: int) -> DataFrame:
+    """key, pos, h and g of the shingles whose h at least so many rows hold: of all that are frequent enough, and of few others.
+
+    One hash a shingle and row is counted first. Second hashes and places are made only of those, which are joined by
+    broadcast if they are few; for a share of all rows they are, whatever their number.
+    """
+    tokens = _tokens(docs, key, text).select(F.transform("t", lambda w: F.xxhash64(w)).alias("h_1"))
+    rows = _window_hashes(tokens, k, ("h",)).select(F.explode_outer(F.array_distinct("h")).alias("h")).where("h is not null")
+    often = _written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("h"))
+    few = F.broadcast(often) if often.count() <= MOST_BROADCAST else often
+    return _written(shingle_hashes(docs, key, text, k).join(few, "h", "left_semi").select(key, "pos", "h", "g"))
 
 
 def shingle_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 6, least: int = 1) -> DataFrame:
@@ -60,10 +86,7 @@ def shingle_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Counted by hashes; only the first place of a shingle that is frequent enough is turned into words.
     """
-    once = _first_places(docs, key, text, k)
-    if docs.select(key).distinct().count() < docs.count():
-        # rows that share a key are one document
-        once = once.groupBy("h", "g", "doc").agg(F.min("pos").alias("pos"))
+    once = shingle_hashes(docs, key, text, k).groupBy("h", "g", F.col(key).alias("doc")).agg(F.min("pos").alias("pos"))
     counts = once.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc", "pos")).alias("at")).where(F.col("n_docs") >= least)
     places = counts.select(F.col("at.doc").alias("doc"), F.struct(F.col("at.pos").alias("pos"), "n_docs").alias("x")).groupBy("doc").agg(F.collect_list("x").alias("all"))
     rows = _tokens(docs, key, text).join(places, F.col(key).eqNullSafe(F.col("doc")))
@@ -71,29 +94,12 @@ def shingle_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return rows.select(F.explode_outer(said).alias("x")).select("x.*")
 
 
-#: Hashes that may be broadcast, of 8 bytes each.
-MOST_BROADCAST = 1 << 20
-
-
-def _often_seen(docs: DataFrame, key: str, text: str, k: int, least: int) -> DataFrame:
-    """The h of all shingles that at least so many rows hold, and of few others whose hashes are alike.
-
-    Each row is counted once, so it is never too few. The average of shingles a row over the share of rows that ``least`` is bounds them.
-    """
-    t = F.transform("t", lambda w: F.xxhash64(w))
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("t") - k, F.lit(0))), lambda i: F.xxhash64(F.slice("t", i + 1, k)))
-    rows = _tokens(docs, key, text).select(t.alias("t")).select(F.explode_outer(F.array_distinct(F.when(F.size("t") > 0, runs))).alias("h")).where("h is not null")
-    return rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("h")
-
-
 def boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5, min_docs: int = 3, k: int = 6, min_run: int = 12) -> DataFrame:
     """key and text without runs of tokens that repeat across documents.
 
     A token is covered if a shingle over it is in at least max(2, threshold x documents) of them; covered runs of
     min_run tokens or more go, survivors are joined by empty lines. Documents that would lose nothing or everything,
     and corpora of fewer than min_docs, stay as they are.
-
-    One hash a shingle is counted first; places and second hashes are made only of shingles that may be frequent enough, which are few.
     """
     k = max(2, k)
     min_run = max(k, min_run)
@@ -101,9 +107,7 @@ def boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     if n < min_docs:
         return docs.select(key, text)
     least = max(2, -int(-(threshold * n) // 1))
-    often = _written(_often_seen(docs, key, text, k, least))
-    few = F.broadcast(often) if often.count() <= MOST_BROADCAST else often
-    at = shingle_hashes(docs, key, text, k).join(few, "h", "left_semi")
+    at = _often_seen(docs, key, text, k, least)
     common = at.select("h", "g", key).distinct().groupBy("h", "g").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= least).select("h", "g")
     hits = at.join(common, ["h", "g"], "left_semi").select(F.col(key).alias("doc"), "pos")
     # runs of places whose shingles touch or overlap, by gaps: [first token, token after the last)

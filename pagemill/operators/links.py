@@ -134,6 +134,8 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int, keep=lambda df: df
     written to checkpoints where the session has a folder for them. ``per_wave`` and ``max_pages`` (seeds included)
     take the first addresses of a wave in their order.
     """
+    # every wave reads the links: what makes them runs once
+    edges = _written(edges.select("src", "dst"))
     seen = seeds.select("url", F.lit(0).alias("depth")).distinct()
     frontier = seen
     for step in range(1, max_depth + 1):
