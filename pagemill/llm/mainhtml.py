@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 TRAINING_PAGES = 1200
 SEED = 20
 #: Log odds that the cues of one text run may come to.
-MOST_TOLD = 4.0
+MOST_TOLD = 3.0
+#: Elements named for what is no main text: so many more of them within it count as none than are seen.
+AGAINST, NOT_MAIN = 5, ("form", "nav", "header", "footer", "aside")
 #: Log odds that the cues of all text runs of one list may come to.
-MOST_LISTED = 1.5
+MOST_LISTED = 2.0
 
 # A quote counts behind an equals sign only; one that is never closed takes the rest of the page, as does a tag that is not.
 _REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?=["']).*+|[^\s>"'][^\s>]*+)?+)*+"""
@@ -217,7 +219,7 @@ class TreeModel:
     root: float
 
     def marginals(self, page: Page, body: bool = False) -> list[float]:
-        """The probability of content of each node, by sum-product on the tree; with ``body``, given that the body is content.
+        """The probability of content of each node, by sum-product on the tree; with ``body``, given that the body and boxes without names are content.
 
         What text runs say of themselves is bounded (``bounded``), so that a few do not outweigh the tree.
         """
@@ -240,7 +242,7 @@ class TreeModel:
         for i in range(n):
             p0, p1 = chance.get(page.kind[i], default)
             above = belief[page.parent[i]] - sent[i] if page.parent[i] >= 0 else self.root
-            if body and page.kind[i] == "root":
+            if body and (page.kind[i] == "root" or page.kind[i] == "box" and not page.cues[i]):
                 belief[i] = 30.0
                 continue
             e = exp(max(-30.0, min(30.0, above)))
@@ -254,7 +256,7 @@ class TreeModel:
         page = parse(source)
         found = self.chosen(page)
         if not found and any(t is not None and is_prose(t, c) for t, c in zip(page.text, page.cues, strict=True)):
-            # no block stands out: the main text is what the body itself holds, but for what tells otherwise
+            # no block stands out: the main text is what the body and boxes without names hold, but for what tells otherwise
             found = self.chosen(page, body=True)
         return "\n\n".join(found)
 
@@ -279,11 +281,13 @@ def train(pages: Iterable[str], smooth: float = 0.5) -> TreeModel:
     def odds(a: float, b: float) -> float:
         return math.log((a + smooth) / (b + smooth))
 
-    edge = {k: (odds(c[False, True], c[False, False]), odds(c[True, True], c[True, False])) for k, c in edges.items()}
+    edge = {k: (odds(c[False, True], c[False, False]), odds(c[True, True], c[True, False] + AGAINST * (k in NOT_MAIN))) for k, c in edges.items()}
     known = {}
     for c in cues[True].keys() | cues[False].keys():
         group = "text" if re.match(r"(\w+:)?(len\d|ends$|open$)|links\d|mark$|told:", c) else "element"
         known[c] = odds(cues[True][c], cues[False][c]) - odds(nodes[group, True], nodes[group, False])
+    # words that head other blocks head parts of articles too: that they are there speaks for nothing
+    known = {c: min(v, 0.0) if c.startswith("told:") else v for c, v in known.items()}
     return TreeModel(edge, known, -5.0)
 
 
@@ -435,7 +439,7 @@ def _foot(rng: random.Random) -> str:
 def _heading(rng: random.Random) -> str:
     """A heading within an article; its words may be those that head other blocks."""
     level, text = rng.randint(2, 4), _sentence(rng, 1, 6)
-    if rng.random() < 0.4:
+    if rng.random() < 0.15:
         word = rng.choice(sorted(_TOLD))
         text = rng.choice((word.capitalize(), f"{word.capitalize()} {_words(rng, 1, 1)[0]}", f"{_words(rng, 1, 1)[0].capitalize()} {word}"))
     return f"<h{level}>{text}</h{level}>"
@@ -444,10 +448,10 @@ def _heading(rng: random.Random) -> str:
 def _short(rng: random.Random) -> str:
     """A block of an article that says little."""
     few = " ".join(_words(rng, 1, 4))
-    if rng.random() < 0.3:
+    if rng.random() < 0.1:
         few = rng.choice(sorted(_TOLD)).capitalize() + rng.choice(("", ".", f" {few}"))
     link = f'<a href="/{_words(rng, 1, 1)[0]}">{few}</a>'
-    return rng.choice((f"<p>{few}</p>", f"<p>{few}.</p>", f"<sub>{few}</sub>", f"<pre>{few}</pre>", f"<p>{link}</p>", f"<div>{few}</div>", f"<p>{few} {link}</p>", f"<code>{few}</code>"))
+    return rng.choice((f"<p>{few}</p>", f"<p>{few}.</p>", f"<sub>{few}</sub>", f"<pre>{few}</pre>", f"<p>{link}</p>", f"<p>{few} {link}</p>", f"<code>{few}</code>"))
 
 
 def _terms(rng: random.Random) -> str:
@@ -491,9 +495,9 @@ def _article(rng: random.Random, families: Sequence[str]) -> str:
     inner = "".join(parts)
     if rng.random() < 0.2:
         inner = f'<div class="{rng.choice(("entry-content", "article-body", "post-content", "text", "body"))}">{inner}</div>'
-    if rng.random() < 0.12:
+    if rng.random() < 0.06:
         return f"<!--bare-->{inner}"
-    if rng.random() < 0.08:
+    if rng.random() < 0.02:
         # boxes within boxes, none with a name that tells
         for _ in range(rng.randint(1, 3)):
             inner = f"<div{_unknown(rng)}>{inner}</div>"
