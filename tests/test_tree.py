@@ -122,3 +122,13 @@ def test_attributes(spark):
     tags = spark.createDataFrame([('<a href=x>',), ('<a title="href=no" HREF = \'y\' href=z>',), ("<a data-href=no>",), ("<a href>",), ("<a/href=q/>",), ('<a b="1"href="w">',)], "t string")
     got = tags.select(markup.attribute(F.col("t"), "href").alias("v"), markup.has_attribute(F.col("t"), "href").alias("h")).collect()
     assert [(r.v, r.h) for r in got] == [("x", True), ("y", True), (None, False), (None, True), ("q/", True), (None, False)]
+
+
+def test_tasks_grow_with_pages(spark, monkeypatch):
+    """A task's sorts hold what it gets of the pages, so that more pages need more tasks, whatever the session asks for."""
+    monkeypatch.setattr(markup, "TASK_BYTES", 1000)
+    df = spark.createDataFrame([(i, f"<p>{i} <b>x</b> {'word ' * 100}") for i in range(100)], "page_id long, html string")
+    rows = markup.tokens(df)
+    assert markup.tasks(df) >= 50
+    assert rows.rdd.getNumPartitions() == markup.tasks(df)
+    assert rows.where("tag = 'b'").count() == 200
