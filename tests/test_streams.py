@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pagemill import composed
 from pagemill import queries as Q
 from pagemill.operators import convert, corpus, markup
+from pagemill.plans import site
 from pagemill.streaming import documents
 from pagemill.streaming import sections as streamed_sections
 
@@ -113,3 +114,15 @@ def test_chunks_equal_those_of_whole_documents(spark, sf):
     cols = ["doc_id", "nth", "chunk", "content", "code", "loc_from", "loc_to"]
     rows = lambda df: sorted(df.select(*cols, F.to_json("headers")).collect(), key=repr)
     assert rows(Q.stream_chunks(spark, sf)) == rows(Q.document_chunks(spark, sf))
+
+
+def test_files_of_pieces_grow_in_number(spark, tmp_path, monkeypatch):
+    """A batch of a stream has several files where one would be large."""
+    monkeypatch.setattr(Q, "FILE_BYTES", 1000)
+    docs = spark.createDataFrame([(i, f"{i} " + "word " * 200) for i in range(100)], "doc_id long, text string")
+    pieces = site.pieces_of(spark, docs, key="doc_id", text="text")
+    files = Q._dealt(pieces, str(tmp_path / "pieces"), 3)
+    assert files == 34
+    written = spark.read.parquet(str(tmp_path / "pieces"))
+    assert len(written.inputFiles()) > 50
+    assert sorted(map(tuple, written.collect())) == sorted(map(tuple, pieces.collect()))
