@@ -20,6 +20,16 @@ def _written(rows: DataFrame) -> DataFrame:
     return rows.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else rows.persist()
 
 
+#: Bytes of text whose shingles one task counts.
+TASK_BYTES = 16 << 20
+
+
+def _tasks(docs: DataFrame, text: str) -> int:
+    """As many tasks as the session's shuffles have, more where each would count the shingles of more than ``TASK_BYTES``."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+
+
 def _tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key and t: the tokens of every document that has any."""
     return docs.select(F.col(key), F.regexp_extract_all(text, F.lit(r"(\S+)"), F.lit(1)).alias("t"))
@@ -64,6 +74,8 @@ def shingle_hashes(docs: DataFrame, key: str, text: str, k: int = 6) -> DataFram
     return rows.where("x is not null").select(key, "pos", "x.h", "x.g")
 
 
+#: Rows are counted in parts if so many rows of an even part at least must hold what is sought.
+LEAST_OF_PART = 4
 #: Hashes that may be broadcast, of 8 bytes each.
 MOST_BROADCAST = 1 << 20
 
@@ -73,10 +85,24 @@ def _often_seen(docs: DataFrame, key: str, text: str, k: int, least: int) -> Dat
 
     One hash a shingle and row is counted first. Second hashes and places are made only of those, which are joined by
     broadcast if they are few; for a share of all rows they are, whatever their number.
+
+    Where the least number allows it, rows are counted in parts, each in one task, and hashes are not shuffled: what ``least`` of all
+    rows hold, at least a like share of some part's rows holds.
     """
-    tokens = _tokens(docs, key, text).select(F.transform("t", lambda w: F.xxhash64(w)).alias("h_1"))
-    rows = _window_hashes(tokens, k, ("h",)).select(F.explode_outer(F.array_distinct("h")).alias("h")).where("h is not null")
-    often = _written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("h"))
+    parts = _tasks(docs, text)
+    part = F.pmod(F.xxhash64(key, text), F.lit(parts)).cast("int").alias("part")
+    in_parts = least >= LEAST_OF_PART * parts
+    dealt = docs.select(key, text, part).repartitionById(parts, F.col("part")) if in_parts else docs.select(key, text, F.lit(0).alias("part"))
+    tokens = dealt.select("part", F.transform(F.regexp_extract_all(text, F.lit(r"(\S+)"), F.lit(1)), lambda w: F.xxhash64(w)).alias("h_1"))
+    rows = _window_hashes(tokens, k, ("h",)).select("part", F.explode_outer(F.array_distinct("h")).alias("h")).where("h is not null")
+    counts = rows.groupBy("part", "h").agg(F.count(F.lit(1)).alias("n"))
+    if in_parts:
+        sizes = {r.part: r.n for r in docs.select(part).groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+        total = sum(sizes.values())
+        enough = F.array(*[F.lit(-(-least * sizes.get(i, 0) // total)) for i in range(parts)])
+        often = _written(counts.where(F.col("n") >= F.get(enough, F.col("part"))).select("h").distinct())
+    else:
+        often = _written(counts.where(F.col("n") >= least).select("h"))
     few = F.broadcast(often) if often.count() <= MOST_BROADCAST else often
     return _written(shingle_hashes(docs, key, text, k).join(few, "h", "left_semi").select(key, "pos", "h", "g"))
 
@@ -84,9 +110,13 @@ def _often_seen(docs: DataFrame, key: str, text: str, k: int, least: int) -> Dat
 def shingle_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 6, least: int = 1) -> DataFrame:
     """shingle and n_docs, the number of documents that hold it, of all shingles in at least so many.
 
-    Counted by hashes; only the first place of a shingle that is frequent enough is turned into words.
+    Counted by hashes; only the first place of a shingle that is frequent enough is turned into words. Hashes are dealt once: what is
+    told apart by a document, and then counted, lies in one task already. Half of the second hash goes with the place in one number.
     """
-    once = shingle_hashes(docs, key, text, k).groupBy("h", "g", F.col(key).alias("doc")).agg(F.min("pos").alias("pos"))
+    low = F.lit((1 << 32) - 1)
+    placed = F.shiftleft("g", 32).bitwiseOR(F.col("pos").cast("bigint")).alias("g_pos")
+    dealt = shingle_hashes(docs, key, text, k).select("h", F.col(key).alias("doc"), placed).repartition(_tasks(docs, text), "h")
+    once = dealt.groupBy("h", F.shiftright("g_pos", 32).alias("g"), "doc").agg(F.min("g_pos").bitwiseAND(low).cast("int").alias("pos"))
     counts = once.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc", "pos")).alias("at")).where(F.col("n_docs") >= least)
     places = counts.select(F.col("at.doc").alias("doc"), F.struct(F.col("at.pos").alias("pos"), "n_docs").alias("x")).groupBy("doc").agg(F.collect_list("x").alias("all"))
     rows = _tokens(docs, key, text).join(places, F.col(key).eqNullSafe(F.col("doc")))

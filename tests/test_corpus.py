@@ -104,3 +104,36 @@ def test_query_matches_sql(spark, sf, name):
     at = [found.columns.index(c) for c in columns]
     assert sorted(found.columns) == columns
     assert sorted(repr(tuple(r)) for r in rows) == sorted(repr(tuple(r[i] for i in at)) for r in found.fetchall())
+
+
+def _explained(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shingles_are_shuffled_once(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 7, 30))) for i in range(50)] + [(None, "w1 w2 w3 w4 w5 w6"), (3, None)], "doc_id long, text string")
+    found = corpus.shingle_frequency(docs, least=2)
+    # two exchanges of single shingles, by document and again without it, were there before
+    assert _explained(found).count("Exchange hashpartitioning(h#") == 1
+    whole = {}
+    for r in docs.collect():
+        words = (r.text or "").split()
+        for i in range(max(1, len(words) - 5) if words else 0):
+            whole.setdefault(" ".join(words[i : i + 6]), set()).add(r.doc_id)
+    assert {(r.shingle, r.n_docs) for r in found.collect()} == {(s, len(d)) for s, d in whole.items() if len(d) > 1}
+
+
+def test_frequent_shingles_are_found_in_parts(spark, monkeypatch):
+    """A shingle at the threshold, in whatever parts its documents lie, is found without shuffling all shingles."""
+    same = " ".join(f"s{j}" for j in range(14))
+    rows = [(i, (f"{same} " if i % 5 == 0 else "") + " ".join(f"w{i}x{j}" for j in range(20))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(corpus, "TASK_BYTES", docs.selectExpr("sum(length(text))").first()[0] // 8)
+    written = []
+    monkeypatch.setattr(corpus, "_written", lambda df: written.append(_explained(df)) or df)
+    got = {r.doc_id: r.text for r in corpus.boilerplate(docs, threshold=0.2).collect()}
+    assert got == {i: t.removeprefix(f"{same} ") for i, t in rows}
+    assert "part#" in written[0] and "Exchange hashpartitioning(part#" not in written[0]
+    # one more than there are: nothing is frequent
+    got = {r.doc_id: r.text for r in corpus.boilerplate(docs, threshold=0.2025).collect()}
+    assert got == dict(rows)
