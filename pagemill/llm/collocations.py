@@ -82,7 +82,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def _hashes(words: pa.Array) -> np.ndarray:
     """A hash of each word, the same in every task; 0 stands for no word."""
-    return np.array([0] + [(zlib.crc32(w) << 32 | zlib.adler32(w)) + 1 for w in words.cast(pa.binary()).to_pylist()], dtype=np.uint64)
+    binary = words.cast(pa.binary())
+    # some words at a time: as one list of objects they would take several times their room
+    given = ((zlib.crc32(w) << 32 | zlib.adler32(w)) + 1 for at in range(0, len(binary), 1 << 12) for w in binary.slice(at, 1 << 12).to_pylist())
+    return np.concatenate([np.zeros(1, dtype=np.uint64), np.fromiter(given, dtype=np.uint64, count=len(binary))])
 
 
 def _sums(lang: np.ndarray, at: np.ndarray, m: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +147,8 @@ def packed_windows(rows: pa.Table, hot: list[tuple[str, str, str]], buckets: int
     m = np.repeat(np.asarray(rows["m"].combine_chunks(), dtype=np.int64), size)
     names, words = langs.dictionary, coded.dictionary
     h_word, h_lang = _hashes(words), _hashes(names)[1:]
-    number = {w: i + 1 for i, w in enumerate(words.to_pylist())} if hot else {}
+    asked = sorted({w for _, *pair in hot for w in pair})
+    number = {w: i + 1 for w, i in zip(asked, pc.index_in(pa.array(asked, pa.string()), value_set=words).to_pylist(), strict=True) if i is not None}
     of_lang = {x: i for i, x in enumerate(names.to_pylist())}
     base = np.int64(len(words) + 1)
     salted = np.array([(of_lang[x] * base + number[a]) * base + number[b] for x, a, b in hot if x in of_lang and a in number and b in number], dtype=np.int64)
@@ -219,6 +223,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 waiting, size = [], 0
         if waiting:
             yield from packed_windows(pa.Table.from_batches(waiting), hot, buckets, block)
+        # the worker goes on to count buckets, beside which this room would stay taken
+        waiting.clear()
+        pa.default_memory_pool().release_unused()
 
     packed = pieces(docs).mapInArrow(pack, "bucket int, rows binary").repartitionById(buckets, F.col("bucket"))
     counted = packed.mapInArrow(lambda b: _counted(b, least), "lang string, n int, phrase string, a bigint")

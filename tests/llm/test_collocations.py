@@ -2,6 +2,8 @@
 
 import random
 import re
+import tracemalloc
+import zlib
 from collections import Counter
 
 import duckdb
@@ -117,3 +119,14 @@ def test_sql(spark, sf):
     rows = Q.op12_collocations(spark, sf)
     assert rows.columns == want.columns
     assert sorted(tuple(r) for r in rows.collect()) == sorted(want.fetchall())
+
+
+def test_hashes_of_many_words_take_little_room():
+    """Beside a session's JVM an executor has little room for a block's words."""
+    words = pa.array([f"word{i}" for i in range(200_000)])
+    tracemalloc.start()
+    found = C._hashes(words)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 5_000_000
+    assert found[0] == 0 and found[1:4].tolist() == [(zlib.crc32(w) << 32 | zlib.adler32(w)) + 1 for w in (b"word0", b"word1", b"word2")]
