@@ -132,3 +132,21 @@ def test_tasks_grow_with_pages(spark, monkeypatch):
     assert markup.tasks(df) >= 50
     assert rows.rdd.getNumPartitions() == markup.tasks(df)
     assert rows.where("tag = 'b'").count() == 200
+
+
+def _sorts(df) -> int:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Sort [") + 10 * plan.count("Join")
+
+
+def test_safe_html_sorts_rows_once(spark):
+    """Links that go and anchors of headings are found where parts are joined: each sort copies every row of every page."""
+    html = '<h1>A <i>b</i> c<h2></h2><a href="javascript:x">one<div><a href="/ok">in</a></div><h3>T &amp; u</h3>out</a><a href="vbscript:y">z</a><pre><h4>raw</h4></pre><p hidden><a>h</a></p>﷑'
+    pages = spark.createDataFrame([(1, html), (2, "<p>no heading"), (3, "<h2>only")], "page_id int, html string")
+    safe = convert.to_html(selectors.exclude(markup.tokens(pages), ()))
+    assert _sorts(safe) == 1
+    assert {r.page_id: r.safe for r in safe.collect()} == {
+        1: '<h1 id="a-b-c">A <em>b</em> c</h1><h2></h2>one<div><a href="/ok">in</a></div><h3 id="t-u">T &amp; u</h3>outz<pre tabindex="0"><code>raw</code></pre>�',
+        2: "<p>no heading</p>",
+        3: '<h2 id="only">only</h2>',
+    }
