@@ -150,3 +150,16 @@ def test_safe_html_sorts_rows_once(spark):
         2: "<p>no heading</p>",
         3: '<h2 id="only">only</h2>',
     }
+
+
+def test_extraction_sorts_rows_once(spark):
+    """Elements meet their ends and texts in their page's arrays: rows are cut and sorted once, not for tags and texts apart."""
+    pages = spark.createDataFrame([(1, "<div class=k id=n>a<p>b<br>c<p>d</div>e<div>"), (None, "<p class=k>n"), (3, "text")], "page_id int, html string")
+    found = selectors.extract(markup.tokens(pages), ["div", ".k", "br", "p"])
+    assert _sorts(found) == 1
+    got = sorted((r.key or 0, r.selector, r.pos, r.tag_name, r.text_content, tuple(sorted(r.attributes.items()))) for r in found.collect())
+    assert got == [
+        (0, ".k", 0, "p", "n", (("class", "k"),)), (0, "p", 0, "p", "n", (("class", "k"),)),
+        (1, ".k", 0, "div", "abcd", (("class", "k"), ("id", "n"))), (1, "br", 4, "br", "", ()), (1, "div", 0, "div", "abcd", (("class", "k"), ("id", "n"))), (1, "div", 12, "div", "", ()),
+        (1, "p", 2, "p", "bc", ()), (1, "p", 7, "p", "d", ()),
+    ]
