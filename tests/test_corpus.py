@@ -137,3 +137,32 @@ def test_frequent_shingles_are_found_in_parts(spark, monkeypatch):
     # one more than there are: nothing is frequent
     got = {r.doc_id: r.text for r in corpus.boilerplate(docs, threshold=0.2025).collect()}
     assert got == dict(rows)
+
+
+CUT = ["Or token = &quot", "a &am", "b &ampquot; &copy", "1. &lt;b> and &notin; &notit #", "&#8364 &#x80; &#0;&#1114112; c]", "- x &gt", "T [u](v) &nope; &amp;amp; &equals;", "### &lt", "&middot y", "12) > 3"]
+
+
+@pytest.fixture(scope="module")
+def cut_pages(spark, tmp_path_factory):
+    """Pages whose title is cut within a reference, or begins or ends like Markdown."""
+    at = tmp_path_factory.mktemp("cut")
+    html = lambda i, t: f'<!DOCTYPE html><html lang="{"de" if i % 3 else "en"}"><head><meta charset="utf-8"><title>{t}</title></head><body><nav><ul><li><a href="/a">{t}</a></li><li><a href="/b">b</a></li></ul></nav><div class="ad">{t}</div><article><h1>{t}</h1><p><b>{t}<br><p>{t}</p><p>y {t}</p></article><footer>{t}</footer></body></html>'
+    rows = [(i, f"https://e.test/p/{i}", html(i, t)) for i, t in enumerate(CUT)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    return str(at)
+
+
+# fmt: off
+@pytest.mark.parametrize("name", [
+    "convert_html", "convert_markdown", "convert_minimal", "convert_overrides", "convert_preset", "convert_text", "extract_elements", "llms_full", "markdown_answers", "page_frontmatter", "page_metadata", "page_sections",
+    "stream_markdown", "heading_slugs", "llms_index", "token_savings",
+])
+# fmt: on
+def test_cut_references_match_sql(spark, cut_pages, name):
+    df = queries.QUERIES[name](spark, cut_pages)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{cut_pages}/pages.parquet/*.parquet'")
+    found = con.sql(queries.ORACLE_SQL[name])
+    got, wanted = ([tuple(r) for r in rows] for rows in (df.collect(), found.select(*[f'"{c}"' for c in df.columns]).fetchall()))
+    assert len(got) == len(wanted)
+    assert sorted(map(repr, set(got) - set(wanted))) == sorted(map(repr, set(wanted) - set(got)))
