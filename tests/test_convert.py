@@ -50,6 +50,15 @@ def test_markdown(spark):
     assert {MARKDOWN[i][0]: got[i] for i in range(len(MARKDOWN))} == dict(MARKDOWN)
 
 
+def test_markdown_sorts(spark):
+    """Token rows are sorted by page, list depth, table row and gap, and items of lists need no sort of their own; numbers of backticks, not texts, go along."""
+    df = spark.createDataFrame([(1, "<ol start=3><li>a<ul><li>b<li>c</ul><li>d</ol><ol><li>e</ol><li>f<pre>`` x</pre><code>`y</code>")], "page_id long, html string")
+    md = convert.to_markdown(markup.tokens(df))
+    plan = md._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 4 and plan.count("Window [") <= 11
+    assert md.first().markdown == "3. a\n   - b\n   - c\n4. d\n\n1. e\n\n- f\n\n```\n`` x\n```\n\n`` `y ``"
+
+
 def test_text_and_html(spark):
     pages = [(0, '<ol><li>soup</li></ol><p><img src="s.png" alt="A bowl" title="B">'), (1, "<pre>  two\n four</pre>"), (2, '<p onclick=f()><a href="vbscript:x">k</a> <b>b</b> &lt;i</p><h2>A b</h2>')]
     df = spark.createDataFrame(pages, "page_id long, html string")
