@@ -166,3 +166,15 @@ def test_cut_references_match_sql(spark, cut_pages, name):
     got, wanted = ([tuple(r) for r in rows] for rows in (df.collect(), found.select(*[f'"{c}"' for c in df.columns]).fetchall()))
     assert len(got) == len(wanted)
     assert sorted(map(repr, set(got) - set(wanted))) == sorted(map(repr, set(wanted) - set(got)))
+
+
+ODD = [(1, "", "en", "s"), (2, None, None, None), (-3, " \n\t", "pt_BR", "s"), (4, "a\ufdd0b\ufdd7", "zh-Hans", "s"), (5, "\u00a0", "en", "s"), (6, 'x > y "q" & &lt; &quot <b>', "EN", "s")]
+
+
+@pytest.mark.parametrize("name", ["composed_html", "composed_text", "composed_markdown"])
+def test_odd_documents_match_sql(spark, tmp_path, name):
+    spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.sql(queries.ORACLE_SQL[name]).fetchall()) and len(got) == len(ODD)
